@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from fluvia.llm.decision_list import op3_decision_list
+from fluvia.llm.media import op1_media_columns
 
 
 def queries() -> dict:
-    return {"op3_decision_list": op3_decision_list}
+    return {"op1_media_columns": op1_media_columns, "op3_decision_list": op3_decision_list}
 
 
 def oracle_sql() -> dict[str, str]:
