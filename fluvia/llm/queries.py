@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from fluvia.llm.decision_list import op3_decision_list
 from fluvia.llm.media import op1_media_columns
+from fluvia.llm.packing import op2_hierarchical_packing
 
 
 def queries() -> dict:
-    return {"op1_media_columns": op1_media_columns, "op3_decision_list": op3_decision_list}
+    return {
+        "op1_media_columns": op1_media_columns,
+        "op2_hierarchical_packing": op2_hierarchical_packing,
+        "op3_decision_list": op3_decision_list,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
