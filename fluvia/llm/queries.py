@@ -5,6 +5,7 @@ from __future__ import annotations
 from fluvia.llm.decision_list import op3_decision_list
 from fluvia.llm.media import op1_media_columns
 from fluvia.llm.packing import op2_hierarchical_packing
+from fluvia.llm.pii import op8_pii_crf
 from fluvia.llm.transducer import op10_transducer_bpe
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_media_columns": op1_media_columns,
         "op2_hierarchical_packing": op2_hierarchical_packing,
         "op3_decision_list": op3_decision_list,
+        "op8_pii_crf": op8_pii_crf,
         "op10_transducer_bpe": op10_transducer_bpe,
     }
 
