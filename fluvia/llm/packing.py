@@ -17,7 +17,6 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -78,19 +77,19 @@ def steps(windows: list[int], budget: int = STEP_TOKENS) -> list[int]:
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...], group_tokens: int) -> Iterator[pa.RecordBatch]:
     tokenizer, task = word_tokenizer(path), TaskContext.get().partitionId() << 33
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, bytes]] = []
     n_held = n_sequences = n_steps = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal n_sequences, n_steps, n_held
-        found = packed([len(ids) for _, ids in held], windows)
+        found = packed([len(ids) // 4 for _, ids in held], windows)
         step = steps([w for w, _ in found])
         rows = []
         for (window, pieces), s in zip(found, step):
             offset = 0
             for doc, start, length in pieces:
                 doc_id, ids = held[doc]
-                rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids), task + n_sequences, offset, window, task + n_steps + s))
+                rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, task + n_sequences, offset, window, task + n_steps + s))
                 offset += length
             n_sequences += 1
         n_steps += max(step) + 1
@@ -103,7 +102,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...]
         for i in range(0, len(texts), 100):
             for doc_id, ids in zip(doc_ids[i : i + 100], tokenizer.batch(texts[i : i + 100])):
                 held.append((doc_id, ids))
-                n_held += len(ids)
+                n_held += len(ids) // 4
                 if n_held >= group_tokens:
                     yield flush()
     if held:

@@ -15,7 +15,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -141,9 +141,18 @@ class Field:
         own, before, after, self.moves = np.split(weights, np.cumsum([f * k, N_CLASSES * k, N_CLASSES * k]))
         self.before, self.after, self.moves = before.reshape(N_CLASSES, k), after.reshape(N_CLASSES, k), self.moves.reshape(k, k)
         self.own = table @ own.reshape(f, k)
-        lead = self.own[:, :1] - self.own + (self.before[:, :1] - self.before).min(0) + (self.after[:, :1] - self.after).min(0)
-        #: Of these codes the tag is "other" on every best path: another tag loses more than any two transitions give.
-        self.forced = lead[:, 1:].min(1) > 2 * (self.moves.max() - self.moves.min())
+
+    @cached_property
+    def forced(self) -> np.ndarray:
+        """By code and neighbours' classes: the tag is "other" on every best path, as any other tag's score falls short
+        by more than its two transitions can make up for, whatever the tags beside it."""
+        lead = lambda x: x[:, :1] - x
+        moves = (self.moves[:, :1] - self.moves).min(0) + (self.moves[:1] - self.moves).min(1)
+        own, before, after = lead(self.own), lead(self.before), lead(self.after)
+        out = np.ones((len(own), N_CLASSES, N_CLASSES), bool)
+        for k in range(1, len(TAGS)):
+            out &= own[:, None, None, k] + before[None, :, None, k] + after[None, None, :, k] + np.minimum(moves[k], 0) > 1e-6
+        return out
 
     def scores(self, codes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return self.own[codes] + self.before[before] + self.after[after]
@@ -159,10 +168,10 @@ class Field:
     def decode(self, codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """The best tag of each word; all runs between forced words advance together, a step of Viterbi at a time."""
         tags = np.zeros(len(codes), np.int64)
-        at = np.flatnonzero(~self.forced[codes])
+        before, after = self.neighbours(codes, texts)
+        at = np.flatnonzero(~self.forced[codes, before, after])
         if not len(at):
             return tags
-        before, after = self.neighbours(codes, texts)
         emit = self.scores(codes[at], before[at], after[at])
         first = np.concatenate(([True], (np.diff(at) > 1) | (texts[at][1:] != texts[at][:-1])))
         begin = np.flatnonzero(first)

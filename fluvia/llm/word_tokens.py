@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
@@ -15,6 +16,7 @@ END_ID = 2
 SEPARATOR = "<|startoftext|>"
 _WORDS = re.compile(WORD_PATTERN)
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_END = np.array([END_ID], "<u4").tobytes()
 
 
 def word_file() -> str:
@@ -24,13 +26,14 @@ def word_file() -> str:
 
 
 class WordTokenizer:
-    """Ids as the tokenizers library gives them.
+    """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space before it splits, and none of its patterns or normal forms reaches across white
-    space, so the ids of a text are those of its words behind each other. Each new word goes through the library once.
+    space, so the ids of a text are those of its words behind each other. Each new word goes through the library once;
+    of a full cache the words that came first, mostly the frequent ones, stay.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 800_000, kept_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,58 +41,52 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.separator = self.library.token_to_id(SEPARATOR)
-        self.most_words = most_words
-        self.known: dict[str, list[int]] = {}
+        self.most_words, self.kept_words = most_words, kept_words
+        self.known: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> dict[str, list[int]]:
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """The words' ids; they go through the library as one text, parted by a special token."""
         plain = [w for w in words if "<|" not in w]
-        ids, out, at = self.library.encode_batch_fast([SEPARATOR.join(plain)], add_special_tokens=False)[0].ids, {}, 0
-        for w in plain[:-1]:
-            end = ids.index(self.separator, at)
-            out[w] = ids[at:end]
-            at = end + 1
-        if plain:
-            out[plain[-1]] = ids[at:]
+        ids = np.array(self.library.encode_batch_fast([SEPARATOR.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4
+        data, out, at = ids.tobytes(), {}, 0
+        for w, end in zip(plain, ends.tolist()):
+            out[w] = data[at:end]
+            at = end + 4
         for w in words:
             if w not in out:
-                out[w] = self.library.encode(w, add_special_tokens=False).ids
+                out[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
     def _learn(self, words: list[str]) -> None:
         """Words of Latin letters with a stop or comma behind them share the ids of their lower-case letters."""
-        known, parts, cores = self.known, [], {}
+        known, parts, todo = self.known, [], {}
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            core, tail = (m[1].lower(), m[2]) if m else (w, "")
-            parts.append((w, core, tail))
+            if m := _PLAIN.fullmatch(w):
+                core, tail = m[1].lower(), m[2]
+                parts.append((w, core, tail))
+                if tail and tail not in known:
+                    todo[tail] = None
+            else:
+                core = w
             if core not in known:
-                cores[core] = None
-            if tail and tail not in known:
-                cores[tail] = None
-        todo = list(cores)
-        for i in range(0, len(todo), 2000):
-            known.update(self._encoded(todo[i : i + 2000]))
+                todo[core] = None
+        cores = list(todo)
+        for i in range(0, len(cores), 5000):
+            known.update(self._encoded(cores[i : i + 5000]))
         for w, core, tail in parts:
-            if core is not w:
-                known[w] = known[core] + known[tail] if tail else known[core]
+            known[w] = known[core] + known[tail] if tail else known[core]
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text its ids and the end id, as unsigned 32-bit integers."""
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids and the end id."""
+        if len(self.known) > self.most_words:
+            self.known = dict(islice(self.known.items(), self.kept_words))
         known = self.known
-        if len(known) > self.most_words:
-            known.clear()
-        out = []
-        for text in texts:
-            words = _WORDS.findall(text)
-            if new := [w for w in dict.fromkeys(words) if w not in known]:
-                self._learn(new)
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+        split = [_WORDS.findall(text) for text in texts]
+        if new := [w for w in set(chain.from_iterable(split)) if w not in known]:
+            new.sort()  # not the set's order, which differs between workers
+            self._learn(new)
+        return [b"".join([*map(known.__getitem__, words), _END]) for words in split]
 
 
 @lru_cache(2)
