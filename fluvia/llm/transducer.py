@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import documents, scratch, small_batches, strings
+from fluvia.llm.common import byte_letters, documents, scratch, small_batches, strings
 
 #: Words that the lexicon holds at most: the most frequent of all documents.
 LEXICON_WORDS = 100_000
@@ -46,20 +46,13 @@ def byte_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, model = _byte_letters(), spec["model"]
+        letters, model = {c: b for b, c in byte_letters().items()}, spec["model"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab = model["vocab"]
         as_bytes = lambda t: bytes(letters[c] for c in t)

@@ -9,13 +9,16 @@ from itertools import chain, islice
 
 import numpy as np
 
-from fluvia.llm.common import WORD_PATTERN
+from fluvia.llm.common import WORD_PATTERN, byte_letters
 
 #: The id behind every document.
 END_ID = 2
 SEPARATOR = "<|startoftext|>"
 _WORDS = re.compile(WORD_PATTERN)
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A line of lower-case Latin letters with a stop or comma behind them, or any line.
+_PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
+#: How byte-level vocabularies write the two UTF-8 bytes of the Latin letters above.
+_LETTERS = {c: "".join(map(byte_letters().__getitem__, chr(c).encode())) for c in range(0xC0, 0x100)}
 _END = np.array([END_ID], "<u4").tobytes()
 
 
@@ -35,12 +38,18 @@ class WordTokenizer:
 
     def __init__(self, path: str, most_words: int = 800_000, kept_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.separator = self.library.token_to_id(SEPARATOR)
+        # the same model without normal forms, for words that have theirs and are one piece
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.most_words, self.kept_words = most_words, kept_words
         self.known: dict[str, bytes] = {}
 
@@ -58,22 +67,29 @@ class WordTokenizer:
                 out[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def _encoded_letters(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of lower-case Latin letters; each ends with an id that ends a word."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words).translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+
     def _learn(self, words: list[str]) -> None:
         """Words of Latin letters with a stop or comma behind them share the ids of their lower-case letters."""
-        known, parts, todo = self.known, [], {}
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                core, tail = m[1].lower(), m[2]
+        # (lowering changes no other letter into one of these but K and Å signs, which normal forms change alike)
+        known, parts, todo, letters = self.known, [], {}, {}
+        for w, (core, tail) in zip(words, _PLAIN.findall("\n".join(words).lower()), strict=True):
+            if core:
                 parts.append((w, core, tail))
+                if core not in known:
+                    letters[core] = None
                 if tail and tail not in known:
                     todo[tail] = None
-            else:
-                core = w
-            if core not in known:
-                todo[core] = None
-        cores = list(todo)
-        for i in range(0, len(cores), 5000):
-            known.update(self._encoded(cores[i : i + 5000]))
+            elif w not in known:
+                todo[w] = None
+        for found, encode in ((list(letters), self._encoded_letters), (list(todo), self._encoded)):
+            for i in range(0, len(found), 2000):
+                known.update(encode(found[i : i + 2000]))
         for w, core, tail in parts:
             known[w] = known[core] + known[tail] if tail else known[core]
 
@@ -83,10 +99,19 @@ class WordTokenizer:
             self.known = dict(islice(self.known.items(), self.kept_words))
         known = self.known
         split = [_WORDS.findall(text) for text in texts]
-        if new := [w for w in set(chain.from_iterable(split)) if w not in known]:
-            new.sort()  # not the set's order, which differs between workers
+        here = dict.fromkeys(chain.from_iterable(split))  # small, so it stays in the processor's cache
+        new = []
+        for w in here:
+            if (ids := known.get(w)) is None:
+                new.append(w)
+            else:
+                here[w] = ids
+        if new:
             self._learn(new)
-        return [b"".join([*map(known.__getitem__, words), _END]) for words in split]
+            for w in new:
+                here[w] = known[w]
+        get = here.__getitem__
+        return [b"".join([*map(get, words), _END]) for words in split]
 
 
 @lru_cache(2)
