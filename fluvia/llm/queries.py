@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fluvia.llm import line_dedup, warc
 from fluvia.llm.decision_list import op3_decision_list
 from fluvia.llm.media import op1_media_columns
 from fluvia.llm.packing import op2_hierarchical_packing
@@ -14,10 +15,12 @@ def queries() -> dict:
         "op1_media_columns": op1_media_columns,
         "op2_hierarchical_packing": op2_hierarchical_packing,
         "op3_decision_list": op3_decision_list,
+        "op4_warc_index": warc.op4_warc_index,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii_crf": op8_pii_crf,
         "op10_transducer_bpe": op10_transducer_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_index": warc.SQL, "op7_line_dedup": line_dedup.SQL}
