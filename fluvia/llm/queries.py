@@ -5,6 +5,7 @@ from __future__ import annotations
 from fluvia.llm import line_dedup, warc
 from fluvia.llm.decision_list import op3_decision_list
 from fluvia.llm.media import op1_media_columns
+from fluvia.llm.near_dedup import op6_hamming_minhash
 from fluvia.llm.packing import op2_hierarchical_packing
 from fluvia.llm.pii import op8_pii_crf
 from fluvia.llm.transducer import op10_transducer_bpe
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_hierarchical_packing": op2_hierarchical_packing,
         "op3_decision_list": op3_decision_list,
         "op4_warc_index": warc.op4_warc_index,
+        "op6_hamming_minhash": op6_hamming_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii_crf": op8_pii_crf,
         "op10_transducer_bpe": op10_transducer_bpe,
