@@ -206,8 +206,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def apply(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """docs with the statistics, ``q_rule`` (number of the rule that rejects, 0: none) and ``q_kept``."""
-    return statistics(docs).withColumn("q_rule", rules.rule_number()).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
+    """docs with the statistics, ``q_rule`` (number of the rule that rejects, 0: none) and ``q_kept``.
+
+    The verdict holds a row number, so that no filter on it moves below the projections: there each use of the word
+    arrays would be computed anew, for every element of an array.
+    """
+    kept = ~F.col("q_base_failed") & (F.col("q_rule") == 0) & (F.monotonically_increasing_id() >= 0)
+    return statistics(docs).withColumn("q_rule", rules.rule_number()).withColumn("q_kept", kept)
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
