@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fluvia.llm import line_dedup, warc
 from fluvia.llm.decision_list import op3_decision_list
+from fluvia.llm.katz import op9_katz_backoff
 from fluvia.llm.media import op1_media_columns
 from fluvia.llm.near_dedup import op6_hamming_minhash
 from fluvia.llm.packing import op2_hierarchical_packing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op6_hamming_minhash": op6_hamming_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii_crf": op8_pii_crf,
+        "op9_katz_backoff": op9_katz_backoff,
         "op10_transducer_bpe": op10_transducer_bpe,
     }
 
