@@ -9,9 +9,9 @@ meets with probability 1 - 2e-6, as buckets also hold most pairs beyond 19 diffe
 
 Rows of equal sets are one class from the start. In a bucket, classes are first compared with its least member only,
 each class with one such partner; what is confirmed on the full sets is joined into components. Then the buckets that
-still hold several components are searched through: their signatures are compared in blocks of bounded size and the
-pairs of different components within 30 differences are confirmed too. So no link between different texts is lost,
-and a group of copies never becomes all its pairs.
+still hold several components are searched through in cells of two blocks of bounded size: rows that are within 25
+differences of a row of another component get their full sets, and each cell returns the links that join its
+components. So no link between different texts is lost, and no group ever becomes a table of its pairs.
 
 Defined results: null texts and texts without a word have an empty set and are linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows are one class; an empty table gives an empty table; other columns
@@ -32,10 +32,10 @@ from fluvia.llm.common import documents, mixed, small_batches, text_bytes, word_
 from fluvia.llm.components import components
 
 SYMBOLS, CHUNK = 50, 5
-#: Signatures that differ in more symbols aren't confirmed; at similarity 0.8 that happens once in 10^8 pairs.
-MAX_DIFFERENT = 30
+#: Signatures that differ in more symbols aren't confirmed; at similarity 0.8 that happens once in 10^6 pairs.
+MAX_DIFFERENT = 25
 #: Rows of a bucket that are compared with each other at once.
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 500
 #: Pairs of one class that a task confirms at once.
 STAR_ROWS = 2000
 #: Rows of the table of components that is broadcast, at most (24 bytes each).
@@ -128,12 +128,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
 
 
+def shingle_table(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the full sets of the documents whose id is needed."""
+    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    return written(texts.mapInArrow(partial(_sets, width=width), "id long, shingles binary"), "shingle-sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full sets are similar enough. b's set comes by a join on b; the pairs of one a
     are dealt to several tasks, each of which gets a's set once."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select("doc_id", "text")
-    sets = written(texts.join(needed, texts.doc_id == needed.id, "left_semi").mapInArrow(partial(_sets, width=width), "id long, shingles binary"), "shingle-sets")
+    sets = shingle_table(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), width)
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("shares"))
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     left = left.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
@@ -141,36 +145,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return left.join(right, ["a", "share"]).select("a", "b", "set_a", "set_b").mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct()
 
 
-def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, id, component, signature) sorted by key, i and j: pairs of different components whose
-    signatures are near. A group has at most about two blocks of rows."""
-    held: list = []
-
-    def pairs(rows: list) -> tuple[list[int], list[int]]:
-        cell = rows[0][1:3]
-        ids, parts = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        s = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        one = np.arange(len(rows)) if cell[0] == cell[1] else np.flatnonzero(np.array([r[3] for r in rows]) == cell[0])
-        two = one if cell[0] == cell[1] else np.flatnonzero(np.array([r[3] for r in rows]) == cell[1])
-        a, b = [], []
-        for i in one:
-            other = two[(ids[two] > ids[i]) & (parts[two] != parts[i])] if cell[0] == cell[1] else two[parts[two] != parts[i]]
-            near = other[(s[other] != s[i]).sum(1) <= most]
-            a += [min(int(ids[i]), int(x)) for x in ids[near]]
-            b += [max(int(ids[i]), int(x)) for x in ids[near]]
-        return a, b
-
+def near_in_cell(cell: tuple[int, int, int], blocks: np.ndarray, ids: np.ndarray, parts: np.ndarray, s: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a cell (key, i, j), each with those rows of another component that are near it.
+
+    Cells with i = j compare a block with itself, others two blocks of a bucket. A pair that meets in several buckets
+    counts in the first of its shared keys only.
+    """
+    key, i, j = cell
+    keys = bucket_keys(s).view(np.int64)
+    place = (keys == key).argmax(1)
+    one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    for r in one:
+        other = two[parts[two] != parts[r]]
+        if i == j:
+            other = other[ids[other] > ids[r]]
+        other = other[(s[other] != s[r]).sum(1) <= most]
+        other = other[(keys[other] == keys[r]).argmax(1) == place[r]]
+        if len(other):
+            yield r, other
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that are sorted by their first three columns, a group at a time."""
+    held: list[tuple] = []
     for batch in batches:
-        a, b = [], []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][:3] != row[:3]:
-                x, y = pairs(held)
-                a, b, held = a + x, b + y, []
+                yield held[0][:3], held
+                held = []
             held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     if held:
-        a, b = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield held[0][:3], held
+
+
+CELL = "key long, i int, j int, block int, id long, component long, signature binary"
+
+
+def _arrays(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    return (*(np.array([r[c] for r in rows]) for c in (3, 4, 5)), np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, SYMBOLS))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of each cell the rows that are near a row of another component."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for cell, rows in _groups(batches):
+        if len(rows) > 1:
+            some: set[int] = set()
+            for r, other in near_in_cell(cell, *_arrays(rows), most):
+                some |= {int(r), *other.tolist()}
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*(rows[r] for r in sorted(some))), kinds)], names=[x.split()[0] for x in CELL.split(", ")])
+
+
+def _search(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of a cell on the full sets, no more than join its components: a forest, not all pairs."""
+    for cell, rows in _groups(batches):
+        ids, parts = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        names, number = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        mark = np.zeros(len(names), np.int32)
+        root = {int(p): int(p) for p in parts}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for r, other in near_in_cell(cell, *_arrays(rows), most):
+            mark[number[begin[r] : begin[r + 1]]] = 1
+            for o in other:
+                x, y = find(int(parts[r])), find(int(parts[o]))
+                if x != y:
+                    both = int(mark[number[begin[o] : begin[o + 1]]].sum())
+                    if 100 * both >= percent * (size[r] + size[o] - both):
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(parts[r]))
+                        b.append(int(parts[o]))
+            mark[number[begin[r] : begin[r + 1]]] = 0
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -200,12 +256,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "signature")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_compare, most=MAX_DIFFERENT), "a long, b long").distinct()
-    near = written(near, "near-pairs")
-    more = written(confirmed(near, docs, width, percent), "links")
-    of = lambda side: small(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), n_parts)
-    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
-    merged = components(joined)
+    dealt = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = written(dealt(cells).mapInArrow(partial(_compare, most=MAX_DIFFERENT), CELL), "near")
+    sets = shingle_table(docs, near.select("id").distinct(), width)
+    links = dealt(near.join(sets, "id").select(*near.columns, "shingles")).mapInArrow(partial(_search, most=MAX_DIFFERENT, percent=percent), "a long, b long")
+    merged = components(links)
     # the component of each class, then of each row
     final = classes.select("id", "set_a", "set_b").join(small(parts.withColumnRenamed("node", "id"), n_parts), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     final = final.join(merged.withColumnRenamed("node", "part"), "part", "left").select("set_a", "set_b", F.coalesce("component", "part").alias("component_id"))
