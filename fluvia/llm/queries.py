@@ -9,6 +9,7 @@ from fluvia.llm.media import op1_media_columns
 from fluvia.llm.near_dedup import op6_hamming_minhash
 from fluvia.llm.packing import op2_hierarchical_packing
 from fluvia.llm.pii import op8_pii_crf
+from fluvia.llm.token_files import op5_token_files
 from fluvia.llm.transducer import op10_transducer_bpe
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_hierarchical_packing": op2_hierarchical_packing,
         "op3_decision_list": op3_decision_list,
         "op4_warc_index": warc.op4_warc_index,
+        "op5_token_files": op5_token_files,
         "op6_hamming_minhash": op6_hamming_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii_crf": op8_pii_crf,
