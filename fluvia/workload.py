@@ -1,11 +1,346 @@
-"""Queries over the driver tables, with their SQL."""
+"""Queries over the driver tables, each with its SQL.
+
+Two sites are made from the order tables: air temperature from order prices, flow and water temperature from line
+items, on a dense calendar with the natural gaps. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fluvia.functions import kernels
+from fluvia.functions.dates import doy0, water_year, year_fraction
+from fluvia.operators import metrics, prep, reports, search, uncertainty
+from fluvia.operators import simulate as sim
+from fluvia.sources import files
+
+MIN_DAYS, WARMUP_DAYS = 10, 2
+P = (0.6, 0.3, 0.45, 0.2, 0.4, 1.5, 0.6, 0.1)
+LOW = (0.0, 0.1, 0.3, 0.0, 0.0, 0.0, 0.0, 0.0)
+HIGH = (2.0, 0.6, 0.9, 0.5, 1.0, 3.0, 1.0, 0.3)
+N_VECTORS = 16
+
+
+def _day(c: str):
+    return F.to_date(c)
+
+
+def air(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("site"), "o_orderdate", (F.col("o_totalprice") / 19997).alias("v"))
+    return prep.resample_daily(orders, "o_orderdate", "v", "t_air", keys=("site",))
+
+
+def water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("S"), (F.col("l_orderkey") % 2).cast("string")).alias("site"), _day("l_shipdate").alias("d"), "l_discount", "l_quantity")
+    out = items.groupBy("site", "d").agg((F.avg("l_discount") * 200).alias("t"), F.sum("l_quantity").alias("q"))
+    return out.select("site", "d", F.when(F.dayofmonth("d") % 7 != 0, F.col("t")).alias("t_water"), "q")
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.merge([air(spark, sf_dir), water(spark, sf_dir)], ("site", "d"))
+
+
+def forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.ordered_columns(prep.complete_calendar(merged(spark, sf_dir)), ("site", "d", "t_air", "t_water", "q"))
+
+
+FORCING = """
+air AS (SELECT 'S' || (o_custkey % 2) AS site, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice / 19997) AS t_air FROM orders GROUP BY 1, 2),
+wat AS (SELECT 'S' || (l_orderkey % 2) AS site, CAST(l_shipdate AS DATE) AS d, avg(l_discount) * 200 AS t, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+merged AS (SELECT coalesce(a.site, w.site) AS site, coalesce(a.d, w.d) AS d, t_air, CASE WHEN day(w.d) % 7 <> 0 THEN t END AS t_water, q FROM air a FULL OUTER JOIN wat w ON a.site = w.site AND a.d = w.d),
+span AS (SELECT site, min(d) AS a, max(d) AS b FROM merged GROUP BY site),
+cal AS (SELECT site, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+forcing AS (SELECT cal.site, cal.d, t_air, t_water, q FROM cal LEFT JOIN merged m ON cal.site = m.site AND cal.d = m.d)"""
+
+
+def _islands(valid: str) -> str:
+    return f"""
+val AS (SELECT *, {valid} AS valid FROM forcing),
+isl AS (SELECT *, sum(turn) OVER (PARTITION BY site ORDER BY d) AS block FROM (SELECT *, CASE WHEN lag(valid) OVER w IS NULL OR lag(valid) OVER w <> valid THEN 1 ELSE 0 END AS turn FROM val WINDOW w AS (PARTITION BY site ORDER BY d))),
+blk AS (SELECT site, block, valid, min(d) AS start_d, max(d) AS end_d, count(*) AS n_days, count(t_water) AS n_obs FROM isl GROUP BY site, block, valid)"""
+
+
+WITH_FLOW, WITHOUT_FLOW = "t_air IS NOT NULL AND coalesce(q > 0, false)", "t_air IS NOT NULL"
+
+
+def _segments(version: int = 8) -> str:
+    return (
+        _islands(WITH_FLOW if version in kernels.NEEDS_FLOW else WITHOUT_FLOW)
+        + f""",
+seg AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY start_d) AS seg_id FROM blk WHERE valid AND n_days >= {MIN_DAYS}),
+days AS (SELECT i.site, i.d, t_air, t_water, q, seg_id, date_diff('day', start_d, i.d) + 1 AS seg_day, coalesce(date_diff('day', start_d, i.d) + 1 > {WARMUP_DAYS}, false) AS in_eval FROM isl i LEFT JOIN seg s ON i.site = s.site AND i.block = s.block)"""
+    )
+
+
+CLIMATOLOGY = """
+doy AS (SELECT site, dayofyear(d) - 1 AS doy0, avg(t_water) AS t FROM forcing GROUP BY 1, 2),
+ring AS (SELECT s.site, g.doy0, k.turn, g.doy0 + 366 * k.turn AS x, t FROM (SELECT DISTINCT site FROM forcing) s CROSS JOIN (SELECT unnest(range(366)) AS doy0) g CROSS JOIN (SELECT unnest([-1, 0, 1]) AS turn) k LEFT JOIN doy ON doy.site = s.site AND doy.doy0 = g.doy0),
+near AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN x END IGNORE NULLS) OVER lo AS x1, last_value(t IGNORE NULLS) OVER lo AS t1, first_value(CASE WHEN t IS NOT NULL THEN x END IGNORE NULLS) OVER hi AS x2, first_value(t IGNORE NULLS) OVER hi AS t2 FROM ring
+  WINDOW lo AS (PARTITION BY site ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY site ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+clim AS (SELECT site, doy0, CASE WHEN t IS NOT NULL THEN t ELSE t1 + (t2 - t1) * (x - x1) / (x2 - x1) END AS t FROM near WHERE turn = 0)"""
+QMEDIA = "\nqm AS (SELECT site, avg(q) FILTER (WHERE q > 0) AS qmedia, count(*) FILTER (WHERE q > 0) AS n_q FROM forcing GROUP BY site)"
+STARTS = "\nst AS (SELECT d.site, seg_id, coalesce(d.t_water, c.t, 4.0) AS tw0 FROM days d LEFT JOIN clim c ON c.site = d.site AND c.doy0 = dayofyear(d.d) - 1 WHERE seg_day = 1)"
+TT = "dayofyear({0}) * 1.0 / dayofyear(make_date(year({0}), 12, 31))"
+
+
+def _fixed(p: tuple[float, ...], version: int) -> str:
+    on = kernels.ACTIVE[version]
+    return "\npar AS (SELECT 0 AS pid, " + ", ".join(f"{x if k in on else 0.0}::DOUBLE AS p{k + 1}" for k, x in enumerate(p)) + ")"
+
+
+DESIGN = "\npar AS (SELECT i AS pid, " + ", ".join(f"{lo} + ((i * 7919 + {k} * 104729) % 10007) / 10007.0::DOUBLE * {hi - lo} AS p{k + 1}" for k, (lo, hi) in enumerate(zip(LOW, HIGH))) + f" FROM (SELECT unnest(range({N_VECTORS})) AS i))"
+
+
+def design(spark: SparkSession) -> DataFrame:
+    """A deterministic design of parameter vectors."""
+    i = F.col("id")
+    return spark.range(N_VECTORS).select(i.alias("param_id"), F.array(*[F.lit(lo) + ((i * 7919 + k * 104729) % 10007) / 10007.0 * (hi - lo) for k, (lo, hi) in enumerate(zip(LOW, HIGH))]).alias("p"))
+
+
+def _rate(version: int, ta: str, th: str, t: str, tw: str) -> str:
+    s = f"p6 * cos(2 * pi() * ({t} - p7))"
+    out = f"p1 + p2 * {ta} - p3 * ({tw})"
+    if version == 5:
+        out += f" + {s}"
+    if version in (7, 8):
+        out += f" + {th} * (p5 + {s} - p8 * ({tw}))"
+    return f"({out}) / pow({th}, p4)" if version in (4, 8) else f"({out})"
+
+
+def _simulation(version: int, integrator: str) -> str:
+    """CTEs up to sim(pid, site, seg_id, i, tw)."""
+    theta = "q / qmedia" if version in kernels.NEEDS_FLOW else "1.0::DOUBLE"
+    base = "SELECT s.*, f.* EXCLUDE (site, seg_id, i), par.* EXCLUDE (pid) FROM sim s JOIN fx f ON f.site = s.site AND f.seg_id = s.seg_id AND f.i = s.i JOIN par ON par.pid = s.pid WHERE f.ta2 IS NOT NULL"
+    r = lambda ta, th, t, tw: _rate(version, ta, th, t, tw)
+    half = f"{kernels.STEP!r}"
+    if integrator == "EUL":
+        inner, step = base, f"tw + {r('ta2', 'th2', 'tt2', 'tw')}"
+    elif integrator == "RK2":
+        inner = f"SELECT *, {r('ta2', 'th2', f'(tt + {half})', 'tw + k1')} AS k2 FROM (SELECT *, {r('ta', 'th', 'tt', 'tw')} AS k1 FROM ({base}))"
+        step = "tw + 0.5 * (k1 + k2)"
+    elif integrator == "RK4":
+        mid = ("(0.5 * (ta + ta2))", "(0.5 * (th + th2))", f"(tt + 0.5 * {half})")
+        inner = f"SELECT *, {r('ta', 'th', 'tt', 'tw')} AS k1 FROM ({base})"
+        inner = f"SELECT *, {r(*mid, 'tw + 0.5 * k1')} AS k2 FROM ({inner})"
+        inner = f"SELECT *, {r(*mid, 'tw + 0.5 * k2')} AS k3 FROM ({inner})"
+        inner = f"SELECT *, {r('ta2', 'th2', f'(tt + {half})', 'tw + k3')} AS k4 FROM ({inner})"
+        step = "tw + (k1 + 2 * k2 + 2 * k3 + k4) / 6"
+    else:
+        s1, s2 = "p6 * cos(2 * pi() * (tt - p7))", "p6 * cos(2 * pi() * (tt2 - p7))"
+        inner = base
+        if version in (3, 5):
+            step = f"(tw * (1 - 0.5 * p3) + p1 + 0.5 * p2 * (ta + ta2) + 0.5 * {s1} + 0.5 * {s2}) / (1 + 0.5 * p3)"
+        else:
+            d1, d2 = "pow(th, p4)", "pow(th2, p4)"
+            step = f"(tw + 0.5 / {d1} * (p1 + p2 * ta - p3 * tw + th * (p5 + {s1} - p8 * tw)) + 0.5 / {d2} * (p1 + p2 * ta2 + th2 * (p5 + {s2}))) / (1 + 0.5 * p8 * th2 / {d2} + 0.5 * p3 / {d2})"
+    return f"""{_segments(version)},{CLIMATOLOGY},{QMEDIA},{STARTS},
+fx0 AS (SELECT days.site, seg_id, seg_day AS i, d, t_air AS ta, {theta} AS th, {TT.format('d')} AS tt FROM days JOIN qm ON qm.site = days.site WHERE seg_id IS NOT NULL),
+fx AS (SELECT *, lead(ta) OVER w AS ta2, lead(th) OVER w AS th2, lead(tt) OVER w AS tt2 FROM fx0 WINDOW w AS (PARTITION BY site, seg_id ORDER BY i)),
+sim(pid, site, seg_id, i, tw) AS (SELECT pid, site, seg_id, 1::BIGINT, tw0 FROM st CROSS JOIN par UNION ALL SELECT pid, site, seg_id, i + 1, greatest(0.0, {step}) FROM ({inner}))"""
+
+
+SIM8 = f"{_fixed(P, 8)},{_simulation(8, 'RK4')}"
+SIMULATED = SIM8 + ",\nser AS (SELECT f.site, f.d, f.t_air, f.t_water, f.q, d.seg_id, d.seg_day, d.in_eval, s.tw FROM forcing f JOIN days d ON d.site = f.site AND d.d = f.d LEFT JOIN sim s ON s.site = d.site AND s.seg_id = d.seg_id AND s.i = d.seg_day)"
+
+
+def days(spark: SparkSession, sf_dir: str, version: int = 8) -> DataFrame:
+    return sim.prepared(forcing(spark, sf_dir), version, MIN_DAYS, WARMUP_DAYS)
+
+
+def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forcing with segments and the RK4 v8 simulation of the fixed parameters."""
+    f = forcing(spark, sf_dir)
+    seg = prep.with_segments(f, 8, MIN_DAYS, WARMUP_DAYS)
+    tw = sim.simulate(sim.prepared(f, 8, MIN_DAYS, WARMUP_DAYS), list(P)).select("site", "d", "tw")
+    return seg.join(tw, ["site", "d"], "left")
+
+
+def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulated(spark, sf_dir).withColumn("residual", F.col("tw") - F.col("t_water"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepare, find segments, simulate and score every site."""
+    return metrics.scores(metrics.periods(simulated(spark, sf_dir), "1d", 1.0, "tw"))
+
+
+_FOUND: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, columns: str, run: Callable[[SparkSession, str], DataFrame], body: str | None, ctes: str = "", base: bool = True) -> None:
+    """columns: name:kind, with kinds d (double), i (integer), s (as it is)."""
+    spec = [c.split(":") for c in columns.split()]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = run(spark, sf_dir)
+        return df.select(*[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0) if k == "d" else F.col(c).cast("long") if k == "i" else F.col(c)).alias(c) for c, k in spec])
+
+    _FOUND[name] = query
+    if body is not None:
+        chosen = ", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS {c}" if k == "d" else f"CAST({c} AS BIGINT) AS {c}" if k == "i" else c for c, k in spec)
+        parts = ",".join(x for x in (FORCING if base else "", ctes) if x)
+        _SQL[name] = (f"WITH RECURSIVE {parts}\n" if parts else "") + f"SELECT {chosen} FROM ({body})"
+
+
+# sources, projections, joins, sets
+_query("src2_resample_daily", "site:s d:s t_air:d", air, "SELECT * FROM air")
+_query("joi1_full_outer_merge", "site:s d:s t_air:d t_water:d q:d", merged, "SELECT * FROM merged")
+_query("joi2_dense_calendar", "site:s d:s t_air:d t_water:d q:d", forcing, "SELECT * FROM forcing")
+_query(
+    "joi1_long_pivot_merge", "d:s click:d purchase:d view:d",
+    lambda s, p: prep.merge_long(s.read.parquet(f"{p}/events.parquet").select(F.to_date("ts").alias("d"), F.col("event_type").alias("name"), "value"), ["click", "purchase", "view"]),
+    "SELECT CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type = 'click') AS click, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase, avg(value) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1", base=False,
+)
+_query(
+    "agg1_event_daily_mean", "event_type:s d:s value:d",
+    lambda s, p: prep.resample_daily(s.read.parquet(f"{p}/events.parquet"), "ts", "value", "value", keys=("event_type",)),
+    "SELECT event_type, CAST(ts AS DATE) AS d, avg(value) AS value FROM events GROUP BY 1, 2", base=False,
+)
+_query("prj3_parse_or_drop", "d:s v:d", lambda s, p: prep.resample_daily(s.read.parquet(f"{p}/orders.parquet").select(F.when(F.col("o_orderkey") % 5 == 0, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("x"), "o_totalprice"), "x", "o_totalprice", "v"), "SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1", base=False)
+_query("prj4_sentinel_to_null", "site:s d:s q:d", lambda s, p: forcing(s, p).withColumn("q", prep.nulled(F.when(F.dayofmonth("d") == 3, -999.0).when(F.dayofmonth("d") == 4, 0.0).otherwise(F.col("q")), True)), "SELECT site, d, CASE WHEN day(d) NOT IN (3, 4) AND q > 0 THEN q END AS q FROM forcing")
+_query("prj5_null_to_sentinel", "site:s d:s t_water:d", lambda s, p: forcing(s, p).withColumn("t_water", prep.with_sentinel("t_water")), "SELECT site, d, coalesce(t_water, -999.0) AS t_water FROM forcing")
+_query("prj6_gap_flags", "site:s d:s t_air_gap:i q_gap:i", lambda s, p: prep.gap_flags(forcing(s, p)), "SELECT site, d, (t_air IS NULL)::INT AS t_air_gap, (q IS NULL)::INT AS q_gap FROM forcing")
+_query("prj7_forcing_validity", "site:s d:s v5:s v8:s", lambda s, p: forcing(s, p).select("site", "d", prep.forcing_valid(5).alias("v5"), prep.forcing_valid(8).alias("v8")), f"SELECT site, d, {WITHOUT_FLOW} AS v5, {WITH_FLOW} AS v8 FROM forcing")
+_query("prj8_analysis_validity", "site:s d:s ok:s", lambda s, p: forcing(s, p).withColumn("ok", prep.analysis_valid()), f"SELECT site, d, {WITH_FLOW} AS ok FROM forcing")
+_query("prj9_drop_warmup", "site:s d:s idx:i", lambda s, p: prep.with_warmup(forcing(s, p)).filter("NOT is_warmup"), "SELECT site, d, row_number() OVER (PARTITION BY site ORDER BY d) + 364 AS idx FROM forcing")
+_query("prj10_observed_span", "site:s d:s t_water:d", lambda s, p: reports.observed_span(forcing(s, p)), "SELECT site, d, t_water FROM forcing QUALIFY d BETWEEN min(CASE WHEN t_water IS NOT NULL THEN d END) OVER (PARTITION BY site) AND max(CASE WHEN t_water IS NOT NULL THEN d END) OVER (PARTITION BY site)")
+_query("prj12_residual", "site:s d:s residual:d", residuals, "SELECT site, d, tw - t_water AS residual FROM ser", SIMULATED)
+_query("prj15_unit_conversion", "site:s d:s c:d", lambda s, p: forcing(s, p).withColumn("c", F.when(F.col("t_air") + 273.15 - 273.15 >= 0.1, F.col("t_air") + 273.15 - 273.15)), "SELECT site, d, CASE WHEN t_air + 273.15 - 273.15 >= 0.1 THEN t_air + 273.15 - 273.15 END AS c FROM forcing")
+_query("prj17_gap_injection", "site:s d:s t_air:d", lambda s, p: prep.with_warmup(forcing(s, p)).filter("NOT is_warmup").withColumn("t_air", F.when((F.col("idx") - 365) % 100 >= 3, F.col("t_air"))), "SELECT site, d, CASE WHEN (row_number() OVER (PARTITION BY site ORDER BY d) - 1) % 100 >= 3 THEN t_air END AS t_air FROM forcing")
+_query("joi3_segment_tagging", "site:s d:s seg_id:i seg_day:i", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day FROM days", _segments())
+_query("joi6_start_values", "site:s seg_id:i tw0:d", lambda s, p: prep.start_values(prep.with_segments(forcing(s, p), 8, MIN_DAYS), prep.climatology(forcing(s, p))), "SELECT * FROM st", f"{_segments()},{CLIMATOLOGY},{STARTS}")
+_FOLDS = """
+yrs AS (SELECT DISTINCT site, year(d) AS year FROM forcing),
+rk AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY year) - 1 AS r FROM yrs),
+fo AS (SELECT *, CAST(floor((r - 1) / 2) AS INT) AS fold FROM rk WHERE r >= 1),
+fold AS (SELECT *, min(year) OVER w || '-' || max(year) OVER w AS label FROM fo WINDOW w AS (PARTITION BY site, fold) QUALIFY count(*) OVER w = 2)"""
+_query("joi4_held_out_days", "site:s d:s", lambda s, p: forcing(s, p).withColumn("year", F.year("d")).join(prep.folds(forcing(s, p), 2).filter("fold = 0"), ["site", "year"], "left_semi"), "SELECT site, d FROM forcing f WHERE EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
+_query("joi5_training_days", "site:s d:s", lambda s, p: forcing(s, p).withColumn("year", F.year("d")).join(prep.folds(forcing(s, p), 2).filter("fold = 0"), ["site", "year"], "left_anti"), "SELECT site, d FROM forcing f WHERE NOT EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
+_query("set1_warmup_year", "site:s idx:i d:s t_air:d tt:d is_warmup:s", lambda s, p: prep.with_warmup(forcing(s, p)), f"SELECT site, n + 365 AS idx, d, t_air, {TT.format('d')} AS tt, false AS is_warmup FROM x UNION ALL SELECT site, n, NULL, t_air, (n + 1) / 365.0::DOUBLE, true FROM x WHERE n < 365", "\nx AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n FROM forcing)")
+_query("smp1_k_rows", "site:s n:i", lambda s, p: forcing(s, p).orderBy(F.xxhash64("site", "d")).limit(100).groupBy("site").agg(F.count(F.lit(1)).alias("n")), None)
+
+# constraints and counts
+_query("val2_val6_checks", "site:s starts_jan_1:s is_daily:s is_complete:s has_a_year:s", lambda s, p: prep.checks(forcing(s, p)), "SELECT site, month(min(d)) = 1 AND day(min(d)) = 1 AS starts_jan_1, count(*) = count(DISTINCT d) AND count(*) = date_diff('day', min(d), max(d)) + 1 AS is_daily, count(*) FILTER (WHERE t_air IS NULL OR q IS NULL) = 0 AS is_complete, count(*) >= 365 AS has_a_year FROM forcing GROUP BY site")
+_query("agg2_missing", "site:s n:i t_air_missing:i t_water_missing:i q_missing:i t_air_percent:d t_water_percent:d q_percent:d", lambda s, p: prep.missing(forcing(s, p)), "SELECT site, count(*) AS n, count(*) - count(t_air) AS t_air_missing, count(*) - count(t_water) AS t_water_missing, count(*) - count(q) AS q_missing, 100.0 * (count(*) - count(t_air)) / count(*) AS t_air_percent, 100.0 * (count(*) - count(t_water)) / count(*) AS t_water_percent, 100.0 * (count(*) - count(q)) / count(*) AS q_percent FROM forcing GROUP BY site")
+_BLOCK_KIND = f"CASE WHEN NOT valid THEN 'gap' WHEN n_days >= {MIN_DAYS} THEN 'valid' ELSE 'short' END"
+_query("agg3_blocks", "site:s kind:s start_d:s end_d:s n_days:i n_obs:i", lambda s, p: prep.block_table(forcing(s, p), MIN_DAYS), f"SELECT *, {_BLOCK_KIND} AS kind FROM blk", _islands(WITH_FLOW))
+_query("agg4_pre1_summary", "site:s n_valid:i n_short:i n_gap:i valid_days:i valid_obs:i obs_per_parameter_v3:d obs_per_parameter_v8:d", lambda s, p: prep.analysis_summary(forcing(s, p), MIN_DAYS), "SELECT site, count(*) FILTER (WHERE kind = 'valid') AS n_valid, count(*) FILTER (WHERE kind = 'short') AS n_short, count(*) FILTER (WHERE kind = 'gap') AS n_gap, coalesce(sum(n_days) FILTER (WHERE kind = 'valid'), 0) AS valid_days, coalesce(sum(n_obs) FILTER (WHERE kind = 'valid'), 0) AS valid_obs, coalesce(sum(n_obs) FILTER (WHERE kind = 'valid'), 0) / 3.0 AS obs_per_parameter_v3, coalesce(sum(n_obs) FILTER (WHERE kind = 'valid'), 0) / 8.0 AS obs_per_parameter_v8 FROM kinds GROUP BY site", f"{_islands(WITH_FLOW)},\nkinds AS (SELECT *, {_BLOCK_KIND} AS kind FROM blk)")
+_query("agg5_qmedia", "site:s qmedia:d n_q:i", lambda s, p: prep.qmedia(forcing(s, p)), "SELECT * FROM qm", QMEDIA)
+_query("agg6_win8_climatology", "site:s doy0:i t:d", lambda s, p: prep.climatology(forcing(s, p)), "SELECT * FROM clim", CLIMATOLOGY)
+_query("win1_segments", "site:s seg_id:i start_d:s end_d:s n_days:i n_obs:i", lambda s, p: prep.segment_table(prep.with_segments(forcing(s, p), 8, MIN_DAYS)), "SELECT * FROM seg", _segments())
+_query("win3_eval_mask", "site:s d:s in_eval:s", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, in_eval FROM days", _segments())
+_query("win4_midpoints", "site:s d:s mid:d", lambda s, p: forcing(s, p).withColumn("mid", (F.col("t_air") + F.lead("t_air").over(Window.partitionBy("site").orderBy("d"))) / 2), "SELECT site, d, (t_air + lead(t_air) OVER (PARTITION BY site ORDER BY d)) / 2 AS mid FROM forcing")
+_query("win7_rolling_mean", "site:s d:s m:d", lambda s, p: forcing(s, p).withColumn("m", reports.rolling_mean(forcing(s, p), "t_air")), "SELECT site, d, avg(t_air) OVER (PARTITION BY site ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM forcing")
+_query("win10_folds", "site:s year:i fold:i label:s", lambda s, p: prep.folds(forcing(s, p), 2), "SELECT * FROM fold", _FOLDS)
+_query("dt5_dt6_dt7_dates", "site:s d:s tt:d doy0:i wy:i", lambda s, p: forcing(s, p).select("site", "d", year_fraction(F.col("d")).alias("tt"), doy0(F.col("d")).alias("doy0"), water_year(F.col("d"), 10).alias("wy")), f"SELECT site, d, {TT.format('d')} AS tt, dayofyear(d) - 1 AS doy0, year(d) + (month(d) >= 10)::INT AS wy FROM forcing")
+_query("agg32_years", "site:s year:i", lambda s, p: forcing(s, p).select("site", F.year("d").alias("year")).distinct(), "SELECT DISTINCT site, year(d) AS year FROM forcing")
+
+# right-hand sides, integrators
+for _v in (3, 4, 5, 7, 8):
+    def _ode(s, p, v=_v):
+        q = [x if k in kernels.ACTIVE[v] else 0.0 for k, x in enumerate(P)]
+        th, t, tw = F.col("q") / F.col("qmedia"), year_fraction(F.col("d")), F.coalesce("t_water", F.lit(4.0))
+        wave = q[5] * F.cos(2 * F.pi() * (t - q[6]))
+        r = q[0] + q[1] * F.col("t_air") - q[2] * tw
+        r = r + wave if v == 5 else r + th * (q[4] + wave - q[7] * tw) if v in (7, 8) else r
+        r = r / F.pow(th, F.lit(q[3])) if v in (4, 8) else r
+        return forcing(s, p).join(prep.qmedia(forcing(s, p)), "site").withColumn("rate", r)
+
+    _query(f"ode{_v}_rate", "site:s d:s rate:d", _ode, f"SELECT f.site, d, {_rate(_v, 't_air', '(q / qmedia)', '(' + TT.format('d') + ')', 'coalesce(t_water, 4.0)')} AS rate FROM forcing f JOIN qm ON qm.site = f.site CROSS JOIN par", f"{QMEDIA},{_fixed(P, _v)}")
+    for _i in kernels.INTEGRATORS:
+        _query(f"int_{_i.lower()}_v{_v}", "site:s seg_id:i seg_day:i tw:d", lambda s, p, v=_v, i=_i: sim.simulate(days(s, p, v), list(P), v, i), "SELECT site, seg_id, i AS seg_day, tw FROM sim", f"{_fixed(P, _v)},{_simulation(_v, _i)}")
+
+# periods, scores, reports
+_STATS = "stat AS (SELECT site, count(*) AS n_dat, avg(obs) AS mean_obs, var_pop(obs) * count(*) AS tss_obs, CASE WHEN count(*) > 1 THEN stddev_samp(obs) ELSE 0 END AS std_obs FROM per GROUP BY site)"
+_DAILY = SIMULATED + ",\nper AS (SELECT site, d AS period, t_water AS obs, CASE WHEN in_eval THEN tw END AS sim FROM ser WHERE t_water IS NOT NULL),\n" + _STATS
+_SCORES = """SELECT site, n, CASE WHEN tss_obs = 0 THEN CASE WHEN sse = 0 THEN 1 ELSE -1e30 END ELSE 1 - sse / tss_obs END AS nse, CASE WHEN tss_obs = 0 OR tss_sim = 0 THEN -999 ELSE pow(sso / sqrt(tss_sim * tss_obs), 2) END AS r2, mae,
+  CASE WHEN n < 2 OR std_sim = 0 OR std_obs = 0 THEN -999 ELSE 1 - sqrt(pow(std_sim / std_obs - 1, 2) + pow(mean_sim / mean_obs - 1, 2) + pow(sso / (n - 1) / (std_sim * std_obs) - 1, 2)) END AS kge, -sqrt(sse / n) AS rms, 1 - sse / tss_valid AS nse_valid
+FROM (SELECT p.site, count(*) AS n, sum((sim - obs) * (sim - obs)) AS sse, avg(abs(sim - obs)) AS mae, covar_pop(sim, obs) * count(*) AS sso, var_pop(sim) * count(*) AS tss_sim, avg(sim) AS mean_sim, stddev_samp(sim) AS std_sim, var_pop(obs) * count(*) AS tss_valid FROM per p WHERE obs IS NOT NULL AND sim IS NOT NULL GROUP BY p.site) JOIN stat USING (site)"""
+_query("agg11_15_scores_daily", "site:s n:i nse:d r2:d mae:d kge:d rms:d nse_valid:d", flagship, _SCORES, _DAILY)
+_query("agg9_statis", "site:s n_dat:i mean_obs:d tss_obs:d std_obs:d", lambda s, p: metrics.observed_stats(metrics.periods(forcing(s, p))), "SELECT * FROM stat", "\nper AS (SELECT site, t_water AS obs FROM forcing WHERE t_water IS NOT NULL),\n" + _STATS)
+
+
+def _period_sql(resolution: str, prc: float) -> str:
+    n, unit = int(resolution[:-1]), resolution[-1]
+    if unit == "w":
+        key = f"a + CAST(floor(date_diff('day', a, ser.d) / {7 * n}) AS INT) * {7 * n}"
+        full, place = f"{7 * n}", f"least(period + {-(-7 * n // 2) - 1}, last_d)"
+    else:
+        key = "make_date(CAST(floor(m / 12) AS INT), CAST(m % 12 AS INT) + 1, 1)"
+        full, place = "n_days", "last_d - CAST(floor(n_days / 2) AS INT)"
+    m = f"CAST(floor((year(d) * 12 + month(d) - 1) / {n}) AS BIGINT) * {n}" if unit == "m" else "0"
+    return f"""
+keyed AS (SELECT ser.*, {key} AS period FROM (SELECT *, {m} AS m FROM ser) ser JOIN span ON span.site = ser.site),
+per0 AS (SELECT site, period, count(t_water) AS n_obs, count(*) AS n_days, avg(t_water) AS obs, avg(CASE WHEN t_water IS NOT NULL AND in_eval THEN tw END) AS sim, max(d) AS last_d FROM keyed GROUP BY site, period),
+per AS (SELECT *, {place} AS placed_d FROM per0 WHERE n_obs >= greatest({full} * {prc}, 1)),
+""" + _STATS
+
+
+for _r, _prc in (("1w", 0.5), ("2w", 0.6), ("1m", 0.7), ("3m", 0.5)):
+    _query(f"agg8_periods_{_r}", "site:s period:s n_obs:i n_days:i obs:d sim:d placed_d:s", lambda s, p, r=_r, c=_prc: metrics.periods(simulated(s, p), r, c, "tw"), "SELECT * FROM per", SIMULATED + "," + _period_sql(_r, _prc))
+    _query(f"agg10_15_scores_{_r}", "site:s n:i nse:d r2:d mae:d kge:d rms:d", lambda s, p, r=_r, c=_prc: metrics.scores(metrics.periods(simulated(s, p), r, c, "tw")), _SCORES, SIMULATED + "," + _period_sql(_r, _prc))
+_query("agg16_fold_scores", "site:s year:i n_obs:i nse:d kge:d rmse:d", lambda s, p: metrics.fold_scores(simulated(s, p).select("site", F.year("d").alias("year"), F.col("t_water").alias("obs"), F.col("tw").alias("sim")), ("site", "year")), "SELECT site, year(d) AS year, count(*) AS n_obs, 1 - sum((tw - t_water) * (tw - t_water)) / (var_pop(t_water) * count(*)) AS nse, 1 - sqrt(pow(corr(tw, t_water) - 1, 2) + pow(stddev_pop(tw) / stddev_pop(t_water) - 1, 2) + pow(avg(tw) / avg(t_water) - 1, 2)) AS kge, sqrt(avg((tw - t_water) * (tw - t_water))) AS rmse FROM ser WHERE tw IS NOT NULL AND t_water IS NOT NULL GROUP BY 1, 2", SIMULATED)
+_query("agg18_goodness_of_fit", "site:s n:i rmse:d mae:d r2:d aic:d bic:d", lambda s, p: metrics.goodness_of_fit(simulated(s, p).select("site", F.col("t_water").alias("obs"), F.col("tw").alias("sim")), 8), "SELECT site, n, sqrt(sse / n) AS rmse, mae, 1 - sse / tss AS r2, n * ln(sse / n) + 16 AS aic, n * ln(sse / n) + 8 * ln(n) AS bic FROM (SELECT site, count(*) AS n, sum((tw - t_water) * (tw - t_water)) AS sse, avg(abs(tw - t_water)) AS mae, var_pop(t_water) * count(*) AS tss FROM ser WHERE tw IS NOT NULL AND t_water IS NOT NULL GROUP BY site)", SIMULATED)
+_query("agg22_ar1_rho", "site:s n_pairs:i rho:d", lambda s, p: uncertainty.ar1_rho(residuals(s, p).filter("in_eval")), "SELECT site, count(b) AS n_pairs, CASE WHEN count(b) >= 30 THEN greatest(0, least(0.99, corr(b, r))) ELSE 0 END AS rho FROM (SELECT site, tw - t_water AS r, CASE WHEN tw - t_water IS NOT NULL AND d - lag(d) OVER w = 1 THEN lag(tw - t_water) OVER w END AS b FROM ser WHERE in_eval WINDOW w AS (PARTITION BY site, seg_id ORDER BY d)) GROUP BY site", SIMULATED)
+_query("agg23_24_likelihood_sigma", "site:s n:i log_p:d sigma:d", lambda s, p: residuals(s, p).filter("in_eval AND residual IS NOT NULL").groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("sse")).select("site", "n", metrics.log_likelihood(F.col("sse"), F.col("n")).alias("log_p"), F.sqrt(F.col("sse") / F.col("n")).alias("sigma")), "SELECT site, count(*) AS n, -0.5 * count(*) * ln(sum(r * r) / count(*)) AS log_p, sqrt(sum(r * r) / count(*)) AS sigma FROM (SELECT site, tw - t_water AS r FROM ser WHERE in_eval) WHERE r IS NOT NULL GROUP BY site", SIMULATED)
+_query("agg27_histogram", "site:s bin:i n:i", lambda s, p: reports.histogram(forcing(s, p), "q"), "SELECT site, CASE WHEN b > a THEN least(floor((q - a) / ((b - a) / 30)), 29) ELSE 0 END AS bin, count(*) AS n FROM (SELECT f.site, q, min(q) OVER (PARTITION BY f.site) AS a, max(q) OVER (PARTITION BY f.site) AS b FROM forcing f) WHERE q IS NOT NULL GROUP BY 1, 2")
+_query("agg28_normal_quantiles", "site:s i:i ordered:d theoretical:d", lambda s, p: reports.normal_quantiles(residuals(s, p), "residual"), None)
+_query("agg29_autocorrelation", "site:s lag:i acf:d", lambda s, p: reports.autocorrelation(residuals(s, p), "residual", 20), "SELECT x.site, l.lag, sum(x.x * y.x) / any_value(t.t) AS acf FROM x CROSS JOIN (SELECT unnest(range(21)) AS lag) l JOIN x y ON y.site = x.site AND y.rn = x.rn + l.lag JOIN (SELECT site, sum(x * x) AS t FROM x GROUP BY site) t ON t.site = x.site GROUP BY 1, 2", SIMULATED + ",\nx AS (SELECT site, r - avg(r) OVER (PARTITION BY site) AS x, row_number() OVER (PARTITION BY site ORDER BY d) AS rn FROM (SELECT site, d, tw - t_water AS r FROM ser WHERE tw - t_water IS NOT NULL))")
+_query("snk4_output_series", "site:s year:i month:i day:i Tair:d Twat_obs:d Twat_mod:d Q:d Tair_gap:i Q_gap:i segment_id:i", lambda s, p: files.output_series(sim.series(forcing(s, p), sim.simulate(days(s, p), list(P)))), "SELECT site, year(d) AS year, month(d) AS month, day(d) AS day, coalesce(t_air, -999) AS Tair, coalesce(t_water, -999) AS Twat_obs, coalesce(tw, -999) AS Twat_mod, coalesce(q, -999) AS Q, (t_air IS NULL)::INT AS Tair_gap, (q IS NULL)::INT AS Q_gap, CASE WHEN tw IS NULL THEN -1 ELSE seg_id END AS segment_id FROM ser", SIMULATED)
+
+# many evaluations
+_MANY = f"{DESIGN},{_simulation(8, 'RK4')},\nens AS (SELECT pid, s.site, s.seg_id, s.i, d.d, tw, t_water, in_eval FROM sim s JOIN days d ON d.site = s.site AND d.seg_id = s.seg_id AND d.seg_day = s.i)"
+_MANY_SCORES = "SELECT e.site, pid AS param_id, count(*) AS n, 1 - sum((tw - t_water) * (tw - t_water)) / any_value(tss) AS nse, pow(corr(tw, t_water), 2) AS r2, avg(abs(tw - t_water)) AS mae, -sqrt(avg((tw - t_water) * (tw - t_water))) AS rms FROM ens e JOIN (SELECT site, var_pop(t_water) * count(*) AS tss FROM days WHERE seg_id IS NOT NULL AND t_water IS NOT NULL GROUP BY site) t ON t.site = e.site WHERE in_eval AND t_water IS NOT NULL GROUP BY e.site, pid"
+_query("joi7_score_design", "site:s param_id:i n:i nse:d r2:d mae:d rms:d", lambda s, p: sim.score_many(days(s, p), design(s)), _MANY_SCORES, _MANY)
+_query("opt1_agg30_best_of_design", "site:s param_id:i nse:d", lambda s, p: sim.best(sim.score_many(days(s, p), design(s))), f"SELECT site, arg_max(param_id, nse) AS param_id, max(nse) AS nse FROM ({_MANY_SCORES}) GROUP BY site", _MANY)
+_query("win6_running_best", "site:s param_id:i best_nse:d best_r2:d best_mae:d", lambda s, p: reports.running_best(sim.score_many(days(s, p), design(s)), "param_id", ("site",)), f"SELECT site, param_id, max(nse) OVER w AS best_nse, max(r2) OVER w AS best_r2, min(mae) OVER w AS best_mae FROM ({_MANY_SCORES}) WINDOW w AS (PARTITION BY site ORDER BY param_id)", _MANY)
+_query("prj13_acceptable", "site:s param_id:i nse:d", lambda s, p: reports.acceptable(sim.score_many(days(s, p), design(s)), "NSE", "nse", -5.0), f"SELECT * FROM (SELECT *, bool_or(nse >= -5) OVER () AS any_good FROM ({_MANY_SCORES})) WHERE nse >= -5 OR NOT any_good", _MANY)
+_query("agg21_fwd2_envelope", "site:s d:s lower:d p50:d upper:d", lambda s, p: reports.envelope(sim.simulate_many(days(s, p), design(s))), "SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.5) AS p50, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d", _MANY)
+_query("joi8_prj16_masked_envelope", "site:s d:s lower:d upper:d", lambda s, p: reports.masked_envelope(reports.envelope(sim.simulate_many(days(s, p), design(s))), simulated(s, p).select("site", "d", F.col("tw").alias("t_water_sim"))), "SELECT f.site, f.d, lower, upper FROM forcing f LEFT JOIN (SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d) e ON e.site = f.site AND e.d = f.d", _MANY)
+_CHAIN = "SELECT k.k AS parameter, CASE k.k " + " ".join(f"WHEN {k} THEN p{k}" for k in range(1, 9)) + " END AS v FROM par CROSS JOIN (SELECT unnest(range(1, 9)) AS k) k"
+_query("agg19_posterior_summary", "parameter:i mean:d std:d low:d high:d significant:s", lambda s, p: reports.posterior_summary(design(s)), f"SELECT parameter, avg(v) AS mean, stddev_samp(v) AS std, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS significant FROM ({_CHAIN}) GROUP BY parameter", DESIGN, base=False)
+_query("agg20_parameter_correlation", "a:i b:i r:d", lambda s, p: reports.parameter_correlation(design(s), 8), f"SELECT x.parameter AS a, y.parameter AS b, corr(x.v, y.v) AS r FROM (SELECT pid, parameter, v FROM ({_CHAIN.replace('SELECT k.k', 'SELECT pid, k.k')})) x JOIN (SELECT pid, parameter, v FROM ({_CHAIN.replace('SELECT k.k', 'SELECT pid, k.k')})) y ON x.pid = y.pid GROUP BY 1, 2", DESIGN, base=False)
+_SENS = uncertainty.perturbed(list(P), list(LOW), list(HIGH), 1.0, 8)
+_SENS_PAR = "\npar AS (" + " UNION ALL ".join(f"SELECT {2 * k + s} AS pid, " + ", ".join(f"{x!r}::DOUBLE AS p{j + 1}" for j, x in enumerate(r[side])) for k, r in enumerate(_SENS) for s, side in enumerate(("down", "up"))) + ")"
+_query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), "SELECT x.site, r.parameter, avg(a - b) / any_value(r.relative) AS sensitivity, 'Active' AS status FROM (SELECT site, pid // 2 AS run, seg_id, i, max(tw) AS a, min(tw) AS b FROM ens WHERE in_eval AND t_water IS NOT NULL GROUP BY ALL) x JOIN (VALUES " + ", ".join(f"({k}, {r['parameter']}, {r['relative']!r}::DOUBLE)" for k, r in enumerate(_SENS)) + ") r(run, parameter, relative) ON r.run = x.run WHERE a < 50 GROUP BY 1, 2", f"{_SENS_PAR},{_MANY.removeprefix(DESIGN + ',')}")
+_query("noi2_ar1_noise", "site:s seg_id:i seg_day:i noise:d", lambda s, p: uncertainty.ar1_noise(prep.with_segments(forcing(s, p), 8, MIN_DAYS).filter("seg_id IS NOT NULL"), 0.8, 0.6, z=(F.col("seg_day") * 7919 + F.col("seg_id") * 104729) % 10007 / 10007.0 - 0.5), "SELECT site, seg_id, i AS seg_day, y AS noise FROM n", _segments() + ",\nz AS (SELECT site, seg_id, seg_day AS i, (seg_day * 7919 + seg_id * 104729) % 10007 / 10007.0::DOUBLE - 0.5 AS z FROM days WHERE seg_id IS NOT NULL),\nn(site, seg_id, i, y) AS (SELECT site, seg_id, i, 0.8 * z FROM z WHERE i = 1 UNION ALL SELECT n.site, n.seg_id, z.i, 0.6 * n.y + 0.8 * sqrt(1 - 0.36::DOUBLE) * z.z FROM n JOIN z ON z.site = n.site AND z.seg_id = n.seg_id AND z.i = n.i + 1)")
+_query("set3_burn_in", "param_id:i", lambda s, p: design(s).filter(F.col("param_id") >= int(0.3 * N_VECTORS)), f"SELECT pid AS param_id FROM par WHERE pid >= {int(0.3 * N_VECTORS)}", DESIGN, base=False)
+
+
+def _sim1(s: SparkSession, p: str) -> DataFrame:
+    filled = forcing(s, p).withColumns({"t_air": F.coalesce("t_air", F.lit(5.0)), "q": F.coalesce("q", F.lit(50.0))})
+    return sim.simulate(sim.whole(filled), list(P)).withColumnRenamed("seg_day", "i")
+
+
+_query("sim1_whole_series", "site:s i:i tw:d", _sim1, None)
+for _m, _o in (("LATHYP", {"n": 64}), ("PSO", {"particles": 10, "iterations": 8}), ("DE", {"members": 2, "generations": 8})):
+    _query(f"opt_{_m.lower()}_search", "site:s score:d n_evaluated:i", lambda s, p, m=_m, o=_o: search.calibrate(days(s, p), m, LOW, HIGH, seed=1, **o), None)
+
+
+def _posterior(s: SparkSession, p: str) -> DataFrame:
+    best = forcing(s, p).select("site").distinct().withColumn("p", F.array(*[F.lit(x) for x in P]))
+    return reports.posterior_summary(search.posterior(days(s, p), best, LOW, HIGH, steps=20, walkers=16), ("site",))
+
+
+_query("opt5_posterior", "site:s parameter:i mean:d std:d", _posterior, None)
+
+
+def _cv(s: SparkSession, p: str) -> DataFrame:
+    f = forcing(s, p)
+    results, held = uncertainty.cross_validate(f, prep.folds(f, 1), list(LOW), list(HIGH), min_days=MIN_DAYS, fixed=list(P))
+    return reports.cv_summary(results, metrics.fold_scores(held, ("site",)))
+
+
+_query("cv1_agg17_cross_validation", "site:s fold:s n_obs:i nse:d kge:d rmse:d", _cv, None)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
