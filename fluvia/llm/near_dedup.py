@@ -250,10 +250,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     labelled = filed.join(small(parts.withColumnRenamed("node", "id"), n_parts), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     labelled = written(labelled, "labelled-buckets")
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter(F.col("x") < F.col("y"))
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "key").join(classes.select("id", "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a bucket's largest component needs no search within itself: its blocks only meet those of the others, which come first
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    open_ = sizes.agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
+    open_ = open_.select("key", F.col("big.component").alias("big"), blocks(F.col("n") - F.col("big.n")).alias("small_blocks"), blocks(F.col("big.n")).alias("big_blocks"))
+    in_big, hashed = F.col("component") == F.col("big"), F.xxhash64("id")
+    block = F.when(in_big, F.col("small_blocks") + F.pmod(hashed, F.col("big_blocks"))).otherwise(F.pmod(hashed, F.col("small_blocks"))).cast("int")
+    rows = labelled.join(open_, "key").withColumn("block", block).join(classes.select("id", "signature"), "id")
+    others = F.sequence(F.lit(0), F.col("small_blocks") + F.when(in_big, 0).otherwise(F.col("big_blocks")) - 1)
+    cells = rows.withColumn("other", F.explode(others))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "signature")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
