@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import byte_letters, documents, scratch, small_batches, strings
+from fluvia.llm.common import byte_letters, documents, scratch, small_batches, strings, written
 
 #: Words that the lexicon holds at most: the most frequent of all documents.
 LEXICON_WORDS = 100_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 200_000
+#: Counts from here on are one class where the least count of the lexicon is sought.
+HIGHEST_COUNT = 10_000
 # Fixed value: the splitting pattern of the byte-level tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)
@@ -58,7 +61,7 @@ class Vocabulary:
         as_bytes = lambda t: bytes(letters[c] for c in t)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.singles = np.zeros(256, np.int64)
+        self.singles = [0] * 256
         n = max(max(vocab.values()), *self.special.values()) + 1
         self.bytes: list[bytes] = [b""] * n
         for t, i in vocab.items():
@@ -75,19 +78,22 @@ class Vocabulary:
 
         Long words keep their pairs in a heap over a linked list, so the time grows as n log n.
         """
-        ids = [int(self.singles[b]) for b in word]
+        ids = [self.singles[b] for b in word]
         if len(ids) > 64:
             return self._merged_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, to = None, -1, -1
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best):
-                    best, at, to = m[0], i, m[1]
-            if best is None:
+        get, none = self.merges.get, (1 << 60, -1)
+        pairs = [get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
                 break
-            ids[at : at + 2] = [to]
+            i = pairs.index(best)
+            ids[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -265,9 +271,20 @@ class Encoder:
             for is_mark, part in pieces(text, v.marks if "<" in text else None):
                 parts += [(part,)] if is_mark else _SPLIT.findall(part)
             split.append(parts)
-        if new := [w for w in dict.fromkeys(w for parts in split for w in parts) if type(w) is str and w not in known]:
+        here = dict.fromkeys(chain.from_iterable(split))  # small, so it stays in the processor's cache
+        new = []
+        for w in here:
+            if type(w) is tuple:
+                here[w] = str(v.special[w[0]])
+            elif (ids := known.get(w)) is None:
+                new.append(w)
+            else:
+                here[w] = ids
+        if new:
             self.learn(new)
-        return [",".join([known[w] if type(w) is str else str(v.special[w[0]]) for w in parts]) for parts in split]
+            for w in new:
+                here[w] = known[w]
+        return [",".join(map(here.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids behind each other."""
@@ -301,10 +318,18 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The words seen most often in all documents, ``most`` at most; ties go by the word."""
+    """The words seen most often in all documents, ``most`` at most: those of the least count that don't all fit are left out."""
     small_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(partial(_count, path=path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = written(counted.filter((F.length("word") <= 64) & (F.col("n") > 1)), "word-counts")
+    # how many words have each count, up to a bound, tells the least count whose words all fit
+    sizes = counted.groupBy(F.least("n", F.lit(HIGHEST_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
+    least, room = HIGHEST_COUNT + 1, most
+    for r in sizes:
+        if r.words > room:
+            break
+        least, room = r.n, room - r.words
+    return [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str | None = None, most: int = LEXICON_WORDS) -> str:
