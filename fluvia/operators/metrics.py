@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvia.functions.dates import period_of
+from fluvia.functions.stats import correlation
 
 SCORES = ("nse", "r2", "mae", "kge", "rms")
 
@@ -66,7 +67,7 @@ def fold_scores(p: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Held-out NSE, KGE and RMSE with the moments of the held-out days, population deviations."""
     both = p.filter("obs IS NOT NULL AND sim IS NOT NULL AND NOT isnan(sim)")
     e = F.col("sim") - F.col("obs")
-    n, alpha, beta, r = F.count(F.lit(1)), F.stddev_pop("sim") / F.nullif(F.stddev_pop("obs"), F.lit(0.0)), F.avg("sim") / F.nullif(F.avg("obs"), F.lit(0.0)), F.corr("sim", "obs")
+    n, alpha, beta, r = F.count(F.lit(1)), F.stddev_pop("sim") / F.nullif(F.stddev_pop("obs"), F.lit(0.0)), F.avg("sim") / F.nullif(F.avg("obs"), F.lit(0.0)), correlation("sim", "obs")
     square = lambda c: F.pow(c - 1, F.lit(2))
     return both.groupBy(*keys).agg(n.alias("n_obs"), (1 - F.sum(e * e) / F.nullif(F.var_pop("obs") * n, F.lit(0.0))).alias("nse"), (1 - F.sqrt(square(r) + square(alpha) + square(beta))).alias("kge"), F.sqrt(F.avg(e * e)).alias("rmse"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.functions.stats import correlation
+
 LIMITS = {"NSE": 0.5, "KGE": 0.5}
 RMS_TOLERANCE = 2.0
 
@@ -50,7 +52,7 @@ def posterior_summary(chain: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 def parameter_correlation(chain: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlations of all pairs of parameters, one aggregation."""
     pairs = [(i, j) for i in range(n) for j in range(n)]
-    row = chain.groupBy(*keys).agg(*[F.corr(F.col("p")[i], F.col("p")[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+    row = chain.groupBy(*keys).agg(*[correlation(F.col("p")[i], F.col("p")[j]).alias(f"c_{i}_{j}") for i, j in pairs])
     cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("a"), F.lit(j + 1).alias("b"), F.col(f"c_{i}_{j}").alias("r")) for i, j in pairs]))
     return row.select(*keys, cells.alias("x")).select(*keys, "x.a", "x.b", "x.r")
 
@@ -84,7 +86,7 @@ def autocorrelation(df: DataFrame, value: str, lags: int = 50, keys: tuple[str,
     x = df.filter(F.col(value).isNotNull()).withColumn("x", F.col(value) - F.avg(value).over(w)).withColumn("rn", F.row_number().over(w.orderBy("d")))
     shifted = x.select(*keys, F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "rn").withColumn("rn", F.col("rn") - F.col("lag"))
     total = x.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("total"))
-    return x.join(shifted, [*keys, "rn"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(total, list(keys)).select(*keys, "lag", (F.col("s") / F.col("total")).alias("acf"))
+    return x.join(shifted, [*keys, "rn"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(total, list(keys)).select(*keys, "lag", F.try_divide("s", "total").alias("acf"))
 
 
 def _quantiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -115,7 +115,7 @@ def score_many(days: DataFrame, params: DataFrame, version: int = 8, integrator:
     cov, var_s, var_o = c("sum_so") - c("sum_s") * c("sum_o") / c("n"), c("sum_s2") - c("sum_s") * c("sum_s") / c("n"), c("sum_o2") - c("sum_o") * c("sum_o") / c("n")
     ok = ~(F.isnan("sum_e2") | (F.abs("sum_e2") == float("inf")))
     out = sums.join(tss, list(keys)).filter("n > 0")
-    return out.select(*keys, "param_id", "n", *[F.when(ok, x).alias(name) for name, x in (("nse", 1 - c("sum_e2") / c("tss")), ("r2", F.pow(cov, F.lit(2)) / (var_s * var_o)), ("mae", c("sum_ae") / c("n")), ("rms", -F.sqrt(c("sum_e2") / c("n"))))])
+    return out.select(*keys, "param_id", "n", *[F.when(ok, x).alias(name) for name, x in (("nse", 1 - F.try_divide("sum_e2", "tss")), ("r2", F.try_divide(F.pow(cov, F.lit(2)), var_s * var_o)), ("mae", c("sum_ae") / c("n")), ("rms", -F.sqrt(c("sum_e2") / c("n"))))])
 
 
 def best(scored: DataFrame, score: str = "nse", keys: tuple[str, ...] = ("site",)) -> DataFrame:

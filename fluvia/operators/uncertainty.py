@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluvia.functions import kernels
 from fluvia.functions.dates import water_year
+from fluvia.functions.stats import correlation
 from fluvia.operators import metrics, prep, search
 from fluvia.operators import simulate as sim
 
@@ -20,7 +21,7 @@ def ar1_rho(residuals: DataFrame, keys: tuple[str, ...] = ("site",), value: str
     w = Window.partitionBy(*keys, "seg_id").orderBy("d")
     before = F.when(F.datediff("d", F.lag("d").over(w)) == 1, F.lag(value).over(w))
     pairs = residuals.withColumn("before", before).filter(F.col(value).isNotNull() & F.col("before").isNotNull())
-    out = residuals.select(*keys).distinct().join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("before", value).alias("r")), list(keys), "left")
+    out = residuals.select(*keys).distinct().join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), correlation("before", value).alias("r")), list(keys), "left")
     r = F.when((F.col("n_pairs") >= MIN_PAIRS) & F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.col("r")))).otherwise(0.0)
     return out.select(*keys, F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"), r.alias("rho"))
 
@@ -75,7 +76,7 @@ def perturbed(p: list[float], low: list[float], high: list[float], percent: floa
         base = max(abs(p[k]), 1e-4)
         down, up = max(low[k], p[k] - base * percent / 100), min(high[k], p[k] + base * percent / 100)
         status = "Inactive" if k not in kernels.ACTIVE[version] else "Fixed" if high[k] <= low[k] or up <= down else "Active"
-        vector = lambda x: [*p[:k], x, *p[k + 1 :]]
+        vector = lambda x: [*p[:k], float(x), *p[k + 1 :]]
         out.append({"parameter": k + 1, "status": status, "down": vector(down), "up": vector(up), "relative": (up - down) / base})
     return out
 
@@ -84,7 +85,7 @@ def sensitivity(days: DataFrame, p: list[float], low: list[float], high: list[fl
     """(keys, perturbation, parameter, sensitivity, status): mean absolute change per relative change, one parameter at
     a time, on evaluated days with an observation. All perturbed vectors run as one ensemble."""
     spark = days.sparkSession
-    rows = [(pct, x) for pct in percents for x in perturbed(p, low, high, pct, version)]
+    rows = [(pct, x) for pct in percents for x in perturbed([float(x) for x in p], low, high, pct, version)]
     table = spark.createDataFrame([(i, float(pct), x["parameter"], x["status"], x["relative"]) for i, (pct, x) in enumerate(rows)], "run long, perturbation double, parameter int, status string, relative double")
     vectors = [(2 * i + s, x[side]) for i, (_, x) in enumerate(rows) if x["status"] == "Active" for s, side in enumerate(("down", "up"))]
     every = days.select(*keys).distinct().crossJoin(F.broadcast(table))

@@ -150,11 +150,11 @@ def days(spark: SparkSession, sf_dir: str, version: int = 8) -> DataFrame:
     return sim.prepared(forcing(spark, sf_dir), version, MIN_DAYS, WARMUP_DAYS)
 
 
-def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simulated(spark: SparkSession, sf_dir: str, min_days: int = MIN_DAYS, warmup_days: int = WARMUP_DAYS) -> DataFrame:
     """The forcing with segments and the RK4 v8 simulation of the fixed parameters."""
     f = forcing(spark, sf_dir)
-    seg = prep.with_segments(f, 8, MIN_DAYS, WARMUP_DAYS)
-    tw = sim.simulate(sim.prepared(f, 8, MIN_DAYS, WARMUP_DAYS), list(P)).select("site", "d", "tw")
+    seg = prep.with_segments(f, 8, min_days, warmup_days)
+    tw = sim.simulate(sim.prepared(f, 8, min_days, warmup_days), list(P)).select("site", "d", "tw")
     return seg.join(tw, ["site", "d"], "left")
 
 
@@ -162,9 +162,9 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulated(spark, sf_dir).withColumn("residual", F.col("tw") - F.col("t_water"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, min_days: int = MIN_DAYS, warmup_days: int = WARMUP_DAYS) -> DataFrame:
     """Prepare, find segments, simulate and score every site."""
-    return metrics.scores(metrics.periods(simulated(spark, sf_dir), "1d", 1.0, "tw"))
+    return metrics.scores(metrics.periods(simulated(spark, sf_dir, min_days, warmup_days), "1d", 1.0, "tw"))
 
 
 _FOUND: dict[str, Callable] = {}
