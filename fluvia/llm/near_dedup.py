@@ -40,6 +40,8 @@ BLOCK_ROWS = 500
 STAR_ROWS = 2000
 #: Rows of the table of components that is broadcast, at most (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Ids of the documents whose texts are asked for that are broadcast, at most (8 bytes each); beyond, texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,8 +131,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def shingle_table(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): the full sets of the documents whose id is needed."""
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    """(id, shingles): the full sets of the documents whose id is needed; a doc_id that repeats has a row each."""
+    needed = written(needed, "needed")
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi")
     return written(texts.mapInArrow(partial(_sets, width=width), "id long, shingles binary"), "shingle-sets")
 
 

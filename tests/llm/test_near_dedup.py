@@ -59,11 +59,11 @@ def corpus(n_groups=12):
 def test_components_match_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, component_id string").repartition(3)
-    before = d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS
-    for width, limits in ((4, before), (5, (3, 2, 0))):
-        d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS = limits
+    before = d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS, d.BROADCAST_IDS
+    for width, limits in ((4, before), (5, (3, 2, 0, 0))):
+        d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS, d.BROADCAST_IDS = limits
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in d.near_duplicates(df, width).collect()}
-        d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS = before
+        d.BLOCK_ROWS, d.STAR_ROWS, d.BROADCAST_ROWS, d.BROADCAST_IDS = before
         assert got == brute(rows, width)
 
 
