@@ -39,9 +39,9 @@ BLOCK_ROWS = 500
 #: Pairs of one class that a task confirms at once.
 STAR_ROWS = 2000
 #: Rows of the table of components that is broadcast, at most (24 bytes each).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: Ids of the documents whose texts are asked for that are broadcast, at most (8 bytes each); beyond, texts are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
