@@ -9,7 +9,7 @@ word numbers. Chunks ask for what they need by bucket, and every bucket answers
 3. contexts, by word: denominators and backoff weights.
 
 A bucket's rows are packed arrays, one row for each chunk, so a frequent word costs a bucket no more than one entry a
-chunk. Then P(w2 | w1) = d(c) c / c(w1) for pairs seen at least twice (d: Good-Turing discounts up to 5), and
+chunk. Then P(w2 | w1) = d(c) c / c(w1) for pairs that training saw (d: Good-Turing discounts up to 5), and
 otherwise alpha(w1) P(w2), where alpha makes the sum over all words exactly one; P(w) is discounted alike and leaves
 the rest to the unknown word. A text starts after an end token.
 
@@ -35,8 +35,8 @@ from fluvia.llm.common import documents, mixed, small_batches, text_bytes, word_
 
 #: Counts up to this one are discounted.
 K = 5
-#: Pairs that training saw less often back off.
-LEAST_PAIR = 2
+#: Pairs that training saw less often back off: none that it saw at all.
+LEAST_PAIR = 1
 CHUNK_BYTES = 10 << 20
 BUCKET_BYTES = 4 << 20
 BUCKET_TOKENS = 1_000_000

@@ -108,3 +108,17 @@ def test_without_training_or_rows(spark):
     held = [i for i in range(60) if k.held_out(i)]
     check(spark, [(i, "a b") for i in held])
     assert k.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_seen_once_are_in_the_model(spark):
+    rows = corpus()
+    train = [tokens(t) for i, t in rows if not k.held_out(i)]
+    model = Brute(rows)
+    model.after = {}
+    for (a, b), n in Counter(p for t in train for p in zip([None, *t], t)).items():
+        model.after.setdefault(a, {})[b] = n
+    assert sum(n == 1 for n in model.pairs.values()) > 20 and model.d2[1] < 1
+    texts = dict(rows)
+    for r in k.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = tokens(texts[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(model.p(a, b)) for a, b in zip([None, *t], t)))
