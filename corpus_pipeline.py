@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    out = line_dedup.without_boilerplate(docs)
+    """Documents without the boilerplate lines of their source; those of such lines alone stay whole, as the next stage
+    keeps one of a group of copies."""
+    out = line_dedup.without_boilerplate(docs, whole_copies=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -24,18 +24,24 @@ MIN_COPIES = 5
 BROADCAST_LINES = 200_000
 
 
+def _worded(line):
+    return F.translate(line, "\t\x0b\x0c\r ", "") != ""
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
     """(host, line): 64-bit hashes of the lines above the ratio."""
     pages = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, "\t\x0b\x0c\r ", "") != "")
+    lines = F.filter(F.split("text", "\n"), _worded)
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
     copies = pages.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= min_copies)
     return copies.join(totals, "host").filter(F.col("copies") > max_ratio * F.col("pages")).select("host", "line")
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """pages with the text less its host's boilerplate, and ``ld_lines`` and ``ld_dropped``, numbers of lines."""
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", whole_copies: bool = False, **limits) -> DataFrame:
+    """pages with the text less its host's boilerplate, and ``ld_lines`` and ``ld_dropped``, numbers of lines.
+
+    With ``whole_copies`` a page that would keep no line with a word stays as it is: it is a copy of a frequent page."""
     found = written(boilerplate(pages, host, text, **limits), "boilerplate")
     by_host = found.groupBy(F.col("host").alias("ld_host")).agg(F.collect_list("line").alias("ld_bad"))
     if found.count() <= BROADCAST_LINES:
@@ -44,6 +50,8 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("ld_bad", F.xxhash64(x)))
     out = out.withColumn("ld_lines", F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
     out = out.withColumn("ld_kept", F.when(F.col("ld_bad").isNotNull(), kept))
+    if whole_copies:
+        out = out.withColumn("ld_kept", F.when(F.exists("ld_kept", _worded), F.col("ld_kept")))
     out = out.withColumn("ld_dropped", F.when(F.col("ld_kept").isNull(), 0).otherwise(F.col("ld_lines") - F.size("ld_kept")).cast("long"))
     changed = F.when(F.col("ld_dropped") > 0, F.array_join("ld_kept", "\n")).otherwise(F.col(text))
     return out.withColumn(text, changed).drop("ld_host", "ld_bad", "ld_kept")

@@ -56,3 +56,16 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_whole_copy_of_a_group_above_the_ratio_survives(spark, tmp_path):
+    copy = "\n".join(" ".join(f"copy{k}x{j}" for j in range(12)) for k in range(6))
+    rows = [(i, f"shared menu line\n{' '.join(f'w{(i * 131 + k * 7) % 911}' for k in range(50))}") for i in range(40)]
+    rows += [(100 + i, copy) for i in range(20)] + [(130, f"{copy}\n \n"), (131, f"{copy}\na line of its own"), (132, "shared menu line\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.line_frequency(spark, docs, str(tmp_path))
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    assert all(texts[i] == rows[i][1].split("\n")[1] for i in range(40))
+    assert all(texts[i] == t for i, t in rows if 100 <= i <= 130) and texts[131] == "a line of its own" and texts[132] == "shared menu line\n"
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, lines, str(tmp_path)).collect()}
+    assert [i for i in sorted(kept) if 100 <= i <= 130] == [100] and kept[100] == copy
