@@ -331,7 +331,7 @@ _query("opt5_posterior", "site:s parameter:i mean:d std:d", _posterior, None)
 
 def _cv(s: SparkSession, p: str) -> DataFrame:
     f = forcing(s, p)
-    results, held = uncertainty.cross_validate(f, prep.folds(f, 1), list(LOW), list(HIGH), min_days=MIN_DAYS, fixed=list(P))
+    results, held = uncertainty.cross_validate(f, prep.folds(f, 1), list(LOW), list(HIGH), method="DE", min_days=MIN_DAYS, seed=1)
     return reports.cv_summary(results, metrics.fold_scores(held, ("site",)))
 
 

@@ -28,3 +28,16 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 80
+
+
+def test_cross_validation_calibrates_each_fold(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def calibrate(days, method, low, high, *args, keys, **options):
+        raise Fitted(method, tuple(low), tuple(high), keys, options)
+
+    monkeypatch.setattr(workload.uncertainty.search, "calibrate", calibrate)
+    with pytest.raises(Fitted) as found:
+        workload.queries()["cv1_agg17_cross_validation"](spark, SF)
+    assert found.value.args == ("DE", workload.LOW, workload.HIGH, ("site", "fold"), {"seed": 1})
