@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,62 +125,73 @@ def fit(
 
     Two thirds of the rows (by hash) grow a conjunction by information gain, one third prunes conditions from its end;
     a rule joins the list if the bad share of what it covers is at least ``min_precision`` in both parts, and the rows
-    it covers leave. Every step is one aggregation whose result has at most features x thresholds x 2 rows.
+    it covers leave. A row is reduced to the number of its interval between thresholds, once for each feature, in a
+    written table; every step is one aggregation of it whose result has at most features x thresholds x 2 rows.
     """
-    cells = [F.percentile_approx(F.col(f"q_{f}"), [(i + 0.5) / n_thresholds for i in range(n_thresholds)], 10_000).alias(f) for f in FEATURES]
-    bad_cells = [F.percentile_approx(F.when(F.col(label) == 0, F.col(f"q_{f}")), [(i + 0.5) / n_thresholds for i in range(n_thresholds)], 10_000).alias(f"bad_{f}") for f in FEATURES]
+    shares = [(i + 0.5) / n_thresholds for i in range(n_thresholds)]
+    cells = [F.percentile_approx(F.col(f"q_{f}"), shares, 10_000).alias(f) for f in FEATURES]
+    bad_cells = [F.percentile_approx(F.when(F.col(label) == 0, F.col(f"q_{f}")), shares, 10_000).alias(f"bad_{f}") for f in FEATURES]
     row = labelled.agg(*cells, *bad_cells).first()
-    thresholds = {f: _with_midpoints(sorted({float(x) for x in [*(row[f] or ()), *(row[f"bad_{f}"] or ())]})) for f in FEATURES}
-    bins = [F.struct(F.lit(f).alias("feature"), reduce(lambda a, b: a + b, [(F.col(f"q_{f}") > t).cast("int") for t in ts]).alias("bin")) for f, ts in thresholds.items() if ts]
-    if not bins:
+    thresholds = [_with_midpoints(sorted({float(x) for x in [*(row[f] or ()), *(row[f"bad_{f}"] or ())]})) for f in FEATURES]
+    if not any(thresholds):
         return DecisionList()
+
+    def interval(f: str, ts: list[float]) -> Column:
+        """How many thresholds lie below the value."""
+        return F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: t < F.col(f"q_{f}"))).cast("short").alias(f)
+
     part = (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune")
+    binned = written(labelled.select(part, (F.col(label) == 0).alias("bad"), *[interval(f, ts) for f, ts in zip(FEATURES, thresholds) if ts]), "binned-labels")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f).alias("bin")) for k, (f, ts) in enumerate(zip(FEATURES, thresholds)) if ts])).alias("x")
     found = DecisionList()
 
-    def counts(conditions, rest: Column) -> dict:
-        got = (
-            labelled.filter(rest & _all(conditions))
-            .select(part, F.col(label).alias("y"), F.explode(F.array(*bins)).alias("x"))
-            .groupBy("prune", "x.feature", "x.bin")
-            .agg(F.sum(F.expr("if(y = 0, 1, 0)")).alias("bad"), F.sum(F.expr("if(y = 0, 0, 1)")).alias("good"))
-            .collect()
-        )
-        return {(r["prune"], r["feature"], r["bin"]): (r["bad"], r["good"]) for r in got}
+    def holds(rule) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(FEATURES[k]) > j if above else F.col(FEATURES[k]) <= j for k, above, j in rule), F.lit(True))
+
+    def counts(rows: Column) -> dict:
+        """By part, feature and number of thresholds: (bad, good) rows of no greater interval; the last is all rows."""
+        got = binned.filter(rows).select("prune", "bad", pairs).groupBy("prune", "x.k", "x.bin").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
+        by = {(r["prune"], r["k"], r["bin"]): (r["bad"], r["good"]) for r in got}
+        sums = {}
+        for prune in (False, True):
+            for k, ts in enumerate(thresholds):
+                each = [by.get((prune, k, j), (0, 0)) for j in range(len(ts) + 1)]
+                sums[prune, k] = [*zip(accumulate(b for b, _ in each), accumulate(g for _, g in each))]
+        return sums
 
-    def split(by: dict, prune: bool, f: str, above: bool, j: int) -> tuple[int, int]:
-        chosen = [v for (p, g, b), v in by.items() if p == prune and g == f and (b > j if above else b <= j)]
-        return sum(v[0] for v in chosen), sum(v[1] for v in chosen)
+    def split(sums: dict, prune: bool, k: int, above: bool, j: int) -> tuple[int, int]:
+        low, every = sums[prune, k][j], sums[prune, k][-1]
+        return (every[0] - low[0], every[1] - low[1]) if above else low
 
     rest = F.lit(True)
     while len(found.rules) < max_rules:
         rule, trail = (), []
         while len(rule) < max_conditions:
-            by = counts(rule, rest)
-            first = next(f for f in FEATURES if thresholds[f])
-            bad, good = split(by, False, first, True, -1)
+            by = counts(rest & holds(rule))
+            bad, good = by[False, next(k for k, ts in enumerate(thresholds) if ts)][-1]
             if not bad or not good and rule:
                 break
             base, best, tied = math.log2(bad / (bad + good)), 1e-9, []
-            for f, ts in thresholds.items():
+            for k, ts in enumerate(thresholds):
                 for above in (True, False):
                     for j in range(len(ts)):
-                        b, g = split(by, False, f, above, j)
+                        b, g = split(by, False, k, above, j)
                         gain = b * (math.log2(b / (b + g)) - base) if b >= min_covered else 0.0
                         if gain > best + 1e-9:
-                            best, tied = gain, [(f, above, j)]
-                        elif tied and gain > best - 1e-9 and tied[0][:2] == (f, above):
-                            tied.append((f, above, j))
+                            best, tied = gain, [(k, above, j)]
+                        elif tied and gain > best - 1e-9 and tied[0][:2] == (k, above):
+                            tied.append((k, above, j))
             if not tied:
                 break
-            f, above, j = tied[len(tied) // 2]  # of thresholds that part the rows alike, the middle one
-            rule = (*rule, Condition(f, above, thresholds[f][j]))
-            trail.append((split(by, False, f, above, j), split(by, True, f, above, j)))
+            chosen = tied[len(tied) // 2]  # of thresholds that part the rows alike, the middle one
+            rule = (*rule, chosen)
+            trail.append((split(by, False, *chosen), split(by, True, *chosen)))
         while len(rule) > 1 and _worth(trail[-2][1]) >= _worth(trail[-1][1]) and _share(trail[-2][0]) >= min_precision:
             rule, trail = rule[:-1], trail[:-1]
         if not rule or _share(trail[-1][0]) < min_precision or _share(trail[-1][1]) < min_precision:
             break
-        found.rules.append(rule)
-        rest = rest & ~_all(rule)
+        found.rules.append(tuple(Condition(FEATURES[k], above, thresholds[k][j]) for k, above, j in rule))
+        rest = rest & ~holds(rule)
     return found
 
 
