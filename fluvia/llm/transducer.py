@@ -318,18 +318,21 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The words seen most often in all documents, ``most`` at most: those of the least count that don't all fit are left out."""
+    """The words seen most often in all documents, ``most`` at most: those of the least count that don't all fit are left
+    out; of more than that many words that all reach HIGHEST_COUNT, the most frequent, ties by word."""
     small_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(partial(_count, path=path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = written(counted.filter((F.length("word") <= 64) & (F.col("n") > 1)), "word-counts")
     # how many words have each count, up to a bound, tells the least count whose words all fit
     sizes = counted.groupBy(F.least("n", F.lit(HIGHEST_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
-    least, room = HIGHEST_COUNT + 1, most
+    if sizes and sizes[0].n == HIGHEST_COUNT and sizes[0].words > most:
+        return [r.word for r in counted.filter(F.col("n") >= HIGHEST_COUNT).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    least, room = None, most
     for r in sizes:
         if r.words > room:
             break
         least, room = r.n, room - r.words
-    return [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
+    return [] if least is None else [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str | None = None, most: int = LEXICON_WORDS) -> str:

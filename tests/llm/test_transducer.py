@@ -62,3 +62,14 @@ def test_small_lexicon_gives_the_same_ids(spark, library):
     for r in t.encoded(docs, uri).collect():
         assert r.ids == ",".join(map(str, library.encode(f"some words and {r.doc_id} more words").ids))
     assert np.array_equal(t.mapped(uri).begin, t.mapped(uri).begin)
+
+
+def test_the_lexicon_holds_no_more_than_asked(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "aa bb bb cc cc dd ee ee ee") for i in range(9)], "doc_id long, text string")
+    for highest in (2, 10, 20, 10_000):
+        monkeypatch.setattr(t, "HIGHEST_COUNT", highest)
+        for most in range(8):
+            words = t.frequent_words(docs, t.byte_file(), most)
+            assert len(words) <= most
+            assert most == 0 or " ee" in words
+            assert most > 2 or " dd" not in words
