@@ -4,7 +4,7 @@ Every document is cut into full windows of the longest tier; what remains goes t
 holds it. Tiers are packed from the longest: an item opens a window of its tier, the gap is filled with the largest
 shorter items that fit, and at last a further item is cut so that the window is exactly full. So of each group of
 documents (a bounded run of a partition) only the last window has padding. Windows of one tier form step groups of
-equal token budgets.
+equal token budgets, all full but the last few of a task, which share what is left evenly.
 
 Defined results: a null or empty text is the end id alone; a text longer than any window is cut at window bounds; ties
 in length go by row order; repeated rows are packed each; an empty table gives an empty table; other columns aren't read.
@@ -16,6 +16,8 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import partial
+from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -61,41 +63,58 @@ def packed(lengths: list[int], windows: tuple[int, ...] = WINDOWS) -> list[tuple
     return out
 
 
-def steps(windows: list[int], budget: int = STEP_TOKENS) -> list[int]:
-    """The step group of each sequence: windows of one size, as many as the budget holds."""
-    begun: dict[int, list[int]] = {}
-    out, n = [], 0
-    for w in windows:
-        step = begun.get(w)
-        if step is None or step[1] + w > budget:
-            step = begun[w] = [n, 0]
-            n += 1
-        step[1] += w
-        out.append(step[0])
-    return out
+class Steps:
+    """Deals sequences into step groups of equal budgets: a group is filled by windows of one size, over all groups of
+    documents of a task; what is left of the sizes at the end is shared out evenly among as few mixed steps as hold it."""
+
+    def __init__(self, first: int = 0, budget: int = STEP_TOKENS):
+        self.next, self.budget = first, budget
+        self.open: dict[int, list] = {}  # by size: sequences that wait for their step to be full
+
+    def add(self, window: int, sequence) -> Iterator[tuple[int, object]]:
+        """(step, sequence) of the step that this sequence fills, if it does."""
+        waiting = self.open.setdefault(window, [])
+        waiting.append(sequence)
+        if (len(waiting) + 1) * window > self.budget:
+            for x in waiting:
+                yield self.next, x
+            self.next += 1
+            waiting.clear()
+
+    def end(self) -> Iterator[tuple[int, object]]:
+        """The sequences that still wait, longest windows first, each to the step that holds least."""
+        rest = [(w, x) for w in sorted(self.open, reverse=True) for x in self.open[w]]
+        n = -(-sum(w for w, _ in rest) // self.budget)
+        held = [(0, self.next + k) for k in range(n)]
+        for w, x in rest:
+            size, step = heappop(held)
+            yield step, x
+            heappush(held, (size + w, step))
+        self.next += n
+        self.open.clear()
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...], group_tokens: int) -> Iterator[pa.RecordBatch]:
     tokenizer, task = word_tokenizer(path), TaskContext.get().partitionId() << 33
     held: list[tuple[int, bytes]] = []
-    n_held = n_sequences = n_steps = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal n_sequences, n_steps, n_held
-        found = packed([len(ids) // 4 for _, ids in held], windows)
-        step = steps([w for w, _ in found])
-        rows = []
-        for (window, pieces), s in zip(found, step):
-            offset = 0
+    n_held, sequence, dealt = 0, task, Steps(task)
+
+    def batch_of(found: Iterator[tuple[int, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+        if rows := [(*piece, step) for step, pieces in found for piece in pieces]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    def flush() -> Iterator[tuple[int, list[tuple]]]:
+        nonlocal sequence, n_held
+        for window, pieces in packed([len(ids) // 4 for _, ids in held], windows):
+            offset, rows = 0, []
             for doc, start, length in pieces:
                 doc_id, ids = held[doc]
-                rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, task + n_sequences, offset, window, task + n_steps + s))
+                rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, window))
                 offset += length
-            n_sequences += 1
-        n_steps += max(step) + 1
+            sequence += 1
+            yield from dealt.add(window, rows)
         held.clear()
         n_held = 0
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
@@ -104,9 +123,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...]
                 held.append((doc_id, ids))
                 n_held += len(ids) // 4
                 if n_held >= group_tokens:
-                    yield flush()
-    if held:
-        yield flush()
+                    yield from batch_of(flush())
+    yield from batch_of(chain(flush(), dealt.end()))
 
 
 def pack(docs: DataFrame, path: str | None = None, windows: tuple[int, ...] = WINDOWS, group_tokens: int = GROUP_TOKENS) -> DataFrame:

@@ -25,12 +25,21 @@ def test_each_id_lies_in_one_piece_and_one_window_is_padded(lengths):
     assert min(padded, default=0) >= 0 and sum(x > 0 for x in padded) <= 1
 
 
-def test_steps_hold_one_window_size_within_the_budget():
+def test_steps_are_full_and_the_last_ones_alike():
     windows = [random.Random(1).choice(p.WINDOWS) for _ in range(500)]
+    steps = p.Steps(7)
+    full = [x for i, w in enumerate(windows) for x in steps.add(w, (i, w))]
+    last = [*steps.end()]
+    assert sorted(i for _, (i, _) in full + last) == [*range(500)]
     by = {}
-    for w, s in zip(windows, p.steps(windows)):
+    for s, (_, w) in full + last:
         by.setdefault(s, []).append(w)
-    assert all(len(set(x)) == 1 and sum(x) <= p.STEP_TOKENS for x in by.values())
+    assert sorted(by) == [*range(7, 7 + len(by))]
+    begun = {s for s, _ in last}
+    assert all(len(set(by[s])) == 1 and sum(by[s]) == p.STEP_TOKENS for s in by if s not in begun)
+    sums = [sum(by[s]) for s in begun]
+    assert max(sums) <= p.STEP_TOKENS and max(sums) - min(sums) <= max(p.WINDOWS)
+    assert [*p.Steps().end()] == []
 
 
 def test_word_by_word_ids_are_the_library_ids():
