@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The field is trained from a small labelled table by exact gradients (forward-backward), and decoded by Viterbi in numpy
-batches. Words whose shape alone forces the tag "other" cut a text into short runs; the cut is exact, since no
+The field is trained on the driver from a small labelled table by exact gradients (forward-backward), its weights go to
+the tasks, which decode by Viterbi in numpy batches. Words whose shape alone forces the tag "other" cut a text into short runs; the cut is exact, since no
 transition can outweigh their margin, so only runs around digits, ``@``, ``=`` or ``+`` are decoded.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; base spans always stay
@@ -15,7 +15,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ from fluvia.llm.common import documents, small_batches, strings, text_bytes, wor
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
+#: Rows of a labelled table that the field is trained from, at most.
+LABELLED_ROWS = 10_000
 TAGS = ("other", *KINDS)
 Span = tuple[int, int, int]  # start, kind number, end
 
@@ -137,6 +139,7 @@ class Field:
 
     def __init__(self, weights: np.ndarray):
         table, self.coarse = features()
+        self.weights = weights
         k, f = len(TAGS), table.shape[1]
         own, before, after, self.moves = np.split(weights, np.cumsum([f * k, N_CLASSES * k, N_CLASSES * k]))
         self.before, self.after, self.moves = before.reshape(N_CLASSES, k), after.reshape(N_CLASSES, k), self.moves.reshape(k, k)
@@ -206,8 +209,8 @@ class Field:
         return tags
 
 
-def labelled_table(n: int = 480, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """The small labelled table: short texts with marked spans, made from patterns and a seed."""
+def made_table(n: int = 480, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """A small labelled table for want of a written one: short texts with marked spans, from patterns and a seed."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     letters = lambda a, b: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(a, b)))
@@ -304,10 +307,25 @@ def train(table: list[tuple[str, list[Span]]], steps: int = 150, penalty: float
     return Field(weights)
 
 
+LABELLED = "text string, spans array<struct<start: int, kind: string, end: int>>"
+
+
+def labelled_rows(table: DataFrame) -> list[tuple[str, list[Span]]]:
+    """The rows of a labelled table (LABELLED) that the field is trained from: LABELLED_ROWS at most, those with the
+    smallest hashes. Spans are in code points of ASCII texts; nulls and spans of other kinds don't count."""
+    some = table.filter(F.col("text").isNotNull()).select("text", "spans").orderBy(F.xxhash64("text"), "text").limit(LABELLED_ROWS).collect()
+    return [(r.text, sorted((s.start, KINDS.index(s.kind), s.end) for s in r.spans or () if s is not None and s.kind in KINDS)) for r in some if r.text.isascii()]
+
+
 @lru_cache(1)
-def default_field() -> Field:
-    """Trained once in each Python worker: the table and the steps are fixed, so all workers have the same weights."""
-    return train(labelled_table())
+def default_weights() -> np.ndarray:
+    return train(made_table()).weights
+
+
+def weights_of(labelled: DataFrame | None) -> np.ndarray:
+    """The field's weights, trained once, on the driver; tasks get these few thousand numbers and train nothing."""
+    rows = None if labelled is None else labelled_rows(labelled)
+    return default_weights() if not rows else train(rows).weights
 
 
 _EDGES = ".,;:!?()[]{}\"'|"
@@ -361,8 +379,8 @@ def _runs(words: list[int], tags: np.ndarray, starts: np.ndarray, ends: np.ndarr
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_learned long"
 
 
-def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    field = default_field()
+def _detect(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    field = Field(weights)
     for batch in batches:
         rows = []
         for base, spans in find(batch.column(1), field):
@@ -373,9 +391,10 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def detected(docs: DataFrame) -> DataFrame:
+def detected(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Counts, digest and spans of each row; the field is trained from ``labelled``, or from the made table."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_detect, OUT)
+    return docs.select("doc_id", "text").mapInArrow(partial(_detect, weights=weights_of(labelled)), OUT)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -390,14 +409,17 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(text: Column | str) -> Column:
+def redacted(text: Column | str, labelled: DataFrame | None = None) -> Column:
     """The text with its personal data masked; null stays null."""
+    weights = weights_of(labelled)
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string())
-        found = find(column, default_field())
-        return pd.Series([t if t is None or not spans else masked(t, spans) for t, (_, spans) in zip(column.to_pylist(), found)], dtype=object)
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        field = Field(weights)
+        for texts in batches:
+            column = pa.array(texts, pa.string())
+            found = find(column, field)
+            yield pd.Series([t if t is None or not spans else masked(t, spans) for t, (_, spans) in zip(column.to_pylist(), found)], dtype=object)
 
     return mask(F.col(text) if isinstance(text, str) else text)
 

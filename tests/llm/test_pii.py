@@ -34,16 +34,16 @@ def test_base_spans_are_the_patterns(text):
 
 
 def test_field_recovers_held_out_texts():
-    codes, texts, tags = p.tagged(p.labelled_table(300, seed=77))
-    got = p.default_field().decode(codes, texts)
+    codes, texts, tags = p.tagged(p.made_table(300, seed=77))
+    got = p.Field(p.default_weights()).decode(codes, texts)
     assert (got == tags).mean() > 0.985
     assert (got[tags == 0] == 0).mean() > 0.99
 
 
 def test_runs_decode_as_the_whole_chain():
-    f = p.default_field()
+    f = p.Field(p.default_weights())
     rng = np.random.default_rng(3)
-    pool = np.unique(p.tagged(p.labelled_table(200, seed=5))[0])
+    pool = np.unique(p.tagged(p.made_table(200, seed=5))[0])
     for n in (1, 2, 4, 5):
         codes = rng.choice([*pool, p.PLAIN, p.PLAIN], n)
         texts = np.zeros(n, np.int64)
@@ -73,5 +73,14 @@ def test_redaction(spark):
     assert got == {1: "é [EMAIL], [PHONE].", 2: None, 3: "clean text"}
 
 
+def test_training_from_a_table(spark):
+    rows = [(text, [(a, p.KINDS[k], b) for a, k, b in spans]) for text, spans in p.made_table(60)] + [(None, None), ("no spans", None), ("é", [])]
+    table = spark.createDataFrame(rows, p.LABELLED)
+    assert sorted(p.labelled_rows(table)) == sorted([*p.made_table(60), ("no spans", [])])
+    docs = spark.createDataFrame([(1, "token=e3b3ed3cc8548923d6 now")], "doc_id long, text string")
+    assert p.detected(docs, table).first().spans == "secret:0:24"
+    assert p.weights_of(spark.createDataFrame([], p.LABELLED)) is p.default_weights()
+
+
 def test_empty_batch():
-    assert p.find(pa.array([], pa.string()), p.default_field()) == []
+    assert p.find(pa.array([], pa.string()), p.Field(p.default_weights())) == []
