@@ -22,6 +22,8 @@ MIN_PAGES = 20
 MIN_COPIES = 5
 #: The table of boilerplate lines is broadcast up to so many lines (8 bytes each), and joined by shuffle beyond.
 BROADCAST_LINES = 200_000
+#: Tasks that the pages of a host are dealt to where that table isn't broadcast.
+SALTS = 32
 
 
 def _worded(line):
@@ -44,9 +46,15 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
     With ``whole_copies`` a page that would keep no line with a word stays as it is: it is a copy of a frequent page."""
     found = written(boilerplate(pages, host, text, **limits), "boilerplate")
     by_host = found.groupBy(F.col("host").alias("ld_host")).agg(F.collect_list("line").alias("ld_bad"))
+    on = F.col(host) == F.col("ld_host")
     if found.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    out = pages.join(by_host, F.col(host) == F.col("ld_host"), "left")
+    else:  # a host's pages are dealt to several tasks by their hash, each of which gets the host's lines
+        plain = [c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+        pages = pages.withColumn("ld_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
+        by_host = by_host.withColumn("ld_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("ld_salt") == F.col("ld_part"))
+    out = pages.join(by_host, on, "left")
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("ld_bad", F.xxhash64(x)))
     out = out.withColumn("ld_lines", F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
     out = out.withColumn("ld_kept", F.when(F.col("ld_bad").isNotNull(), kept))
@@ -54,7 +62,7 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
         out = out.withColumn("ld_kept", F.when(F.exists("ld_kept", _worded), F.col("ld_kept")))
     out = out.withColumn("ld_dropped", F.when(F.col("ld_kept").isNull(), 0).otherwise(F.col("ld_lines") - F.size("ld_kept")).cast("long"))
     changed = F.when(F.col("ld_dropped") > 0, F.array_join("ld_kept", "\n")).otherwise(F.col(text))
-    return out.withColumn(text, changed).drop("ld_host", "ld_bad", "ld_kept")
+    return out.withColumn(text, changed).drop("ld_host", "ld_bad", "ld_kept", "ld_salt", "ld_part")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
