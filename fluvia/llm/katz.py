@@ -13,7 +13,7 @@ chunk. Then P(w2 | w1) = d(c) c / c(w1) for pairs that training saw (d: Good-Tur
 otherwise alpha(w1) P(w2), where alpha makes the sum over all words exactly one; P(w) is discounted alike and leaves
 the rest to the unknown word. A text starts after an end token.
 
-Defined results: null and empty texts have the end token alone; without training texts every token is unknown and the
+Defined results: null and empty texts have the end token alone; rows without a doc_id train; without training texts every token is unknown and the
 scores are those of the unknown word; repeated rows train and are scored each; an empty table gives an empty table;
 other columns aren't read.
 """
@@ -59,8 +59,8 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
 
 
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
 CHUNKS = "chunk long, doc_ids binary, held binary, sizes binary, tokens binary, words binary, counts binary, end_at long, n_tokens long, n_words long"
@@ -68,25 +68,37 @@ CHUNKS = "chunk long, doc_ids binary, held binary, sizes binary, tokens binary,
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 33
+    for number, (ids, raw, at) in enumerate(_gathered(batches), number):
+        starts, ends, texts = words_of(raw, at)
+        sizes = np.bincount(texts, minlength=len(ids)) + 1
+        stop = np.cumsum(sizes)
+        stream = np.full(int(stop[-1]), END, np.uint64)
+        inner = np.ones(len(stream), bool)
+        inner[stop - 1] = False
+        stream[inner] = word_hashes(raw, starts, ends)
+        words, tokens = np.unique(stream, return_inverse=True)
+        held = np.array([held_out(i) for i in ids])
+        counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
+        kind = held + 2 * np.array([i is None for i in ids])
+        row = (number, pack(np.array([i or 0 for i in ids], np.int64)), pack(kind.astype(np.uint8)), pack(sizes.astype(np.int64)), pack(tokens.astype(np.int32)), words.tobytes(), pack(counts.astype(np.int64)), int(np.searchsorted(words, END)), len(stream), len(words))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[x.split()[0] for x in CHUNKS.split(", ")])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Ids and bytes of neighbouring texts, of CHUNK_BYTES at most unless one text alone is longer."""
+    ids, parts, sizes, total = [], [], [], 0
     for batch in batches:
         raw, at = text_bytes(batch.column(1))
-        ids, first = batch.column(0).to_pylist(), 0
-        while first < len(ids):
-            end = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, side="right")) - 1)
-            part, part_at = raw[at[first] : at[end]], at[first : end + 1] - at[first]
-            starts, ends, texts = words_of(part, part_at)
-            sizes = np.bincount(texts, minlength=end - first) + 1
-            stop = np.cumsum(sizes)
-            stream = np.full(int(stop[-1]), END, np.uint64)
-            inner = np.ones(len(stream), bool)
-            inner[stop - 1] = False
-            stream[inner] = word_hashes(part, starts, ends)
-            words, tokens = np.unique(stream, return_inverse=True)
-            held = np.array([held_out(i) for i in ids[first:end]])
-            counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
-            row = (number, pack(np.array(ids[first:end], np.int64)), pack(held), pack(sizes.astype(np.int64)), pack(tokens.astype(np.int32)), words.tobytes(), pack(counts.astype(np.int64)), int(np.searchsorted(words, END)), len(stream), len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[x.split()[0] for x in CHUNKS.split(", ")])
-            number, first = number + 1, end
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            if ids and total + b - a > CHUNK_BYTES:
+                yield ids, np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
+                ids, parts, sizes, total = [], [], [], 0
+            ids.append(doc_id)
+            parts.append(raw[a:b])
+            sizes.append(b - a)
+            total += b - a
+    if ids:
+        yield ids, np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
 
 
 EXCHANGE = "bucket int, chunk long, kind string, a binary, b binary, c binary"
@@ -119,9 +131,9 @@ def _ask_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             yield _batch([(b, chunk, "ask", words[p].tobytes(), pack(counts[p]), b"") for b, p in enumerate(parts(word_buckets(words, n), n)) if len(p)])
 
 
-def counts_of_counts(counts: np.ndarray) -> np.ndarray:
-    """Sum, number, and how many counts are 1 .. K + 1."""
-    return np.array([counts.sum(), len(counts), *(np.count_nonzero(counts == r) for r in range(1, K + 2))], np.int64)
+def counts_of_counts(counts: np.ndarray) -> bytes:
+    """Sum, number, and how many counts are 1 .. K + 1, as text."""
+    return ",".join(map(str, [int(counts.sum()), len(counts), *(np.count_nonzero(counts == r) for r in range(1, K + 2))])).encode()
 
 
 def _answer_words(group: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -131,7 +143,7 @@ def _answer_words(group: pd.DataFrame, n: int) -> pd.DataFrame:
     counts = np.bincount(place, weights=np.concatenate([unpack(x, np.int64) for x in group.b]), minlength=len(words)).astype(np.int64)
     seen = counts > 0
     number = np.where(seen, np.cumsum(seen) * n - n + bucket + 1, 0)  # 0: not in training
-    rows = [(bucket, -1, "stat", counts_of_counts(counts[seen]).tobytes(), b"", b""), (bucket, -1, "unigram", words[seen].tobytes(), pack(counts[seen]), b"")]
+    rows = [(bucket, -1, "stat", counts_of_counts(counts[seen]), b"", b""), (bucket, -1, "unigram", words[seen].tobytes(), pack(counts[seen]), b"")]
     at = 0
     for chunk, x in zip(group.chunk, asked):
         p = place[at : at + len(x)]
@@ -174,7 +186,8 @@ class Chunk:
     """A chunk's arrays and what the buckets answered."""
 
     def __init__(self, row: dict):
-        self.tokens, self.sizes, self.held = unpack(row["tokens"], np.int32).astype(np.int64), unpack(row["sizes"], np.int64), unpack(row["held"], bool)
+        self.tokens, self.sizes, self.held = unpack(row["tokens"], np.int32).astype(np.int64), unpack(row["sizes"], np.int64), unpack(row["held"], np.uint8)
+        self.held, self.nameless = (self.held & 1).astype(bool), self.held > 1
         self.n_words = row["n_words"]
         self.number, self.count = self.joined(row, "word", np.int64, np.int64)
         # each token's context; a text begins after the end token
@@ -242,7 +255,7 @@ def _answer_pairs(group: pd.DataFrame, n: int, unigrams: Unigrams) -> pd.DataFra
     place[order] = np.cumsum(new) - 1
     n_pairs = int(new.sum())
     counts = np.bincount(place, weights=np.concatenate([unpack(x, np.int32) for x in group.b]), minlength=n_pairs).astype(np.int64)
-    rows, at = [(bucket, -1, "stat", counts_of_counts(counts[counts > 0]).tobytes(), b"", b"")], 0
+    rows, at = [(bucket, -1, "stat", counts_of_counts(counts[counts > 0]), b"", b"")], 0
     kept = counts >= LEAST_PAIR
     for chunk, x in zip(group.chunk, ones):
         p = place[at : at + len(x)]
@@ -313,24 +326,24 @@ def _score(batches: Iterator[pa.RecordBatch], n_pairs: int, unigrams: Unigrams,
                 log_p[c.known_at[met]] = np.log10(share / below[c.before[c.known_at[met]]])
             begin = np.concatenate(([0], np.cumsum(c.sizes)[:-1]))
             base = np.log10((c.count + 1) / (unigrams.total + unigrams.distinct + 1))
-            columns = [unpack(row["doc_ids"], np.int64), c.held, c.sizes, np.add.reduceat((c.count[c.tokens] > 0).astype(np.int64), begin), np.full(len(c.sizes), unigrams.total), np.add.reduceat(base[c.tokens], begin), np.add.reduceat(log_p, begin)]
+            columns = [pa.array(unpack(row["doc_ids"], np.int64), mask=c.nameless), c.held, c.sizes, np.add.reduceat((c.count[c.tokens] > 0).astype(np.int64), begin), np.full(len(c.sizes), unigrams.total), np.add.reduceat(base[c.tokens], begin), np.add.reduceat(log_p, begin)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in OUT.split(", ")])
 
 
 def _stat(table: DataFrame) -> np.ndarray:
-    """The sum of the buckets' counts of counts: a few numbers a bucket."""
-    rows = table.filter("kind = 'stat'").select("a").collect()
-    return np.sum([np.frombuffer(r.a, np.int64) for r in rows], axis=0) if rows else np.zeros(K + 3, np.int64)
+    """The sum of the buckets' counts of counts: one row."""
+    x = F.split(F.decode("a", "UTF-8"), ",")
+    row = table.filter("kind = 'stat'").agg(*[F.sum(F.get(x, F.lit(i)).cast("long")) for i in range(K + 3)]).first()
+    return np.array([n or 0 for n in row], np.int64)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """Each text's base-10 log probabilities by the add-one unigrams and by the backoff model."""
     spark = docs.sparkSession
-    small_batches(spark, 8000)
+    small_batches(spark)
     chunks = written(docs.select("doc_id", "text").mapInArrow(_chunk, CHUNKS), "chunks")
     size = chunks.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n, n_pairs = 1 + 8 * (size[1] or 0) // BUCKET_BYTES, 1 + (size[0] or 0) // BUCKET_TOKENS
-    small_batches(spark, 1)  # rows are packed chunks from here on
     asked = chunks.select("chunk", "words", "counts").mapInArrow(partial(_ask_words, n=n), EXCHANGE)
     words = written(asked.groupBy("bucket").applyInPandas(partial(_answer_words, n=n), EXCHANGE), "unigrams")
     unigrams = Unigrams(_stat(words))

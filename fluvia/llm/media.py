@@ -139,7 +139,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, codec and media (WAV bytes); a payload's checksum picks its codec."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, codec string, media binary")
 
 
@@ -171,7 +171,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decoded(media: DataFrame) -> DataFrame:
     """The stored media with their payload bytes and their PCM, resampled to 16 kHz, as WAV bytes."""
-    small_batches(media.sparkSession, 500)
+    small_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "codec", "media").mapInArrow(_decode, "doc_id long, n_bytes long, codec string, media binary, payload binary, pcm binary")
 
 

@@ -13,8 +13,8 @@ still hold several components are searched through in cells of two blocks of bou
 differences of a row of another component get their full sets, and each cell returns the links that join its
 components. So no link between different texts is lost, and no group ever becomes a table of its pairs.
 
-Defined results: null texts and texts without a word have an empty set and are linked with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows are one class; an empty table gives an empty table; other columns
+Defined results: null texts and texts without a word have an empty set and are linked with nothing, as are rows without
+a doc_id, which are kept; a text of fewer words than a shingle is one shingle; repeated rows are one class; an empty table gives an empty table; other columns
 pass through ``deduplicated`` untouched.
 """
 
@@ -237,9 +237,9 @@ def _search(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Itera
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     signed = written(docs.select("doc_id", "text").mapInArrow(partial(_sign, width=width), SIGNED), "signatures")
-    some = signed.filter(F.col("n_shingles") > 0)
+    some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets: a class, known by its least doc_id
     classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
     classes = written(classes, "classes")
@@ -277,8 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = final.join(merged.withColumnRenamed("node", "part"), "part", "left").select("set_a", "set_b", F.coalesce("component", "part").alias("component_id"))
     final = written(final, "class-components")
     linked = some.drop("signature").join(small(final, final.count()), ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ A file is named after the task attempt that wrote it, and the index only knows f
 task that is run again leaves at most a file that nobody reads.
 
 Defined results: null html is an empty payload; of equal payloads of at least 100 bytes only the smallest page_id is a
-response; rows that repeat this page_id are responses too; a null URL is an empty one; long payloads are stored
+response; rows that repeat this page_id or have none are responses too; a null URL is an empty one; long payloads are stored
 whole; an empty table gives an empty index; other columns aren't stored.
 """
 
@@ -57,13 +57,13 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC record: a response with its payload, or a revisit that has only the HTTP head."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    revisit = first is not None and first != page_id
+    revisit = None not in (first, page_id) and first != page_id
     block = head if revisit else head + payload
     safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -109,7 +109,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def write_archives(pages: DataFrame) -> tuple[DataFrame, str]:
     """The index table of the archives, and their folder."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     folder = _uri(scratch(spark, "warc"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
@@ -146,7 +146,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_payload: bool) ->
                 digest = hashlib.sha256(payload).hexdigest() if kind == "response" else headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 if f"sha256:{digest}" != headers["WARC-Payload-Digest"]:
                     raise ValueError(f"damaged payload in {file} at {offset}")
-                number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+                number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
                 refers = number(headers["WARC-Refers-To"]) if kind == "revisit" else None
                 size = len(payload) if kind == "response" else int(http["Content-Length"])
                 rows.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], size, digest, kind, refers, file, offset, length, *[payload] * with_payload))
@@ -155,7 +155,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_payload: bool) ->
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of the index rows. Tasks take neighbouring rows; their number follows the bytes to read."""
-    small_batches(index.sparkSession, 1000)
+    small_batches(index.sparkSession)
     total = index.agg(F.sum("length")).first()[0] or 0
     spread = index.select("file", "offset", "length").repartitionByRange(1 + total // TASK_BYTES, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.mapInArrow(partial(_read, folder=folder, with_payload=with_payload), RECORDS + ", payload binary" * with_payload)

@@ -122,3 +122,17 @@ def test_pairs_seen_once_are_in_the_model(spark):
     for r in k.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         t = tokens(texts[r.doc_id])
         assert r.score == pytest.approx(sum(math.log10(model.p(a, b)) for a, b in zip([None, *t], t)))
+
+
+def test_rows_without_an_id_train(spark):
+    rows = [(None, "a b c"), (None, "a b"), (6, "a b d")]
+    got = k.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in got) == [(0, False, 3), (0, False, 4), (6, k.held_out(6), 4)]
+    assert {r.train_tokens for r in got} == {7 + (0 if k.held_out(6) else 4)}
+
+
+def test_the_session_keeps_its_rows_in_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    k.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
+    assert spark.conf.get(name) == before

@@ -73,6 +73,13 @@ def test_repeated_rows_and_an_empty_table(spark):
     assert d.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_without_an_id_and_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, "a b c d"), (3, "a b c d"), (4, "a b c d"), (None, None), (8, long), (6, long + " end"), (7, long.replace("w59", "v59"))]
+    got = d.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(str, [(None, None, True), (3, 3, True), (4, 3, False), (None, None, True), (8, 6, False), (6, 6, True), (7, 6, False)]))
+
+
 def test_pairs_within_the_threshold_share_a_bucket():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**16, (300, d.SYMBOLS), dtype=np.uint16)

@@ -57,3 +57,11 @@ def test_query_matches_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, w.op4_warc_index(spark, str(tmp_path)).collect()))) == sorted(map(str, con.execute(w.SQL).fetchall()))
+
+
+def test_long_payloads_and_missing_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(w, "READ_BYTES", 400)
+    long = hashlib.sha256(b"x").hexdigest() * 2000
+    make(spark, tmp_path, [(1, "u", long, ""), (None, "v", long, ""), (None, None, None, ""), (4, "u", "short", "")])
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in w.op4_warc_index(spark, str(tmp_path)).collect()}
+    assert got == {(1, len(long), "response", None), (None, len(long), "response", None), (None, 0, "response", None), (4, 5, "response", None)}
