@@ -1,9 +1,9 @@
 """The corpus pipeline: quality rules, line de-duplication, near-duplicates, personal data, packing.
 
 Every stage works on all rows that the stage before it kept and returns the columns of ``documents``, but the last,
-which returns the pieces of the packed sequences. Null texts fail the quality rules; rows that repeat a doc_id are one
-document from the near-duplicate stage on; an empty table gives an empty result; further columns of documents stay
-until the last stage.
+which returns the pieces of the packed sequences. Null texts fail the quality rules; of rows that repeat a doc_id, the
+one whose text (then its other columns) sorts first goes on from the near-duplicate stage; rows without a doc_id aren't
+compared there and stay; an empty table gives an empty result; further columns of documents stay until the last stage.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id."""
-    kept = near_dedup.near_duplicates(docs, width=5).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.filter("doc_id IS NOT NULL")
+    kept = near_dedup.near_duplicates(named, width=5).filter("kept").select("doc_id")
+    order = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and c not in ("doc_id", "text")]
+    one = F.min_by(F.struct(*docs.columns), F.struct("text", *order)).alias("row")
+    out = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return out.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
