@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.dates import period_of
@@ -11,6 +11,18 @@ from fluvia.functions.stats import correlation
 SCORES = ("nse", "r2", "mae", "kge", "rms")
 
 
+def period_start(resolution: str, first_d: Column, one_month: bool = False) -> Column:
+    """The first day of d's period: the day, a block of weeks counted from first_d, or a block of months."""
+    n, unit = period_of(resolution)
+    if unit == "d":
+        return F.col("d")
+    if unit == "w":
+        return F.date_add(first_d, (F.floor(F.datediff(F.col("d"), first_d) / (7 * n)) * 7 * n).cast("int"))
+    months = F.year("d") * 12 + F.month("d") - 1
+    first = months if n == 1 or one_month else F.floor(months / n) * n
+    return F.make_date(F.floor(first / 12).cast("int"), (first % 12 + 1).cast("int"), F.lit(1))
+
+
 def periods(df: DataFrame, resolution: str = "1d", prc: float = 1.0, sim: str | None = None, keys: tuple[str, ...] = ("site",), one_month: bool = False) -> DataFrame:
     """Observed means of days, blocks of weeks from the first day, or blocks of months.
 
@@ -18,16 +30,7 @@ def periods(df: DataFrame, resolution: str = "1d", prc: float = 1.0, sim: str |
     its mean over the days that are observed, evaluated (``in_eval``, where there is one) and simulated joins in.
     """
     n, unit = period_of(resolution)
-    start = df.groupBy(*keys).agg(F.min("d").alias("first_d"))
-    df = df.join(F.broadcast(start), list(keys)) if unit == "w" else df
-    if unit == "d":
-        df = df.withColumn("period", F.col("d"))
-    elif unit == "w":
-        df = df.withColumn("period", F.date_add("first_d", (F.floor(F.datediff("d", "first_d") / (7 * n)) * 7 * n).cast("int")))
-    else:
-        months = F.year("d") * 12 + F.month("d") - 1
-        first = months if n == 1 or one_month else F.floor(months / n) * n
-        df = df.withColumn("period", F.make_date(F.floor(first / 12).cast("int"), (first % 12 + 1).cast("int"), F.lit(1)))
+    df = df.withColumn("period", period_start(resolution, F.min("d").over(Window.partitionBy(*keys)), one_month))
     seen = F.col("t_water").isNotNull()
     more = [F.avg(F.when(seen & (F.col("in_eval") if "in_eval" in df.columns else F.lit(True)), F.col(sim))).alias("sim")] if sim else []
     out = df.groupBy(*keys, "period").agg(F.count("t_water").alias("n_obs"), F.count(F.lit(1)).alias("n_days"), F.avg("t_water").alias("obs"), F.max("d").alias("last_d"), *more)
@@ -36,6 +39,20 @@ def periods(df: DataFrame, resolution: str = "1d", prc: float = 1.0, sim: str |
     return out.filter((F.col("n_obs") >= F.greatest(full * prc, F.lit(1)))).withColumn("placed_d", place).drop("last_d")
 
 
+def with_periods(days: DataFrame, forcing: DataFrame, resolution: str, prc: float = 1.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """days with ``period`` (a struct of the period's first day ``p`` and its observed mean ``obs``, null for days of
+    periods that don't count) and with the moments of all periods, for searches at a coarser resolution."""
+    if period_of(resolution)[1] == "d":
+        return days
+    kept = periods(forcing, resolution, prc, keys=keys)
+    stats = observed_stats(kept, keys).select(*keys, "n_dat", "mean_obs", "tss_obs")
+    first = forcing.groupBy(*keys).agg(F.min("d").alias("first_d"))
+    days = days.join(first, list(keys)).withColumn("p", period_start(resolution, F.col("first_d"))).drop("first_d")
+    period = F.when(F.col("obs").isNotNull(), F.struct("p", "obs")).alias("period")
+    out = days.drop("n_dat", "mean_obs", "tss_obs").join(kept.select(*keys, F.col("period").alias("p"), "obs"), [*keys, "p"], "left").join(stats, list(keys))
+    return out.withColumn("period", period).drop("p", "obs")
+
+
 def observed_stats(p: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Number, mean, total sum of squares and deviation of all periods."""
     n = F.count("obs")

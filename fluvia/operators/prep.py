@@ -87,6 +87,49 @@ def with_segments(df: DataFrame, version: int = 8, min_days: int = 30, warmup_da
     return tagged.withColumn("in_eval", F.coalesce(F.col("seg_day") > warmup_days, F.lit(False))).drop("valid", "block", "days", "start")
 
 
+def held_out(df: DataFrame, folds: DataFrame, fold: int, first_month: int = 1, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The days of a fold."""
+    return df.withColumn("year", water_year(F.col("d"), first_month)).join(folds.filter(F.col("fold") == fold), [*keys, "year"], "left_semi").drop("year")
+
+
+def training(df: DataFrame, folds: DataFrame, fold: int, first_month: int = 1, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The days that aren't in a fold."""
+    return df.withColumn("year", water_year(F.col("d"), first_month)).join(folds.filter(F.col("fold") == fold), [*keys, "year"], "left_anti").drop("year")
+
+
+def years(df: DataFrame, keys: tuple[str, ...] = ("site",), first_month: int = 1) -> DataFrame:
+    """The distinct water years of each key."""
+    return df.select(*keys, water_year(F.col("d"), first_month).alias("year")).distinct()
+
+
+def midpoints(value: str, keys: tuple[str, ...] = ("site",)) -> Column:
+    """The mean of a day's value and the next one's."""
+    return (F.col(value) + F.lead(value).over(Window.partitionBy(*keys).orderBy("d"))) / 2
+
+
+def celsius(kelvin: Column | str, least: float | None = None) -> Column:
+    """Kelvin as degrees Celsius; below ``least``, if it is given, null."""
+    c = (F.col(kelvin) if isinstance(kelvin, str) else kelvin) - 273.15
+    return c if least is None else F.when(c >= least, c)
+
+
+#: Gaps as (number, days): so many gaps of so many days, evenly spread over the series.
+GAPS = {"few_short": (5, 3), "many_short": (20, 3), "few_long": (2, 30), "many_long": (5, 30)}
+
+
+def with_gaps(df: DataFrame, value: str, scenario: str, share: float = 0.05, seed: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """df with values missing by one of GAPS, or, for "random", on a share of the days that a hash with the seed picks."""
+    w = Window.partitionBy(*keys)
+    if scenario == "random":
+        gone = F.pmod(F.xxhash64(*keys, "d", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+        return df.withColumn(value, F.when(~gone, F.col(value)))
+    number, length = GAPS[scenario]
+    every = F.floor(F.count(F.lit(1)).over(w) / (number + 1))
+    n = F.row_number().over(w.orderBy("d")) - 1
+    gone = (F.floor(n / every).between(1, number)) & (n % every < length)
+    return df.withColumn(value, F.when(~gone, F.col(value)))
+
+
 def segment_table(df: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """One row for each segment of ``with_segments``."""
     return df.filter("seg_id IS NOT NULL").groupBy(*keys, "seg_id").agg(F.min("d").alias("start_d"), F.max("d").alias("end_d"), F.count(F.lit(1)).alias("n_days"), F.count("t_water").alias("n_obs"))
@@ -160,6 +203,11 @@ def checks(df: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     )
 
 
+def with_a_year(df: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The series of at least 365 days."""
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 365").select(*keys), list(keys), "left_semi")
+
+
 def require(df: DataFrame, gap_tolerant: bool = False, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """df, or ValueError where a series breaks a constraint."""
     if lost := {"d", "t_air", "q"} - set(df.columns):
@@ -172,12 +220,13 @@ def require(df: DataFrame, gap_tolerant: bool = False, keys: tuple[str, ...] = (
     return df
 
 
-def folds(df: DataFrame, n_years: int = 1, first_month: int = 1, skip_years: int = 1, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Leave-out blocks of n water years: (keys, year, fold, label); the first years and a short tail are left out."""
-    years = df.select(*keys, water_year(F.col("d"), first_month).alias("year")).distinct()
+def folds(df: DataFrame, n_years: int = 1, first_month: int = 1, skip_years: int = 1, min_obs: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Leave-out blocks of n water years: (keys, year, fold, label); the first years and a short tail are left out, as
+    are blocks with fewer than ``min_obs`` observations. Folds are numbered before that."""
+    years = df.groupBy(*keys, water_year(F.col("d"), first_month).alias("year")).agg(F.count("t_water").alias("n_obs"))
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("year"))
     block = Window.partitionBy(*keys, "fold")
     out = years.withColumn("r", rank - skip_years).filter("r >= 1").withColumn("fold", F.floor((F.col("r") - 1) / n_years).cast("int"))
-    out = out.withColumn("n", F.count(F.lit(1)).over(block)).filter(F.col("n") == n_years)
+    out = out.withColumn("n", F.count(F.lit(1)).over(block)).withColumn("n_obs", F.sum("n_obs").over(block)).filter((F.col("n") == n_years) & (F.col("n_obs") >= min_obs))
     low, high = F.min("year").over(block).cast("string"), F.max("year").over(block).cast("string")
     return out.withColumn("label", low if n_years == 1 else F.concat_ws("-", low, high)).select(*keys, "year", "fold", "label")

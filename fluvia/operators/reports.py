@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.functions.stats import correlation
+from fluvia.functions.stats import correlation, normal_quantile
+from fluvia.operators import prep
 
 LIMITS = {"NSE": 0.5, "KGE": 0.5}
 RMS_TOLERANCE = 2.0
@@ -28,7 +25,7 @@ def running_best(history: DataFrame, order: str, keys: tuple[str, ...] = ()) ->
     return history.withColumns({"best_nse": F.max("nse").over(w), "best_r2": F.max("r2").over(w), "best_mae": F.min("mae").over(w)})
 
 
-def rolling_mean(df: DataFrame, value: str, days: int = 7, keys: tuple[str, ...] = ("site",)) -> Column:
+def rolling_mean(value: str, days: int = 7, keys: tuple[str, ...] = ("site",)) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys).orderBy("d").rowsBetween(1 - days, 0))
 
 
@@ -49,6 +46,11 @@ def posterior_summary(chain: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     return out.select(*keys, "parameter", "mean", "std", low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("significant"))
 
 
+def burned(chain: DataFrame, steps: int, burn: float = 0.3, step: str = "step") -> DataFrame:
+    """A chain of walkers without its first steps."""
+    return chain.filter(F.col(step) >= int(burn * steps))
+
+
 def parameter_correlation(chain: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlations of all pairs of parameters, one aggregation."""
     pairs = [(i, j) for i in range(n) for j in range(n)]
@@ -72,12 +74,23 @@ def masked_envelope(bounds: DataFrame, simulated: DataFrame, keys: tuple[str, ..
     return out.withColumns({c: F.when(F.col("t_water_sim").isNotNull(), F.col(c)) for c in ("lower", "p50", "upper")})
 
 
+def residuals(series: DataFrame, sim: str = "tw", obs: str = "t_water") -> DataFrame:
+    """series with the simulated less the observed value."""
+    return series.withColumn("residual", F.col(sim) - F.col(obs))
+
+
+def residual_sigma(df: DataFrame, value: str = "residual", keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """(keys, n, sse, sigma) of residuals that aren't null."""
+    e = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.col(value)).alias("sse"))
+    return e.withColumn("sigma", F.sqrt(F.col("sse") / F.col("n")))
+
+
 def histogram(df: DataFrame, value: str, bins: int = 30, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Counts in equal bins between the least and the largest value, which falls into the last bin."""
     span = df.groupBy(*keys).agg(F.min(value).alias("a"), F.max(value).alias("b"))
     width = (F.col("b") - F.col("a")) / bins
     at = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col(value) - F.col("a")) / width), F.lit(bins - 1))).otherwise(0)
-    return df.filter(F.col(value).isNotNull()).join(F.broadcast(span), list(keys)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.filter(F.col(value).isNotNull()).join(span, list(keys)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def autocorrelation(df: DataFrame, value: str, lags: int = 50, keys: tuple[str, ...] = ("site",)) -> DataFrame:
@@ -89,25 +102,56 @@ def autocorrelation(df: DataFrame, value: str, lags: int = 50, keys: tuple[str,
     return x.join(shifted, [*keys, "rn"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(total, list(keys)).select(*keys, "lag", F.try_divide("s", "total").alias("acf"))
 
 
-def _quantiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    inverse = NormalDist().inv_cdf
-    for x in batches:
-        yield x.map(inverse)
-
-
 def normal_quantiles(df: DataFrame, value: str, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Ordered values against normal quantiles of Filliben's order medians."""
     w = Window.partitionBy(*keys)
     out = df.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
     tail = F.pow(F.lit(0.5), 1 / F.col("n"))
     m = F.when(F.col("n") == 1, 0.5).when(F.col("i") == F.col("n"), tail).when(F.col("i") == 1, 1 - tail).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    inverse = F.pandas_udf(_quantiles, "double", F.PandasUDFType.SCALAR_ITER)
-    return out.select(*keys, "i", F.col(value).alias("ordered"), inverse(m).alias("theoretical"))
+    return out.select(*keys, "i", F.col(value).alias("ordered"), normal_quantile(m).alias("theoretical"))
+
+
+def combined(first: Column | str, second: Column | str) -> Column:
+    """The aggregated simulation where there is one, else the daily one."""
+    return F.coalesce(first, second)
+
+
+def sensitivity_columns(table: DataFrame, percents: tuple[float, ...], keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """A row for each parameter with the sensitivities of all perturbations beside each other."""
+    wide = table.groupBy(*keys, "parameter").pivot("perturbation", [float(x) for x in percents]).agg(F.first("sensitivity"))
+    return wide.select(*keys, "parameter", *[F.col(f"`{float(x)}`").alias(f"sensitivity_{float(x):g}".replace(".", "_")) for x in percents])
+
+
+def spread_array(spread: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """(keys, parameter, spread) as one array of each key."""
+    each = F.sort_array(F.collect_list(F.struct("parameter", "spread")))
+    return spread.groupBy(*keys).agg(each.alias("x")).select(*keys, F.col("x.spread").alias("spread"))
+
+
+def gap_summary(forcing: DataFrame, version: int = 8, min_days: int = 30, qmedia: float | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """One row of each series: the flow mean and where it comes from, missing forcing, segments, valid days, observations."""
+    seg = prep.with_segments(forcing, version, min_days, 0, keys)
+    n, share = F.count(F.lit(1)), lambda c: (F.count(F.lit(1)) - F.count(c)) / F.count(F.lit(1))
+    mean = F.avg(F.when(F.col("q") > 0, F.col("q"))) if qmedia is None else F.lit(float(qmedia))
+    return seg.groupBy(*keys).agg(
+        F.lit("computed" if qmedia is None else "user").alias("qmedia_source"), mean.alias("qmedia"), n.alias("n_days"), (n - F.count("t_air")).alias("t_air_missing"), share("t_air").alias("t_air_share"),
+        (n - F.count("q")).alias("q_missing"), share("q").alias("q_share"), F.countDistinct("seg_id").alias("n_segments"), F.count("seg_id").alias("valid_days"), F.count("t_water").alias("n_obs"),
+    )
+
+
+def flow_warnings(forcing: DataFrame, qmedia: float | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Whether more than half of a series' flow is missing, and whether a given mean is over 30 % off the computed one."""
+    n, q = F.count(F.lit(1)), F.when(F.col("q") > 0, F.col("q"))
+    off = F.abs(F.lit(qmedia).cast("double") - F.avg(q)) / F.avg(q) > 0.3
+    return forcing.groupBy(*keys).agg((F.count(q) < 0.5 * n).alias("mostly_missing"), F.coalesce(off, F.lit(False)).alias("far_off"))
 
 
-def chain_names(columns: list[str]) -> list[int]:
-    """0-based parameter numbers of chain columns 'par_k'."""
-    return [int(c.split("_")[1]) - 1 for c in columns if c.startswith("par_")]
+def analysis_text(summary: dict, gaps: dict, segments: list[dict]) -> str:
+    """The text report of one series, from its rows of ``prep.analysis_summary``, ``prep.missing`` and ``segment_table``."""
+    lines = [f"days: {gaps['n']}", *(f"{c}: {gaps[f'{c}_missing']} missing ({gaps[f'{c}_percent']:.2f} %)" for c in ("t_air", "t_water", "q"))]
+    lines += [f"blocks: {summary['n_valid']} valid, {summary['n_short']} too short, {summary['n_gap']} gaps", f"valid days: {summary['valid_days']}, observed: {summary['valid_obs']}"]
+    lines += [f"observations per parameter, version {v}: {summary[f'obs_per_parameter_v{v}']:.1f}" for v in (3, 4, 5, 7, 8)]
+    return "\n".join([*lines, *(f"segment {s['seg_id']}: {s['start_d']} to {s['end_d']}, {s['n_days']} days, {s['n_obs']} observed" for s in segments)]) + "\n"
 
 
 def cv_summary(results: DataFrame, pooled: DataFrame, n_parameters: int = 8, keys: tuple[str, ...] = ("site",)) -> DataFrame:

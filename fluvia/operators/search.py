@@ -1,7 +1,7 @@
 """Optimizers and samplers in numpy over a batched objective, and their runs for many sites.
 
 Every method calls ``objective(vectors [n, dims]) -> scores [n]`` (larger is better, nan: invalid) with whole
-populations. ``calibrate`` runs a complete method inside one task for each site, or site and fold.
+populations. ``history`` has all evaluations of a search of each site, or site and fold; ``calibrate`` the best.
 """
 
 from __future__ import annotations
@@ -201,65 +201,135 @@ def stretch_sampler(log_p: Objective, start: np.ndarray, steps: int, seed: int =
 
 
 METHODS = {"LATHYP": lathyp, "PSO": pso, "DE": de_polished}
+METRICS = ("nse", "r2", "mae", "kge", "rms")
 
 
-def objective_of(rows: list, version: int, integrator: str, score: str, ice: float, tss: float) -> Objective:
-    """The score of vectors on the segments of one site, from the batch sums."""
+@dataclass
+class Series:
+    """The segments of one key behind each other, and what the metrics need: the evaluated days with an observation,
+    the period of each (or the day itself), the periods' observed means, and the moments of all observed periods."""
+
+    t_air: np.ndarray
+    theta: np.ndarray
+    tt: np.ndarray
+    begin: np.ndarray
+    start: np.ndarray
+    used: np.ndarray  # positions of days
+    period_begin: np.ndarray  # positions in used
+    obs: np.ndarray  # of each period that has a used day
+    n_dat: int
+    mean_obs: float
+    tss_obs: float
+
+    @staticmethod
+    def of(group: pd.DataFrame) -> Series:
+        rows = sorted(group.itertuples(index=False), key=lambda r: r.seg_id)
+        t_air, theta, tt, obs = (np.concatenate([np.asarray(getattr(r, c), float) for r in rows]) for c in ("t_air", "theta", "tt", "obs"))
+        size = [len(r.obs) for r in rows]
+        used = np.concatenate([np.asarray(r.in_eval, bool) for r in rows]) & ~np.isnan(obs)
+        if hasattr(rows[0], "period"):
+            period = np.concatenate([np.array([(x["p"].toordinal(), x["obs"]) if x is not None else (-1, np.nan) for x in r.period], float).reshape(-1, 2) for r in rows])
+            used = np.flatnonzero(used & (period[:, 0] >= 0))
+            begin = np.flatnonzero(np.diff(period[used, 0], prepend=-2))
+            obs = period[used, 1][begin]
+        else:
+            used = np.flatnonzero(used)
+            begin, obs = np.arange(len(used)), obs[used]
+        r = rows[0]
+        return Series(t_air, theta, tt, np.concatenate(([0], np.cumsum(size)[:-1])), np.array([r.tw0 for r in rows], float), used, begin, obs, int(r.n_dat), float(r.mean_obs or 0), float(r.tss_obs or 0))
+
+    def simulated(self, vectors: np.ndarray, version: int, integrator: str, ice: float) -> np.ndarray:
+        """[periods, vectors]"""
+        tw = kernels.simulate(version, integrator, vectors, self.t_air, self.theta, self.tt, self.start, ice, self.begin)[self.used]
+        if len(self.period_begin) == len(self.used):
+            return tw
+        with np.errstate(all="ignore"):
+            return np.add.reduceat(tw, self.period_begin, axis=0) / np.diff(np.append(self.period_begin, len(self.used)))[:, None]
 
-    def objective(vectors: np.ndarray) -> np.ndarray:
-        total = sum(sim.batch_sums(None, vectors, r, version, integrator, ice) for r in rows)
-        n, s, s2, e2, _, so, o, o2 = total.T
+    def metrics(self, vectors: np.ndarray, version: int, integrator: str, ice: float) -> np.ndarray:
+        """[vectors, 6]: NSE, R2, MAE, KGE, negative RMS error, SSE; nan for what isn't valid."""
+        n, o = len(self.obs), (self.obs - self.mean_obs)[:, None]
         with np.errstate(all="ignore"):
-            if score == "RMS":
-                return -np.sqrt(e2 / n)
-            if score == "KGE":
-                var_s, var_o = (s2 - s * s / n) / (n - 1), (o2 - o * o / n) / (n - 1)
-                cov = (so - s * o / n) / (n - 1)
-                return 1 - np.sqrt((np.sqrt(var_s / var_o) - 1) ** 2 + (s / o - 1) ** 2 + (cov / np.sqrt(var_s * var_o) - 1) ** 2)
-            if score == "SSE":
-                return -e2
-            return 1 - e2 / tss
-
-    return objective
-
-
-def _site(group: pd.DataFrame, method: str, low, high, version: int, integrator: str, score: str, ice: float, options: dict, keys: tuple[str, ...]) -> pd.DataFrame:
-    rows = list(group.itertuples(index=False))
-    obs = np.concatenate([np.asarray(r.obs, float) for r in rows])
-    obs = obs[~np.isnan(obs)]
-    tss = float(((obs - obs.mean()) ** 2).sum()) if len(obs) else 0.0
+            s = self.simulated(vectors, version, integrator, ice) - self.mean_obs
+            e, mean = s - o, s.mean(0)
+            sse, tss_s, cov = (e * e).sum(0), ((s - mean) ** 2).sum(0), ((s - mean) * o).sum(0)
+            nse = 1 - sse / self.tss_obs if self.tss_obs else np.where(sse == 0, 1.0, BAD)
+            r2 = np.where(tss_s * self.tss_obs > 0, cov * cov / (tss_s * self.tss_obs), -999.0)
+            std_s, std_o = np.sqrt(tss_s / (n - 1)), np.sqrt(self.tss_obs / (self.n_dat - 1))
+            kge = 1 - np.sqrt((std_s / std_o - 1) ** 2 + ((mean + self.mean_obs) / self.mean_obs - 1) ** 2 + (cov / (n - 1) / (std_s * std_o) - 1) ** 2)
+            kge = np.where((n > 1) & (std_s > 0) & (std_o > 0), kge, np.where(np.isfinite(sse), -999.0, np.nan))
+            out = np.column_stack([nse, r2, np.abs(e).mean(0), kge, -np.sqrt(sse / n), sse])
+        out[~np.isfinite(sse)] = np.nan
+        return out
+
+
+def _searched(group: pd.DataFrame, method: str, low, high, version: int, integrator: str, score: str, ice: float, options: dict, keys: tuple[str, ...]) -> pd.DataFrame:
+    """All evaluations of one key, in order."""
+    series = Series.of(group)
     low, high = (kernels.active_only(np.asarray(x, float)[None], version)[0] for x in (low, high))
-    objective = objective_of(rows, version, integrator, score, ice, tss)
-    first = {k: [group[k].iloc[0]] for k in keys}
-    if not len(obs):
-        return pd.DataFrame(first | {"p": [None], "score": [None], "n_evaluated": [0]})
-    found = METHODS[method](objective, low, high, **options)
-    return pd.DataFrame(first | {"p": [found.best.tolist()], "score": [found.score], "n_evaluated": [len(found.history)]})
+    column, vectors, found = METRICS.index(score.lower()), [], []
 
+    def objective(x: np.ndarray) -> np.ndarray:
+        found.append(series.metrics(x, version, integrator, ice))
+        vectors.append(np.array(x))
+        return found[-1][:, column]
 
-def calibrate(days: DataFrame, method: str, low, high, version: int = 8, integrator: str = "RK4", score: str = "NSE", ice: float = 0.0, keys: tuple[str, ...] = ("site",), **options) -> DataFrame:
-    """(keys, p, score, n_evaluated): a complete search for each key in a task of its own."""
+    if len(series.obs):
+        METHODS[method](objective, low, high, **options)
+    x, y = (np.vstack(v) if v else np.zeros((0, 8)) for v in (vectors, found))
+    once = {k: group[k].iloc[0] for k in keys}
+    return pd.DataFrame(once | {"eval": np.arange(len(x)), "p": list(x), "eff_index": y[:, column]} | {m: y[:, i] for i, m in enumerate(METRICS)}, index=range(len(x)))
+
+
+def history(days: DataFrame, method: str, low, high, version: int = 8, integrator: str = "RK4", score: str = "NSE", ice: float = 0.0, keys: tuple[str, ...] = ("site",), **options) -> DataFrame:
+    """(keys, eval, p, eff_index, nse, r2, mae, kge, rms) of every evaluation of a search; null where a vector isn't valid.
+
+    A swarm or an evolution runs whole in a task for each key, as each generation needs the one before it. A daily Latin
+    hypercube has no such order: its vectors are a table that is scored in batches, for all keys in one job."""
     if method not in METHODS:
         raise ValueError(f"method {method}: one of {sorted(METHODS)}")
+    if method == "LATHYP" and "period" not in days.columns:
+        lo, hi = (kernels.active_only(np.asarray(x, float)[None], version)[0] for x in (low, high))
+        x = latin_hypercube(lo, hi, options.get("n", 500), np.random.default_rng(options.get("seed", 0)))
+        design = days.sparkSession.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "param_id long, p array<double>")
+        scored = sim.score_many(days, design, version, integrator, ice, keys).join(design, "param_id")
+        return scored.select(*keys, F.col("param_id").alias("eval"), "p", F.col(score.lower()).alias("eff_index"), *METRICS)
     rows = sim.packed(days, keys)
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _site(group, method, low, high, version, integrator, score, ice, options, keys)
+        return _searched(group, method, low, high, version, integrator, score, ice, options, keys)
+
+    found = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, eval long, p array<double>, eff_index double, {', '.join(f'{m} double' for m in METRICS)}")
+    return found.select(*keys, "eval", "p", *[F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in ("eff_index", *METRICS)])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, p array<double>, score double, n_evaluated long")
+
+def best_of(found: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """(keys, p, score, n_evaluated): the best valid evaluation of each key; of equal ones, the first."""
+    valid = F.col("eff_index").isNotNull()
+    out = found.groupBy(*keys).agg(F.max_by(F.when(valid, F.col("p")), F.when(valid, F.struct("eff_index", -F.col("eval")))).alias("p"), F.max("eff_index").alias("score"), F.count(F.lit(1)).alias("n_evaluated"))
+    return out.filter("score IS NOT NULL")
+
+
+def calibrate(days: DataFrame, method: str, low, high, version: int = 8, integrator: str = "RK4", score: str = "NSE", ice: float = 0.0, keys: tuple[str, ...] = ("site",), **options) -> DataFrame:
+    """(keys, p, score, n_evaluated): the best vector of a complete search for each key."""
+    return best_of(history(days, method, low, high, version, integrator, score, ice, keys, **options), keys)
 
 
 def posterior(days: DataFrame, best: DataFrame, low, high, version: int = 8, integrator: str = "RK4", spread: float = 1e-4, walkers: int = 32, steps: int = 200, burn: float = 0.3, seed: int = 0, ice: float = 0.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """(keys, sample_id, p, acceptance, tau): the flattened chains around the best vectors (keys, p)."""
-    rows = sim.packed(days, keys).join(best.select(*keys, F.col("p").alias("best")), list(keys))
+    """(keys, sample_id, p, acceptance, tau, sse, n): the flattened chains around the best vectors (keys, p).
+
+    Walkers start around the best vector with the deviation ``spread`` times each parameter's range, or with those of
+    a column ``spread`` of best, an array like p. sse and n are the best vector's."""
+    more = ["spread"] if "spread" in best.columns else []
+    rows = sim.packed(days, keys).join(best.select(*keys, F.col("p").alias("best"), *more), list(keys))
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
     lo, hi = (kernels.active_only(np.asarray(x, float)[None], version)[0] for x in (low, high))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts, active = list(group.itertuples(index=False)), np.flatnonzero(hi > lo)
-        sse, start = objective_of(parts, version, integrator, "SSE", ice, 1.0), np.asarray(group["best"].iloc[0], float)
-        n = sum(int((np.asarray(r.in_eval, bool) & ~np.isnan(np.asarray(r.obs, float))).sum()) for r in parts)
+        series, active = Series.of(group), np.flatnonzero(hi > lo)
+        start, n = np.asarray(group["best"].iloc[0], float), len(series.obs)
+        sse = lambda x: series.metrics(x, version, integrator, ice)[:, -1]
 
         def log_p(x: np.ndarray) -> np.ndarray:
             full = np.repeat(start[None], len(x), 0)
@@ -268,16 +338,23 @@ def posterior(days: DataFrame, best: DataFrame, low, high, version: int = 8, int
             inside = ((x >= lo[active]) & (x <= hi[active])).all(1)
             if inside.any() and n:
                 with np.errstate(all="ignore"):
-                    out[inside] = -0.5 * n * np.log(-sse(full[inside]) / n)
+                    out[inside] = -0.5 * n * np.log(sse(full[inside]) / n)
             return np.where(np.isnan(out), -np.inf, out)
 
         rng = np.random.default_rng(seed)
-        width = spread * (hi - lo)[active]
+        width = np.asarray(group["spread"].iloc[0], float)[active] if more else spread * (hi - lo)[active]
         ball = np.clip(start[active] + width * rng.standard_normal((walkers, len(active))), lo[active], hi[active])
         chain = stretch_sampler(log_p, ball, steps, seed)
         flat = np.repeat(start[None], len(chain.flat(burn)), 0)
         flat[:, active] = chain.flat(burn)
-        tau = float(np.nanmax(chain.tau)) if np.isfinite(chain.tau).any() else None
-        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"sample_id": np.arange(len(flat)), "p": flat.tolist(), "acceptance": chain.acceptance, "tau": tau})
+        tau = float(np.nanmean(chain.tau)) if np.isfinite(chain.tau).any() else None
+        most = float(np.nanmax(chain.tau)) if tau is not None else None
+        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"sample_id": np.arange(len(flat)), "p": flat.tolist(), "acceptance": chain.acceptance, "tau": tau, "max_tau": most, "sse": float(sse(start[None])[0]), "n": n})
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, sample_id long, p array<double>, acceptance double, tau double, max_tau double, sse double, n long")
+
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, sample_id long, p array<double>, acceptance double, tau double")
+def chain_report(chain: DataFrame, steps: int, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Acceptance and autocorrelation time of each key's chain, and whether the chain is long enough: 50 times its time."""
+    out = chain.groupBy(*keys).agg(F.first("acceptance").alias("acceptance"), F.first("tau").alias("tau"), F.first("max_tau").alias("max_tau"), F.first("sse").alias("sse"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_samples"))
+    return out.withColumn("long_enough", F.coalesce(F.lit(steps) >= 50 * F.col("max_tau"), F.lit(False)))

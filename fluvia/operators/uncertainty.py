@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 from fluvia.functions import kernels
 from fluvia.functions.dates import water_year
 from fluvia.functions.stats import correlation
-from fluvia.operators import metrics, prep, search
+from fluvia.operators import metrics, prep, reports, search
 from fluvia.operators import simulate as sim
+from fluvia.sources.scratch import written
 
 MIN_PAIRS = 30
 
@@ -34,13 +34,20 @@ def resolved_rho(override: float | None, own: float | None, sidecar: float | Non
     return rho
 
 
-def iid_noise(df: DataFrame, sigma: float, seed: int, name: str = "noise") -> DataFrame:
-    return df.withColumn(name, F.randn(seed) * sigma)
+def normal_draws(seed: int, *columns: str) -> Column:
+    """Standard normal draws from hashes of a row's columns with the seed: the same however rows are dealt to tasks."""
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *columns), 11) + 0.5) * 2.0**-53
+    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * F.pi() * uniform(1))
 
 
-def ar1_noise(df: DataFrame, sigma: float, rho: float, seed: int | None = None, z: Column | None = None, keys: tuple[str, ...] = ("site", "seg_id"), order: str = "seg_day") -> DataFrame:
+def iid_noise(df: DataFrame, sigma: float, seed: int, name: str = "noise", by: tuple[str, ...] = ("site", "d")) -> DataFrame:
+    """df with independent noise; ``by`` are the columns that tell rows apart."""
+    return df.withColumn(name, normal_draws(seed, *by) * sigma)
+
+
+def ar1_noise(df: DataFrame, sigma: float, rho: float, seed: int = 0, z: Column | None = None, keys: tuple[str, ...] = ("site", "seg_id"), order: str = "seg_day") -> DataFrame:
     """(keys, order, noise): correlated noise of each segment from standard normal draws, or from a given column."""
-    draws = df.select(*keys, order, (z if z is not None else F.randn(seed)).alias("z"))
+    draws = df.select(*keys, order, (z if z is not None else normal_draws(seed, *keys, order)).alias("z"))
     kinds = ", ".join(f"{k} {dict(draws.dtypes)[k]}" for k in (*keys, order))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -51,52 +58,55 @@ def ar1_noise(df: DataFrame, sigma: float, rho: float, seed: int | None = None,
 
 
 def sampled(chain: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most n rows of a chain without replacement; the row's hash with the seed decides, so a rerun is the same."""
-    return chain.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(n)
+    """At most n rows of a chain without replacement; the hash of the row's id with the seed decides, so a rerun is the same."""
+    return chain.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string"))), "sample_id").limit(n)
 
 
 def prediction_intervals(days: DataFrame, chain: DataFrame, sigma: float = 0.0, rho: float = 0.0, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Percentiles over n posterior samples of the simulation plus residual noise."""
-    from fluvia.operators import reports
-
+    """Percentiles over n posterior samples (sample_id, p), the same for all keys, of the simulation plus residual noise."""
     some = sampled(chain, n, seed).select(F.col("sample_id").alias("param_id"), "p")
-    ensemble = sim.simulate_many(days, some, version, integrator, keys=keys)
-    if sigma and rho:
-        noise = ar1_noise(ensemble, sigma, rho, seed, keys=("param_id", *keys, "seg_id"))
-        ensemble = ensemble.join(noise, ["param_id", *keys, "seg_id", "seg_day"]).withColumn("tw", F.col("tw") + F.col("noise"))
-    elif sigma:
-        ensemble = iid_noise(ensemble, sigma, seed).withColumn("tw", F.col("tw") + F.col("noise"))
-    return reports.envelope(ensemble, interval, keys)
-
-
-def perturbed(p: list[float], low: list[float], high: list[float], percent: float, version: int) -> list[dict]:
-    """For each parameter its status, and for active ones the vectors below and above with the actual difference."""
-    out = []
-    for k in range(8):
-        base = max(abs(p[k]), 1e-4)
-        down, up = max(low[k], p[k] - base * percent / 100), min(high[k], p[k] + base * percent / 100)
-        status = "Inactive" if k not in kernels.ACTIVE[version] else "Fixed" if high[k] <= low[k] or up <= down else "Active"
-        vector = lambda x: [*p[:k], float(x), *p[k + 1 :]]
-        out.append({"parameter": k + 1, "status": status, "down": vector(down), "up": vector(up), "relative": (up - down) / base})
-    return out
+    noise = days.select(*keys).distinct().withColumns({"sigma": F.lit(float(sigma)), "rho": F.lit(float(rho))}) if sigma else None
+    return reports.envelope(sim.simulate_many(days, some, version, integrator, keys=keys, noise=noise, seed=seed), interval, keys)
+
+
+def site_intervals(days: DataFrame, chain: DataFrame, sigma: DataFrame, rho: DataFrame | None = None, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, ice: float = 0.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The same for chains of the keys' own (keys, sample_id, p), with sigma (keys, sigma) and rho (keys, rho): n samples
+    of each key, picked by hash."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id"))
+    some = chain.select(*keys, "sample_id", "p").withColumn("param_id", at.cast("long") - 1).filter(F.col("param_id") < n)
+    noise = sigma.join(rho, list(keys)) if rho is not None else sigma.withColumn("rho", F.lit(0.0))
+    return reports.envelope(sim.simulate_many(days, some, version, integrator, ice, keys, noise=noise, seed=seed), interval, keys)
 
 
 def sensitivity(days: DataFrame, p: list[float], low: list[float], high: list[float], percents: tuple[float, ...] = (1.0,), version: int = 8, integrator: str = "RK4", keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """(keys, perturbation, parameter, sensitivity, status): mean absolute change per relative change, one parameter at
-    a time, on evaluated days with an observation. All perturbed vectors run as one ensemble."""
-    spark = days.sparkSession
-    rows = [(pct, x) for pct in percents for x in perturbed([float(x) for x in p], low, high, pct, version)]
-    table = spark.createDataFrame([(i, float(pct), x["parameter"], x["status"], x["relative"]) for i, (pct, x) in enumerate(rows)], "run long, perturbation double, parameter int, status string, relative double")
-    vectors = [(2 * i + s, x[side]) for i, (_, x) in enumerate(rows) if x["status"] == "Active" for s, side in enumerate(("down", "up"))]
-    every = days.select(*keys).distinct().crossJoin(F.broadcast(table))
-    if not vectors:
-        return every.select(*keys, "perturbation", "parameter", F.lit(None).cast("double").alias("sensitivity"), "status")
-    ensemble = sim.simulate_many(days, spark.createDataFrame(vectors, "param_id long, p array<double>"), version, integrator, keys=keys)
+    """``sensitivity_of`` around one vector for all keys."""
+    best = days.select(*keys).distinct().withColumn("p", F.array(*[F.lit(float(x)) for x in p]))
+    return sensitivity_of(days, best, low, high, percents, version, integrator, keys=keys)
+
+
+def sensitivity_of(days: DataFrame, best: DataFrame, low: list[float], high: list[float], percents: tuple[float, ...] = (1.0,), version: int = 8, integrator: str = "RK4", ice: float = 0.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """(keys, perturbation, parameter, sensitivity, status): mean absolute change per relative change, one parameter of
+    the key's vector (keys, p) at a time, on evaluated days with an observation. All perturbed vectors run as one ensemble."""
+    lo, hi = (F.array(*[F.lit(float(x)) for x in v]) for v in (low, high))
+    k, pct = F.col("parameter") - 1, F.col("perturbation")
+    of = lambda a: F.element_at(a, F.col("parameter"))
+    runs = best.select(*keys, "p", F.explode(F.array(*[F.lit(float(x)) for x in percents])).alias("perturbation")).withColumn("parameter", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    base = F.greatest(F.abs(of("p")), F.lit(1e-4))
+    runs = runs.withColumns({"down": F.greatest(of(lo), of("p") - base * pct / 100), "up": F.least(of(hi), of("p") + base * pct / 100), "base": base})
+    on = F.array(*[F.lit(i in kernels.ACTIVE[version]) for i in range(8)])
+    status = F.when(~of(on), "Inactive").when((of(hi) <= of(lo)) | (F.col("up") <= F.col("down")), "Fixed").otherwise("Active")
+    runs = runs.withColumns({"status": status, "relative": (F.col("up") - F.col("down")) / F.col("base")})
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("perturbation", "parameter")).cast("long")
+    active = runs.filter("status = 'Active'").withColumn("run", number)
+    side = lambda c: F.transform("p", lambda x, i: F.when(i == k, F.col(c)).otherwise(x))
+    vectors = active.select(*keys, "run", F.posexplode(F.array(side("down"), side("up"))).alias("side", "p")).withColumn("param_id", 2 * F.col("run") + F.col("side"))
+    ensemble = sim.simulate_many(days, vectors.select(*keys, "param_id", "p"), version, integrator, ice, keys)
     used = days.filter("in_eval AND t_water IS NOT NULL").select(*keys, "seg_id", "seg_day")
     pairs = ensemble.join(used, [*keys, "seg_id", "seg_day"]).withColumn("run", F.floor(F.col("param_id") / 2))
     both = pairs.groupBy(*keys, "run", "seg_id", "seg_day").agg(F.max("tw").alias("a"), F.min("tw").alias("b")).filter("a < 50")
     index = both.groupBy(*keys, "run").agg(F.avg(F.col("a") - F.col("b")).alias("change"))
-    return every.join(index, [*keys, "run"], "left").select(*keys, "perturbation", "parameter", F.when(F.col("status") == "Active", F.col("change") / F.col("relative")).alias("sensitivity"), "status")
+    index = active.join(index, [*keys, "run"], "left").select(*keys, "perturbation", "parameter", (F.col("change") / F.col("relative")).alias("sensitivity"))
+    return runs.select(*keys, "perturbation", "parameter", "status").join(index, [*keys, "perturbation", "parameter"], "left").select(*keys, "perturbation", "parameter", "sensitivity", "status")
 
 
 def fold_forcing(forcing: DataFrame, folds: DataFrame, first_month: int = 1, gap_tolerant: bool = True) -> DataFrame:
@@ -105,26 +115,34 @@ def fold_forcing(forcing: DataFrame, folds: DataFrame, first_month: int = 1, gap
     The unmasked values stay as t_water_all, t_air_all and q_all."""
     years = forcing.withColumn("year", water_year(F.col("d"), first_month))
     ids = folds.select("site", "fold", "label").distinct()
-    every = years.join(F.broadcast(ids), "site")  # a row for each fold of a site
-    held = F.broadcast(folds.select("site", "fold", "year").withColumn("held", F.lit(True)))
+    every = years.join(ids, "site")  # a row for each fold of a site
+    held = folds.select("site", "fold", "year").withColumn("held", F.lit(True))
     out = every.join(held, ["site", "fold", "year"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     out = out.withColumns({"t_water_all": F.col("t_water"), "t_air_all": F.col("t_air"), "q_all": F.col("q")})
     masked = ("t_water", "t_air", "q") if gap_tolerant else ("t_water",)
     return out.withColumns({c: F.when(~F.col("held"), F.col(c)) for c in masked}).drop("year")
 
 
-def cross_validate(forcing: DataFrame, folds: DataFrame, low: list[float], high: list[float], method: str = "DE", version: int = 8, integrator: str = "RK4", first_month: int = 1, min_days: int = 30, fixed: list[float] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+def cross_validate(forcing: DataFrame, folds: DataFrame, low: list[float], high: list[float], method: str = "DE", version: int = 8, integrator: str = "RK4", first_month: int = 1, min_days: int = 30, fixed: list[float] | None = None, resolution: str = "1d", prc: float = 1.0, score: str = "NSE", warmup_days: int = 15, ice: float = 0.0, qmedia: float | None = None, gap_tolerant: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(site, fold, label, n_obs, nse, kge, rmse, p) of each fold, and the held-out days (site, fold, d, obs, sim).
 
     A fold's flow mean, climatology and moments come from its training days; then all forcing is there again and the
-    held-out days are scored. All folds of all sites are independent tasks."""
+    held-out days are scored. All folds of all sites are independent tasks. The folds' forcing and the best vectors are
+    written, so that no search runs twice."""
     keys = ("site", "fold")
-    masked = fold_forcing(forcing, folds, first_month)
+    masked = written(fold_forcing(forcing, folds, first_month, gap_tolerant).withColumn("q_train", F.when(~F.col("held"), F.col("q"))), "fold-forcing")
+    whole = None if gap_tolerant else sim.whole(masked, version, qmedia, keys, "q_train")
     if fixed is None:
-        best = search.calibrate(sim.prepared(masked, version, min_days, keys=keys), method, low, high, version, integrator, keys=keys, **options).select(*keys, "p")
+        days = sim.prepared(masked, version, min_days, warmup_days, qmedia, keys) if gap_tolerant else whole
+        days = metrics.with_periods(days, masked, resolution, prc, keys)
+        best = written(search.calibrate(days, method, low, high, version, integrator, score, ice, keys=keys, **options).select(*keys, "p"), "fold-best")
     else:
         best = masked.select(*keys).distinct().withColumn("p", F.array(*[F.lit(float(x)) for x in fixed]))
-    mean = prep.qmedia(masked, keys).select(*keys, "qmedia")
+    if not gap_tolerant:  # the model runs through the held-out days
+        tw = sim.simulate(sim.packed(whole, keys).join(best, list(keys)), None, version, integrator, ice, keys)
+        held = masked.filter("held").select(*keys, "label", "d", F.col("t_water_all").alias("obs")).join(tw.select(*keys, "d", F.col("tw").alias("sim")), [*keys, "d"]).filter("obs IS NOT NULL")
+        return metrics.fold_scores(held, ("site", "fold", "label")).join(best, list(keys)), held
+    mean = prep.qmedia(masked, keys).select(*keys, "qmedia") if qmedia is None else masked.select(*keys).distinct().withColumn("qmedia", F.lit(float(qmedia)))
     clim = prep.climatology(masked, keys)
     full = masked.select(*keys, "label", "d", "held", F.col("t_air_all").alias("t_air"), F.col("q_all").alias("q"), F.col("t_water").alias("t_water"), "t_water_all")
     seg = prep.with_segments(full, version, min_days, 0, keys).filter("seg_id IS NOT NULL")
@@ -132,7 +150,7 @@ def cross_validate(forcing: DataFrame, folds: DataFrame, low: list[float], high:
     theta = F.col("q") / F.col("qmedia") if version in kernels.NEEDS_FLOW else F.lit(1.0)
     days = seg.join(mean, list(keys)).join(starts, [*keys, "seg_id"]).withColumns({"theta": theta, "tt": sim.year_fraction(F.col("d"))})
     rows = sim.packed(days, keys).join(best, list(keys))
-    tw = sim.simulate(rows, None, version, integrator, keys=keys)
+    tw = sim.simulate(rows, None, version, integrator, ice, keys)
     held = days.filter("held").select(*keys, "label", "d", F.col("t_water_all").alias("obs")).join(tw.select(*keys, "d", F.col("tw").alias("sim")), [*keys, "d"]).filter("obs IS NOT NULL")
     scores = metrics.fold_scores(held, ("site", "fold", "label"))
     return scores.join(best, list(keys)), held
@@ -143,8 +161,3 @@ def walker_spread(best: DataFrame, n: int = 8) -> DataFrame:
     long = best.select("site", F.posexplode("p").alias("k", "v")).groupBy("site", "k").agg(F.stddev_samp("v").alias("s"))
     s = F.when(F.col("s") > 0, F.col("s")).otherwise(1e-4)
     return long.select("site", (F.col("k") + 1).alias("parameter"), s.alias("spread"))
-
-
-def recovered(n: int, rho: float, sigma: float, seed: int) -> np.ndarray:
-    """A test series of correlated noise."""
-    return kernels.ar1(np.random.default_rng(seed).standard_normal(n), sigma, rho)

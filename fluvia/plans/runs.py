@@ -1,13 +1,22 @@
-"""Whole runs: preparation, search, simulation, scores and reports of all sites of a forcing table."""
+"""Whole runs: preparation, search, simulation, scores, outputs and validation of all sites of a forcing table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluvia.functions.kernels import ACTIVE
 from fluvia.operators import metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
+from fluvia.sources import files
 from fluvia.sources.config import Config
+from fluvia.sources.scratch import written
+
+#: Two scores of one simulation are the same up to this.
+SAME_SCORE = 1e-4
 
 
 def options_of(c: Config) -> dict:
@@ -19,53 +28,211 @@ def options_of(c: Config) -> dict:
     return seed | {"members": c.search.n_particles, "generations": c.search.n_runs}
 
 
+def method_of(c: Config) -> str:
+    return c.mode if c.mode in search.METHODS else "DE"
+
+
 def days_of(forcing: DataFrame, c: Config) -> DataFrame:
+    """The days of the segments, or of the whole series, with what searches need at the configured resolution."""
     prep.require(forcing, c.gap_tolerant)
-    return sim.prepared(forcing, c.version, c.min_days, c.warmup_days, c.qmedia) if c.gap_tolerant else sim.whole(forcing, c.version, c.qmedia)
+    days = sim.prepared(forcing, c.version, c.min_days, c.warmup_days, c.qmedia) if c.gap_tolerant else sim.whole(forcing, c.version, c.qmedia)
+    return metrics.with_periods(days, forcing, c.resolution, c.prc)
 
 
-def best_of(forcing: DataFrame, c: Config) -> DataFrame:
-    """(site, p, score) by the run mode."""
+def history_of(forcing: DataFrame, c: Config) -> DataFrame:
+    """Every evaluation of the configured search."""
     low, high = c.bounds()
-    days = days_of(forcing, c)
-    if c.mode == "FORWARD":
-        if c.parameters is None:
-            raise ValueError("a forward run needs parameters")
-        return forcing.select("site").distinct().select("site", F.array(*[F.lit(x) for x in c.parameters]).alias("p"), F.lit(None).cast("double").alias("score"))
-    method = c.mode if c.mode in search.METHODS else "DE"
-    return search.calibrate(days, method, low, high, c.version, c.integrator, c.objective, c.ice, **options_of(c)).select("site", "p", "score")
+    return search.history(days_of(forcing, c), method_of(c), low, high, c.version, c.integrator, c.objective, c.ice, **options_of(c))
+
+
+def best_of(forcing: DataFrame, c: Config, history: DataFrame | None = None) -> DataFrame:
+    """(site, p, score) by the run mode. A forward run scores the sites that have observations."""
+    if c.mode != "FORWARD":
+        return search.best_of(history_of(forcing, c) if history is None else history).select("site", "p", "score")
+    if c.parameters is None:
+        raise ValueError("a forward run needs parameters")
+    on = ACTIVE[c.version]
+    given = F.array(*[F.lit(x if k in on else 0.0) for k, x in enumerate(c.parameters)])
+    fixed = forcing.select("site").distinct().select("site", given.alias("p"))
+    scored = scores(forcing, fixed, c).select("site", F.col(c.objective.lower()).alias("score"))
+    return fixed.join(scored, "site", "left")
 
 
 def simulated(forcing: DataFrame, best: DataFrame, c: Config) -> DataFrame:
-    """The output series of each site with its best parameters."""
+    """The output series of each site with its best parameters, evaluated days marked."""
     rows = sim.packed(days_of(forcing, c)).join(best.select("site", "p"), "site")
     tw = sim.simulate(rows, None, c.version, c.integrator, c.ice).filter("d IS NOT NULL")
-    return sim.series(forcing, tw)
+    after = c.warmup_days if c.gap_tolerant else 0
+    return sim.series(forcing, tw).withColumn("in_eval", F.coalesce(F.col("seg_day") > after, F.lit(False)))
 
 
-def scores(forcing: DataFrame, best: DataFrame, c: Config) -> DataFrame:
+def scores(forcing: DataFrame, best: DataFrame, c: Config, series: DataFrame | None = None) -> DataFrame:
     """The metrics of each site at the configured resolution."""
-    out = simulated(forcing, best, c).withColumn("in_eval", F.lit(True)) if not c.gap_tolerant else simulated(forcing, best, c).join(prep.with_segments(forcing, c.version, c.min_days, c.warmup_days).select("site", "d", "in_eval"), ["site", "d"], "left")
+    out = simulated(forcing, best, c) if series is None else series
     return metrics.scores(metrics.periods(out, c.resolution, c.prc, "t_water_sim"))
 
 
-def posterior(forcing: DataFrame, c: Config) -> DataFrame:
-    """DE-MCMC and DE-CV-MCMC: chains around the best vectors, spread by the folds' deviation in the latter."""
+def fold_table(forcing: DataFrame, c: Config) -> DataFrame:
+    f = c.folds
+    return prep.folds(forcing, c.fold_years, f.first_month, f.min_train_years + int(f.skip_first_year), f.min_valid_obs)
+
+
+def _validated(forcing: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+    folds = written(fold_table(forcing, c), "folds")
+    if not folds.limit(1).collect():
+        raise ValueError("no folds: check the first training years against the length of the record")
     low, high = c.bounds()
-    best = best_of(forcing, c)
-    spread = 1e-4
-    if c.mode == "DE-CV-MCMC":
-        f = prep.folds(forcing, c.folds.n_years, c.folds.first_month, int(c.folds.skip_first_year))
-        folds, _ = uncertainty.cross_validate(forcing, f, low, high, "DE", c.version, c.integrator, c.folds.first_month, c.min_days, **options_of(c.for_fold()))
-        width = {r.parameter - 1: r.spread for r in uncertainty.walker_spread(folds).groupBy("parameter").agg(F.avg("spread").alias("spread")).collect()}
-        spread = max(1e-4, min(v / (high[k] - low[k]) for k, v in width.items() if high[k] > low[k]))
-    return search.posterior(days_of(forcing, c), best, low, high, c.version, c.integrator, spread, c.search.walkers, c.search.steps, seed=c.seed or 0, ice=c.ice)
+    d = c.for_fold()
+    return uncertainty.cross_validate(forcing, folds, low, high, method_of(d), d.version, d.integrator, d.folds.first_month, d.min_days, resolution=d.resolution, prc=d.prc, score=d.objective, warmup_days=d.warmup_days, ice=d.ice, qmedia=d.qmedia, gap_tolerant=d.gap_tolerant, **options_of(d))
 
 
 def cross_validation(forcing: DataFrame, c: Config) -> DataFrame:
-    low, high = c.bounds()
-    f = prep.folds(forcing, c.folds.n_years, c.folds.first_month, int(c.folds.skip_first_year))
-    if not f.limit(1).collect():
-        raise ValueError("no folds")
-    results, held = uncertainty.cross_validate(forcing, f, low, high, c.mode if c.mode in search.METHODS else "DE", c.version, c.integrator, c.folds.first_month, c.min_days, **options_of(c.for_fold()))
+    results, held = _validated(forcing, c)
     return reports.cv_summary(results, metrics.fold_scores(held, ("site",)))
+
+
+def posterior(forcing: DataFrame, c: Config, best: DataFrame | None = None) -> DataFrame:
+    """DE-MCMC and DE-CV-MCMC: chains around the best vectors; in the latter each walker starts with the deviation of
+    each parameter over the site's own folds."""
+    low, high = c.bounds()
+    best = best_of(forcing, c) if best is None else best
+    if c.mode == "DE-CV-MCMC":
+        results, _ = _validated(forcing, replace(c, mode="DE"))
+        best = best.join(reports.spread_array(uncertainty.walker_spread(results)), "site", "left")
+        best = best.withColumn("spread", F.coalesce("spread", F.array(*[F.lit(1e-4)] * 8)))
+    return search.posterior(days_of(forcing, c), best, low, high, c.version, c.integrator, 1e-4, c.search.walkers, c.search.steps, seed=c.seed or 0, ice=c.ice)
+
+
+def residual_rho(series: DataFrame) -> DataFrame:
+    """(site, n_pairs, rho) of a simulated series' evaluated days; a whole series is one segment."""
+    e = series.filter("in_eval").withColumn("residual", F.col("t_water_sim") - F.col("t_water"))
+    return uncertainty.ar1_rho(e.withColumn("seg_id", F.coalesce("seg_id", F.lit(0))))
+
+
+def intervals(forcing: DataFrame, chain: DataFrame, c: Config, sigma: DataFrame, rho: DataFrame | None = None) -> DataFrame:
+    """(site, d, lower, p50, upper) of a chain (site, sample_id, p) with the noise of each site: sigma (site, sigma) and,
+    for correlated noise, rho (site, rho). All sites run as one ensemble."""
+    return uncertainty.site_intervals(days_of(forcing, c), chain, sigma, rho if c.noise == "ar1" else None, c.version, c.integrator, c.interval, c.n_samples, c.seed or 0, c.ice).filter("d IS NOT NULL")
+
+
+def sidecar(chain: DataFrame, series: DataFrame, c: Config) -> DataFrame:
+    """One row for each site: what a later forward run needs to know of a chain."""
+    report = search.chain_report(chain, c.search.steps)
+    pairs = residual_rho(series)
+    return report.join(pairs, "site").select(
+        "site", "rho", F.sqrt(F.col("sse") / F.col("n")).alias("sigma"), F.col("n").alias("n_valid_days"), "n_pairs", F.lit(c.noise).alias("noise_model_used_for_this_run"),
+        F.lit(c.search.walkers).alias("mcmc_walkers"), F.lit(c.search.steps).alias("mcmc_steps"), F.lit(c.seed).cast("int").alias("mcmc_seed"), F.col("acceptance").alias("mean_acceptance_fraction"), F.col("tau").alias("mean_autocorr_time"), "long_enough",
+    )
+
+
+def read_period(spark: SparkSession, path: str | None, required: bool) -> DataFrame | None:
+    """A period's forcing; a missing calibration file is an error, a missing validation file means no validation."""
+    if path is None or not files.exists(spark, path):
+        if required:
+            raise FileNotFoundError(f"no calibration data at {path}")
+        return None
+    return written(files.read_series(spark, path), "forcing")
+
+
+def _outputs(forcing: DataFrame, best: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+    """The written series of a period and its scores."""
+    series = written(simulated(forcing, best, c), "series")
+    if not series.filter("t_water_sim IS NOT NULL").limit(1).collect():
+        raise ValueError("no valid segment of the least length")
+    return series, scores(forcing, best, c, series)
+
+
+def run(spark: SparkSession, c: Config, calibration: DataFrame | None = None, validation: DataFrame | None = None) -> dict[str, str]:
+    """A configured run with its outputs: the folder of each, by name.
+
+    Cross-validation, where it is enabled for a search, writes its table and ends. Otherwise: parameters and bounds,
+    history, best vectors with the scores of both periods, both series, gaps, and, as the mode has them, chains with
+    sidecar and envelopes, reports, sensitivity. The score of the written series must be the one that the search found.
+    """
+    forcing = read_period(spark, c.calibration, True) if calibration is None else written(calibration, "forcing")
+    out = files.Outputs(c)
+    if c.folds.enabled and c.mode in search.METHODS:
+        out.csv("cv_results", cross_validation(forcing, c))
+        return out.places
+    out.text("parameters", files.parameters_text(c))
+    if c.mode == "FORWARD":
+        best = written(best_of(forcing, c), "best")
+    else:
+        history = written(history_of(forcing, c), "history")
+        out.csv("history", files.history_columns(history).filter(F.col("eff_index") >= c.min_score))
+        out.csv("acceptable", reports.acceptable(files.history_columns(history), c.objective))
+        out.csv("running_best", reports.running_best(history, "eval", ("site",)).drop("p"))
+        best = written(best_of(forcing, c, history), "best")
+    series, found = _outputs(forcing, best, c)
+    found = written(found.select("site", *metrics.SCORES), "scores")
+    if c.mode != "FORWARD":
+        other = best.join(found, "site").filter(F.abs(F.col("score") - F.col(c.objective.lower())) > SAME_SCORE)
+        if bad := other.limit(1).collect():
+            raise RuntimeError(f"the series doesn't have the score of the search: {bad[0]}")
+    out.csv("calibration", files.output_series(series, c.resolution, c.prc, c.gap_tolerant))
+    if c.gap_tolerant:
+        out.csv("gaps", reports.gap_summary(forcing, c.version, c.min_days, c.qmedia))
+        out.csv("segments", prep.segment_table(prep.with_segments(forcing, c.version, c.min_days)))
+    out.csv("goodness_of_fit", metrics.goodness_of_fit(series.select("site", F.col("t_water").alias("obs"), F.col("t_water_sim").alias("sim")), len(ACTIVE[c.version])))
+    if c.mode in ("DE-MCMC", "DE-CV-MCMC"):
+        _chains(forcing, best, series, c, out)
+    if c.mode == "FORWARD" and c.intervals:
+        _forward_intervals(spark, forcing, best, series, c, out)
+    best = best.join(found.select("site", F.col(c.objective.lower()).alias("calibration_score")), "site", "left")
+    later = read_period(spark, c.validation, False) if validation is None else written(validation, "validation")
+    later = None if later is None else prep.with_a_year(later)
+    if later is not None and later.limit(1).collect():
+        try:
+            v_series, v_found = _outputs(later, best, c)
+        except ValueError as e:
+            out.text("validation_skipped", f"{e}\n")
+        else:
+            out.csv("validation", files.output_series(v_series, c.resolution, c.prc, c.gap_tolerant))
+            best = best.join(v_found.select("site", F.col(c.objective.lower()).alias("validation_score")), "site", "left")
+    out.csv("best", files.best_columns(best))
+    if c.sensitivity:
+        _sensitivity(forcing, best, c, out)
+    return out.places
+
+
+def _chains(forcing: DataFrame, best: DataFrame, series: DataFrame, c: Config, out: files.Outputs) -> None:
+    chain = written(posterior(forcing, c, best), "chain")
+    side = written(sidecar(chain, series, c), "sidecar")
+    on = [k for k in ACTIVE[c.version] if c.bounds()[1][k] > c.bounds()[0][k]]
+    out.csv("chain", chain.select("site", "sample_id", *[F.col("p")[k].alias(f"par_{k + 1}") for k in on]))
+    out.json("chain_meta", side)
+    env = intervals(forcing, chain, c, side.select("site", "sigma"), side.select("site", F.coalesce(F.lit(c.rho), "rho").alias("rho")))
+    out.csv("envelopes", files.envelope_columns(reports.masked_envelope(env, series)))
+    out.csv("parameter_significance", reports.posterior_summary(chain, ("site",)))
+    out.csv("parameter_correlation", reports.parameter_correlation(chain, 8, ("site",)))
+
+
+def _forward_intervals(spark: SparkSession, forcing: DataFrame, best: DataFrame, series: DataFrame, c: Config, out: files.Outputs) -> None:
+    """The noise's correlation is the configured one, else the series' own, else the sidecar's, else 0."""
+    if c.chain is None or not files.exists(spark, c.chain):
+        out.text("intervals_skipped", f"no chain at {c.chain}\n")
+        return
+    samples = files.read_chain(spark, c.chain, list(c.parameters))
+    chain = best.select("site").crossJoin(F.broadcast(uncertainty.sampled(samples, c.n_samples, c.seed or 0)))  # n_samples rows at most
+    side = files.read_sidecar(spark, c.chain)
+    own = residual_rho(series).select("site", F.when(F.col("n_pairs") > 0, F.col("rho")).alias("own"))
+    rho = own.select("site", F.coalesce(F.lit(c.rho).cast("double"), "own", F.lit(side.get("rho")).cast("double"), F.lit(0.0)).alias("rho"))
+    env = intervals(forcing, chain, c, best.select("site", F.lit(float(c.sigma)).alias("sigma")), rho)
+    out.csv("forward_envelopes", files.envelope_columns(reports.masked_envelope(env, series)))
+
+
+def _sensitivity(forcing: DataFrame, best: DataFrame, c: Config, out: files.Outputs) -> None:
+    low, high = c.bounds()
+    table = uncertainty.sensitivity_of(days_of(forcing, c), best.select("site", "p"), low, high, tuple(c.perturbations), c.version, c.integrator, c.ice)
+    table = written(table, "sensitivity")
+    out.csv("sensitivity", table)
+    out.csv("sensitivity_by_perturbation", reports.sensitivity_columns(table, tuple(c.perturbations)))
+
+
+def main(config: str) -> None:
+    """A run by a YAML file."""
+    from fluvia.sources.config import read
+
+    spark = SparkSession.builder.appName("fluvia").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    for name, place in run(spark, read(config)).items():
+        print(f"{name}: {os.path.normpath(place)}")

@@ -26,7 +26,7 @@ class Search:
 @dataclass(frozen=True)
 class Folds:
     enabled: bool = False
-    unit: str = "water_year"
+    unit: str = "year"
     n_years: int = 1
     first_month: int = 1
     min_train_years: int = 1
@@ -61,6 +61,8 @@ class Config:
     low: tuple[float, ...] = (0.0,) * 8
     high: tuple[float, ...] = (0.0,) * 8
     parameters: tuple[float, ...] | None = None
+    intervals: bool = False
+    chain: str | None = None
     noise: str = "iid"
     rho: float | None = None
     interval: float = 90.0
@@ -72,7 +74,7 @@ class Config:
 
     def __post_init__(self):
         period_of(self.resolution)
-        for name, value, allowed in (("version", self.version, tuple(ACTIVE)), ("objective", self.objective, OBJECTIVES), ("integrator", self.integrator, INTEGRATORS), ("mode", self.mode, MODES), ("noise", self.noise, ("iid", "ar1")), ("unit", self.folds.unit, ("year", "water_year"))):
+        for name, value, allowed in (("version", self.version, tuple(ACTIVE)), ("objective", self.objective, OBJECTIVES), ("integrator", self.integrator, INTEGRATORS), ("mode", self.mode, MODES), ("noise", self.noise, ("iid", "ar1")), ("unit", self.folds.unit, ("year", "n_years"))):
             if value not in allowed:
                 raise ValueError(f"{name} {value!r}: one of {allowed}")
         if self.rho is not None and not -1 < self.rho < 1:
@@ -81,6 +83,8 @@ class Config:
             raise ValueError("the prediction interval lies between 0 and 100, both excluded")
         if self.qmedia is not None and self.qmedia <= 0:
             raise ValueError("qmedia is positive")
+        if not self.folds.skip_first_year and not self.folds.min_train_years:
+            raise ValueError("the first year has none before it to spin up from: skip it, or train on a first year at least")
         if len(self.low) != 8 or len(self.high) != 8:
             raise ValueError("8 lower and 8 upper bounds")
 
@@ -98,6 +102,11 @@ class Config:
         on = ACTIVE[self.version]
         return [x if k in on else 0.0 for k, x in enumerate(self.low)], [x if k in on else 0.0 for k, x in enumerate(self.high)]
 
+    @property
+    def fold_years(self) -> int:
+        """Years of a held-out block."""
+        return self.folds.n_years if self.folds.unit == "n_years" else 1
+
     def for_fold(self) -> Config:
         """The configuration of a fold's search."""
         return replace(self, search=replace(self.search, **self.folds.overrides))
@@ -110,7 +119,7 @@ def parsed(raw: dict) -> Config:
     top = pick(raw, {"project_name": "project", "station_name": "station", "water_station": "water_station", "series": "series", "time_resolution": "resolution", "version": "version", "Tice_cover": "ice", "objective_function": "objective", "integrator": "integrator", "run_mode": "mode", "prc": "prc", "mineff_index": "min_score", "gap_tolerant": "gap_tolerant", "Qmedia": "qmedia", "warmup_drop_days": "warmup_days", "min_segment_days": "min_days", "sensitivity_analysis": "sensitivity"})
     top |= pick(paths, {"input_data": "calibration", "validation_data": "validation", "output_dir": "output"})
     top |= pick(unc, {"noise_model": "noise", "ar1_rho": "rho", "prediction_interval": "interval"})
-    top |= pick(fwd, {"residual_sigma": "sigma", "n_samples": "n_samples", "random_seed": "seed"})
+    top |= pick(fwd, {"enable_prediction_intervals": "intervals", "mcmc_chain_path": "chain", "residual_sigma": "sigma", "n_samples": "n_samples", "random_seed": "seed"})
     if (x := raw.get("sensitivity_perturbations")) is not None:
         top["perturbations"] = tuple(x) if isinstance(x, (list, tuple)) else (x,)
     if bounds:

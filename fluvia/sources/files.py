@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.operators import prep
+from fluvia.operators import metrics, prep
+from fluvia.sources.config import Config
 
 
 def read_series(spark: SparkSession, path: str, site: str = "site", fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -41,12 +42,9 @@ def read_chain(spark: SparkSession, path: str, defaults: list[float]) -> DataFra
 def read_sidecar(spark: SparkSession, chain_path: str) -> dict:
     """The JSON beside a chain, or an empty map."""
     path = chain_path.removesuffix(".csv") + "_meta.json"
-    try:
-        row = spark.read.option("multiLine", True).json(path).first()
-    except Exception as e:  # the file needn't exist
-        if "PATH_NOT_FOUND" in str(e):
-            return {}
-        raise
+    if not exists(spark, path):
+        return {}
+    row = spark.read.option("multiLine", True).json(path).first()
     return row.asDict() if row else {}
 
 
@@ -56,21 +54,76 @@ def write_csv(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """JSON lines; numbers that JSON doesn't have are an error."""
+    numbers = [c for c, kind in df.dtypes if kind in ("double", "float")]
+    bad = [F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False)) for c in numbers]
+    checked = df.withColumns({c: F.when(x, F.raise_error(F.lit(f"{c} isn't a number that JSON has")).cast("double")).otherwise(F.col(c)) for c, x in zip(numbers, bad)}) if numbers else df
+    checked.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_history(history: DataFrame, path: str, least: float = 0.0, score: str = "eff_index") -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def history_columns(history: DataFrame) -> DataFrame:
+    """Evaluations with a column for each parameter, the score and the metrics."""
+    return history.select("site", "eval", *[F.col("p")[k].alias(f"par_{k + 1}") for k in range(8)], "eff_index", "nse", "r2", "mae")
+
+
+def write_history(history: DataFrame, path: str, least: float = 0.0) -> None:
     """Evaluations whose score is at least ``least``."""
-    write_csv(history.filter(F.col(score) >= least), path)
+    write_csv(history_columns(history).filter(F.col("eff_index") >= least), path)
+
 
+def best_columns(best: DataFrame) -> DataFrame:
+    """Best vectors and scores with six decimals."""
+    return best.select("site", *[F.round(F.col("p")[k], 6).alias(f"par_{k + 1}") for k in range(8)], *[F.round(c, 6).alias(c) for c in ("calibration_score", "validation_score") if c in best.columns])
 
-def output_series(series: DataFrame) -> DataFrame:
-    """The output columns of a simulated series, sentinels for nulls."""
+
+def envelope_columns(bounds: DataFrame) -> DataFrame:
+    return bounds.select("site", F.year("d").alias("Year"), F.month("d").alias("Month"), F.dayofmonth("d").alias("Day"), F.col("lower").alias("Twat_mod_lower"), F.col("p50").alias("Twat_mod_p50"), F.col("upper").alias("Twat_mod_upper"))
+
+
+def output_series(series: DataFrame, resolution: str = "1d", prc: float = 1.0, gap_tolerant: bool = True) -> DataFrame:
+    """The output columns of a simulated series, sentinels for nulls. A period's observed and simulated means stand at
+    its middle day."""
     number = lambda c: prep.with_sentinel(c)
-    return series.select("site", "year", "month", "day", number("t_air").alias("Tair"), number("t_water").alias("Twat_obs"), number("t_water_sim").alias("Twat_mod"), number("q").alias("Q"), F.col("t_air_gap").alias("Tair_gap"), F.col("q_gap").alias("Q_gap"), F.coalesce("seg_id", F.lit(-1)).alias("segment_id"))
+    periods = metrics.periods(series, resolution, prc, "t_water_sim").select("site", F.col("placed_d").alias("d"), "obs", F.col("sim").alias("sim_agg"))
+    gaps = [F.col("t_air_gap").alias("Tair_gap"), F.col("q_gap").alias("Q_gap"), F.coalesce("seg_id", F.lit(-1)).alias("segment_id")] if gap_tolerant else []
+    out = series.join(periods, ["site", "d"], "left")
+    return out.select("site", "year", "month", "day", number("t_air").alias("Tair"), number("t_water").alias("Twat_obs"), number("t_water_sim").alias("Twat_mod"), number("obs").alias("Twat_obs_agg"), number("sim_agg").alias("Twat_mod_agg"), number("q").alias("Q"), *gaps)
+
+
+def parameters_text(c: Config) -> str:
+    """The bounds that a run searches in."""
+    low, high = c.bounds()
+    return " ".join(f"{x:.6f}" for x in low) + "\n" + " ".join(f"{x:.6f}" for x in high) + "\n"
+
+
+#: Which part of a run's name each output has: all of mode, objective, station, series and resolution, or none.
+_NAMED = {"history": "0_{run}", "best": "1_{run}", "calibration": "2_{run_c}", "validation": "3_{run_v}", "chain": "MCMC_chain_{series}", "chain_meta": "MCMC_chain_{series}_meta", "envelopes": "MCMC_envelopes_{series}", "forward_envelopes": "Forward_Prediction_Envelopes_{series}"}
+
+
+class Outputs:
+    """Folders of a run's tables under its output folder; each is written whole, in parts, by Spark."""
+
+    def __init__(self, c: Config):
+        self.root, self.places = c.output_dir, {}
+        run = lambda tail="": f"{c.mode}_{c.objective}_{c.label}_{c.series}{tail}_{c.resolution}"
+        self.names = {"run": run(), "run_c": run("c"), "run_v": run("v"), "series": f"{c.label}_{c.series}_{c.resolution}"}
+
+    def _place(self, name: str, tail: str) -> str:
+        self.places[name] = f"{self.root}/{_NAMED.get(name, name).format(**self.names)}{tail}"
+        return self.places[name]
+
+    def csv(self, name: str, df: DataFrame) -> None:
+        write_csv(df, self._place(name, ".csv"))
 
+    def json(self, name: str, df: DataFrame) -> None:
+        write_json(df, self._place(name, ".json"))
 
-def gaps_text(summary: dict, segments: list[dict]) -> str:
-    """The text report of one site, from its summary row and its segments."""
-    lines = [f"{k}: {v}" for k, v in summary.items()]
-    return "\n".join([*lines, *(f"segment {s['seg_id']}: {s['start_d']} .. {s['end_d']} ({s['n_days']} days, {s['n_obs']} observed)" for s in segments)]) + "\n"
+    def text(self, name: str, text: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(self._place(name, ".txt"))

@@ -7,15 +7,18 @@ items, on a dense calendar with the natural gaps. Doubles are rounded to six pla
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.functions import kernels
+from fluvia.functions import kernels, stats
 from fluvia.functions.dates import doy0, water_year, year_fraction
 from fluvia.operators import metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
 from fluvia.sources import files
+from fluvia.sources.scratch import written
 
 MIN_DAYS, WARMUP_DAYS = 10, 2
 P = (0.6, 0.3, 0.45, 0.2, 0.4, 1.5, 0.6, 0.1)
@@ -47,6 +50,12 @@ def forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.ordered_columns(prep.complete_calendar(merged(spark, sf_dir)), ("site", "d", "t_air", "t_water", "q"))
 
 
+def settled(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
+    """The forcing as a written table, for queries that read it more than once; ``since`` a day."""
+    m = merged(spark, sf_dir)
+    return written(prep.ordered_columns(prep.complete_calendar(m if since is None else m.filter(F.col("d") >= since)), ("site", "d", "t_air", "t_water", "q")), "forcing")
+
+
 FORCING = """
 air AS (SELECT 'S' || (o_custkey % 2) AS site, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice / 19997) AS t_air FROM orders GROUP BY 1, 2),
 wat AS (SELECT 'S' || (l_orderkey % 2) AS site, CAST(l_shipdate AS DATE) AS d, avg(l_discount) * 200 AS t, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
@@ -110,8 +119,8 @@ def _rate(version: int, ta: str, th: str, t: str, tw: str) -> str:
     return f"({out}) / pow({th}, p4)" if version in (4, 8) else f"({out})"
 
 
-def _simulation(version: int, integrator: str) -> str:
-    """CTEs up to sim(pid, site, seg_id, i, tw)."""
+def _simulation(version: int, integrator: str, source: str | None = None) -> str:
+    """CTEs up to sim(pid, site, seg_id, i, tw); ``source`` has those of fx0 and st, if they aren't the segments'."""
     theta = "q / qmedia" if version in kernels.NEEDS_FLOW else "1.0::DOUBLE"
     base = "SELECT s.*, f.* EXCLUDE (site, seg_id, i), par.* EXCLUDE (pid) FROM sim s JOIN fx f ON f.site = s.site AND f.seg_id = s.seg_id AND f.i = s.i JOIN par ON par.pid = s.pid WHERE f.ta2 IS NOT NULL"
     r = lambda ta, th, t, tw: _rate(version, ta, th, t, tw)
@@ -136,8 +145,9 @@ def _simulation(version: int, integrator: str) -> str:
         else:
             d1, d2 = "pow(th, p4)", "pow(th2, p4)"
             step = f"(tw + 0.5 / {d1} * (p1 + p2 * ta - p3 * tw + th * (p5 + {s1} - p8 * tw)) + 0.5 / {d2} * (p1 + p2 * ta2 + th2 * (p5 + {s2}))) / (1 + 0.5 * p8 * th2 / {d2} + 0.5 * p3 / {d2})"
-    return f"""{_segments(version)},{CLIMATOLOGY},{QMEDIA},{STARTS},
-fx0 AS (SELECT days.site, seg_id, seg_day AS i, d, t_air AS ta, {theta} AS th, {TT.format('d')} AS tt FROM days JOIN qm ON qm.site = days.site WHERE seg_id IS NOT NULL),
+    source = f"""{_segments(version)},{CLIMATOLOGY},{QMEDIA},{STARTS},
+fx0 AS (SELECT days.site, seg_id, seg_day AS i, d, t_air AS ta, {theta} AS th, {TT.format('d')} AS tt FROM days JOIN qm ON qm.site = days.site WHERE seg_id IS NOT NULL)""" if source is None else source
+    return f"""{source},
 fx AS (SELECT *, lead(ta) OVER w AS ta2, lead(th) OVER w AS th2, lead(tt) OVER w AS tt2 FROM fx0 WINDOW w AS (PARTITION BY site, seg_id ORDER BY i)),
 sim(pid, site, seg_id, i, tw) AS (SELECT pid, site, seg_id, 1::BIGINT, tw0 FROM st CROSS JOIN par UNION ALL SELECT pid, site, seg_id, i + 1, greatest(0.0, {step}) FROM ({inner}))"""
 
@@ -147,19 +157,19 @@ SIMULATED = SIM8 + ",\nser AS (SELECT f.site, f.d, f.t_air, f.t_water, f.q, d.se
 
 
 def days(spark: SparkSession, sf_dir: str, version: int = 8) -> DataFrame:
-    return sim.prepared(forcing(spark, sf_dir), version, MIN_DAYS, WARMUP_DAYS)
+    return sim.prepared(settled(spark, sf_dir), version, MIN_DAYS, WARMUP_DAYS)
 
 
-def simulated(spark: SparkSession, sf_dir: str, min_days: int = MIN_DAYS, warmup_days: int = WARMUP_DAYS) -> DataFrame:
-    """The forcing with segments and the RK4 v8 simulation of the fixed parameters."""
-    f = forcing(spark, sf_dir)
-    seg = prep.with_segments(f, 8, min_days, warmup_days)
-    tw = sim.simulate(sim.prepared(f, 8, min_days, warmup_days), list(P)).select("site", "d", "tw")
-    return seg.join(tw, ["site", "d"], "left")
+def simulated(spark: SparkSession, sf_dir: str, min_days: int = MIN_DAYS, warmup_days: int = WARMUP_DAYS, f: DataFrame | None = None) -> DataFrame:
+    """The forcing with segments and the RK4 v8 simulation of the fixed parameters, written."""
+    f = settled(spark, sf_dir) if f is None else f
+    tw = sim.simulate(sim.prepared(f, 8, min_days, warmup_days), list(P))
+    out = f.join(tw, ["site", "d"], "left").withColumn("in_eval", F.coalesce(F.col("seg_day") > warmup_days, F.lit(False)))
+    return written(out, "simulated")
 
 
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulated(spark, sf_dir).withColumn("residual", F.col("tw") - F.col("t_water"))
+    return reports.residuals(simulated(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str, min_days: int = MIN_DAYS, warmup_days: int = WARMUP_DAYS) -> DataFrame:
@@ -171,7 +181,7 @@ _FOUND: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(name: str, columns: str, run: Callable[[SparkSession, str], DataFrame], body: str | None, ctes: str = "", base: bool = True) -> None:
+def _query(name: str, columns: str, run: Callable[[SparkSession, str], DataFrame], body: str | None, ctes: str = "", base: bool = True, since: str | None = None) -> None:
     """columns: name:kind, with kinds d (double), i (integer), s (as it is)."""
     spec = [c.split(":") for c in columns.split()]
 
@@ -182,7 +192,8 @@ def _query(name: str, columns: str, run: Callable[[SparkSession, str], DataFrame
     _FOUND[name] = query
     if body is not None:
         chosen = ", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS {c}" if k == "d" else f"CAST({c} AS BIGINT) AS {c}" if k == "i" else c for c, k in spec)
-        parts = ",".join(x for x in (FORCING if base else "", ctes) if x)
+        source = FORCING if since is None else FORCING.replace("AND a.d = w.d)", f"AND a.d = w.d WHERE coalesce(a.d, w.d) >= DATE '{since}')")
+        parts = ",".join(x for x in (source if base else "", ctes) if x)
         _SQL[name] = (f"WITH RECURSIVE {parts}\n" if parts else "") + f"SELECT {chosen} FROM ({body})"
 
 
@@ -191,9 +202,9 @@ _query("src2_resample_daily", "site:s d:s t_air:d", air, "SELECT * FROM air")
 _query("joi1_full_outer_merge", "site:s d:s t_air:d t_water:d q:d", merged, "SELECT * FROM merged")
 _query("joi2_dense_calendar", "site:s d:s t_air:d t_water:d q:d", forcing, "SELECT * FROM forcing")
 _query(
-    "joi1_long_pivot_merge", "d:s click:d purchase:d view:d",
-    lambda s, p: prep.merge_long(s.read.parquet(f"{p}/events.parquet").select(F.to_date("ts").alias("d"), F.col("event_type").alias("name"), "value"), ["click", "purchase", "view"]),
-    "SELECT CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type = 'click') AS click, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase, avg(value) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1", base=False,
+    "joi1_long_pivot_merge", "d:s click:d error:d purchase:d signup:d view:d",
+    lambda s, p: prep.merge_long(s.read.parquet(f"{p}/events.parquet").select(F.to_date("ts").alias("d"), F.col("event_type").alias("name"), "value"), ["click", "error", "purchase", "signup", "view"]),
+    "SELECT CAST(ts AS DATE) AS d, " + ", ".join(f"avg(value) FILTER (WHERE event_type = '{e}') AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1", base=False,
 )
 _query(
     "agg1_event_daily_mean", "event_type:s d:s value:d",
@@ -209,19 +220,20 @@ _query("prj8_analysis_validity", "site:s d:s ok:s", lambda s, p: forcing(s, p).w
 _query("prj9_drop_warmup", "site:s d:s idx:i", lambda s, p: prep.with_warmup(forcing(s, p)).filter("NOT is_warmup"), "SELECT site, d, row_number() OVER (PARTITION BY site ORDER BY d) + 364 AS idx FROM forcing")
 _query("prj10_observed_span", "site:s d:s t_water:d", lambda s, p: reports.observed_span(forcing(s, p)), "SELECT site, d, t_water FROM forcing QUALIFY d BETWEEN min(CASE WHEN t_water IS NOT NULL THEN d END) OVER (PARTITION BY site) AND max(CASE WHEN t_water IS NOT NULL THEN d END) OVER (PARTITION BY site)")
 _query("prj12_residual", "site:s d:s residual:d", residuals, "SELECT site, d, tw - t_water AS residual FROM ser", SIMULATED)
-_query("prj15_unit_conversion", "site:s d:s c:d", lambda s, p: forcing(s, p).withColumn("c", F.when(F.col("t_air") + 273.15 - 273.15 >= 0.1, F.col("t_air") + 273.15 - 273.15)), "SELECT site, d, CASE WHEN t_air + 273.15 - 273.15 >= 0.1 THEN t_air + 273.15 - 273.15 END AS c FROM forcing")
-_query("prj17_gap_injection", "site:s d:s t_air:d", lambda s, p: prep.with_warmup(forcing(s, p)).filter("NOT is_warmup").withColumn("t_air", F.when((F.col("idx") - 365) % 100 >= 3, F.col("t_air"))), "SELECT site, d, CASE WHEN (row_number() OVER (PARTITION BY site ORDER BY d) - 1) % 100 >= 3 THEN t_air END AS t_air FROM forcing")
+_query("prj15_unit_conversion", "site:s d:s c:d", lambda s, p: forcing(s, p).withColumn("c", prep.celsius(F.col("t_air") * 30 + 173.0, 0.1)), "SELECT site, d, CASE WHEN t_air * 30 + 173.0 - 273.15 >= 0.1 THEN t_air * 30 + 173.0 - 273.15 END AS c FROM forcing")
+for _g, (_k, _len) in prep.GAPS.items():
+    _query(f"prj17_gaps_{_g}", "site:s d:s t_air:d", lambda s, p, g=_g: prep.with_gaps(forcing(s, p), "t_air", g), f"SELECT site, d, CASE WHEN NOT (n // every BETWEEN 1 AND {_k} AND n % every < {_len}) THEN t_air END AS t_air FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n, count(*) OVER (PARTITION BY site) // {_k + 1} AS every FROM forcing)")
 _query("joi3_segment_tagging", "site:s d:s seg_id:i seg_day:i", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day FROM days", _segments())
-_query("joi6_start_values", "site:s seg_id:i tw0:d", lambda s, p: prep.start_values(prep.with_segments(forcing(s, p), 8, MIN_DAYS), prep.climatology(forcing(s, p))), "SELECT * FROM st", f"{_segments()},{CLIMATOLOGY},{STARTS}")
+_query("joi6_start_values", "site:s seg_id:i tw0:d", lambda s, p: prep.start_values(prep.with_segments(f := settled(s, p), 8, MIN_DAYS), prep.climatology(f)), "SELECT * FROM st", f"{_segments()},{CLIMATOLOGY},{STARTS}")
 _FOLDS = """
 yrs AS (SELECT DISTINCT site, year(d) AS year FROM forcing),
 rk AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY year) - 1 AS r FROM yrs),
 fo AS (SELECT *, CAST(floor((r - 1) / 2) AS INT) AS fold FROM rk WHERE r >= 1),
 fold AS (SELECT *, min(year) OVER w || '-' || max(year) OVER w AS label FROM fo WINDOW w AS (PARTITION BY site, fold) QUALIFY count(*) OVER w = 2)"""
-_query("joi4_held_out_days", "site:s d:s", lambda s, p: forcing(s, p).withColumn("year", F.year("d")).join(prep.folds(forcing(s, p), 2).filter("fold = 0"), ["site", "year"], "left_semi"), "SELECT site, d FROM forcing f WHERE EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
-_query("joi5_training_days", "site:s d:s", lambda s, p: forcing(s, p).withColumn("year", F.year("d")).join(prep.folds(forcing(s, p), 2).filter("fold = 0"), ["site", "year"], "left_anti"), "SELECT site, d FROM forcing f WHERE NOT EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
+_query("joi4_held_out_days", "site:s d:s", lambda s, p: prep.held_out(f := settled(s, p), prep.folds(f, 2), 0), "SELECT site, d FROM forcing f WHERE EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
+_query("joi5_training_days", "site:s d:s", lambda s, p: prep.training(f := settled(s, p), prep.folds(f, 2), 0), "SELECT site, d FROM forcing f WHERE NOT EXISTS (SELECT 1 FROM fold WHERE fold.site = f.site AND fold.year = year(f.d) AND fold = 0)", _FOLDS)
 _query("set1_warmup_year", "site:s idx:i d:s t_air:d tt:d is_warmup:s", lambda s, p: prep.with_warmup(forcing(s, p)), f"SELECT site, n + 365 AS idx, d, t_air, {TT.format('d')} AS tt, false AS is_warmup FROM x UNION ALL SELECT site, n, NULL, t_air, (n + 1) / 365.0::DOUBLE, true FROM x WHERE n < 365", "\nx AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n FROM forcing)")
-_query("smp1_k_rows", "site:s n:i", lambda s, p: forcing(s, p).orderBy(F.xxhash64("site", "d")).limit(100).groupBy("site").agg(F.count(F.lit(1)).alias("n")), None)
+_query("smp1_k_rows", "sample_id:i v:d", lambda s, p: uncertainty.sampled(s.read.parquet(f"{p}/orders.parquet").select(F.col("o_orderkey").alias("sample_id"), F.col("o_totalprice").alias("v")), 100, 7), "SELECT o_orderkey AS sample_id, o_totalprice AS v FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100", base=False)
 
 # constraints and counts
 _query("val2_val6_checks", "site:s starts_jan_1:s is_daily:s is_complete:s has_a_year:s", lambda s, p: prep.checks(forcing(s, p)), "SELECT site, month(min(d)) = 1 AND day(min(d)) = 1 AS starts_jan_1, count(*) = count(DISTINCT d) AND count(*) = date_diff('day', min(d), max(d)) + 1 AS is_daily, count(*) FILTER (WHERE t_air IS NULL OR q IS NULL) = 0 AS is_complete, count(*) >= 365 AS has_a_year FROM forcing GROUP BY site")
@@ -233,22 +245,18 @@ _query("agg5_qmedia", "site:s qmedia:d n_q:i", lambda s, p: prep.qmedia(forcing(
 _query("agg6_win8_climatology", "site:s doy0:i t:d", lambda s, p: prep.climatology(forcing(s, p)), "SELECT * FROM clim", CLIMATOLOGY)
 _query("win1_segments", "site:s seg_id:i start_d:s end_d:s n_days:i n_obs:i", lambda s, p: prep.segment_table(prep.with_segments(forcing(s, p), 8, MIN_DAYS)), "SELECT * FROM seg", _segments())
 _query("win3_eval_mask", "site:s d:s in_eval:s", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, in_eval FROM days", _segments())
-_query("win4_midpoints", "site:s d:s mid:d", lambda s, p: forcing(s, p).withColumn("mid", (F.col("t_air") + F.lead("t_air").over(Window.partitionBy("site").orderBy("d"))) / 2), "SELECT site, d, (t_air + lead(t_air) OVER (PARTITION BY site ORDER BY d)) / 2 AS mid FROM forcing")
-_query("win7_rolling_mean", "site:s d:s m:d", lambda s, p: forcing(s, p).withColumn("m", reports.rolling_mean(forcing(s, p), "t_air")), "SELECT site, d, avg(t_air) OVER (PARTITION BY site ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM forcing")
+_query("win4_midpoints", "site:s d:s mid:d", lambda s, p: forcing(s, p).withColumn("mid", prep.midpoints("t_air")), "SELECT site, d, (t_air + lead(t_air) OVER (PARTITION BY site ORDER BY d)) / 2 AS mid FROM forcing")
+_query("win7_rolling_mean", "site:s d:s m:d", lambda s, p: forcing(s, p).withColumn("m", reports.rolling_mean("t_air")), "SELECT site, d, avg(t_air) OVER (PARTITION BY site ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM forcing")
 _query("win10_folds", "site:s year:i fold:i label:s", lambda s, p: prep.folds(forcing(s, p), 2), "SELECT * FROM fold", _FOLDS)
 _query("dt5_dt6_dt7_dates", "site:s d:s tt:d doy0:i wy:i", lambda s, p: forcing(s, p).select("site", "d", year_fraction(F.col("d")).alias("tt"), doy0(F.col("d")).alias("doy0"), water_year(F.col("d"), 10).alias("wy")), f"SELECT site, d, {TT.format('d')} AS tt, dayofyear(d) - 1 AS doy0, year(d) + (month(d) >= 10)::INT AS wy FROM forcing")
-_query("agg32_years", "site:s year:i", lambda s, p: forcing(s, p).select("site", F.year("d").alias("year")).distinct(), "SELECT DISTINCT site, year(d) AS year FROM forcing")
+_query("agg32_years", "site:s year:i", lambda s, p: prep.years(forcing(s, p)), "SELECT DISTINCT site, year(d) AS year FROM forcing")
 
 # right-hand sides, integrators
 for _v in (3, 4, 5, 7, 8):
     def _ode(s, p, v=_v):
-        q = [x if k in kernels.ACTIVE[v] else 0.0 for k, x in enumerate(P)]
-        th, t, tw = F.col("q") / F.col("qmedia"), year_fraction(F.col("d")), F.coalesce("t_water", F.lit(4.0))
-        wave = q[5] * F.cos(2 * F.pi() * (t - q[6]))
-        r = q[0] + q[1] * F.col("t_air") - q[2] * tw
-        r = r + wave if v == 5 else r + th * (q[4] + wave - q[7] * tw) if v in (7, 8) else r
-        r = r / F.pow(th, F.lit(q[3])) if v in (4, 8) else r
-        return forcing(s, p).join(prep.qmedia(forcing(s, p)), "site").withColumn("rate", r)
+        f = sim.with_moments(forcing(s, p), F.col("t_water"), F.col("q"))
+        theta = F.col("q") / F.col("qmedia") if v in kernels.NEEDS_FLOW else F.lit(1.0)
+        return sim.rates(f.withColumns({"theta": theta, "tt": year_fraction(F.col("d")), "tw": F.coalesce("t_water", F.lit(4.0))}), list(P), v)
 
     _query(f"ode{_v}_rate", "site:s d:s rate:d", _ode, f"SELECT f.site, d, {_rate(_v, 't_air', '(q / qmedia)', '(' + TT.format('d') + ')', 'coalesce(t_water, 4.0)')} AS rate FROM forcing f JOIN qm ON qm.site = f.site CROSS JOIN par", f"{QMEDIA},{_fixed(P, _v)}")
     for _i in kernels.INTEGRATORS:
@@ -286,56 +294,144 @@ for _r, _prc in (("1w", 0.5), ("2w", 0.6), ("1m", 0.7), ("3m", 0.5)):
 _query("agg16_fold_scores", "site:s year:i n_obs:i nse:d kge:d rmse:d", lambda s, p: metrics.fold_scores(simulated(s, p).select("site", F.year("d").alias("year"), F.col("t_water").alias("obs"), F.col("tw").alias("sim")), ("site", "year")), "SELECT site, year(d) AS year, count(*) AS n_obs, 1 - sum((tw - t_water) * (tw - t_water)) / (var_pop(t_water) * count(*)) AS nse, 1 - sqrt(pow(corr(tw, t_water) - 1, 2) + pow(stddev_pop(tw) / stddev_pop(t_water) - 1, 2) + pow(avg(tw) / avg(t_water) - 1, 2)) AS kge, sqrt(avg((tw - t_water) * (tw - t_water))) AS rmse FROM ser WHERE tw IS NOT NULL AND t_water IS NOT NULL GROUP BY 1, 2", SIMULATED)
 _query("agg18_goodness_of_fit", "site:s n:i rmse:d mae:d r2:d aic:d bic:d", lambda s, p: metrics.goodness_of_fit(simulated(s, p).select("site", F.col("t_water").alias("obs"), F.col("tw").alias("sim")), 8), "SELECT site, n, sqrt(sse / n) AS rmse, mae, 1 - sse / tss AS r2, n * ln(sse / n) + 16 AS aic, n * ln(sse / n) + 8 * ln(n) AS bic FROM (SELECT site, count(*) AS n, sum((tw - t_water) * (tw - t_water)) AS sse, avg(abs(tw - t_water)) AS mae, var_pop(t_water) * count(*) AS tss FROM ser WHERE tw IS NOT NULL AND t_water IS NOT NULL GROUP BY site)", SIMULATED)
 _query("agg22_ar1_rho", "site:s n_pairs:i rho:d", lambda s, p: uncertainty.ar1_rho(residuals(s, p).filter("in_eval")), "SELECT site, count(b) AS n_pairs, CASE WHEN count(b) >= 30 THEN greatest(0, least(0.99, corr(b, r))) ELSE 0 END AS rho FROM (SELECT site, tw - t_water AS r, CASE WHEN tw - t_water IS NOT NULL AND d - lag(d) OVER w = 1 THEN lag(tw - t_water) OVER w END AS b FROM ser WHERE in_eval WINDOW w AS (PARTITION BY site, seg_id ORDER BY d)) GROUP BY site", SIMULATED)
-_query("agg23_24_likelihood_sigma", "site:s n:i log_p:d sigma:d", lambda s, p: residuals(s, p).filter("in_eval AND residual IS NOT NULL").groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("sse")).select("site", "n", metrics.log_likelihood(F.col("sse"), F.col("n")).alias("log_p"), F.sqrt(F.col("sse") / F.col("n")).alias("sigma")), "SELECT site, count(*) AS n, -0.5 * count(*) * ln(sum(r * r) / count(*)) AS log_p, sqrt(sum(r * r) / count(*)) AS sigma FROM (SELECT site, tw - t_water AS r FROM ser WHERE in_eval) WHERE r IS NOT NULL GROUP BY site", SIMULATED)
+_query("agg23_24_likelihood_sigma", "site:s n:i log_p:d sigma:d", lambda s, p: reports.residual_sigma(residuals(s, p).filter("in_eval")).withColumn("log_p", metrics.log_likelihood(F.col("sse"), F.col("n"))), "SELECT site, count(*) AS n, -0.5 * count(*) * ln(sum(r * r) / count(*)) AS log_p, sqrt(sum(r * r) / count(*)) AS sigma FROM (SELECT site, tw - t_water AS r FROM ser WHERE in_eval) WHERE r IS NOT NULL GROUP BY site", SIMULATED)
 _query("agg27_histogram", "site:s bin:i n:i", lambda s, p: reports.histogram(forcing(s, p), "q"), "SELECT site, CASE WHEN b > a THEN least(floor((q - a) / ((b - a) / 30)), 29) ELSE 0 END AS bin, count(*) AS n FROM (SELECT f.site, q, min(q) OVER (PARTITION BY f.site) AS a, max(q) OVER (PARTITION BY f.site) AS b FROM forcing f) WHERE q IS NOT NULL GROUP BY 1, 2")
-_query("agg28_normal_quantiles", "site:s i:i ordered:d theoretical:d", lambda s, p: reports.normal_quantiles(residuals(s, p), "residual"), None)
-_query("agg29_autocorrelation", "site:s lag:i acf:d", lambda s, p: reports.autocorrelation(residuals(s, p), "residual", 20), "SELECT x.site, l.lag, sum(x.x * y.x) / any_value(t.t) AS acf FROM x CROSS JOIN (SELECT unnest(range(21)) AS lag) l JOIN x y ON y.site = x.site AND y.rn = x.rn + l.lag JOIN (SELECT site, sum(x * x) AS t FROM x GROUP BY site) t ON t.site = x.site GROUP BY 1, 2", SIMULATED + ",\nx AS (SELECT site, r - avg(r) OVER (PARTITION BY site) AS x, row_number() OVER (PARTITION BY site ORDER BY d) AS rn FROM (SELECT site, d, tw - t_water AS r FROM ser WHERE tw - t_water IS NOT NULL))")
-_query("snk4_output_series", "site:s year:i month:i day:i Tair:d Twat_obs:d Twat_mod:d Q:d Tair_gap:i Q_gap:i segment_id:i", lambda s, p: files.output_series(sim.series(forcing(s, p), sim.simulate(days(s, p), list(P)))), "SELECT site, year(d) AS year, month(d) AS month, day(d) AS day, coalesce(t_air, -999) AS Tair, coalesce(t_water, -999) AS Twat_obs, coalesce(tw, -999) AS Twat_mod, coalesce(q, -999) AS Q, (t_air IS NULL)::INT AS Tair_gap, (q IS NULL)::INT AS Q_gap, CASE WHEN tw IS NULL THEN -1 ELSE seg_id END AS segment_id FROM ser", SIMULATED)
+
+
+def _horner(table: tuple, r: str) -> str:
+    above, below = (reduce(lambda acc, c: f"({acc} * {r} + {c!r}::DOUBLE)", x[1:], f"{x[0]!r}::DOUBLE") for x in table)
+    return f"{above} / {below}"
+
+
+_PROBIT = f"CASE WHEN abs(m - 0.5) <= 0.425 THEN (m - 0.5) * {_horner(stats.MIDDLE, '(0.180625 - (m - 0.5) * (m - 0.5))')} ELSE sign(m - 0.5) * CASE WHEN r <= 5 THEN {_horner(stats.TAIL, '(r - 1.6)')} ELSE {_horner(stats.FAR, '(r - 5)')} END END"
+_query("agg28_normal_quantiles", "site:s i:i ordered:d theoretical:d", lambda s, p: reports.normal_quantiles(residuals(s, p), "residual"), f"SELECT site, i, ordered, {_PROBIT} AS theoretical FROM (SELECT *, sqrt(-ln(least(m, 1 - m))) AS r FROM (SELECT *, CASE WHEN n = 1 THEN 0.5 WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS m FROM (SELECT site, tw - t_water AS ordered, row_number() OVER (PARTITION BY site ORDER BY tw - t_water) AS i, count(*) OVER (PARTITION BY site) AS n FROM ser WHERE tw - t_water IS NOT NULL)))", SIMULATED)
+_query("agg29_autocorrelation", "site:s lag:i acf:d", lambda s, p: reports.autocorrelation(residuals(s, p), "residual"), "SELECT x.site, l.lag, sum(x.x * y.x) / any_value(t.t) AS acf FROM x CROSS JOIN (SELECT unnest(range(51)) AS lag) l JOIN x y ON y.site = x.site AND y.rn = x.rn + l.lag JOIN (SELECT site, sum(x * x) AS t FROM x GROUP BY site) t ON t.site = x.site GROUP BY 1, 2", SIMULATED + ",\nx AS (SELECT site, r - avg(r) OVER (PARTITION BY site) AS x, row_number() OVER (PARTITION BY site ORDER BY d) AS rn FROM (SELECT site, d, tw - t_water AS r FROM ser WHERE tw - t_water IS NOT NULL))")
+
+
+def _output(s: SparkSession, p: str, since: str | None = None, resolution: str = "1d", prc: float = 1.0) -> DataFrame:
+    f = settled(s, p, since)
+    tw = sim.simulate(sim.prepared(f, 8, MIN_DAYS, WARMUP_DAYS), list(P))
+    series = sim.series(f, tw).withColumn("in_eval", F.coalesce(F.col("seg_day") > WARMUP_DAYS, F.lit(False)))
+    return files.output_series(written(series, "series"), resolution, prc)
+
+
+_SERIES = "SELECT ser.site, year(ser.d) AS year, month(ser.d) AS month, day(ser.d) AS day, coalesce(t_air, -999) AS Tair, coalesce(t_water, -999) AS Twat_obs, coalesce(tw, -999) AS Twat_mod, coalesce(per.obs, -999) AS Twat_obs_agg, coalesce(per.sim, -999) AS Twat_mod_agg, coalesce(q, -999) AS Q, (t_air IS NULL)::INT AS Tair_gap, (q IS NULL)::INT AS Q_gap, CASE WHEN tw IS NULL THEN -1 ELSE seg_id END AS segment_id FROM ser LEFT JOIN per ON per.site = ser.site AND per."
+_SERIES_COLUMNS = "site:s year:i month:i day:i Tair:d Twat_obs:d Twat_mod:d Twat_obs_agg:d Twat_mod_agg:d Q:d Tair_gap:i Q_gap:i segment_id:i"
+_query("snk4_output_series", _SERIES_COLUMNS, _output, _SERIES + "period = ser.d", _DAILY)
+_query("snk4_output_series_1m", _SERIES_COLUMNS, lambda s, p: _output(s, p, None, "1m", 0.7), _SERIES + "placed_d = ser.d", SIMULATED + "," + _period_sql("1m", 0.7))
+_query("snk5_validation_series", _SERIES_COLUMNS, lambda s, p: _output(s, p, "1998-07-01", "1w", 0.5), _SERIES + "placed_d = ser.d", SIMULATED + "," + _period_sql("1w", 0.5), since="1998-07-01")
+_query("prj11_combined_simulation", "site:s d:s t:d", lambda s, p: (x := simulated(s, p)).join(metrics.periods(x, "1w", 0.5, "tw").select("site", F.col("placed_d").alias("d"), "sim"), ["site", "d"], "left").withColumn("t", reports.combined("sim", "tw")), "SELECT ser.site, ser.d, coalesce(per.sim, ser.tw) AS t FROM ser LEFT JOIN per ON per.site = ser.site AND per.placed_d = ser.d", SIMULATED + "," + _period_sql("1w", 0.5))
+_query("snk6_gap_summary", "site:s qmedia:d n_days:i t_air_missing:i t_air_share:d q_missing:i q_share:d n_segments:i valid_days:i n_obs:i", lambda s, p: reports.gap_summary(forcing(s, p), 8, MIN_DAYS), "SELECT f.site, any_value(qmedia) AS qmedia, count(*) AS n_days, count(*) - count(f.t_air) AS t_air_missing, 1 - count(f.t_air) / count(*) AS t_air_share, count(*) - count(f.q) AS q_missing, 1 - count(f.q) / count(*) AS q_share, count(DISTINCT seg_id) AS n_segments, count(seg_id) AS valid_days, count(f.t_water) AS n_obs FROM forcing f JOIN days ON days.site = f.site AND days.d = f.d JOIN qm ON qm.site = f.site GROUP BY f.site", f"{_segments()},{QMEDIA}")
 
 # many evaluations
 _MANY = f"{DESIGN},{_simulation(8, 'RK4')},\nens AS (SELECT pid, s.site, s.seg_id, s.i, d.d, tw, t_water, in_eval FROM sim s JOIN days d ON d.site = s.site AND d.seg_id = s.seg_id AND d.seg_day = s.i)"
-_MANY_SCORES = "SELECT e.site, pid AS param_id, count(*) AS n, 1 - sum((tw - t_water) * (tw - t_water)) / any_value(tss) AS nse, pow(corr(tw, t_water), 2) AS r2, avg(abs(tw - t_water)) AS mae, -sqrt(avg((tw - t_water) * (tw - t_water))) AS rms FROM ens e JOIN (SELECT site, var_pop(t_water) * count(*) AS tss FROM days WHERE seg_id IS NOT NULL AND t_water IS NOT NULL GROUP BY site) t ON t.site = e.site WHERE in_eval AND t_water IS NOT NULL GROUP BY e.site, pid"
-_query("joi7_score_design", "site:s param_id:i n:i nse:d r2:d mae:d rms:d", lambda s, p: sim.score_many(days(s, p), design(s)), _MANY_SCORES, _MANY)
+_MANY_SCORES = """SELECT e.site, pid AS param_id, count(*) AS n, 1 - sum((tw - t_water) * (tw - t_water)) / any_value(tss) AS nse, pow(covar_pop(tw, t_water) * count(*), 2) / (var_pop(tw) * count(*) * any_value(tss)) AS r2, avg(abs(tw - t_water)) AS mae,
+  1 - sqrt(pow(stddev_samp(tw) / any_value(std) - 1, 2) + pow(avg(tw) / any_value(mean) - 1, 2) + pow(covar_samp(tw, t_water) / (stddev_samp(tw) * any_value(std)) - 1, 2)) AS kge, -sqrt(avg((tw - t_water) * (tw - t_water))) AS rms
+FROM ens e JOIN (SELECT site, var_pop(t_water) * count(t_water) AS tss, avg(t_water) AS mean, stddev_samp(t_water) AS std FROM forcing GROUP BY site) t ON t.site = e.site WHERE in_eval AND t_water IS NOT NULL GROUP BY e.site, pid"""
+_query("joi7_score_design", "site:s param_id:i n:i nse:d r2:d mae:d kge:d rms:d", lambda s, p: sim.score_many(days(s, p), design(s)), _MANY_SCORES, _MANY)
 _query("opt1_agg30_best_of_design", "site:s param_id:i nse:d", lambda s, p: sim.best(sim.score_many(days(s, p), design(s))), f"SELECT site, arg_max(param_id, nse) AS param_id, max(nse) AS nse FROM ({_MANY_SCORES}) GROUP BY site", _MANY)
 _query("win6_running_best", "site:s param_id:i best_nse:d best_r2:d best_mae:d", lambda s, p: reports.running_best(sim.score_many(days(s, p), design(s)), "param_id", ("site",)), f"SELECT site, param_id, max(nse) OVER w AS best_nse, max(r2) OVER w AS best_r2, min(mae) OVER w AS best_mae FROM ({_MANY_SCORES}) WINDOW w AS (PARTITION BY site ORDER BY param_id)", _MANY)
 _query("prj13_acceptable", "site:s param_id:i nse:d", lambda s, p: reports.acceptable(sim.score_many(days(s, p), design(s)), "NSE", "nse", -5.0), f"SELECT * FROM (SELECT *, bool_or(nse >= -5) OVER () AS any_good FROM ({_MANY_SCORES})) WHERE nse >= -5 OR NOT any_good", _MANY)
 _query("agg21_fwd2_envelope", "site:s d:s lower:d p50:d upper:d", lambda s, p: reports.envelope(sim.simulate_many(days(s, p), design(s))), "SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.5) AS p50, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d", _MANY)
-_query("joi8_prj16_masked_envelope", "site:s d:s lower:d upper:d", lambda s, p: reports.masked_envelope(reports.envelope(sim.simulate_many(days(s, p), design(s))), simulated(s, p).select("site", "d", F.col("tw").alias("t_water_sim"))), "SELECT f.site, f.d, lower, upper FROM forcing f LEFT JOIN (SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d) e ON e.site = f.site AND e.d = f.d", _MANY)
-_CHAIN = "SELECT k.k AS parameter, CASE k.k " + " ".join(f"WHEN {k} THEN p{k}" for k in range(1, 9)) + " END AS v FROM par CROSS JOIN (SELECT unnest(range(1, 9)) AS k) k"
-_query("agg19_posterior_summary", "parameter:i mean:d std:d low:d high:d significant:s", lambda s, p: reports.posterior_summary(design(s)), f"SELECT parameter, avg(v) AS mean, stddev_samp(v) AS std, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS significant FROM ({_CHAIN}) GROUP BY parameter", DESIGN, base=False)
-_query("agg20_parameter_correlation", "a:i b:i r:d", lambda s, p: reports.parameter_correlation(design(s), 8), f"SELECT x.parameter AS a, y.parameter AS b, corr(x.v, y.v) AS r FROM (SELECT pid, parameter, v FROM ({_CHAIN.replace('SELECT k.k', 'SELECT pid, k.k')})) x JOIN (SELECT pid, parameter, v FROM ({_CHAIN.replace('SELECT k.k', 'SELECT pid, k.k')})) y ON x.pid = y.pid GROUP BY 1, 2", DESIGN, base=False)
-_SENS = uncertainty.perturbed(list(P), list(LOW), list(HIGH), 1.0, 8)
-_SENS_PAR = "\npar AS (" + " UNION ALL ".join(f"SELECT {2 * k + s} AS pid, " + ", ".join(f"{x!r}::DOUBLE AS p{j + 1}" for j, x in enumerate(r[side])) for k, r in enumerate(_SENS) for s, side in enumerate(("down", "up"))) + ")"
-_query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), "SELECT x.site, r.parameter, avg(a - b) / any_value(r.relative) AS sensitivity, 'Active' AS status FROM (SELECT site, pid // 2 AS run, seg_id, i, max(tw) AS a, min(tw) AS b FROM ens WHERE in_eval AND t_water IS NOT NULL GROUP BY ALL) x JOIN (VALUES " + ", ".join(f"({k}, {r['parameter']}, {r['relative']!r}::DOUBLE)" for k, r in enumerate(_SENS)) + ") r(run, parameter, relative) ON r.run = x.run WHERE a < 50 GROUP BY 1, 2", f"{_SENS_PAR},{_MANY.removeprefix(DESIGN + ',')}")
+_query("joi8_prj16_masked_envelope", "site:s d:s lower:d upper:d", lambda s, p: reports.masked_envelope(reports.envelope(sim.simulate_many(sim.prepared(f := settled(s, p), 8, MIN_DAYS, WARMUP_DAYS), design(s))), simulated(s, p, f=f).select("site", "d", F.col("tw").alias("t_water_sim"))), "SELECT f.site, f.d, lower, upper FROM forcing f LEFT JOIN (SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d) e ON e.site = f.site AND e.d = f.d", _MANY)
+_CHAIN_OF = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of four parameters: a sample for each line item, its line number the step."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_id"), F.col("l_linenumber").alias("step"), F.array(*[F.col(c).cast("double") for c in _CHAIN_OF]).alias("p"))
+
+
+_CHAIN = " UNION ALL ".join(f"SELECT {k} AS parameter, {c}::DOUBLE AS v FROM lineitem" for k, c in enumerate(_CHAIN_OF, 1))
+_query("agg19_posterior_summary", "parameter:i mean:d std:d low:d high:d significant:s", lambda s, p: reports.posterior_summary(chain(s, p)), f"SELECT parameter, avg(v) AS mean, stddev_samp(v) AS std, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS significant FROM ({_CHAIN}) GROUP BY parameter", base=False)
+_query("agg20_parameter_correlation", "a:i b:i r:d", lambda s, p: reports.parameter_correlation(chain(s, p), 4), " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, corr({x}, {y}) AS r FROM lineitem" for i, x in enumerate(_CHAIN_OF, 1) for j, y in enumerate(_CHAIN_OF, 1)), base=False)
+
+
+def _perturbed(percent: float) -> list[tuple[list[float], list[float], float]]:
+    """For each parameter the vectors below and above P, and the relative difference."""
+    out = []
+    for k, (x, lo, hi) in enumerate(zip(P, LOW, HIGH)):
+        down, up = max(lo, x - abs(x) * percent / 100), min(hi, x + abs(x) * percent / 100)
+        out.append(([*P[:k], down, *P[k + 1 :]], [*P[:k], up, *P[k + 1 :]], (up - down) / abs(x)))
+    return out
+
+
+_SENS = _perturbed(1.0)
+_SENS_PAR = "\npar AS (" + " UNION ALL ".join(f"SELECT {2 * k + side} AS pid, " + ", ".join(f"{x!r}::DOUBLE AS p{j + 1}" for j, x in enumerate(r[side])) for k, r in enumerate(_SENS) for side in (0, 1)) + ")"
+_SENS_MANY = f"{_SENS_PAR},{_MANY.removeprefix(DESIGN + ',')}"
+_SENS_BODY = "SELECT x.site, r.parameter, avg(a - b) / any_value(r.relative) AS sensitivity, 'Active' AS status FROM (SELECT site, pid // 2 AS run, seg_id, i, max(tw) AS a, min(tw) AS b FROM ens WHERE in_eval AND t_water IS NOT NULL GROUP BY ALL) x JOIN (VALUES " + ", ".join(f"({k}, {k + 1}, {r[2]!r}::DOUBLE)" for k, r in enumerate(_SENS)) + ") r(run, parameter, relative) ON r.run = x.run WHERE a < 50 GROUP BY 1, 2"
+_query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), _SENS_BODY, _SENS_MANY)
+_query("joi9_sensitivity_columns", "site:s parameter:i sensitivity_1:d", lambda s, p: reports.sensitivity_columns(uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), (1.0,)), f"SELECT site, parameter, sensitivity AS sensitivity_1 FROM ({_SENS_BODY})", _SENS_MANY)
 _query("noi2_ar1_noise", "site:s seg_id:i seg_day:i noise:d", lambda s, p: uncertainty.ar1_noise(prep.with_segments(forcing(s, p), 8, MIN_DAYS).filter("seg_id IS NOT NULL"), 0.8, 0.6, z=(F.col("seg_day") * 7919 + F.col("seg_id") * 104729) % 10007 / 10007.0 - 0.5), "SELECT site, seg_id, i AS seg_day, y AS noise FROM n", _segments() + ",\nz AS (SELECT site, seg_id, seg_day AS i, (seg_day * 7919 + seg_id * 104729) % 10007 / 10007.0::DOUBLE - 0.5 AS z FROM days WHERE seg_id IS NOT NULL),\nn(site, seg_id, i, y) AS (SELECT site, seg_id, i, 0.8 * z FROM z WHERE i = 1 UNION ALL SELECT n.site, n.seg_id, z.i, 0.6 * n.y + 0.8 * sqrt(1 - 0.36::DOUBLE) * z.z FROM n JOIN z ON z.site = n.site AND z.seg_id = n.seg_id AND z.i = n.i + 1)")
-_query("set3_burn_in", "param_id:i", lambda s, p: design(s).filter(F.col("param_id") >= int(0.3 * N_VECTORS)), f"SELECT pid AS param_id FROM par WHERE pid >= {int(0.3 * N_VECTORS)}", DESIGN, base=False)
+_query("set3_burn_in", "sample_id:i step:i", lambda s, p: reports.burned(chain(s, p), 7), "SELECT l_orderkey * 10 + l_linenumber AS sample_id, l_linenumber AS step FROM lineitem WHERE l_linenumber >= 2", base=False)
 
 
 def _sim1(s: SparkSession, p: str) -> DataFrame:
-    filled = forcing(s, p).withColumns({"t_air": F.coalesce("t_air", F.lit(5.0)), "q": F.coalesce("q", F.lit(50.0))})
+    filled = settled(s, p).withColumns({"t_air": F.coalesce("t_air", F.lit(5.0)), "q": F.coalesce("q", F.lit(50.0))})
     return sim.simulate(sim.whole(filled), list(P)).withColumnRenamed("seg_day", "i")
 
 
-_query("sim1_whole_series", "site:s i:i tw:d", _sim1, None)
-for _m, _o in (("LATHYP", {"n": 64}), ("PSO", {"particles": 10, "iterations": 8}), ("DE", {"members": 2, "generations": 8})):
-    _query(f"opt_{_m.lower()}_search", "site:s score:d n_evaluated:i", lambda s, p, m=_m, o=_o: search.calibrate(days(s, p), m, LOW, HIGH, seed=1, **o), None)
+_WHOLE = f"""
+filled AS (SELECT site, d, coalesce(t_air, 5.0) AS t_air, t_water, coalesce(q, 50.0) AS q, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n FROM forcing),
+warm AS (SELECT site, n AS idx, t_air, t_water, q, (n + 1) / 365.0::DOUBLE AS tt FROM filled WHERE n < 365 UNION ALL SELECT site, n + 365, t_air, t_water, q, {TT.format('d')} FROM filled),
+qm AS (SELECT site, avg(q) FILTER (WHERE q > 0) AS qmedia FROM filled GROUP BY site),
+st AS (SELECT site, 1::BIGINT AS seg_id, coalesce(t_water, 4.0) AS tw0 FROM warm WHERE idx = 0),
+fx0 AS (SELECT warm.site, 1::BIGINT AS seg_id, idx + 1 AS i, t_air AS ta, q / qmedia AS th, tt FROM warm JOIN qm ON qm.site = warm.site)"""
+_query("sim1_whole_series", "site:s i:i tw:d", _sim1, "SELECT site, i, tw FROM sim", f"{_fixed(P, 8)},{_simulation(8, 'RK4', _WHOLE)}")
+
+# searches with the operators' defaults
+_LATHYP = search.latin_hypercube(np.array(LOW), np.array(HIGH), 500, np.random.default_rng(1)).tolist()
+_LATHYP_PAR = "\npar AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"{x!r}::DOUBLE" for x in v) + ")" for i, v in enumerate(_LATHYP)) + ") v(pid, " + ", ".join(f"p{k}" for k in range(1, 9)) + "))"
+_query("opt1_lathyp_search", "site:s score:d n_evaluated:i", lambda s, p: search.calibrate(days(s, p), "LATHYP", LOW, HIGH, seed=1), f"SELECT site, max(nse) AS score, count(*) AS n_evaluated FROM ({_MANY_SCORES}) GROUP BY site", f"{_LATHYP_PAR},{_MANY.removeprefix(DESIGN + ',')}")
+for _n, _m in (("opt2_pso", "PSO"), ("opt3_opt4_de", "DE")):
+    _query(f"{_n}_search", "site:s score:d n_evaluated:i", lambda s, p, m=_m: search.calibrate(days(s, p), m, LOW, HIGH, seed=1), None)
 
 
 def _posterior(s: SparkSession, p: str) -> DataFrame:
-    best = forcing(s, p).select("site").distinct().withColumn("p", F.array(*[F.lit(x) for x in P]))
-    return reports.posterior_summary(search.posterior(days(s, p), best, LOW, HIGH, steps=20, walkers=16), ("site",))
+    d = written(days(s, p), "days")
+    best = written(search.calibrate(d, "DE", LOW, HIGH, seed=1), "best")
+    return reports.posterior_summary(written(search.posterior(d, best, LOW, HIGH, seed=1), "chain"), ("site",))
 
 
 _query("opt5_posterior", "site:s parameter:i mean:d std:d", _posterior, None)
 
 
-def _cv(s: SparkSession, p: str) -> DataFrame:
-    f = forcing(s, p)
-    results, held = uncertainty.cross_validate(f, prep.folds(f, 1), list(LOW), list(HIGH), method="DE", min_days=MIN_DAYS, seed=1)
+def _cv(s: SparkSession, p: str, method: str, **options) -> DataFrame:
+    f = settled(s, p)
+    results, held = uncertainty.cross_validate(f, prep.folds(f, 1, 1, 2, 10), list(LOW), list(HIGH), method=method, min_days=MIN_DAYS, warmup_days=WARMUP_DAYS, seed=1, **options)
     return reports.cv_summary(results, metrics.fold_scores(held, ("site",)))
 
 
-_query("cv1_agg17_cross_validation", "site:s fold:s n_obs:i nse:d kge:d rmse:d", _cv, None)
+def _cv_sql(n: int) -> str:
+    """Cross-validation with a Latin hypercube of n vectors. A series of a fold is named by its site and year."""
+    vectors = search.latin_hypercube(np.array(LOW), np.array(HIGH), n, np.random.default_rng(1)).tolist()
+    par = "\npar AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"{x!r}::DOUBLE" for x in v) + ")" for i, v in enumerate(vectors)) + ") v(pid, " + ", ".join(f"p{k}" for k in range(1, 9)) + "))"
+    every = FORCING.replace("forcing AS (", "daily AS (") + """,
+yrs AS (SELECT site, year(d) AS year, count(t_water) AS n_obs FROM daily GROUP BY 1, 2),
+fold AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY year) AS r FROM yrs) WHERE r > 2 AND n_obs >= 10),
+deep AS (SELECT daily.site || '#' || fold.year AS site, d, year(d) = fold.year AS held, t_air, t_water, q FROM daily JOIN fold ON fold.site = daily.site)"""
+    train = f"{every},\nforcing AS (SELECT site, d, CASE WHEN NOT held THEN t_air END AS t_air, CASE WHEN NOT held THEN t_water END AS t_water, CASE WHEN NOT held THEN q END AS q FROM deep),{par},{_MANY.removeprefix(DESIGN + ',')}"
+    flow = "\nqm AS (SELECT site, avg(q) FILTER (WHERE q > 0 AND NOT held) AS qmedia FROM deep GROUP BY site)"
+    full = f"{every},\nforcing AS (SELECT site, d, t_air, CASE WHEN NOT held THEN t_water END AS t_water, q FROM deep),{par},{_MANY.removeprefix(DESIGN + ',').replace(QMEDIA, flow)}"
+    scored = "count(*) AS n_obs, 1 - sum((sim - obs) * (sim - obs)) / (var_pop(obs) * count(*)) AS nse, 1 - sqrt(pow(corr(sim, obs) - 1, 2) + pow(stddev_pop(sim) / stddev_pop(obs) - 1, 2) + pow(avg(sim) / avg(obs) - 1, 2)) AS kge, sqrt(avg((sim - obs) * (sim - obs))) AS rmse"
+    return f"""SELECT * FROM (WITH best AS (SELECT * FROM (WITH RECURSIVE {train} SELECT site, arg_max(param_id, nse) AS pid FROM ({_MANY_SCORES}) GROUP BY site)),
+held AS (SELECT split_part(site, '#', 1) AS site, split_part(site, '#', 2) AS fold, obs, sim FROM (WITH RECURSIVE {full} SELECT e.site, e.pid, deep.t_water AS obs, e.tw AS sim FROM ens e JOIN deep ON deep.site = e.site AND deep.d = e.d WHERE held AND deep.t_water IS NOT NULL) SEMI JOIN best USING (site, pid)),
+scored AS (SELECT site, fold, {scored} FROM held GROUP BY 1, 2)
+SELECT * FROM scored UNION ALL SELECT site, 'mean', sum(n_obs), avg(nse), avg(kge), avg(rmse) FROM scored GROUP BY 1
+UNION ALL SELECT site, 'std', sum(n_obs), coalesce(stddev_samp(nse), 0), coalesce(stddev_samp(kge), 0), coalesce(stddev_samp(rmse), 0) FROM scored GROUP BY 1
+UNION ALL SELECT site, 'pooled', {scored} FROM held GROUP BY 1)"""
+
+
+_CV_COLUMNS = "site:s fold:s n_obs:i nse:d kge:d rmse:d"
+_query("cv1_agg17_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "DE"), None)
+_query("cv1_agg17_lathyp_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "LATHYP", n=32), _cv_sql(32), base=False)
+
+
+def _fold_best(s: SparkSession, p: str) -> DataFrame:
+    return s.read.parquet(f"{p}/lineitem.parquet").select(F.col("l_returnflag").alias("site"), F.array(*[F.col(c).cast("double") for c in _CHAIN_OF]).alias("p"))
+
+
+_query("agg26_walker_spread", "site:s parameter:i spread:d", lambda s, p: uncertainty.walker_spread(_fold_best(s, p)), " UNION ALL ".join(f"SELECT l_returnflag AS site, {k} AS parameter, coalesce(nullif(stddev_samp({c}), 0), 1e-4) AS spread FROM lineitem GROUP BY 1" for k, c in enumerate(_CHAIN_OF, 1)), base=False)
 
 
 def queries() -> dict:

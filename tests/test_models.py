@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvia.functions import kernels as k
-from fluvia.operators import prep, reports, search, uncertainty
+from fluvia.operators import metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
 
 P = (1, 0.1, 0.1, 0.5, 1, 1, 0.5, 0.1)
@@ -60,6 +60,35 @@ def test_unstable_vectors_are_invalid_not_errors():
         k.simulate(8, "ABC", [P], [1], [1], [0], 4)
 
 
+def test_segments_behind_each_other_and_blocks_of_days():
+    rng = np.random.default_rng(4)
+    ta, th, t, p = rng.normal(10, 5, 300), 0.5 + rng.random(300), np.arange(300) / 365, [P, np.array(P) * 0.9]
+    whole = k.simulate(8, "RK4", p, ta, th, t, [4.0, -2.0, 7.0], begin=(0, 1, 120), block=2 * 37)
+    for a, b, start in ((0, 1, 4.0), (1, 120, -2.0), (120, 300, 7.0)):
+        assert np.array_equal(whole[a:b], k.simulate(8, "RK4", p, ta[a:b], th[a:b], t[a:b], start))
+
+
+def test_noise_doesnt_depend_on_partitions(spark):
+    df = spark.range(2000).selectExpr("'s' AS site", "id AS seg_day", "1 AS seg_id", "date_add(DATE '2000-01-01', int(id)) AS d")
+    one, two = ([r.noise for r in x.orderBy("d").collect()] for x in (uncertainty.iid_noise(df, 2.0, 5), uncertainty.iid_noise(df.repartition(7), 2.0, 5)))
+    assert one == two and abs(np.std(one) - 2) < 0.15 and abs(np.mean(one)) < 0.2
+    a = [r.noise for r in uncertainty.ar1_noise(df.repartition(5), 1.0, 0.7, 5).orderBy("seg_day").collect()]
+    assert np.corrcoef(a[1:], a[:-1])[0, 1] == pytest.approx(0.7, abs=0.06)
+
+
+def test_searches_score_periods_as_reports_do(spark):
+    f = series(spark)
+    for score, resolution in (("NSE", "1d"), ("KGE", "2w"), ("RMS", "1m")):
+        days = metrics.with_periods(sim.prepared(f, 3, 30, 15), f, resolution, 0.5)
+        found = search.history(days, "LATHYP", [0.0, 0.1, 0.1, 0, 0, 0, 0, 0], [1.0, 0.6, 0.8, 0, 0, 0, 0, 0], 3, score=score, n=20, seed=3)
+        assert found.count() == 40
+        best = search.best_of(found)
+        tw = sim.simulate(sim.packed(days).join(best.select("site", "p"), "site"), None, 3)
+        out = sim.series(f, tw).withColumn("in_eval", F.coalesce(F.col("seg_day") > 15, F.lit(False)))
+        want = {r.site: r[score.lower()] for r in metrics.scores(metrics.periods(out, resolution, 0.5, "t_water_sim")).collect()}
+        assert {r.site: r.score for r in best.collect()} == pytest.approx(want)
+
+
 def series(spark, n=700, sites=("a", "b"), p=(0.5, 0.3, 0.4, 0, 0, 0, 0, 0)):
     rows = []
     for s, site in enumerate(sites):
@@ -104,7 +133,7 @@ def test_ar1(spark):
         rows = [("s", 1 if seg is None else seg(i), dt.date(2000, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(x)]
         return uncertainty.ar1_rho(spark.createDataFrame(rows, "site string, seg_id int, d date, residual double")).first()
 
-    assert rho(uncertainty.recovered(1000, 0.6, 1, 3)).rho == pytest.approx(0.6, abs=0.1)
+    assert rho(k.ar1(np.random.default_rng(3).standard_normal(1000), 1, 0.6)).rho == pytest.approx(0.6, abs=0.1)
     assert rho(range(100), lambda i: i // 50).rho == 0.99
     assert rho(range(30)).rho == 0 and rho(range(31)).rho == 0.99 and rho([1.0] * 50).rho == 0
     x = k.ar1(np.random.default_rng(1).standard_normal(100_000), 2, 0.5)

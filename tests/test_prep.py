@@ -1,8 +1,10 @@
 import datetime as dt
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
+from fluvia.functions import stats
 from fluvia.functions.dates import period_of, water_year, year_fraction
 from fluvia.operators import metrics, prep, reports
 from fluvia.sources import config, files
@@ -73,10 +75,25 @@ def test_constraints(spark):
 
 
 def test_folds(spark):
-    df = daily(spark, 4 * 365 + 1, start="2010-01-01", t_air=lambda i: 1, q=lambda i: 1)
+    df = daily(spark, 4 * 365 + 1, start="2010-01-01", t_air=lambda i: 1, q=lambda i: 1, t_water=lambda i: 3 if i < 800 else None)
     assert sorted({r.label for r in prep.folds(df, 1, skip_years=2).collect()}) == ["2012", "2013"]
     assert sorted({r.label for r in prep.folds(df, 2, skip_years=1).collect()}) == ["2011-2012"]
     assert prep.folds(df, 5).count() == 0
+    assert {(r.year, r.fold) for r in prep.folds(df, 1, skip_years=1, min_obs=70).collect()} == {(2011, 0), (2012, 1)}
+    assert {(r.year, r.fold) for r in prep.folds(df, 1, skip_years=1, min_obs=71).collect()} == {(2011, 0)}
+    f = prep.folds(df, 1)
+    assert prep.held_out(df, f, 1).count() == 366 and prep.training(df, f, 1).count() == 3 * 365 and prep.years(df).count() == 4
+
+
+def test_gaps_are_injected(spark):
+    df = daily(spark, 1000, t_air=lambda i: i)
+    for name, (number, length) in prep.GAPS.items():
+        days = [r.t_air for r in prep.with_gaps(df, "t_air", name).orderBy("d").collect()]
+        assert sum(x is None for x in days) == number * length
+    gone = prep.with_gaps(df, "t_air", "random").filter("t_air IS NULL")
+    assert 20 < gone.count() < 90 and gone.count() == prep.with_gaps(df.repartition(7), "t_air", "random").filter("t_air IS NULL").count()
+    got = df.withColumn("m", prep.midpoints("t_air")).withColumn("c", prep.celsius("t_air", 0.1)).orderBy("d").collect()
+    assert got[3].m == 3.5 and got[-1].m is None and got[273].c is None and got[274].c == pytest.approx(0.85)
 
 
 def test_periods(spark):
@@ -105,7 +122,7 @@ def test_config(tmp_path):
     c = config.read(str(path))
     assert (c.label, c.output_dir, c.perturbations, c.search.n_runs, c.search.w_max) == ("A_B", "p/output_5", (2,), 7, 0.8)
     assert c.bounds() == ([1, 1, 1, 0, 0, 1, 1, 0], [2, 2, 2, 0, 0, 2, 2, 0]) and c.for_fold().search.n_runs == 3
-    for bad in ({"version": 6}, {"integrator": "X"}, {"objective_function": "X"}, {"time_resolution": "2d"}, {"uncertainty_options": {"ar1_rho": 1.0}}, {"uncertainty_options": {"prediction_interval": 100}}, {"Qmedia": 0}, {"cross_validation": {"unit": "week"}}):
+    for bad in ({"version": 6}, {"integrator": "X"}, {"objective_function": "X"}, {"time_resolution": "2d"}, {"uncertainty_options": {"ar1_rho": 1.0}}, {"uncertainty_options": {"prediction_interval": 100}}, {"Qmedia": 0}, {"cross_validation": {"unit": "week"}}, {"cross_validation": {"skip_first_year": False, "min_train_years": 0}}):
         with pytest.raises(ValueError):
             config.parsed(bad)
 
@@ -123,8 +140,24 @@ def test_files(spark, tmp_path):
     (tmp_path / "chain_meta.json").write_text('{"rho": 0.5}')
     assert sorted(r.p[:3] for r in files.read_chain(spark, str(tmp_path / "chain.csv"), [9.0] * 8).collect()) == [[0.5, 9.0, 0.7], [0.6, 9.0, 0.8]]
     assert files.read_sidecar(spark, str(tmp_path / "chain.csv")) == {"rho": 0.5} and files.read_sidecar(spark, str(tmp_path / "none.csv")) == {}
-    history = spark.createDataFrame([(1.0, 0.9), (2.0, -0.5)], "par_1 double, eff_index double")
+    history = spark.createDataFrame([("s", k, [float(k)] * 8, x, x, x, x) for k, x in enumerate((0.9, -0.5))], "site string, eval long, p array<double>, eff_index double, nse double, r2 double, mae double")
     files.write_history(history, str(tmp_path / "h"))
     assert spark.read.option("header", True).csv(str(tmp_path / "h")).count() == 1
-    assert reports.chain_names(["par_1", "par_8", "x"]) == [0, 7]
-    assert "segment 1" in files.gaps_text({"qmedia": 1}, [{"seg_id": 1, "start_d": "a", "end_d": "b", "n_days": 2, "n_obs": 1}])
+    files.write_json(spark.createDataFrame([(1.5, None)], "a double, b double"), str(tmp_path / "j"))
+    assert "".join(p.read_text() for p in (tmp_path / "j").glob("part*")) == '{"a":1.5,"b":null}\n'
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="JSON"):
+            files.write_json(spark.createDataFrame([(bad,)], "a double"), str(tmp_path / "k"))
+
+
+def test_reports_of_a_series(spark):
+    df = daily(spark, 100, t_air=lambda i: None if 40 <= i < 50 else 20, q=lambda i: 0 if i == 80 else 10, t_water=lambda i: 15)
+    r = reports.gap_summary(df, 8, 10).first()
+    assert (r.qmedia_source, r.qmedia, r.t_air_missing, r.q_missing, r.n_segments, r.valid_days, r.n_obs) == ("computed", 10, 10, 0, 3, 89, 100)
+    w = reports.flow_warnings(df, 14.0).first()
+    assert not w.mostly_missing and w.far_off
+    text = reports.analysis_text(prep.analysis_summary(df, 10).first().asDict(), prep.missing(df).first().asDict(), [x.asDict() for x in prep.segment_table(prep.with_segments(df, 8, 10)).orderBy("seg_id").collect()])
+    assert "t_air: 10 missing (10.00 %)" in text and "3 valid, 0 too short, 2 gaps" in text and "segment 2: 2000-02-20 to 2000-03-20" in text
+    q = spark.range(1, 1000).select((F.col("id") / 1000).alias("p"), stats.normal_quantile(F.col("id") / 1000).alias("z")).unionByName(spark.createDataFrame([(1e-13, 0.0), (1e-7, 0.0)], "p double, z double").withColumn("z", stats.normal_quantile(F.col("p"))))
+    for x in q.collect():
+        assert x.z == pytest.approx(NormalDist().inv_cdf(x.p), abs=1e-12)

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from fluvia import workload
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["src2_resample_daily", "joi2_dense_calendar", "joi6_start_values", "agg4_pre1_summary", "agg6_win8_climatology", "win10_folds", "int_eul_v3", "int_crn_v7", "int_rk4_v8", "agg11_15_scores_daily", "agg10_15_scores_1m", "agg22_ar1_rho", "joi7_score_design", "sen1_agg25_sensitivity", "noi2_ar1_noise"]
+CHOSEN = ["src2_resample_daily", "joi2_dense_calendar", "joi6_start_values", "agg4_pre1_summary", "agg6_win8_climatology", "win10_folds", "int_eul_v3", "int_crn_v7", "int_rk4_v8", "agg11_15_scores_daily", "agg10_15_scores_1m", "agg22_ar1_rho", "joi7_score_design", "opt1_lathyp_search", "snk5_validation_series", "smp1_k_rows", "agg28_normal_quantiles", "agg19_posterior_summary", "prj17_gaps_few_short", "ode8_rate", "sen1_agg25_sensitivity", "noi2_ar1_noise"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
@@ -30,6 +30,12 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 80
 
 
+def test_sources_are_scanned_once(spark):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    for name, most in (("joi2_dense_calendar", 4), ("joi7_score_design", 3), ("agg21_fwd2_envelope", 3), ("sen1_agg25_sensitivity", 8)):
+        assert scans(workload.queries()[name](spark, SF)) <= most, name
+
+
 def test_cross_validation_calibrates_each_fold(spark, monkeypatch):
     class Fitted(Exception):
         pass
