@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from fluvia.sources.scratch import scratch, written  # noqa: F401
 
-#: The six ASCII white-space characters that separate words.
-SPACES = " \t\n\x0b\x0c\r"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +30,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts in a column have ``size`` bytes together, or one row that is longer."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(lengths, dtype=np.int64)
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(end, (end[first - 1] if first else 0) + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

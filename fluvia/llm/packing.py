@@ -19,11 +19,12 @@ from functools import partial
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvia.llm.common import documents, small_batches, strings
+from fluvia.llm.common import documents, slices, small_batches
 from fluvia.llm.word_tokens import word_file, word_tokenizer
 
 WINDOWS = (512, 1024, 2048, 4096)
@@ -96,7 +97,7 @@ class Steps:
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...], group_tokens: int) -> Iterator[pa.RecordBatch]:
     tokenizer, task = word_tokenizer(path), TaskContext.get().partitionId() << 33
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple[int, np.ndarray]] = []
     n_held, sequence, dealt = 0, task, Steps(task)
 
     def batch_of(found: Iterator[tuple[int, list[tuple]]]) -> Iterator[pa.RecordBatch]:
@@ -105,25 +106,24 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, windows: tuple[int, ...]
 
     def flush() -> Iterator[tuple[int, list[tuple]]]:
         nonlocal sequence, n_held
-        for window, pieces in packed([len(ids) // 4 for _, ids in held], windows):
+        for window, pieces in packed([len(ids) for _, ids in held], windows):
             offset, rows = 0, []
             for doc, start, length in pieces:
                 doc_id, ids = held[doc]
-                rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, window))
+                rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids), sequence, offset, window))
                 offset += length
             sequence += 1
             yield from dealt.add(window, rows)
         held.clear()
         n_held = 0
 
-    for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-        for i in range(0, len(texts), 100):
-            for doc_id, ids in zip(doc_ids[i : i + 100], tokenizer.batch(texts[i : i + 100])):
-                held.append((doc_id, ids))
-                n_held += len(ids) // 4
-                if n_held >= group_tokens:
-                    yield from batch_of(flush())
+    for batch in chain.from_iterable(slices(b, 1) for b in batches):
+        every, at = tokenizer.encoded(batch.column(1))
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            held.append((doc_id, every[a:b]))
+            n_held += b - a
+            if n_held >= group_tokens:
+                yield from batch_of(flush())
     yield from batch_of(chain(flush(), dealt.end()))
 
 

@@ -1,17 +1,20 @@
 """Token ids in files of independently reset, checksummed blocks, by an adaptive context-mixing range coder.
 
 Each block starts with an empty model. For every id, two tables predict it from the last two ids (order 2) and from the
-last one (order 1), each with a confidence; one three-way symbol says which prediction holds, its probabilities mixed
-from the counts under the order-2 and the order-1 confidence. If none holds, the id follows by the block's own order-0
-counts of id classes and the place in the class. The range coder has 32-bit ranges and writes 16-bit digits.
+last one (order 1), each with a confidence; three odds say which prediction holds, mixed from the counts under the
+order-2 and the order-1 confidence. The third, that neither holds, is shared out among all ids by the block's own
+order-0 counts of id classes. So an id takes one step of the range coder, whose range has 60 bits; digits have 20.
 
-All blocks of a group advance together, one id at a time, so that a step is a few numpy calls over thousands of blocks.
+All blocks of a group advance together, one id at a time, so that a step is some numpy calls over thousands of blocks.
+Divisions are made in double precision, rounded so that both sides get the same integers on every machine.
 
-A file holds a run of documents in ascending doc_id: blocks with sizes and checksums, and a table of its documents.
-Files are named by the task attempt that wrote them; the manifest knows only those of attempts that ended.
+A file holds a run of documents in ascending doc_id: blocks with sizes and checksums in groups, and a table of the
+documents and of the groups' sizes, by which readers take one group at a time. Files are named by the task attempt
+that wrote them; the manifest knows only those of attempts that ended.
 
 Defined results: null and empty texts are the end id alone; long texts span blocks; rows that repeat a doc_id are
-written each, one behind the other; an empty table gives no files and an empty table; other columns aren't read.
+written each, one behind the other in the order of their texts' hashes; rows without a doc_id come first; an empty
+table gives no files and an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,104 +32,74 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import documents, scratch, small_batches, strings, written
+from fluvia.llm.common import documents, scratch, slices, small_batches, written
 from fluvia.llm.word_tokens import word_file, word_tokenizer
 
-MAGIC = b"CMX1"
+MAGIC = b"CMX2"
 BLOCK_IDS = 2048
-GROUP_BLOCKS = 1024
-FIRST_BITS, SECOND_BITS, CLASS_BITS = 12, 13, 8
-REBUILD = 64
-CLASS_STEP = 4
-_U = np.uint64
+GROUP_BLOCKS = 4096
+#: Bytes of text that a file holds, about; there are as many files as shuffle partitions at least.
+FILE_BYTES = 256 << 20
+FIRST_BITS, SECOND_BITS, CLASS_BITS = 10, 11, 8
+#: Steps between two looks at the class counts, what a count grows by, and the bits of the classes' common total.
+REBUILD, CLASS_STEP, TOTAL_BITS = 64, 4, 12
+DIGIT_BITS, RANGE_BITS = 20, 60
+_DIGIT, _LEAST = (1 << DIGIT_BITS) - 1, 1 << (RANGE_BITS - DIGIT_BITS)
+#: Three counts in one number: order 2 holds, order 1 holds, all.
+_FIELD = 20
+_MASK = (1 << _FIELD) - 1
+_HIT_TWO, _HIT_ONE, _MISS = 1 | 1 << 2 * _FIELD, 1 << _FIELD | 1 << 2 * _FIELD, 1 << 2 * _FIELD
+#: An odds unit is shared out among so many parts, for the classes and the ids in a class.
+_SHARE = TOTAL_BITS + CLASS_BITS
+_DOWN, _UP = 2.0**-_SHARE * (1 - 2.0**-44), 1 + 2.0**-44
 
 
 class Model:
-    """The adaptive state of many blocks. ``predict`` and ``learn`` are the same for coder and decoder."""
+    """The adaptive state of many blocks, the same for coder and decoder. A table's entry is the id and two bits of
+    confidence."""
 
     def __init__(self, n: int, n_classes: int):
-        self.rows = np.arange(n)
-        self.one, self.two = np.full((n, 1 << FIRST_BITS), -1, np.int32), np.full((n, 1 << SECOND_BITS), -1, np.int32)
-        self.sure_one, self.sure_two = np.zeros((n, 1 << FIRST_BITS), np.uint8), np.zeros((n, 1 << SECOND_BITS), np.uint8)
-        self.by_one, self.by_two = np.ones((n, 4, 3), np.int64), np.ones((n, 4, 3), np.int64)
-        self.classes = np.ones((n, n_classes), np.int64)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.begin = np.zeros((n, n_classes + 1), np.int64)
-
-    def rebuild(self, n: int) -> None:
-        np.cumsum(self.classes[:n], axis=1, out=self.begin[:n, 1:])
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r, last, before = self.rows[:n], self.last[:n], self.before[:n]
-        self.at_one = (last * 0x9E37 >> 3) & ((1 << FIRST_BITS) - 1)
-        self.at_two = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9) & ((1 << SECOND_BITS) - 1)
-        self.guess_one, self.guess_two = self.one[r, self.at_one], self.two[r, self.at_two]
-        self.c_one, self.c_two = self.sure_one[r, self.at_one], self.sure_two[r, self.at_two]
-        return self.guess_two, self.guess_one, self.by_two[r, self.c_two] + self.by_one[r, self.c_one]
-
-    def learn(self, n: int, ids: np.ndarray, flag: np.ndarray) -> None:
-        r = self.rows[:n]
-        self.by_two[r, self.c_two, flag] += 1
-        self.by_one[r, self.c_one, flag] += 1
-        for table, sure, at, guess, c in ((self.one, self.sure_one, self.at_one, self.guess_one, self.c_one), (self.two, self.sure_two, self.at_two, self.guess_two, self.c_two)):
-            hit = guess == ids
-            table[r, at] = np.where(hit | (c > 1), guess, ids)  # a sure prediction survives one miss
-            sure[r, at] = np.where(hit, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 0))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-class Writer:
-    def __init__(self, n: int, capacity: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFF, np.uint64)
-        self.out, self.at = np.zeros((n, capacity), np.uint32), np.zeros(n, np.int64)
-
-    def put(self, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, total) -> None:
-        r = self.range[rows] // total.astype(np.uint64) if isinstance(total, np.ndarray) else self.range[rows] // _U(total)
-        low, width = self.low[rows] + begin.astype(np.uint64) * r, size.astype(np.uint64) * r
-        small = width < _U(1 << 16)
-        if small.any():
-            lanes = rows[small]
-            self.out[lanes, self.at[lanes]] = low[small] >> _U(16)  # a carry is the 17th bit
-            self.at[lanes] += 1
-            low[small] = (low[small] & _U(0xFFFF)) << _U(16)
-            width[small] <<= _U(16)
-        self.low[rows], self.range[rows] = low, width
-
-    def end(self) -> list[bytes]:
-        rows = np.arange(len(self.low))
-        for digit in (self.low >> _U(16), self.low & _U(0xFFFF)):
-            self.out[rows, self.at] = digit
-            self.at += 1
-        while (over := self.out >> 16).any():
-            self.out &= 0xFFFF
-            self.out[:, :-1] += over[:, 1:]
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in rows]
-
-
-class Reader:
-    def __init__(self, data: list[bytes]):
-        size = max(map(len, data)) // 2 + 2
-        self.digits = np.zeros((len(data), size), np.uint64)
-        for i, x in enumerate(data):
-            self.digits[i, : len(x) // 2] = np.frombuffer(x, "<u2")
-        self.rel, self.range = self.digits[:, 0] << _U(16) | self.digits[:, 1], np.full(len(data), 0xFFFFFFFF, np.uint64)
-        self.at = np.full(len(data), 2)
-
-    def value(self, rows: np.ndarray, total) -> np.ndarray:
-        total = total.astype(np.uint64) if isinstance(total, np.ndarray) else _U(total)
-        self.step = self.range[rows] // total
-        return np.minimum(self.rel[rows] // self.step, total - _U(1)).astype(np.int64)
-
-    def took(self, rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        rel, width = self.rel[rows] - begin.astype(np.uint64) * self.step, size.astype(np.uint64) * self.step
-        small = width < _U(1 << 16)
-        if small.any():
-            lanes = rows[small]
-            rel[small] = rel[small] << _U(16) | self.digits[lanes, self.at[lanes]]
-            self.at[lanes] += 1
-            width[small] <<= _U(16)
-        self.rel[rows], self.range[rows] = rel, width
+        lane = np.arange(n, dtype=np.int64)
+        self.n_classes = n_classes
+        self.lane_one, self.lane_two, self.lane_odds, self.lane_class, self.lane_slot = lane << FIRST_BITS, lane << SECOND_BITS, lane << 2, lane * n_classes, lane << TOTAL_BITS
+        self.one, self.two = np.zeros(n << FIRST_BITS, np.int32), np.zeros(n << SECOND_BITS, np.int32)
+        self.odds_one, self.odds_two = (np.full(4 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD) for _ in range(2))
+        self.counts = np.ones((n, n_classes), np.int32)
+
+    def rebuild(self, n: int, slots: bool) -> None:
+        """Class frequencies of the common total, each at least one, from the counts; ``slots``: and their inverse."""
+        c = self.counts[:n]
+        total = 1 << TOTAL_BITS
+        f = 1 + c * (total - self.n_classes) // c.sum(1, keepdims=True, dtype=np.int32)
+        f[np.arange(n), c.argmax(1)] += total - f.sum(1, dtype=np.int32)
+        self.size = f.ravel().astype(np.int64)
+        self.begin = ((np.cumsum(f, axis=1) - f) << CLASS_BITS).ravel()
+        if slots:
+            self.slot = np.repeat(np.tile(np.arange(self.n_classes, dtype=np.uint16), n), f.ravel())
+
+    def contexts(self, n: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = (last * 0x9E37 >> 3) & ((1 << FIRST_BITS) - 1)
+        two = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9) & ((1 << SECOND_BITS) - 1)
+        return one + self.lane_one[:n], two + self.lane_two[:n]
+
+    def odds(self, n: int, at_one: np.ndarray, at_two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed counts: order 2 holds, either holds, all."""
+        self.at_one, self.at_two = at_one, at_two
+        self.seen_one, self.seen_two = self.one.take(at_one), self.two.take(at_two)
+        self.sure_one, self.sure_two = self.seen_one & 3, self.seen_two & 3
+        self.by_one, self.by_two = self.lane_odds[:n] + self.sure_one, self.lane_odds[:n] + self.sure_two
+        self.had_one, self.had_two = self.odds_one.take(self.by_one), self.odds_two.take(self.by_two)
+        mixed = self.had_one + self.had_two
+        two = mixed & _MASK
+        return two, two + (mixed >> _FIELD & _MASK), mixed >> 2 * _FIELD
+
+    def learn(self, ids: np.ndarray, hit_one: np.ndarray, hit_two: np.ndarray) -> None:
+        more = np.where(hit_two, _HIT_TWO, np.where(hit_one, _HIT_ONE, _MISS))
+        self.odds_two[self.by_two] = self.had_two + more
+        self.odds_one[self.by_one] = self.had_one + more
+        new = ids << 2
+        for table, at, seen, sure, hit in ((self.two, self.at_two, self.seen_two, self.sure_two, hit_two), (self.one, self.at_one, self.seen_one, self.sure_one, hit_one)):
+            table[at] = np.where(hit, seen + (sure < 3), np.where(sure > 1, seen - 1, new))  # a sure prediction survives one miss
 
 
 def _live(sizes: np.ndarray) -> np.ndarray:
@@ -137,183 +111,268 @@ def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
     """The bytes of blocks of ids, each below n_classes * 256."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(sizes.max())), np.int64)
+    n, steps = len(blocks), int(sizes[0])
+    ids = np.zeros((steps, n), np.int32)
     for k, i in enumerate(order):
-        ids[k, : len(blocks[i])] = blocks[i]
-    model, out = Model(len(blocks), n_classes), Writer(len(blocks), ids.shape[1] * 3 + 4)
-    for t, n in enumerate(_live(sizes)):
-        if t % REBUILD == 0:
-            model.rebuild(n)
-        now, rows = ids[:n, t], model.rows[:n]
-        two, one, f = model.predict(n)
-        flag = np.where(two == now, 0, np.where(one == now, 1, 2))
-        total = f.sum(1)
-        out.put(rows, np.where(flag == 0, 0, np.where(flag == 1, f[:, 0], f[:, 0] + f[:, 1])), f[rows, flag], total)
-        if len(rest := np.flatnonzero(flag == 2)):
-            c = now[rest] >> CLASS_BITS
-            begin = model.begin[rest, c]
-            out.put(rest, begin, model.begin[rest, c + 1] - begin, model.begin[rest, -1])
-            out.put(rest, now[rest] & 255, np.ones(len(rest), np.int64), 256)
-            model.classes[rest, c] += CLASS_STEP
-        model.learn(n, now, flag)
-    data = out.end()
+        ids[: len(blocks[i]), k] = blocks[i]
+    model, live = Model(n, n_classes), _live(sizes)
+    counts = model.counts.reshape(-1)
+    width = 2 * steps + 4
+    out, rows = np.zeros((n, width), np.uint32), np.arange(n)
+    digits, at = out.reshape(-1), rows * width
+    low, reach = np.zeros(n, np.int64), np.full(n, (1 << RANGE_BITS) - 1)
+    last = before = np.zeros(n, np.int64)
+    for first in range(0, steps, REBUILD):
+        n = int(live[first])
+        model.rebuild(n, False)
+        now = ids[first : first + REBUILD, :n].astype(np.int64)
+        history = np.vstack((before[None, :n], last[None, :n], now))
+        before, last = history[-2:]
+        ones, twos = model.contexts(n, history[1:-1], history[:-2])
+        classes = (now >> CLASS_BITS) + model.lane_class[:n]
+        sizes_0 = model.size.take(classes)
+        begins_0 = model.begin.take(classes) + (now & ((1 << CLASS_BITS) - 1)) * sizes_0
+        for t in range(len(now)):
+            n = int(live[first + t])
+            x = ids[first + t, :n]
+            two, either, every = model.odds(n, ones[t, :n], twos[t, :n])
+            hit_one, hit_two = model.seen_one >> 2 == x, model.seen_two >> 2 == x
+            unit = (reach[:n] / every * _DOWN).astype(np.int64)
+            rest = every - either
+            begin = np.where(hit_two, 0, np.where(hit_one, two << _SHARE, (either << _SHARE) + rest * begins_0[t, :n]))
+            size = np.where(hit_two, two << _SHARE, np.where(hit_one, either - two << _SHARE, rest * sizes_0[t, :n]))
+            l, r = low[:n] + begin * unit, size * unit
+            while (small := r < _LEAST).any():
+                digits[at[:n]] = l >> RANGE_BITS - DIGIT_BITS  # a carry is the digit's 21st bit
+                at[:n] += small
+                l = np.where(small, (l & _LEAST - 1) << DIGIT_BITS, l)
+                r = np.where(small, r << DIGIT_BITS, r)
+            low[:n], reach[:n] = l, r
+            counts[classes[t, :n]] += ~(hit_one | hit_two) * np.int32(CLASS_STEP)
+            model.learn(x, hit_one, hit_two)
+    at -= rows * width
+    for digit in (low >> 2 * DIGIT_BITS, low >> DIGIT_BITS & _DIGIT, low & _DIGIT):
+        out[rows, at] = digit
+        at += 1
+    out = out[:, : int(at.max()) + 1 & ~1]
+    while (over := out >> DIGIT_BITS).any():
+        out &= _DIGIT
+        out[:, :-1] += over[:, 1:]
+    pairs = (out[:, 0::2].astype("<u8") | out[:, 1::2].astype("<u8") << np.uint64(DIGIT_BITS)).view(np.uint8).reshape(len(rows), -1, 8)
     result = [b""] * len(blocks)
     for k, i in enumerate(order):
-        result[i] = data[k]
+        result[i] = pairs[k, : (at[k] + 1) // 2, :5].tobytes()
     return result
 
 
 def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[np.ndarray]:
     order = sorted(range(len(data)), key=lambda i: -sizes[i])
     size = np.array([sizes[i] for i in order])
-    ids = np.zeros((len(data), int(size.max())), np.int64)
-    model, code = Model(len(data), n_classes), Reader([data[i] for i in order])
-    levels = int(n_classes - 1).bit_length()
-    for t, n in enumerate(_live(size)):
+    n, steps = len(data), int(size[0])
+    width = max(map(len, data)) // 5 + 4
+    raw = np.zeros((n, width, 8), np.uint8)
+    for k, i in enumerate(order):
+        raw[k, : len(data[i]) // 5, :5] = np.frombuffer(data[i], np.uint8).reshape(-1, 5)
+    pairs = raw.view("<i8")[:, :, 0]
+    digits = np.stack((pairs & _DIGIT, pairs >> DIGIT_BITS), -1).reshape(-1)
+    at = np.arange(n) * 2 * width
+    off = digits[at] << 2 * DIGIT_BITS | digits[at + 1] << DIGIT_BITS | digits[at + 2]  # how far the code lies above low
+    at += 3
+    model, live, reach = Model(n, n_classes), _live(size), np.full(n, (1 << RANGE_BITS) - 1)
+    counts = model.counts.reshape(-1)
+    ids = np.zeros((steps, n), np.int32)
+    last = before = np.zeros(n, np.int64)
+    for t in range(steps):
+        n = int(live[t])
         if t % REBUILD == 0:
-            model.rebuild(n)
-        rows = model.rows[:n]
-        two, one, f = model.predict(n)
-        v = code.value(rows, f.sum(1))
-        first = f[:, 0]
-        both = first + f[:, 1]
-        flag = (v >= first).astype(np.int64) + (v >= both)
-        code.took(rows, np.where(flag == 0, 0, np.where(flag == 1, first, both)), f[rows, flag])
-        now = np.where(flag == 0, two, one).astype(np.int64)
-        if len(rest := np.flatnonzero(flag == 2)):
-            v = code.value(rest, model.begin[rest, -1])
-            c = np.zeros(len(rest), np.int64)  # the last class that begins at v or before
-            for k in range(levels - 1, -1, -1):
-                up = np.minimum(c + (1 << k), n_classes - 1)
-                c = np.where(model.begin[rest, up] <= v, up, c)
-            begin = model.begin[rest, c]
-            code.took(rest, begin, model.begin[rest, c + 1] - begin)
-            low = code.value(rest, 256)
-            code.took(rest, low, np.ones(len(rest), np.int64))
-            now[rest] = c << CLASS_BITS | low
-            model.classes[rest, c] += CLASS_STEP
-        ids[:n, t] = now
-        model.learn(n, now, flag)
+            model.rebuild(n, True)
+        two, either, every = model.odds(n, *model.contexts(n, last[:n], before[:n]))
+        unit = (reach[:n] / every * _DOWN).astype(np.int64)
+        w = off[:n]
+        end_two, end_one = (two << _SHARE) * unit, (either << _SHARE) * unit
+        by_two, miss = w < end_two, w >= end_one
+        share = (every - either) * unit
+        place = w - end_one
+        x = (place / share * _UP).astype(np.int64)
+        x -= x * share > place
+        x *= miss
+        c = model.slot.take(model.lane_slot[:n] + (x >> CLASS_BITS))
+        k = model.lane_class[:n] + c
+        begin, wide = model.begin.take(k), model.size.take(k)
+        in_class = ((x - begin) / wide).astype(np.int32)
+        now = np.where(miss, c.astype(np.int32) << CLASS_BITS | in_class, np.where(by_two, model.seen_two, model.seen_one) >> 2)
+        l = w - np.where(miss, end_one + share * (begin + in_class * wide), np.where(by_two, 0, end_two))
+        r = np.where(miss, share * wide, np.where(by_two, end_two, end_one - end_two))
+        while (small := r < _LEAST).any():
+            l = np.where(small, l << DIGIT_BITS | digits.take(at[:n], mode="clip"), l)
+            at[:n] += small
+            r = np.where(small, r << DIGIT_BITS, r)
+        off[:n], reach[:n] = l, r
+        counts[k] += miss * np.int32(CLASS_STEP)
+        model.learn(now, model.seen_one >> 2 == now, by_two)
+        ids[t, :n] = now
+        last, before = now.astype(np.int64), last
     result: list[np.ndarray] = [None] * len(data)
     for k, i in enumerate(order):
-        result[i] = ids[k, : sizes[i]].astype("<u4")
+        result[i] = ids[: sizes[i], k].astype("<u4")
     return result
 
 
 HEAD = struct.Struct("<IIII")  # ids, bytes, crc32 of the bytes, crc32 of the ids
+TAIL = struct.Struct("<IQQQQ4s")  # classes, documents, groups, where their tables begin and their crc32, MAGIC
 
 
-def write_group(f, ids: np.ndarray, n_classes: int) -> None:
+def group_bytes(ids: np.ndarray, n_classes: int) -> bytes:
     blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
-    for block, data in zip(blocks, encode_blocks(blocks, n_classes)):
-        f.write(HEAD.pack(len(block), len(data), zlib.crc32(data), zlib.crc32(block.astype("<u4").tobytes())) + data)
+    return b"".join(HEAD.pack(len(block), len(data), zlib.crc32(data), zlib.crc32(block.astype("<u4").tobytes())) + data for block, data in zip(blocks, encode_blocks(blocks, n_classes)))
 
 
-def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    """doc_ids and sizes of a file's documents, and its ids in groups of blocks."""
-    if data[:4] != MAGIC or data[-4:] != MAGIC:
-        raise ValueError("not a token file")
-    n_classes, at, n_docs = *struct.unpack_from("<I", data, 4), *struct.unpack_from("<QQ", data, len(data) - 20)
-    docs = zlib.decompress(data[at : len(data) - 20])
-    doc_ids, sizes = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<i8", n_docs, 8 * n_docs)
+def group_ids(data: bytes, n_classes: int) -> Iterator[np.ndarray]:
+    """The blocks of a group, checked."""
+    heads, parts, at = [], [], 0
+    while at < len(data):
+        heads.append(HEAD.unpack_from(data, at))
+        parts.append(data[at + HEAD.size : at + HEAD.size + heads[-1][1]])
+        at += HEAD.size + heads[-1][1]
+    if any(zlib.crc32(p) != h[2] for h, p in zip(heads, parts)):
+        raise ValueError("a damaged block")
+    for h, ids in zip(heads, decode_blocks(parts, [h[0] for h in heads], n_classes)):
+        if zlib.crc32(ids.tobytes()) != h[3]:
+            raise ValueError("a block that decodes to other ids")
+        yield ids
 
-    def groups() -> Iterator[np.ndarray]:
-        here = 8
-        while here < at:
-            heads, parts = [], []
-            while here < at and len(heads) < GROUP_BLOCKS:
-                heads.append(HEAD.unpack_from(data, here))
-                parts.append(data[here + HEAD.size : here + HEAD.size + heads[-1][1]])
-                here += HEAD.size + heads[-1][1]
-            if any(zlib.crc32(p) != h[2] for h, p in zip(heads, parts)):
-                raise ValueError("a damaged block")
-            for h, ids in zip(heads, decode_blocks(parts, [h[0] for h in heads], n_classes)):
-                if zlib.crc32(ids.tobytes()) != h[3]:
-                    raise ValueError("a block that decodes to other ids")
-                yield ids
 
-    return doc_ids, sizes, groups()
+class Writer:
+    """A token file that grows by whole groups of blocks."""
+
+    def __init__(self, f, n_classes: int):
+        self.f, self.n_classes, self.docs, self.groups = f, n_classes, [], []
+        self.held, self.n_held, self.whole = [], 0, BLOCK_IDS * GROUP_BLOCKS
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, at: np.ndarray) -> None:
+        """Documents whose ids lie behind each other, and their n + 1 offsets."""
+        self.docs += [(i is not None, i or 0, n) for i, n in zip(doc_ids, np.diff(at).tolist())]
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= self.whole:
+            self._flush(self.n_held // self.whole * self.whole)
+
+    def _flush(self, n: int) -> None:
+        every = np.concatenate(self.held)
+        for at in range(0, n, self.whole):
+            data = group_bytes(every[at : min(at + self.whole, n)], self.n_classes)
+            self.f.write(data)
+            self.groups.append(len(data))
+        self.held, self.n_held = [every[n:].copy()], len(every) - n
+
+    def end(self) -> int:
+        """Bytes of the file."""
+        if self.n_held:
+            self._flush(self.n_held)
+        at = sum(self.groups)
+        tables = zlib.compress(np.array(self.docs, "<i8").T.tobytes() + np.array(self.groups, "<i8").tobytes(), 1)
+        tail = tables + TAIL.pack(self.n_classes, len(self.docs), len(self.groups), at, zlib.crc32(tables), MAGIC)
+        self.f.write(tail)
+        return at + len(tail)
 
 
-MANIFEST = "file string, first_doc long, n_docs long, n_tokens long, n_bytes long"
+class Reader:
+    """A token file of which one group is held at a time."""
+
+    def __init__(self, f, size: int):
+        self.f = f
+        n_classes, n_docs, n_groups, at, crc, magic = TAIL.unpack(f.read_at(TAIL.size, size - TAIL.size))
+        tables = f.read_at(size - TAIL.size - at, at)
+        if magic != MAGIC or zlib.crc32(tables) != crc:
+            raise ValueError("not a token file")
+        raw = np.frombuffer(zlib.decompress(tables), "<i8")
+        named, self.doc_ids, self.sizes = raw[: 3 * n_docs].reshape(3, n_docs)
+        self.nameless, self.groups, self.n_classes = named == 0, raw[3 * n_docs :], n_classes
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        at = 0
+        for size in self.groups.tolist():
+            yield from group_ids(self.f.read_at(size, at), self.n_classes)
+            at += size
+
+
+MANIFEST = "file string, named boolean, first_doc long, first_hash long, n_docs long, n_tokens long, n_bytes long"
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(folder)
     tokenizer = word_tokenizer(path)
     n_classes = (len(tokenizer.ends_word) - 1 >> CLASS_BITS) + 1
-    name, doc_ids, sizes, held, n_held = f"{uuid.uuid4().hex}.cmx", [], [], [], 0
-    f, group = None, BLOCK_IDS * GROUP_BLOCKS
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-        for i in range(0, len(texts), 100):
-            for doc_id, data in zip(ids[i : i + 100], tokenizer.batch(texts[i : i + 100])):
-                doc_ids.append(doc_id)
-                sizes.append(len(data) // 4)
-                held.append(data)
-                n_held += len(data) // 4
-            if n_held >= group or not f:
-                if not f:
-                    f = store.open_output_stream(f"{root}/{name}", compression=None)
-                    f.write(MAGIC + struct.pack("<I", n_classes))
-                every = np.frombuffer(b"".join(held), "<u4")
-                cut = len(every) // group * group
-                if cut:
-                    write_group(f, every[:cut], n_classes)
-                held, n_held = [every[cut:].tobytes()], len(every) - cut
-    if f:
-        if n_held:
-            write_group(f, np.frombuffer(b"".join(held), "<u4"), n_classes)
-        at = f.tell()
-        f.write(zlib.compress(np.array([doc_ids, sizes], "<i8").tobytes(), 1) + struct.pack("<QQ", at, len(doc_ids)) + MAGIC)
-        size = f.tell()
-        f.close()
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, doc_ids[0], len(doc_ids), sum(sizes), size)], names=[x.split()[0] for x in MANIFEST.split(", ")])
-
-
-def write_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
-    """The manifest of the files, a row for each, and their folder. Documents go to files by ranges of doc_id."""
+    name, first, out = f"{uuid.uuid4().hex}.cmx", None, None
+    for batch in chain.from_iterable(slices(b, 1) for b in batches):
+        ids = batch.column(0).to_pylist()
+        if out is None:
+            first = (ids[0] is not None, ids[0] or 0, batch.column(2)[0].as_py())
+            out = Writer(store.open_output_stream(f"{root}/{name}", compression=None), n_classes)
+        out.add(ids, *tokenizer.encoded(batch.column(1)))
+    if out is not None:
+        size = out.end()
+        out.f.close()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, *first, len(out.docs), sum(n for *_, n in out.docs), size)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+
+
+def write_files(docs: DataFrame, path: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
+    """The manifest of the files, a row for each, and their folder. Documents go to files by ranges of doc_id, of which
+    there are so many that a file holds about ``file_bytes`` of text."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch(spark, "token-files")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    docs = docs.select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // file_bytes)
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    dealt = hashed.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     return written(dealt.mapInArrow(partial(_write, folder=folder, path=path or word_file()), MANIFEST), "token-manifest"), folder
 
 
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _documents(reader: Reader) -> Iterator[int]:
+    """The crc32 of each document's ids, in order; of a document no more than a block is held."""
+    left, crc, k = 0, 0, -1
+    sizes = reader.sizes.tolist()
+    for ids in reader.blocks():
+        data = memoryview(ids).cast("B")
+        at = 0
+        while at < len(data):
+            if not left:
+                k += 1
+                left, crc = 4 * sizes[k], 0
+            end = min(len(data), at + left)
+            crc = zlib.crc32(data[at:end], crc)
+            left -= end - at
+            at = end
+            if not left:
+                yield crc
+    if left or k + 1 != len(sizes):
+        raise ValueError("a token file doesn't hold what it lists")
+
+
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(folder)
     for batch in batches:
-        for name, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for name, begin, size in zip(*(c.to_pylist() for c in batch.columns)):
             with store.open_input_file(f"{root}/{name}") as f:
-                doc_ids, sizes, groups = read_file(f.read())
-            crc, held = [], np.zeros(0, "<u4")
-            for ids in groups:
-                held = np.concatenate((held, ids))
-                at = 0
-                while len(crc) < len(sizes) and at + sizes[len(crc)] <= len(held):
-                    end = at + int(sizes[len(crc)])
-                    crc.append(zlib.crc32(held[at:end].tobytes()))
-                    at = end
-                held = held[at:]
-            if len(crc) != len(sizes) or len(held):
-                raise ValueError(f"{name} doesn't hold what it lists")
-            starts = begin + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64())], names=[x.split()[0] for x in OUT.split(", ")])
+                reader = Reader(f, size)
+                crc = np.fromiter(_documents(reader), np.int64, len(reader.sizes))
+            starts = begin + np.cumsum(reader.sizes) - reader.sizes
+            yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids, mask=reader.nameless), pa.array(starts), pa.array(reader.sizes), pa.array(crc)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files' bytes."""
-    ahead = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("begin"))
+    ahead = Window.orderBy("named", "first_doc", "first_hash", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("begin"), "n_bytes")
     n = max(1, manifest.count())
-    small_batches(manifest.sparkSession)
     return placed.repartitionByRange(n, "begin").mapInArrow(partial(_read, folder=folder), OUT)
 
 

@@ -5,21 +5,21 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from fluvia.llm.common import WORD_PATTERN, byte_letters
+from fluvia.llm.common import byte_letters
 
 #: The id behind every document.
 END_ID = 2
 SEPARATOR = "<|startoftext|>"
-_WORDS = re.compile(WORD_PATTERN)
 #: A line of lower-case Latin letters with a stop or comma behind them, or any line.
 _PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
 #: How byte-level vocabularies write the two UTF-8 bytes of the Latin letters above.
 _LETTERS = {c: "".join(map(byte_letters().__getitem__, chr(c).encode())) for c in range(0xC0, 0x100)}
-_END = np.array([END_ID], "<u4").tobytes()
 
 
 def word_file() -> str:
@@ -93,25 +93,34 @@ class WordTokenizer:
         for w, core, tail in parts:
             known[w] = known[core] + known[tail] if tail else known[core]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids and the end id."""
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with their end ids behind each other, and n + 1 offsets; nulls are empty.
+
+        Arrow splits the texts and numbers their distinct words, so that Python sees each word of a batch once."""
         if len(self.known) > self.most_words:
             self.known = dict(islice(self.known.items(), self.kept_words))
-        known = self.known
-        split = [_WORDS.findall(text) for text in texts]
-        here = dict.fromkeys(chain.from_iterable(split))  # small, so it stays in the processor's cache
-        new = []
-        for w in here:
-            if (ids := known.get(w)) is None:
-                new.append(w)
-            else:
-                here[w] = ids
-        if new:
+        split = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
+        numbered = split.flatten().dictionary_encode()
+        code, names, known = numbered.indices.to_numpy(), numbered.dictionary.to_pylist(), self.known
+        if new := [w for w in names if w not in known and w]:
             self._learn(new)
-            for w in new:
-                here[w] = known[w]
-        get = here.__getitem__
-        return [b"".join([*map(get, words), _END]) for words in split]
+        data = [known[w] if w else b"" for w in names]
+        size, pool = np.fromiter(map(len, data), np.int64, len(data)) // 4, np.frombuffer(b"".join(data), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[code]
+        end = np.concatenate(([0], np.cumsum(n)))
+        at = split.offsets.to_numpy()
+        texts = end[at - at[0]] + np.arange(len(at))  # every text before has an end id
+        out, inner = np.empty(int(texts[-1]), "<u4"), np.ones(int(texts[-1]), bool)
+        inner[texts[1:] - 1] = False
+        out[texts[1:] - 1] = END_ID
+        out[inner] = pool[np.repeat(begin[code] - end[:-1], n) + np.arange(end[-1])]
+        return out, texts
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids and the end id."""
+        ids, at = self.encoded(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 @lru_cache(2)

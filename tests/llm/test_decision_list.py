@@ -49,3 +49,26 @@ def test_without_labels_base_rules_decide(spark):
     got = {r.doc_id: r.q_kept for r in d.apply(df, rules).collect()}
     assert got == {1: False, 2: True, 3: False}
     assert d.apply(df.filter(F.lit(False)), rules).count() == 0
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    docs = [(i, t) for i, t in enumerate(texts())] + [(100 + i, " ".join(f"w{j * (i + 3) % 97}" for j in range(60))) for i in range(80)]
+    docs += [(300 + i, " ".join(f"w{j * (i + 3) % 97}##" for j in range(60))) for i in range(60)] + [(101, docs[11][1]), (None, docs[12][1])]
+    spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, q_kept string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 300)) for i, _ in docs if i is not None and i >= 100] + [(None, 1), (5000, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rules = d.learn(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert rules.rules
+
+    def row(i, t):
+        n_words, chars, symbols, dup, repeats = brute(t)
+        words, lines = W.findall(t or ""), [x for x in (t or "").split("\n") if W.search(x)]
+        feature = {
+            "word_length": chars / max(1, n_words), "symbol_ratio": symbols / max(1, n_words), "bang_ratio": (t or "").count("!") / max(1, n_words), "upper_ratio": sum(c.isupper() for c in t or "") / max(1, chars),
+            "dup_line_ratio": dup / max(1, len(lines)), "repeat_ratio": repeats / max(1, n_words), "distinct_ratio": len(set(words)) / max(1, n_words), "line_words": n_words / max(1, len(lines)),
+        }
+        failed = n_words < 20 or 100 * repeats > 30 * n_words
+        hit = any(all((feature[c.feature] > c.threshold) == c.above for c in rule) for rule in rules.rules)
+        return (i, n_words, chars, symbols, dup, repeats, failed, not failed and not hit)
+
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in d.op3_decision_list(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([row(i, t) for i, t in docs], key=str)

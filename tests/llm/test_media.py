@@ -59,3 +59,21 @@ def test_query_on_odd_texts(spark, tmp_path):
     (tmp_path / "none").mkdir()
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
     assert m.op1_media_columns(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_features_come_from_the_resampled_pcm(spark, tmp_path):
+    texts = [None, "a", "é" * 32, "x" * 64, "y" * 65, *(f"telephone {i} " * (i + 1) for i in range(12))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    h, codecs = np.sinc(np.arange(-16, 17) / 2) * np.hamming(33), set()
+    for r in m.op1_media_columns(spark, str(tmp_path)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        codecs.add(r.codec)
+        x = [v for i in range(0, len(payload), 64) for v in ima_one(payload[i : i + 64])] if r.codec == "ima_adpcm" else [int(m.EXPAND[r.codec][b]) for b in payload]
+        y = [sum(x[k] * h[16 + n - 2 * k] for k in range(max(0, (n - 15) // 2), min(len(x), n // 2 + 9)) if 0 <= 16 + n - 2 * k <= 32) for n in range(2 * len(x))]
+        y = np.clip(np.rint(np.array(y) + 0.0), -32768, 32767).astype("<i2")
+        parts = dict(p.split("=") for p in r.feature.split(";"))
+        assert int(parts["samples"]) == len(y) and abs(float(parts["rms"]) - np.sqrt((y.astype(float) ** 2).mean())) < 0.01
+        assert int(parts["peak"]) == int(np.abs(y.astype(int)).max()) and int(parts["crossings"]) == int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0)))
+        assert int(parts["pcm_crc32"]) == zlib.crc32(y.tobytes())
+    assert codecs == set(m.CODECS)

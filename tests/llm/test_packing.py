@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,9 +45,12 @@ def test_steps_are_full_and_the_last_ones_alike():
 
 def test_word_by_word_ids_are_the_library_ids():
     t = WordTokenizer(word_file())
-    texts = ["", "Straße, À. ÀÉ ÿ, ÷ × don. x.y a,b .", "é ́x a\x85b c", "<|endoftext|> a<|startoftext|>b <|endoftext |>", "ΣΑΣ ΟΔΟΣ. İI", "it's I'LL don't", "１２３ ½ \x1cy", "long" * 3000]
+    texts = ["", "Straße, À. ÀÉ ÿ, ÷ × don. x.y a,b .", "é ́x a\x85b c", "<|endoftext|> a<|startoftext|>b <|endoftext |>", "ΣΑΣ ΟΔΟΣ. İI", "it's I'LL don't", "１２３ ½ \x1cy", "long" * 3000, " \t\x0b\x0ca\r\n\n b\x1fc\x85 ", "\u2003x\u3000y\xa0z"]
     for text, ids in zip(texts, t.batch(texts)):
         assert np.frombuffer(ids, np.uint32).tolist() == [*t.library.encode(text, add_special_tokens=False).ids, END_ID]
+    ids, at = t.encoded(pa.array([None, *texts, None], pa.string()).slice(3, 5))
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == t.batch(texts)[2:7]
+    assert t.encoded(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_query_covers_every_id(spark, tmp_path):

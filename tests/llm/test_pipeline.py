@@ -69,3 +69,12 @@ def test_one_whole_copy_of_a_group_above_the_ratio_survives(spark, tmp_path):
     assert all(texts[i] == t for i, t in rows if 100 <= i <= 130) and texts[131] == "a line of its own" and texts[132] == "shared menu line\n"
     kept = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, lines, str(tmp_path)).collect()}
     assert [i for i in sorted(kept) if 100 <= i <= 130] == [100] and kept[100] == copy
+
+
+def test_rows_that_share_or_lack_an_id(spark, tmp_path):
+    words = lambda k: " ".join(f"w{(k * 131 + j * 7) % 911}" for j in range(60))
+    rows = [(1, words(2), {"a": 1}), (1, words(1), {"a": 2}), (2, words(3), None), (None, words(3), None), (None, None, None), (3, words(3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, min(words(1), words(2))), (2, words(3)), (None, words(3)), (None, None)], key=str)

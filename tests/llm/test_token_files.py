@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,8 +32,37 @@ def test_damage_is_seen(spark, tmp_path):
     path = folder.removeprefix("file://") + "/" + manifest.first().file
     data = bytearray(open(path, "rb").read())
     data[30] ^= 1
-    with pytest.raises(ValueError):
-        list(t.read_file(bytes(data))[2])
+    open(path, "wb").write(data)
+    with pytest.raises(ValueError), pa.memory_map(path) as f:
+        list(t.Reader(f, len(data)).blocks())
+
+
+def test_files_of_many_groups(tmp_path, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK_IDS", 16)
+    monkeypatch.setattr(t, "GROUP_BLOCKS", 3)
+    docs = [(None if k == 2 else k, np.arange(k * 13 % 140, dtype="<u4")) for k in range(1, 40)]
+    path = str(tmp_path / "x.cmx")
+    with pa.OSFile(path, "wb") as f:
+        out = t.Writer(f, 193)
+        for doc_id, ids in docs:
+            out.add([doc_id], np.append(ids, 2).astype("<u4"), np.array([0, len(ids) + 1]))
+        size = out.end()
+    assert len(out.groups) > 20
+    with pa.memory_map(path) as f:
+        r = t.Reader(f, size)
+        assert [None if x else i for i, x in zip(r.doc_ids.tolist(), r.nameless)] == [i for i, _ in docs]
+        assert [*t._documents(r)] == [zlib.crc32(np.append(ids, 2).astype("<u4").tobytes()) for _, ids in docs]
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(5, "b c"), (5, "a"), (5, "b c"), (None, "x y z"), (1, "q")]
+    got = t.read_documents(*t.write_files(spark.createDataFrame(rows, "doc_id long, text string"), file_bytes=1)).collect()
+    assert sorted(((r.doc_id or -1), r.n_tokens) for r in got) == sorted((i or -1, n) for i, n in [(5, 3), (5, 2), (5, 3), (None, 4), (1, 2)])
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert min(got, key=lambda r: r.start).doc_id is None
 
 
 def test_query_gives_ascending_starts(spark, tmp_path):
