@@ -135,6 +135,11 @@ def segment_table(df: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame
     return df.filter("seg_id IS NOT NULL").groupBy(*keys, "seg_id").agg(F.min("d").alias("start_d"), F.max("d").alias("end_d"), F.count(F.lit(1)).alias("n_days"), F.count("t_water").alias("n_obs"))
 
 
+def segment_warnings(segments: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Of each series: segments of less than a year, and whether there are more than two."""
+    return segments.groupBy(*keys).agg(F.count_if(F.col("n_days") < 365).alias("n_short"), (F.count(F.lit(1)) > 2).alias("many"))
+
+
 def block_table(df: DataFrame, min_days: int = 30, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Valid, short and gap blocks with their bounds and lengths."""
     blocks = islands(df, analysis_valid(), keys).groupBy(*keys, "block", "valid").agg(F.min("d").alias("start_d"), F.max("d").alias("end_d"), F.count(F.lit(1)).alias("n_days"), F.count("t_water").alias("n_obs"))

@@ -172,7 +172,9 @@ def run(spark: SparkSession, c: Config, calibration: DataFrame | None = None, va
     out.csv("calibration", files.output_series(series, c.resolution, c.prc, c.gap_tolerant))
     if c.gap_tolerant:
         out.csv("gaps", reports.gap_summary(forcing, c.version, c.min_days, c.qmedia))
-        out.csv("segments", prep.segment_table(prep.with_segments(forcing, c.version, c.min_days)))
+        segments = written(prep.segment_table(prep.with_segments(forcing, c.version, c.min_days)), "segments")
+        out.csv("segments", segments)
+        out.csv("segment_warnings", prep.segment_warnings(segments))
     out.csv("goodness_of_fit", metrics.goodness_of_fit(series.select("site", F.col("t_water").alias("obs"), F.col("t_water_sim").alias("sim")), len(ACTIVE[c.version])))
     if c.mode in ("DE-MCMC", "DE-CV-MCMC"):
         _chains(forcing, best, series, c, out)
@@ -223,7 +225,7 @@ def _forward_intervals(spark: SparkSession, forcing: DataFrame, best: DataFrame,
 
 def _sensitivity(forcing: DataFrame, best: DataFrame, c: Config, out: files.Outputs) -> None:
     low, high = c.bounds()
-    table = uncertainty.sensitivity_of(days_of(forcing, c), best.select("site", "p"), low, high, tuple(c.perturbations), c.version, c.integrator, c.ice)
+    table = uncertainty.sensitivity_of(written(days_of(forcing, c), "days"), best.select("site", "p"), low, high, tuple(c.perturbations), c.version, c.integrator, c.ice)
     table = written(table, "sensitivity")
     out.csv("sensitivity", table)
     out.csv("sensitivity_by_perturbation", reports.sensitivity_columns(table, tuple(c.perturbations)))

@@ -17,7 +17,9 @@ from fluvia.functions import kernels, stats
 from fluvia.functions.dates import doy0, water_year, year_fraction
 from fluvia.operators import metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
+from fluvia.plans import runs
 from fluvia.sources import files
+from fluvia.sources.config import Config
 from fluvia.sources.scratch import written
 
 MIN_DAYS, WARMUP_DAYS = 10, 2
@@ -244,6 +246,7 @@ _query("agg4_pre1_summary", "site:s n_valid:i n_short:i n_gap:i valid_days:i val
 _query("agg5_qmedia", "site:s qmedia:d n_q:i", lambda s, p: prep.qmedia(forcing(s, p)), "SELECT * FROM qm", QMEDIA)
 _query("agg6_win8_climatology", "site:s doy0:i t:d", lambda s, p: prep.climatology(forcing(s, p)), "SELECT * FROM clim", CLIMATOLOGY)
 _query("win1_segments", "site:s seg_id:i start_d:s end_d:s n_days:i n_obs:i", lambda s, p: prep.segment_table(prep.with_segments(forcing(s, p), 8, MIN_DAYS)), "SELECT * FROM seg", _segments())
+_query("win1_segment_warnings", "site:s n_short:i many:s", lambda s, p: prep.segment_warnings(prep.segment_table(prep.with_segments(forcing(s, p), 8, MIN_DAYS))), "SELECT site, count(*) FILTER (WHERE n_days < 365) AS n_short, count(*) > 2 AS many FROM seg GROUP BY site", _segments())
 _query("win3_eval_mask", "site:s d:s in_eval:s", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, in_eval FROM days", _segments())
 _query("win4_midpoints", "site:s d:s mid:d", lambda s, p: forcing(s, p).withColumn("mid", prep.midpoints("t_air")), "SELECT site, d, (t_air + lead(t_air) OVER (PARTITION BY site ORDER BY d)) / 2 AS mid FROM forcing")
 _query("win7_rolling_mean", "site:s d:s m:d", lambda s, p: forcing(s, p).withColumn("m", reports.rolling_mean("t_air")), "SELECT site, d, avg(t_air) OVER (PARTITION BY site ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM forcing")
@@ -323,6 +326,14 @@ _query("snk5_validation_series", _SERIES_COLUMNS, lambda s, p: _output(s, p, "19
 _query("prj11_combined_simulation", "site:s d:s t:d", lambda s, p: (x := simulated(s, p)).join(metrics.periods(x, "1w", 0.5, "tw").select("site", F.col("placed_d").alias("d"), "sim"), ["site", "d"], "left").withColumn("t", reports.combined("sim", "tw")), "SELECT ser.site, ser.d, coalesce(per.sim, ser.tw) AS t FROM ser LEFT JOIN per ON per.site = ser.site AND per.placed_d = ser.d", SIMULATED + "," + _period_sql("1w", 0.5))
 _query("snk6_gap_summary", "site:s qmedia:d n_days:i t_air_missing:i t_air_share:d q_missing:i q_share:d n_segments:i valid_days:i n_obs:i", lambda s, p: reports.gap_summary(forcing(s, p), 8, MIN_DAYS), "SELECT f.site, any_value(qmedia) AS qmedia, count(*) AS n_days, count(*) - count(f.t_air) AS t_air_missing, 1 - count(f.t_air) / count(*) AS t_air_share, count(*) - count(f.q) AS q_missing, 1 - count(f.q) / count(*) AS q_share, count(DISTINCT seg_id) AS n_segments, count(seg_id) AS valid_days, count(f.t_water) AS n_obs FROM forcing f JOIN days ON days.site = f.site AND days.d = f.d JOIN qm ON qm.site = f.site GROUP BY f.site", f"{_segments()},{QMEDIA}")
 
+
+
+def _forward(s: SparkSession, p: str) -> DataFrame:
+    return runs.best_of(settled(s, p), Config(mode="FORWARD", parameters=P, gap_tolerant=True, min_days=MIN_DAYS, warmup_days=WARMUP_DAYS))
+
+
+_query("fwd1_forward_score", "site:s score:d", _forward, f"SELECT site, nse AS score FROM ({_SCORES})", _DAILY)
+
 # many evaluations
 _MANY = f"{DESIGN},{_simulation(8, 'RK4')},\nens AS (SELECT pid, s.site, s.seg_id, s.i, d.d, tw, t_water, in_eval FROM sim s JOIN days d ON d.site = s.site AND d.seg_id = s.seg_id AND d.seg_day = s.i)"
 _MANY_SCORES = """SELECT e.site, pid AS param_id, count(*) AS n, 1 - sum((tw - t_water) * (tw - t_water)) / any_value(tss) AS nse, pow(covar_pop(tw, t_water) * count(*), 2) / (var_pop(tw) * count(*) * any_value(tss)) AS r2, avg(abs(tw - t_water)) AS mae,
@@ -360,8 +371,8 @@ _SENS = _perturbed(1.0)
 _SENS_PAR = "\npar AS (" + " UNION ALL ".join(f"SELECT {2 * k + side} AS pid, " + ", ".join(f"{x!r}::DOUBLE AS p{j + 1}" for j, x in enumerate(r[side])) for k, r in enumerate(_SENS) for side in (0, 1)) + ")"
 _SENS_MANY = f"{_SENS_PAR},{_MANY.removeprefix(DESIGN + ',')}"
 _SENS_BODY = "SELECT x.site, r.parameter, avg(a - b) / any_value(r.relative) AS sensitivity, 'Active' AS status FROM (SELECT site, pid // 2 AS run, seg_id, i, max(tw) AS a, min(tw) AS b FROM ens WHERE in_eval AND t_water IS NOT NULL GROUP BY ALL) x JOIN (VALUES " + ", ".join(f"({k}, {k + 1}, {r[2]!r}::DOUBLE)" for k, r in enumerate(_SENS)) + ") r(run, parameter, relative) ON r.run = x.run WHERE a < 50 GROUP BY 1, 2"
-_query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), _SENS_BODY, _SENS_MANY)
-_query("joi9_sensitivity_columns", "site:s parameter:i sensitivity_1:d", lambda s, p: reports.sensitivity_columns(uncertainty.sensitivity(days(s, p), list(P), list(LOW), list(HIGH)), (1.0,)), f"SELECT site, parameter, sensitivity AS sensitivity_1 FROM ({_SENS_BODY})", _SENS_MANY)
+_query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(written(days(s, p), "days"), list(P), list(LOW), list(HIGH)), _SENS_BODY, _SENS_MANY)
+_query("joi9_sensitivity_columns", "site:s parameter:i sensitivity_1:d", lambda s, p: reports.sensitivity_columns(uncertainty.sensitivity(written(days(s, p), "days"), list(P), list(LOW), list(HIGH)), (1.0,)), f"SELECT site, parameter, sensitivity AS sensitivity_1 FROM ({_SENS_BODY})", _SENS_MANY)
 _query("noi2_ar1_noise", "site:s seg_id:i seg_day:i noise:d", lambda s, p: uncertainty.ar1_noise(prep.with_segments(forcing(s, p), 8, MIN_DAYS).filter("seg_id IS NOT NULL"), 0.8, 0.6, z=(F.col("seg_day") * 7919 + F.col("seg_id") * 104729) % 10007 / 10007.0 - 0.5), "SELECT site, seg_id, i AS seg_day, y AS noise FROM n", _segments() + ",\nz AS (SELECT site, seg_id, seg_day AS i, (seg_day * 7919 + seg_id * 104729) % 10007 / 10007.0::DOUBLE - 0.5 AS z FROM days WHERE seg_id IS NOT NULL),\nn(site, seg_id, i, y) AS (SELECT site, seg_id, i, 0.8 * z FROM z WHERE i = 1 UNION ALL SELECT n.site, n.seg_id, z.i, 0.6 * n.y + 0.8 * sqrt(1 - 0.36::DOUBLE) * z.z FROM n JOIN z ON z.site = n.site AND z.seg_id = n.seg_id AND z.i = n.i + 1)")
 _query("set3_burn_in", "sample_id:i step:i", lambda s, p: reports.burned(chain(s, p), 7), "SELECT l_orderkey * 10 + l_linenumber AS sample_id, l_linenumber AS step FROM lineitem WHERE l_linenumber >= 2", base=False)
 
