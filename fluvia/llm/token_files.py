@@ -62,7 +62,7 @@ class Model:
         lane = np.arange(n, dtype=np.int64)
         self.n_classes = n_classes
         self.lane_one, self.lane_two, self.lane_odds, self.lane_class, self.lane_slot = lane << FIRST_BITS, lane << SECOND_BITS, lane << 2, lane * n_classes, lane << TOTAL_BITS
-        self.one, self.two = np.zeros(n << FIRST_BITS, np.int32), np.zeros(n << SECOND_BITS, np.int32)
+        self.one, self.two = np.full(n << FIRST_BITS, 0, np.int32), np.full(n << SECOND_BITS, 0, np.int32)
         self.odds_one, self.odds_two = (np.full(4 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD) for _ in range(2))
         self.counts = np.ones((n, n_classes), np.int32)
 
@@ -93,13 +93,19 @@ class Model:
         two = mixed & _MASK
         return two, two + (mixed >> _FIELD & _MASK), mixed >> 2 * _FIELD
 
-    def learn(self, ids: np.ndarray, hit_one: np.ndarray, hit_two: np.ndarray) -> None:
-        more = np.where(hit_two, _HIT_TWO, np.where(hit_one, _HIT_ONE, _MISS))
-        self.odds_two[self.by_two] = self.had_two + more
-        self.odds_one[self.by_one] = self.had_one + more
+    def learn(self, ids: np.ndarray, hits: np.ndarray, hit_one: np.ndarray, hit_two: np.ndarray) -> None:
+        """hits: where a prediction holds. Misses are the rule and are written first, the other lanes over them."""
+        self.odds_two[self.by_two] = self.had_two + _MISS
+        self.odds_one[self.by_one] = self.had_one + _MISS
+        if len(hits):
+            more = np.where(hit_two[hits], _HIT_TWO, _HIT_ONE) - _MISS
+            self.odds_two[self.by_two[hits]] += more
+            self.odds_one[self.by_one[hits]] += more
         new = ids << 2
         for table, at, seen, sure, hit in ((self.two, self.at_two, self.seen_two, self.sure_two, hit_two), (self.one, self.at_one, self.seen_one, self.sure_one, hit_one)):
-            table[at] = np.where(hit, seen + (sure < 3), np.where(sure > 1, seen - 1, new))  # a sure prediction survives one miss
+            table[at] = new
+            if len(stay := np.flatnonzero(hit | (sure > 1))):  # a sure prediction survives one miss
+                table[at[stay]] = seen[stay] + np.where(hit[stay], sure[stay] < 3, -1)
 
 
 def _live(sizes: np.ndarray) -> np.ndarray:
@@ -138,9 +144,11 @@ def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
             two, either, every = model.odds(n, ones[t, :n], twos[t, :n])
             hit_one, hit_two = model.seen_one >> 2 == x, model.seen_two >> 2 == x
             unit = (reach[:n] / every * _DOWN).astype(np.int64)
-            rest = every - either
-            begin = np.where(hit_two, 0, np.where(hit_one, two << _SHARE, (either << _SHARE) + rest * begins_0[t, :n]))
-            size = np.where(hit_two, two << _SHARE, np.where(hit_one, either - two << _SHARE, rest * sizes_0[t, :n]))
+            rest, hits = every - either, np.flatnonzero(hit_one | hit_two)
+            begin, size = (either << _SHARE) + rest * begins_0[t, :n], rest * sizes_0[t, :n]
+            if len(hits):
+                second, a, b = hit_two[hits], two[hits] << _SHARE, either[hits] << _SHARE
+                begin[hits], size[hits] = np.where(second, 0, a), np.where(second, a, b - a)
             l, r = low[:n] + begin * unit, size * unit
             while (small := r < _LEAST).any():
                 digits[at[:n]] = l >> RANGE_BITS - DIGIT_BITS  # a carry is the digit's 21st bit
@@ -148,8 +156,9 @@ def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
                 l = np.where(small, (l & _LEAST - 1) << DIGIT_BITS, l)
                 r = np.where(small, r << DIGIT_BITS, r)
             low[:n], reach[:n] = l, r
-            counts[classes[t, :n]] += ~(hit_one | hit_two) * np.int32(CLASS_STEP)
-            model.learn(x, hit_one, hit_two)
+            counts[classes[t, :n]] += CLASS_STEP
+            counts[classes[t, hits]] -= CLASS_STEP
+            model.learn(x, hits, hit_one, hit_two)
     at -= rows * width
     for digit in (low >> 2 * DIGIT_BITS, low >> DIGIT_BITS & _DIGIT, low & _DIGIT):
         out[rows, at] = digit
@@ -190,26 +199,30 @@ def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[n
         unit = (reach[:n] / every * _DOWN).astype(np.int64)
         w = off[:n]
         end_two, end_one = (two << _SHARE) * unit, (either << _SHARE) * unit
-        by_two, miss = w < end_two, w >= end_one
+        by_two, hits = w < end_two, np.flatnonzero(w < end_one)
         share = (every - either) * unit
         place = w - end_one
         x = (place / share * _UP).astype(np.int64)
         x -= x * share > place
-        x *= miss
+        x[hits] = 0
         c = model.slot.take(model.lane_slot[:n] + (x >> CLASS_BITS))
         k = model.lane_class[:n] + c
         begin, wide = model.begin.take(k), model.size.take(k)
         in_class = ((x - begin) / wide).astype(np.int32)
-        now = np.where(miss, c.astype(np.int32) << CLASS_BITS | in_class, np.where(by_two, model.seen_two, model.seen_one) >> 2)
-        l = w - np.where(miss, end_one + share * (begin + in_class * wide), np.where(by_two, 0, end_two))
-        r = np.where(miss, share * wide, np.where(by_two, end_two, end_one - end_two))
+        now = c.astype(np.int32) << CLASS_BITS | in_class
+        l, r = place - share * (begin + in_class * wide), share * wide
+        if len(hits):
+            second, a, b = by_two[hits], end_two[hits], end_one[hits]
+            now[hits] = np.where(second, model.seen_two[hits], model.seen_one[hits]) >> 2
+            l[hits], r[hits] = w[hits] - np.where(second, 0, a), np.where(second, a, b - a)
         while (small := r < _LEAST).any():
             l = np.where(small, l << DIGIT_BITS | digits.take(at[:n], mode="clip"), l)
             at[:n] += small
             r = np.where(small, r << DIGIT_BITS, r)
         off[:n], reach[:n] = l, r
-        counts[k] += miss * np.int32(CLASS_STEP)
-        model.learn(now, model.seen_one >> 2 == now, by_two)
+        counts[k] += CLASS_STEP
+        counts[k[hits]] -= CLASS_STEP
+        model.learn(now, hits, model.seen_one >> 2 == now, by_two)
         ids[t, :n] = now
         last, before = now.astype(np.int64), last
     result: list[np.ndarray] = [None] * len(data)
