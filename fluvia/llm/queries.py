@@ -9,6 +9,7 @@ from fluvia.llm.media import op1_media_columns
 from fluvia.llm.near_dedup import op6_hamming_minhash
 from fluvia.llm.packing import op2_hierarchical_packing
 from fluvia.llm.pii import op8_pii_crf
+from fluvia.llm.sentence_pieces import op13_piece_agenda
 from fluvia.llm.token_files import op5_token_files
 from fluvia.llm.transducer import op10_transducer_bpe
 
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op8_pii_crf": op8_pii_crf,
         "op9_katz_backoff": op9_katz_backoff,
         "op10_transducer_bpe": op10_transducer_bpe,
+        "op13_piece_agenda": op13_piece_agenda,
     }
 
 
