@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluvia.llm import lexical_search, line_dedup, warc
+from fluvia.llm import lexical_search, line_dedup, spelling, warc
 from fluvia.llm.decision_list import op3_decision_list
 from fluvia.llm.katz import op9_katz_backoff
 from fluvia.llm.media import op1_media_columns
@@ -26,10 +26,11 @@ def queries() -> dict:
         "op8_pii_crf": op8_pii_crf,
         "op9_katz_backoff": op9_katz_backoff,
         "op10_transducer_bpe": op10_transducer_bpe,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_threshold_search": lexical_search.op12_threshold_search,
         "op13_piece_agenda": op13_piece_agenda,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_index": warc.SQL, "op7_line_dedup": line_dedup.SQL, "op12_threshold_search": lexical_search.SQL}
+    return {"op4_warc_index": warc.SQL, "op7_line_dedup": line_dedup.SQL, "op11_spelling_variants": spelling.SQL, "op12_threshold_search": lexical_search.SQL}

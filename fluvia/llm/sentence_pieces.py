@@ -21,9 +21,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
@@ -36,6 +37,8 @@ from fluvia.llm.common import documents, slices, small_batches, strings
 SPACE = "▁"
 #: Bytes of text that a task encodes at once.
 SLICE_BYTES = 1 << 20
+#: Symbols up to which the agenda is a list of the pairs' ranks, beyond which a heap.
+SHORT = 48
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -96,7 +99,11 @@ class Pieces:
         if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1):
             raise ValueError("not a model that leaves texts as they are, with a space in front")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == NORMAL}
-        self.score = {p: -float(rows[i].get(2, 0.0)) for p, i in self.ids.items()}  # the least comes out first
+        score = {p: float(rows[i].get(2, 0.0)) for p, i in self.ids.items()}
+        place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[s] for p, s in score.items()}  # the least comes out first
+        #: Two characters that no piece has beside each other are never merged.
+        self.joined = {p[k : k + 2] for p in (p.replace(SPACE, " ") for p in self.ids) for k in range(len(p) - 1)}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == BYTE}
         unknown = trained.get(44, b" \xe2\x81\x87 ")
         self.kinds = np.array(kinds, np.uint8)
@@ -112,28 +119,40 @@ class Pieces:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The symbols that remain when the agenda is empty."""
-        score, agenda, n = self.score.get, [], len(symbols)
-        for i in range(n - 1):
-            if (s := score(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((s, i, i + 1, 2))
-        if not agenda:
-            return symbols
-        agenda.sort()  # a sorted list is a heap
+        if len(symbols) > SHORT:
+            return self._merged_long(symbols)
+        rank, none = self.rank.get, len(self.pieces)
+        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]  # by place; the leftmost of the least is next
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            symbols[i : i + 2] = [new := symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + new, none)
+            if i < len(agenda):
+                agenda[i] = rank(new + symbols[i + 1], none)
+        return symbols
+
+    def _merged_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of (rank, place); an entry counts if the pair at its place still has its rank."""
+        rank, n = self.rank.get, len(symbols)
+        agenda = [(r, i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank(a + b)) is not None]
+        heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
-            _, i, j, size = heappop(agenda)
-            a, b = symbols[i], symbols[j]
-            if not a or not b or len(a) + len(b) != size:
-                continue  # one of the two has been merged with another since
-            symbols[i] = a = a + b
+            r, i = heappop(agenda)
+            a, j = symbols[i], after[i]
+            if not a or j == n or rank(a + symbols[j]) != r:
+                continue
+            symbols[i] = a = a + symbols[j]
             symbols[j] = ""
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := score(a + symbols[k])) is not None:
-                    heappush(agenda, (s, i, k, len(a) + len(symbols[k])))
-            if (h := before[i]) >= 0 and (s := score(symbols[h] + a)) is not None:
-                heappush(agenda, (s, h, i, len(symbols[h]) + len(a)))
+                if (r := rank(a + symbols[k])) is not None:
+                    heappush(agenda, (r, i))
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] + a)) is not None:
+                heappush(agenda, (r, h))
         return [s for s in symbols if s]
 
     def encoded(self, part: str) -> list[int]:
@@ -224,6 +243,22 @@ class Encoder:
             if mine != (other if s else other[self.line :]):
                 raise ValueError(f"the library has other ids of {p[:80]!r}")
 
+    def learn(self, parts: list[str]) -> None:
+        """New parts; one whose last character is never merged with the one before it is a part and that character."""
+        known, joined, todo, ends = self.known, self.pieces.joined, {}, []
+        for p in parts:
+            if len(p) > 1 and p[-2:] not in joined:
+                ends.append(p)
+                todo.update((x, None) for x in (p[:-1], p[-1]) if x not in known)
+            else:
+                todo[p] = None
+        new = list(todo)
+        found = [self.pieces.encoded(p) for p in new]
+        self.check(new, found)
+        known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, found))
+        for p in ends:
+            known[p] = known[p[:-1]] + known[p[-1]]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known, find = self.known, self.pieces.cut.findall
         if len(known) > self.most_parts:
@@ -231,12 +266,10 @@ class Encoder:
         split = [find((" " + t).replace(SPACE, " ")) if t else [] for t in texts]
         here = dict.fromkeys(chain.from_iterable(split))
         if new := [p for p in here if p not in known]:
-            found = [self.pieces.encoded(p) for p in new]
-            self.check(new, found)
-            known.update((p, np.array(ids, "<i4").tobytes()) for p, ids in zip(new, found))
+            self.learn(new)
         for p in here:
             here[p] = known[p]
-        return [np.frombuffer(b"".join(map(here.__getitem__, parts)), "<i4") for parts in split]
+        return [np.frombuffer(b"".join(map(here.__getitem__, parts)), np.int32) for parts in split]
 
 
 @lru_cache(2)
