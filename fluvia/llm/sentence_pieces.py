@@ -25,20 +25,25 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import documents, slices, small_batches, strings
+from fluvia.llm.common import documents, slices, small_batches
 
 SPACE = "▁"
 #: Bytes of text that a task encodes at once.
-SLICE_BYTES = 1 << 20
-#: Symbols up to which the agenda is a list of the pairs' ranks, beyond which a heap.
-SHORT = 48
+SLICE_BYTES = 4 << 20
+#: Symbols up to which the agendas of many parts advance together as rows of ranks, ROWS at once; longer parts have a heap.
+SHORT, ROWS = 48, 8192
+#: The rank of pairs that make no piece, and the number of characters that no piece has.
+NONE, UNKNOWN_LETTER = 1 << 30, (1 << 20) - 1
+#: The pattern of vocabularies that may merge across spaces.
+WHOLE = "(?s:.+)"
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -115,26 +120,11 @@ class Pieces:
         self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
         inside = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = any("\n" in p for p in self.ids if p != "\n")
-        self.cut = re.compile("(?s:.+)" if inside else " *[^ ]+| +" if lines else " *[^ \n]+| +|\n")
+        self.cut = re.compile(WHOLE if inside else " *[^ ]+| +" if lines else " *[^ \n]+| +|\n")
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """The symbols that remain when the agenda is empty."""
-        if len(symbols) > SHORT:
-            return self._merged_long(symbols)
-        rank, none = self.rank.get, len(self.pieces)
-        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]  # by place; the leftmost of the least is next
-        while agenda and (best := min(agenda)) < none:
-            i = agenda.index(best)
-            symbols[i : i + 2] = [new := symbols[i] + symbols[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + new, none)
-            if i < len(agenda):
-                agenda[i] = rank(new + symbols[i + 1], none)
-        return symbols
-
-    def _merged_long(self, symbols: list[str]) -> list[str]:
-        """The same with a heap of (rank, place); an entry counts if the pair at its place still has its rank."""
+        """The symbols that remain when the agenda is empty: a heap of (rank, place), of which an entry counts if the pair
+        at its place still has its rank."""
         rank, n = self.rank.get, len(symbols)
         agenda = [(r, i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank(a + b)) is not None]
         heapify(agenda)
@@ -165,6 +155,98 @@ class Pieces:
                 out += map(self.byte.__getitem__, s.encode())
         return out
 
+    def _pairs(self) -> None:
+        """A hash table of pairs of numbered symbols: their rank and the piece that they make."""
+        numbers = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                numbers.setdefault(c, len(self.pieces) + len(numbers))
+        self.letters = {ord(c): i for c, i in numbers.items() if len(c) == 1}
+        made = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                if (x := numbers.get(p[:k])) is not None and (y := numbers.get(p[k:])) is not None:
+                    made[x << 20 | y] = i
+        keys, values = np.fromiter(made.keys(), np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made))
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        place = self._place(keys)
+        while len(keys):  # one key a free place, the others try the next one
+            free = np.flatnonzero(self.keys[place] < 0)
+            free = free[np.unique(place[free], return_index=True)[1]]
+            self.keys[place[free]], self.made[place[free]] = keys[free], values[free]
+            rest = np.ones(len(keys), bool)
+            rest[free] = False
+            keys, values, place = keys[rest], values[rest], (place[rest] + 1) & (len(self.keys) - 1)
+        self.ranks = np.array([self.rank.get(p, NONE) for p in self.pieces], np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def made_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make, -1 where they make none."""
+        keys = left << 20 | right
+        place = self._place(keys)
+        out = np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        while len(todo):
+            there = self.keys[place[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.made[place[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+            place[todo] = (place[todo] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _ranked(self, made: np.ndarray) -> np.ndarray:
+        return np.where(made >= 0, self.ranks[made], NONE)
+
+    def encoded_all(self, parts: list[str]) -> list[bytes]:
+        """``encoded`` of many parts as 32-bit integers. The agendas of short parts of letters that are pieces advance
+        together: each step takes the least rank of every part, the leftmost of equal ones, from a row of ranks."""
+        out: list[bytes] = [b""] * len(parts)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(size, kind="stable")
+        order = order[(size[order] > 0) & (size[order] <= SHORT)]
+        for a in range(0, len(order), ROWS):
+            for k, ids in zip(*self._together([parts[i] for i in order[a : a + ROWS].tolist()], order[a : a + ROWS])):
+                out[k] = ids
+        return [x or array("i", self.encoded(p)).tobytes() for x, p in zip(out, parts)]
+
+    def _together(self, parts: list[str], at: np.ndarray) -> tuple[list[int], list[bytes]]:
+        if not hasattr(self, "keys"):
+            self._pairs()
+        width = len(parts[-1])
+        codes = np.frombuffer("".join(p.ljust(width, "\0") for p in parts).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
+        inside = (np.arange(width) < np.array([[len(p)] for p in parts])).reshape(-1)
+        letters, number = np.unique(codes, return_inverse=True)
+        symbols = np.where(inside, np.array([self.letters.get(c, UNKNOWN_LETTER) for c in letters.tolist()], np.int64)[number], -1).reshape(len(parts), width)
+        ranks = self._ranked(self.made_of(symbols[:, :-1].reshape(-1), symbols[:, 1:].reshape(-1))).reshape(len(parts), width - 1)
+        done: list[int] = []
+        found: list[bytes] = []
+        while True:
+            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(at), np.int64)
+            row = np.arange(len(at))
+            live = ranks[row, best] < NONE if ranks.shape[1] else np.zeros(len(at), bool)
+            ended = symbols[~live]
+            known = (ended < len(self.pieces)).all(1)  # others have characters to be written as bytes
+            ended, n = ended[known].astype(np.int32), (ended[known] >= 0).sum(1) * 4
+            data, end = ended[ended >= 0].tobytes(), np.cumsum(n)
+            done += at[~live][known].tolist()
+            found += [data[x:y] for x, y in zip((end - n).tolist(), end.tolist())]
+            if not live.any():
+                return done, found
+            at, symbols, ranks, best = at[live], symbols[live], ranks[live], best[live]
+            row = np.arange(len(at))
+            new = self.made_of(symbols[row, best], symbols[row, best + 1])
+            keep = np.arange(symbols.shape[1] - 1)
+            keep = keep + (keep > best[:, None])
+            symbols = np.take_along_axis(symbols, keep, 1)
+            symbols[row, best] = new
+            ranks = np.take_along_axis(ranks, keep[:, : ranks.shape[1] - 1], 1) if ranks.shape[1] > 1 else ranks[:, :0]
+            for x in (best - 1, best):  # the pairs with the neighbours on both sides
+                ok = np.flatnonzero((x >= 0) & (x < ranks.shape[1]))
+                ranks[ok, x[ok]] = self._ranked(self.made_of(symbols[ok, x[ok]], symbols[ok, x[ok] + 1]))
+
     def decoded(self, ids: np.ndarray) -> str:
         """The text of ids."""
         if not len(ids):
@@ -232,15 +314,13 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.line = len(self.library.encode("\n"))
 
-    def check(self, parts: list[str], found: list[list[int]]) -> None:
+    def check(self, parts: list[str], found: list[bytes]) -> None:
         """The library's ids of the parts must be the same; it puts a space in front itself, and what has none goes
-        behind a line feed."""
+        behind a line feed. (A space alone isn't checked: it is an empty text to the library.)"""
         spaced = [p.startswith(" ") for p in parts]
         theirs = self.library.encode([p[1:] if s else "\n" + p for p, s in zip(parts, spaced)], num_threads=1)
         for p, s, mine, other in zip(parts, spaced, found, theirs):
-            if p == " ":
-                continue  # an empty text to the library
-            if mine != (other if s else other[self.line :]):
+            if mine != array("i", other if s else other[self.line :]).tobytes() and p != " ":
                 raise ValueError(f"the library has other ids of {p[:80]!r}")
 
     def learn(self, parts: list[str]) -> None:
@@ -253,23 +333,60 @@ class Encoder:
             else:
                 todo[p] = None
         new = list(todo)
-        found = [self.pieces.encoded(p) for p in new]
+        found = self.pieces.encoded_all(new)
         self.check(new, found)
-        known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, found))
+        known.update(zip(new, found))
         for p in ends:
             known[p] = known[p[:-1]] + known[p[-1]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, find = self.known, self.pieces.cut.findall
-        if len(known) > self.most_parts:
-            self.known = known = dict(islice(known.items(), self.kept_parts))
-        split = [find((" " + t).replace(SPACE, " ")) if t else [] for t in texts]
-        here = dict.fromkeys(chain.from_iterable(split))
-        if new := [p for p in here if p not in known]:
-            self.learn(new)
-        for p in here:
-            here[p] = known[p]
-        return [np.frombuffer(b"".join(map(here.__getitem__, parts)), np.int32) for parts in split]
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each a text's piece between two cuts, or several behind each other."""
+        known, cut = self.known, self.pieces.cut
+        if new := [p for p in parts if p not in known]:
+            split = {p: found for p in new if len(found := cut.findall(p)) > 1}
+            single = dict.fromkeys(p for p in new if p not in split)
+            single.update(dict.fromkeys(q for found in split.values() for q in found if q not in known))
+            self.learn(list(single))
+            for p, found in split.items():
+                known[p] = b"".join(map(known.__getitem__, found))
+        return [known[p] for p in parts]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and n + 1 offsets; nulls are empty.
+
+        Arrow splits the texts at their spaces and numbers the parts, so that Python sees each part of a batch once;
+        texts with two spaces together, or one at an end, are one part."""
+        if len(self.known) > self.most_parts:
+            self.known = dict(islice(self.known.items(), self.kept_parts))
+        text = pc.replace_substring(column.fill_null("") if column.null_count else column, SPACE, " ")
+        odd = pc.or_(pc.match_substring(text, "  "), pc.or_(pc.starts_with(text, " "), pc.ends_with(text, " ")))
+        odd = np.flatnonzero(pc.or_(odd, pc.equal(pc.binary_length(text), 0)).to_numpy(zero_copy_only=False) | (self.pieces.cut.pattern == WHOLE))
+        parts = pc.split_pattern(text, " ")
+        numbered = parts.flatten().dictionary_encode()
+        code, at = numbered.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        n_parts = np.diff(at)
+        alone = np.ones(len(code), bool)
+        for i in odd.tolist():
+            alone[at[i] : at[i + 1]] = False
+        used = np.zeros(len(numbered.dictionary), bool)
+        used[code[alone]] = True
+        data = [b""] * len(used)
+        places = np.flatnonzero(used)
+        for k, ids in zip(places.tolist(), self._known([" " + p for p in numbered.dictionary.take(pa.array(places)).to_pylist()])):
+            data[k] = ids
+        if len(odd):  # each a text of its own
+            data += [b"".join(self._known(self.pieces.cut.findall(" " + t))) if t else b"" for t in text.take(pa.array(odd)).to_pylist()]
+            drop = np.ones(len(code), bool)
+            drop[~alone] = False
+            drop[at[odd]] = True
+            code = code.astype(np.int64)
+            code[at[odd]] = len(used) + np.arange(len(odd))
+            n_parts[odd] = 1
+            code = code[drop]
+        size, pool = np.fromiter(map(len, data), np.int64, len(data)) // 4, np.frombuffer(b"".join(data), np.int32)
+        begin, n = np.cumsum(size) - size, size[code]
+        end = np.concatenate(([0], np.cumsum(n)))
+        return pool[np.repeat(begin[code] - end[:-1], n) + np.arange(end[-1])], end[np.concatenate(([0], np.cumsum(n_parts)))]
 
 
 @lru_cache(2)
@@ -281,10 +398,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     e = encoder(path)
     for batch in batches:
         for part in slices(batch, 1, SLICE_BYTES):
-            ids = e.encode(strings(part.column(1)))
-            at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "ids"])
+            ids, at = e.encode(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
