@@ -71,8 +71,8 @@ def stepped(version: int, integrator: str, p: np.ndarray, ta: np.ndarray, theta:
 def simulate(version: int, integrator: str, p: np.ndarray, ta, theta, t, start, ice: float = 0.0, begin=(0,), block: int = 1 << 19) -> np.ndarray:
     """Water temperature [days, vectors] for parameter vectors [vectors, 8].
 
-    Segments may lie behind each other: ``begin`` has their first positions, ``start`` the value of each (or one for
-    all). The coefficients of all steps are made first, for a bounded block of days at a time, so that the recurrence
+    Segments may lie behind each other: ``begin`` has their first positions, ``start`` the value of each, one for
+    all, or a row of one for each vector. The coefficients of all steps are made first, for a bounded block of days at a time, so that the recurrence
     itself is one multiplication, addition and clamp a day for all vectors."""
     if integrator not in INTEGRATORS:
         raise ValueError(f"integrator {integrator}")
@@ -80,8 +80,8 @@ def simulate(version: int, integrator: str, p: np.ndarray, ta, theta, t, start,
     ta, theta, t = (np.asarray(x, float) for x in (ta, theta, t))
     n, width = len(ta), p.shape[1]
     out = np.empty((n, width))
-    begin = np.asarray(begin)
-    start = np.broadcast_to(np.asarray(start, float), begin.shape)
+    begin, start = np.asarray(begin), np.asarray(start, float)
+    start = start if start.ndim == 2 else np.broadcast_to(start, begin.shape)[:, None]
     days, multiply, add, maximum = max(2, block // max(1, width)), np.multiply, np.add, np.maximum
     with np.errstate(all="ignore"):  # unstable vectors become infinite or nan, and score as invalid
         for low in range(0, n, days):
@@ -89,7 +89,7 @@ def simulate(version: int, integrator: str, p: np.ndarray, ta, theta, t, start,
             if high - lead > 1:
                 alpha, beta = (np.broadcast_to(x, (high - lead - 1, width)) for x in stepped(version, integrator, p, ta[lead:high], theta[lead:high], t[lead:high]))
             inner = begin[(begin >= low) & (begin < high)]
-            out[inner] = start[(begin >= low) & (begin < high), None]
+            out[inner] = start[(begin >= low) & (begin < high)]
             cuts = [low - 1, *inner.tolist(), high]
             for first, last in zip(cuts, cuts[1:]):  # from a known row to the next segment
                 if last - first > 1 and first >= 0:
@@ -102,9 +102,11 @@ def simulate(version: int, integrator: str, p: np.ndarray, ta, theta, t, start,
     return out
 
 
-def ar1(z: np.ndarray, sigma: float, rho: float) -> np.ndarray:
-    """Noise with lag-1 correlation rho and deviation sigma from standard normal draws, along the first axis."""
+def ar1(z: np.ndarray, sigma: float, rho: float, before: np.ndarray | None = None) -> np.ndarray:
+    """Noise with lag-1 correlation rho and deviation sigma from standard normal draws, along the first axis; ``before``
+    is the noise that the first row follows."""
     out, scale = np.empty(z.shape), sigma * np.sqrt(1 - rho * rho)
     for i, x in enumerate(z):
-        out[i] = sigma * x if i == 0 else rho * out[i - 1] + scale * x
+        last = out[i - 1] if i else before
+        out[i] = sigma * x if last is None else rho * last + scale * x
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fluvia.functions import kernels
 from fluvia.functions.dates import water_year
 from fluvia.functions.stats import correlation
-from fluvia.operators import metrics, prep, reports, search
+from fluvia.operators import ensembles, metrics, prep, reports, search
 from fluvia.operators import simulate as sim
 from fluvia.sources.scratch import written
 
@@ -62,20 +62,37 @@ def sampled(chain: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return chain.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string"))), "sample_id").limit(n)
 
 
-def prediction_intervals(days: DataFrame, chain: DataFrame, sigma: float = 0.0, rho: float = 0.0, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+def intervals_of(days: DataFrame, params: DataFrame, n: int, version: int, integrator: str, ice: float, interval: float, noise: DataFrame | None, seed: int, keys: tuple[str, ...], rolling: int = 1) -> DataFrame:
+    """(keys, d, lower, p50, upper) over params of at most n vectors of each key: within the tasks that simulate them, or,
+    beyond ``ensembles.MOST_VECTORS``, from the ensemble dealt by day."""
+    if n <= ensembles.MOST_VECTORS:
+        return ensembles.daily_percentiles(days, params, version, integrator, ice, interval, noise, seed, rolling, keys)
+    ensemble = sim.simulate_many(days, params, version, integrator, ice, keys, noise=noise, seed=seed)
+    if rolling > 1:
+        w = Window.partitionBy(*keys, "param_id").orderBy(F.unix_date("d")).rangeBetween(1 - rolling, 0)
+        ensemble = ensemble.withColumn("tw", F.avg("tw").over(w))
+    return reports.envelope(ensemble, interval, keys)
+
+
+def prediction_intervals(days: DataFrame, chain: DataFrame, sigma: float = 0.0, rho: float = 0.0, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, keys: tuple[str, ...] = ("site",), rolling: int = 1) -> DataFrame:
     """Percentiles over n posterior samples (sample_id, p), the same for all keys, of the simulation plus residual noise."""
     some = sampled(chain, n, seed).select(F.col("sample_id").alias("param_id"), "p")
     noise = days.select(*keys).distinct().withColumns({"sigma": F.lit(float(sigma)), "rho": F.lit(float(rho))}) if sigma else None
-    return reports.envelope(sim.simulate_many(days, some, version, integrator, keys=keys, noise=noise, seed=seed), interval, keys)
+    return intervals_of(days, some, n, version, integrator, 0.0, interval, noise, seed, keys, rolling)
+
+
+def sampled_by_key(chain: DataFrame, n: int, seed: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """``sampled`` for each key of a chain (keys, sample_id, p): the samples as params (keys, param_id, p)."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string")))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "sample_id"))
+    return chain.withColumn("param_id", at.cast("long") - 1).filter(F.col("param_id") < n).select(*keys, "param_id", "p")
 
 
-def site_intervals(days: DataFrame, chain: DataFrame, sigma: DataFrame, rho: DataFrame | None = None, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, ice: float = 0.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """The same for chains of the keys' own (keys, sample_id, p), with sigma (keys, sigma) and rho (keys, rho): n samples
-    of each key, picked by hash."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id"))
-    some = chain.select(*keys, "sample_id", "p").withColumn("param_id", at.cast("long") - 1).filter(F.col("param_id") < n)
-    noise = sigma.join(rho, list(keys)) if rho is not None else sigma.withColumn("rho", F.lit(0.0))
-    return reports.envelope(sim.simulate_many(days, some, version, integrator, ice, keys, noise=noise, seed=seed), interval, keys)
+def site_intervals(days: DataFrame, chain: DataFrame, sigma: DataFrame | None = None, rho: DataFrame | None = None, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, ice: float = 0.0, keys: tuple[str, ...] = ("site",), rolling: int = 1) -> DataFrame:
+    """The same for chains of the keys' own (keys, sample_id, p), with sigma (keys, sigma) and rho (keys, rho), or without
+    noise: n samples of each key, picked by hash. Keys without samples have no rows."""
+    noise = None if sigma is None else sigma.join(rho, list(keys)) if rho is not None else sigma.withColumn("rho", F.lit(0.0))
+    return intervals_of(days, sampled_by_key(chain, n, seed, keys), n, version, integrator, ice, interval, noise, seed, keys, rolling)
 
 
 def sensitivity(days: DataFrame, p: list[float], low: list[float], high: list[float], percents: tuple[float, ...] = (1.0,), version: int = 8, integrator: str = "RK4", keys: tuple[str, ...] = ("site",)) -> DataFrame:
@@ -86,7 +103,8 @@ def sensitivity(days: DataFrame, p: list[float], low: list[float], high: list[fl
 
 def sensitivity_of(days: DataFrame, best: DataFrame, low: list[float], high: list[float], percents: tuple[float, ...] = (1.0,), version: int = 8, integrator: str = "RK4", ice: float = 0.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """(keys, perturbation, parameter, sensitivity, status): mean absolute change per relative change, one parameter of
-    the key's vector (keys, p) at a time, on evaluated days with an observation. All perturbed vectors run as one ensemble."""
+    the key's vector (keys, p) at a time, on evaluated days with an observation. The two vectors of a
+    run go through a task together, which returns sums alone."""
     lo, hi = (F.array(*[F.lit(float(x)) for x in v]) for v in (low, high))
     k, pct = F.col("parameter") - 1, F.col("perturbation")
     of = lambda a: F.element_at(a, F.col("parameter"))
@@ -99,13 +117,9 @@ def sensitivity_of(days: DataFrame, best: DataFrame, low: list[float], high: lis
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("perturbation", "parameter")).cast("long")
     active = runs.filter("status = 'Active'").withColumn("run", number)
     side = lambda c: F.transform("p", lambda x, i: F.when(i == k, F.col(c)).otherwise(x))
-    vectors = active.select(*keys, "run", F.posexplode(F.array(side("down"), side("up"))).alias("side", "p")).withColumn("param_id", 2 * F.col("run") + F.col("side"))
-    ensemble = sim.simulate_many(days, vectors.select(*keys, "param_id", "p"), version, integrator, ice, keys)
-    used = days.filter("in_eval AND t_water IS NOT NULL").select(*keys, "seg_id", "seg_day")
-    pairs = ensemble.join(used, [*keys, "seg_id", "seg_day"]).withColumn("run", F.floor(F.col("param_id") / 2))
-    both = pairs.groupBy(*keys, "run", "seg_id", "seg_day").agg(F.max("tw").alias("a"), F.min("tw").alias("b")).filter("a < 50")
-    index = both.groupBy(*keys, "run").agg(F.avg(F.col("a") - F.col("b")).alias("change"))
-    index = active.join(index, [*keys, "run"], "left").select(*keys, "perturbation", "parameter", (F.col("change") / F.col("relative")).alias("sensitivity"))
+    pairs = active.select(*keys, "run", side("down").alias("down"), side("up").alias("up"))
+    sums = ensembles.paired_differences(days, pairs, version, integrator, ice, keys=keys)
+    index = active.join(sums, [*keys, "run"], "left").select(*keys, "perturbation", "parameter", (F.try_divide("change", "n") / F.col("relative")).alias("sensitivity"))
     return runs.select(*keys, "perturbation", "parameter", "status").join(index, [*keys, "perturbation", "parameter"], "left").select(*keys, "perturbation", "parameter", "sensitivity", "status")
 
 

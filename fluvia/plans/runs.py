@@ -201,7 +201,7 @@ def _chains(forcing: DataFrame, best: DataFrame, series: DataFrame, c: Config, o
     chain = written(posterior(forcing, c, best), "chain")
     side = written(sidecar(chain, series, c), "sidecar")
     on = [k for k in ACTIVE[c.version] if c.bounds()[1][k] > c.bounds()[0][k]]
-    out.csv("chain", chain.select("site", "sample_id", *[F.col("p")[k].alias(f"par_{k + 1}") for k in on]))
+    out.chain("chain", chain, on)
     out.json("chain_meta", side)
     env = intervals(forcing, chain, c, side.select("site", "sigma"), side.select("site", F.coalesce(F.lit(c.rho), "rho").alias("rho")))
     out.csv("envelopes", files.envelope_columns(reports.masked_envelope(env, series)))
@@ -209,18 +209,34 @@ def _chains(forcing: DataFrame, best: DataFrame, series: DataFrame, c: Config, o
     out.csv("parameter_correlation", reports.parameter_correlation(chain, 8, ("site",)))
 
 
+def stored_chain(spark: SparkSession, path: str, best: DataFrame, c: Config) -> DataFrame:
+    """(site, sample_id, p) of the sites of best: each its own samples of a chain by site, all the same of another one."""
+    chain, sites = files.read_chain(spark, path, list(c.parameters)), best.select("site").distinct()
+    if "site" in chain.columns:
+        return chain.join(sites, "site")  # the chain's partitions are pruned to these sites
+    return sites.crossJoin(F.broadcast(uncertainty.sampled(chain, c.n_samples, c.seed or 0)))  # n_samples rows at most
+
+
+def forward_rho(best: DataFrame, own: DataFrame, side: DataFrame, given: float | None) -> DataFrame:
+    """(site, rho) of the noise: what is given, else the correlation of the site's own residuals (site, n_pairs, rho),
+    where it has pairs, else the sidecar's of the site, or of all sites, else 0."""
+    for_all = side.filter("site IS NULL").agg(F.max("rho").alias("rho_of_all"))
+    by_site = side.filter("site IS NOT NULL").groupBy("site").agg(F.max("rho").alias("rho_of_site"))
+    own = own.select("site", F.when(F.col("n_pairs") > 0, F.col("rho")).alias("own"))
+    rho = F.coalesce(F.lit(given).cast("double"), "own", "rho_of_site", "rho_of_all", F.lit(0.0))
+    return best.select("site").distinct().join(own, "site", "left").join(by_site, "site", "left").crossJoin(F.broadcast(for_all)).select("site", rho.alias("rho"))
+
+
 def _forward_intervals(spark: SparkSession, forcing: DataFrame, best: DataFrame, series: DataFrame, c: Config, out: files.Outputs) -> None:
-    """The noise's correlation is the configured one, else the series' own, else the sidecar's, else 0."""
+    """Percentiles from a stored chain; sites that it doesn't have are listed and have no envelope."""
     if c.chain is None or not files.exists(spark, c.chain):
         out.text("intervals_skipped", f"no chain at {c.chain}\n")
         return
-    samples = files.read_chain(spark, c.chain, list(c.parameters))
-    chain = best.select("site").crossJoin(F.broadcast(uncertainty.sampled(samples, c.n_samples, c.seed or 0)))  # n_samples rows at most
-    side = files.read_sidecar(spark, c.chain)
-    own = residual_rho(series).select("site", F.when(F.col("n_pairs") > 0, F.col("rho")).alias("own"))
-    rho = own.select("site", F.coalesce(F.lit(c.rho).cast("double"), "own", F.lit(side.get("rho")).cast("double"), F.lit(0.0)).alias("rho"))
-    env = intervals(forcing, chain, c, best.select("site", F.lit(float(c.sigma)).alias("sigma")), rho)
+    chain = written(stored_chain(spark, c.chain, best, c), "chain")
+    rho = forward_rho(best, residual_rho(series), files.read_sidecar(spark, c.chain), c.rho)
+    env = written(intervals(forcing, chain, c, best.select("site", F.lit(float(c.sigma)).alias("sigma")), rho), "envelopes")
     out.csv("forward_envelopes", files.envelope_columns(reports.masked_envelope(env, series)))
+    out.csv("sites_without_chain", best.select("site").join(chain.select("site").distinct(), "site", "left_anti"))
 
 
 def _sensitivity(forcing: DataFrame, best: DataFrame, c: Config, out: files.Outputs) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluvia.operators import metrics, prep
 from fluvia.sources.config import Config
+from fluvia.sources.scratch import written
 
 
 def read_series(spark: SparkSession, path: str, site: str = "site", fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -31,26 +32,50 @@ def read_text_series(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(day.alias("d"), part(3).cast("double").alias("t_air"), part(4).cast("double").alias("t_water"), F.coalesce(part(5).cast("double"), F.lit(1.0)).alias("q"))
 
 
+def write_chain(chain: DataFrame, path: str, sampled: list[int], keep: bool = True) -> None:
+    """A chain (site, sample_id, p) as a dataset partitioned by site, with the columns sample_id and par_k of the sampled
+    parameters (0 ..). A site's chain replaces that site's alone; the others stay."""
+    write_csv(chain.select("site", "sample_id", *[F.col("p")[k].alias(f"par_{k + 1}") for k in sampled]), path, ("site",), keep)
+
+
 def read_chain(spark: SparkSession, path: str, defaults: list[float]) -> DataFrame:
-    """A chain CSV with columns par_k as (sample_id, p); the parameters that aren't sampled have their defaults."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    given = {int(c.split("_")[1]) - 1: c for c in raw.columns if c.startswith("par_")}
-    p = F.array(*[F.col(given[k]).cast("double") if k in given else F.lit(float(x)) for k, x in enumerate(defaults)])
-    return raw.select(F.monotonically_increasing_id().alias("sample_id"), p.alias("p"))
+    """A chain with columns par_k as (site, sample_id, p), or, where it isn't partitioned by site, as (sample_id, p).
+
+    Columns are typed, not inferred, and a filter or join on the site reads that site's files alone. Parameters that aren't
+    sampled have their defaults; rows of a chain without ids are numbered as they are read, and written once for that."""
+    names = spark.read.option("header", True).csv(path).columns
+    given = {int(c.split("_")[1]) - 1: c for c in names if c.startswith("par_")}
+    kinds = {"site": "string", "sample_id": "long"}
+    raw = spark.read.option("header", True).schema(", ".join(f"`{c}` {kinds.get(c, 'double' if c in given.values() else 'string')}" for c in names)).csv(path)
+    p = F.array(*[F.col(given[k]) if k in given else F.lit(float(x)) for k, x in enumerate(defaults)]).alias("p")
+    if "sample_id" in names:
+        return raw.select(*(c for c in ("site",) if c in names), "sample_id", p)
+    return written(raw.select(*(c for c in ("site",) if c in names), F.monotonically_increasing_id().alias("sample_id"), p), "chain")
+
+
+#: What lies beside a chain, a row for each site.
+SIDECAR = "site string, rho double, sigma double, n_valid_days long, n_pairs long, noise_model_used_for_this_run string, mcmc_walkers int, mcmc_steps int, mcmc_seed int, mean_acceptance_fraction double, mean_autocorr_time double, long_enough boolean"
+
 
+def sidecar_path(chain_path: str) -> str:
+    return chain_path.rstrip("/").removesuffix(".csv") + "_meta.json"
 
-def read_sidecar(spark: SparkSession, chain_path: str) -> dict:
-    """The JSON beside a chain, or an empty map."""
-    path = chain_path.removesuffix(".csv") + "_meta.json"
+
+def read_sidecar(spark: SparkSession, chain_path: str) -> DataFrame:
+    """The rows beside a chain; a single object without a site is for all sites, and no file makes no row."""
+    path = sidecar_path(chain_path)
     if not exists(spark, path):
-        return {}
-    row = spark.read.option("multiLine", True).json(path).first()
-    return row.asDict() if row else {}
+        return spark.createDataFrame([], SIDECAR)
+    return spark.read.schema(SIDECAR).option("multiLine", not is_folder(spark, path)).json(path)
 
 
-def write_csv(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+def write_csv(df: DataFrame, path: str, by: tuple[str, ...] = (), keep: bool = False) -> None:
+    """df as a folder; with ``keep``, only the partitions that df has are replaced."""
     w = df.write.mode("overwrite").option("header", True)
-    (w.partitionBy(*by) if by else w).csv(path)
+    if not by:
+        w.csv(path)
+        return
+    w.option("partitionOverwriteMode", "dynamic" if keep else "static").partitionBy(*by).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,10 +86,19 @@ def write_json(df: DataFrame, path: str) -> None:
     checked.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def _store(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.getFileStatus(place).isDirectory()
 
 
 def history_columns(history: DataFrame) -> DataFrame:
@@ -121,6 +155,9 @@ class Outputs:
     def csv(self, name: str, df: DataFrame) -> None:
         write_csv(df, self._place(name, ".csv"))
 
+    def chain(self, name: str, chain: DataFrame, sampled: list[int]) -> None:
+        write_chain(chain, self._place(name, ".csv"), sampled)
+
     def json(self, name: str, df: DataFrame) -> None:
         write_json(df, self._place(name, ".json"))
 
