@@ -4,8 +4,8 @@ One pass over the texts stores, for each document, its number of terms and the c
 document frequencies comes each term's weight, and from it the impact of each posting: what the term adds to the
 document's score. Then, all as joins and windows:
 
-1. Seeds: the k highest impacts of each term are stored. For an item, the known impacts of its terms are summed for each
-   document in their lists; the kth highest sum is no more than the item's kth score, its threshold.
+1. Seeds: the k highest impacts of each term are stored with their documents. The documents in the lists of an item's terms
+   are scored; the kth highest of these scores is no more than the item's kth score: its threshold.
 2. Pruning: an item's terms are ordered by their highest impact. The longest suffix of terms whose highest impacts together
    stay below the threshold can't bring a document to it: a result has one of the other terms, the essential ones.
 3. Candidates: documents with essential terms and the sum of these impacts. The kth highest sum raises the threshold, and
@@ -124,13 +124,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     total = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
     weights = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", weight(total.n).alias("w")).filter("w > 0"), "weights")
     postings = postings.join(_small(weights, n_words), "term").select("term", "row", "doc_id", impact(total.n, total.terms).alias("impact")).filter("impact > 0")
-    # the highest impacts of each term, and from them the thresholds
+    # the highest impacts of each term, and from them the thresholds: of the documents in an item's lists, the kth score
     at = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))
     seeds = written(postings.withColumn("at", at).filter(F.col("at") <= k), "seeds")
     wanted = written(asked.join(_small(words, n_words), "word").select("item_id", "term"), "item-terms")
     n_wanted = wanted.count()
-    known = _small(wanted, n_wanted).join(seeds, "term").groupBy("item_id", "row").agg(F.sum("impact").alias("least"))
-    bounds = wanted.join(seeds.filter("at = 1").select("term", F.col("impact").alias("most")), "term").join(_kth(known, "item_id", "least", k), "item_id", "left")
+    pairs = written(_small(wanted, n_wanted).join(seeds, "term").select("item_id", "row").distinct(), "seeded")
+    n_rows = pairs.select("row").distinct().count()
+    known = postings.join(_small(pairs.select("row").distinct(), n_rows), "row", "left_semi").join(_small(wanted, n_wanted), "term")
+    known = known.join(_small(pairs, pairs.count()), ["item_id", "row"], "left_semi").groupBy("item_id", "row").agg(F.sum("impact").alias("score"))
+    bounds = wanted.join(seeds.filter("at = 1").select("term", F.col("impact").alias("most")), "term").join(_kth(known, "item_id", "score", k), "item_id", "left")
     # suffixes of an item's terms, the weakest term last
     w = Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     plan = bounds.select("item_id", "term", "most", F.coalesce("kth", F.lit(0)).alias("threshold"), F.sum("most").over(w).alias("suffix"))
