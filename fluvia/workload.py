@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 from fluvia.functions import kernels, stats
 from fluvia.functions.dates import doy0, water_year, year_fraction
-from fluvia.operators import metrics, prep, reports, search, uncertainty
+from fluvia.operators import ensembles, metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
 from fluvia.plans import runs
 from fluvia.sources import files
 from fluvia.sources.config import Config
-from fluvia.sources.scratch import written
+from fluvia.sources.scratch import scratch, written
 
 MIN_DAYS, WARMUP_DAYS = 10, 2
 P = (0.6, 0.3, 0.45, 0.2, 0.4, 1.5, 0.6, 0.1)
 LOW = (0.0, 0.1, 0.3, 0.0, 0.0, 0.0, 0.0, 0.0)
 HIGH = (2.0, 0.6, 0.9, 0.5, 1.0, 3.0, 1.0, 0.3)
-N_VECTORS = 16
+N_VECTORS = 1000
 
 
 def _day(c: str):
@@ -343,8 +343,28 @@ _query("joi7_score_design", "site:s param_id:i n:i nse:d r2:d mae:d kge:d rms:d"
 _query("opt1_agg30_best_of_design", "site:s param_id:i nse:d", lambda s, p: sim.best(sim.score_many(days(s, p), design(s))), f"SELECT site, arg_max(param_id, nse) AS param_id, max(nse) AS nse FROM ({_MANY_SCORES}) GROUP BY site", _MANY)
 _query("win6_running_best", "site:s param_id:i best_nse:d best_r2:d best_mae:d", lambda s, p: reports.running_best(sim.score_many(days(s, p), design(s)), "param_id", ("site",)), f"SELECT site, param_id, max(nse) OVER w AS best_nse, max(r2) OVER w AS best_r2, min(mae) OVER w AS best_mae FROM ({_MANY_SCORES}) WINDOW w AS (PARTITION BY site ORDER BY param_id)", _MANY)
 _query("prj13_acceptable", "site:s param_id:i nse:d", lambda s, p: reports.acceptable(sim.score_many(days(s, p), design(s)), "NSE", "nse", -5.0), f"SELECT * FROM (SELECT *, bool_or(nse >= -5) OVER () AS any_good FROM ({_MANY_SCORES})) WHERE nse >= -5 OR NOT any_good", _MANY)
-_query("agg21_fwd2_envelope", "site:s d:s lower:d p50:d upper:d", lambda s, p: reports.envelope(sim.simulate_many(days(s, p), design(s))), "SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.5) AS p50, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d", _MANY)
-_query("joi8_prj16_masked_envelope", "site:s d:s lower:d upper:d", lambda s, p: reports.masked_envelope(reports.envelope(sim.simulate_many(sim.prepared(f := settled(s, p), 8, MIN_DAYS, WARMUP_DAYS), design(s))), simulated(s, p, f=f).select("site", "d", F.col("tw").alias("t_water_sim"))), "SELECT f.site, f.d, lower, upper FROM forcing f LEFT JOIN (SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d) e ON e.site = f.site AND e.d = f.d", _MANY)
+_query("agg21_fwd2_envelope", "site:s d:s lower:d p50:d upper:d", lambda s, p: ensembles.daily_percentiles(days(s, p), design(s)), "SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.5) AS p50, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d", _MANY)
+_query("joi8_prj16_masked_envelope", "site:s d:s lower:d upper:d", lambda s, p: reports.masked_envelope(ensembles.daily_percentiles(sim.prepared(f := settled(s, p), 8, MIN_DAYS, WARMUP_DAYS), design(s)), simulated(s, p, f=f).select("site", "d", F.col("tw").alias("t_water_sim"))), "SELECT f.site, f.d, lower, upper FROM forcing f LEFT JOIN (SELECT site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.95) AS upper FROM ens GROUP BY site, d) e ON e.site = f.site AND e.d = f.d", _MANY)
+_query("win7_rolling_envelope", "site:s d:s lower:d p50:d upper:d", lambda s, p: ensembles.daily_percentiles(days(s, p), design(s), rolling=7), "SELECT site, d, quantile_cont(m, 0.05) AS lower, quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.95) AS upper FROM (SELECT site, d, avg(tw) OVER (PARTITION BY site, pid ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS m FROM ens) GROUP BY site, d", _MANY)
+
+
+def _site_chains(s: SparkSession, p: str) -> DataFrame:
+    """Every order is a sample of its site's chain, which is stored with a sidecar and read again: percentiles of 1000
+    samples of each site, with the correlation that its sidecar has."""
+    o = s.read.parquet(f"{p}/orders.parquet").withColumn("site", F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")))
+    vector = F.array(*[F.lit(lo) + ((F.col("o_orderkey") * 7919 + k * 104729) % 10007) / 10007.0 * (hi - lo) for k, (lo, hi) in enumerate(zip(LOW, HIGH))])
+    path = scratch(s, "site-chains")
+    files.write_chain(o.select("site", F.col("o_orderkey").alias("sample_id"), vector.alias("p")), path, list(range(8)))
+    files.write_json(o.groupBy("site").agg((F.sum(F.col("o_orderkey") % 100) / F.count(F.lit(1)) / 100).alias("rho")), files.sidecar_path(path))
+    d = days(s, p)
+    best = d.select("site").distinct()
+    bounds = uncertainty.site_intervals(d, runs.stored_chain(s, path, best, Config(parameters=P)), n=1000, seed=7)
+    rho = runs.forward_rho(best, s.createDataFrame([], "site string, n_pairs long, rho double"), files.read_sidecar(s, path), None)
+    return bounds.join(rho, "site")
+
+
+_SITE_PAR = "\nchain AS (SELECT 'S' || (o_custkey % 2) AS psite, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 2 ORDER BY md5('7:' || o_orderkey), o_orderkey) AS n FROM orders QUALIFY n <= 1000),\npar AS (SELECT psite, o_orderkey AS pid, " + ", ".join(f"{lo} + ((o_orderkey * 7919 + {k} * 104729) % 10007) / 10007.0::DOUBLE * {hi - lo} AS p{k + 1}" for k, (lo, hi) in enumerate(zip(LOW, HIGH))) + " FROM chain)"
+_query("fwd2_fwd3_site_chains", "site:s d:s lower:d p50:d upper:d rho:d", _site_chains, "SELECT e.site, d, quantile_cont(tw, 0.05) AS lower, quantile_cont(tw, 0.5) AS p50, quantile_cont(tw, 0.95) AS upper, any_value(r.rho) AS rho FROM ens e JOIN chain ON chain.o_orderkey = e.pid AND chain.psite = e.site JOIN (SELECT 'S' || (o_custkey % 2) AS site, sum(o_orderkey % 100) / count(*) / 100 AS rho FROM orders GROUP BY 1) r ON r.site = e.site GROUP BY e.site, d", f"{_SITE_PAR},{_MANY.removeprefix(DESIGN + ',')}")
 _CHAIN_OF = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -435,7 +455,7 @@ UNION ALL SELECT site, 'pooled', {scored} FROM held GROUP BY 1)"""
 
 _CV_COLUMNS = "site:s fold:s n_obs:i nse:d kge:d rmse:d"
 _query("cv1_agg17_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "DE"), None)
-_query("cv1_agg17_lathyp_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "LATHYP", n=32), _cv_sql(32), base=False)
+_query("cv1_agg17_lathyp_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "LATHYP"), _cv_sql(500), base=False)
 
 
 def _fold_best(s: SparkSession, p: str) -> DataFrame:
