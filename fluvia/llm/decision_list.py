@@ -5,7 +5,9 @@ covering from labelled statistics, and ``DecisionList.verdict`` is the list as o
 
 Defined results: a null or empty text has no words and fails the base rules; tied rules keep the first in feature and
 threshold order; repeated rows get the same verdict each; an empty table gives an empty table; other columns pass
-through untouched; without labels of both kinds the list is empty and keeps what the base rules keep.
+through untouched; without labels of both kinds the list is empty and keeps what the base rules keep. A doc_id whose labels
+disagree isn't learned from, one that repeats in the documents is learned from once, by its text that sorts first: so the
+list doesn't depend on the order of rows. A text of any length is measured whole; its words lie in one row's memory.
 """
 
 from __future__ import annotations
@@ -211,8 +213,10 @@ def _share(counted: tuple[int, int]) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """The list learned from at most ``sample_rows`` labelled documents that pass the base rules."""
-    chosen = labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    measured = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most sample_rows rows
+    agreed = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    chosen = agreed.filter("quality = other").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows
+    measured = statistics(texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     keep = ["doc_id", "quality", "q_base_failed", *(f"q_{f}" for f in FEATURES)]
     return fit(written(measured.select(*keep), "labelled-statistics").filter(~F.col("q_base_failed")))
 

@@ -42,6 +42,32 @@ def test_list_learns_planted_rule_and_emits_a_conditional(spark):
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
 
 
+def test_the_order_of_rows_and_labels_that_disagree(spark):
+    good = [(i, " ".join(f"w{j * (i + 1) % 97}" for j in range(60)), 1) for i in range(90)]
+    bad = [(1000 + i, " ".join(f"w{j * (i + 1) % 97}##" for j in range(60)), 0) for i in range(60)]
+    rows = good + bad
+    labels = [(i, q) for i, _, q in rows] + [(i, 1 - q) for i, _, q in rows[::4]] + [(i, q) for i, _, q in rows[1::4]] + [(None, 1), (3, None)]
+    docs = [(i, t) for i, t, _ in rows] + [(i, t + " zz") for i, t, _ in rows[1::3]] * 3
+    learned = []
+    for step, parts in ((1, 1), (-1, 3), (1, 7)):
+        d1 = spark.createDataFrame(docs[::step], "doc_id long, text string").repartition(parts)
+        l1 = spark.createDataFrame(labels[::step], "doc_id long, quality int").repartition(parts)
+        learned.append(d.learn(d1, l1).rules)
+    assert learned[0] and learned[0] == learned[1] == learned[2]
+    # as if the ids whose labels disagree had none
+    agreed = spark.createDataFrame([(i, q) for k, (i, _, q) in enumerate(rows) if k % 4], "doc_id long, quality int")
+    assert d.learn(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), agreed).rules == learned[0]
+    # the bound holds for rows of documents too
+    seen = []
+    d_fit = d.fit
+    try:
+        d.fit = lambda df: seen.append(df.count()) or d_fit(df)
+        d.learn(spark.createDataFrame(docs * 3, "doc_id long, text string"), agreed, 50)
+    finally:
+        d.fit = d_fit
+    assert seen == [50]
+
+
 def test_without_labels_base_rules_decide(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, " ".join(map(str, range(50)))), (3, None)], "doc_id long, text string")
     rules = d.learn(df, spark.createDataFrame([], "doc_id long, quality int"))
