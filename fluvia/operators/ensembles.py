@@ -68,13 +68,13 @@ class Rolling:
         return (total[self.days : self.days + n] - total[:n]) / (count[self.days : self.days + n] - count[:n])[:, None]
 
 
-def blocks_of(r, vectors: np.ndarray, ids: np.ndarray, version: int, integrator: str, ice: float, series: tuple, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def blocks_of(r, vectors: np.ndarray, ids: np.ndarray, version: int, integrator: str, ice: float, series: tuple, seed: int, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first, last, values [days, vectors]) of a packed row, with the noise of its sigma and rho, block by block.
 
     Draws depend on the series, the segment and the vector alone."""
     seg = np.asarray(r.seg_id)
     cuts = [*np.flatnonzero(np.diff(seg, prepend=seg[0] - 1)).tolist(), len(seg)]
-    step = max(2, BLOCK_VALUES // len(vectors))
+    step = max(2, most // len(vectors))
     sigma, rho = getattr(r, "sigma", None), getattr(r, "rho", None) or 0.0
     for a, b in zip(cuts, cuts[1:]):
         name = zlib.crc32(repr([*series, seg[a].item()]).encode())
@@ -91,13 +91,13 @@ def blocks_of(r, vectors: np.ndarray, ids: np.ndarray, version: int, integrator:
             yield low, high, tw
 
 
-def _quantiles(batches: Iterator[pd.DataFrame], version: int, integrator: str, ice: float, keys: tuple[str, ...], seed: int, at: tuple[float, ...], rolling: int) -> Iterator[pd.DataFrame]:
+def _quantiles(batches: Iterator[pd.DataFrame], version: int, integrator: str, ice: float, keys: tuple[str, ...], seed: int, at: tuple[float, ...], rolling: int, most: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for r in batch.itertuples(index=False):
             ids, vectors = np.array([x["param_id"] for x in r.batch]), np.array([list(x["p"]) for x in r.batch], float)
             once = {k: getattr(r, k) for k in keys}
             mean = Rolling(rolling) if rolling > 1 else None
-            for low, high, tw in blocks_of(r, vectors, ids, version, integrator, ice, tuple(once.values()), seed):
+            for low, high, tw in blocks_of(r, vectors, ids, version, integrator, ice, tuple(once.values()), seed, most):
                 days = r.d[low:high]
                 if mean:
                     tw = mean(np.array([x.toordinal() for x in days]), tw)
@@ -120,7 +120,7 @@ def daily_percentiles(days: DataFrame, params: DataFrame, version: int = 8, inte
     if noise is not None:
         rows = rows.join(noise.select(*keys, "sigma", "rho"), list(keys))
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    run = partial(_quantiles, version=version, integrator=integrator, ice=ice, keys=keys, seed=seed, at=(tail, 0.5, 1 - tail), rolling=rolling)
+    run = partial(_quantiles, version=version, integrator=integrator, ice=ice, keys=keys, seed=seed, at=(tail, 0.5, 1 - tail), rolling=rolling, most=BLOCK_VALUES)
     return rows.mapInPandas(run, f"{kinds}, d date, lower double, p50 double, upper double")
 
 

@@ -75,16 +75,76 @@ def islands(df: DataFrame, valid: Column, keys: tuple[str, ...] = ("site",)) ->
     return df.withColumn("turn", F.when(before.isNull() | (before != F.col("valid")), 1).otherwise(0)).withColumn("block", F.sum("turn").over(w)).drop("turn")
 
 
-def with_segments(df: DataFrame, version: int = 8, min_days: int = 30, warmup_days: int = 15, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """df with ``seg_id`` (1 .. in date order; null outside of long enough runs), ``seg_day`` (1 ..) and ``in_eval``."""
-    tagged = islands(df, forcing_valid(version), keys)
-    block = Window.partitionBy(*keys, "block")
-    tagged = tagged.withColumn("days", F.count(F.lit(1)).over(block)).withColumn("start", F.min("d").over(block))
-    kept = F.col("valid") & (F.col("days") >= min_days)
-    starts = F.when(kept & (F.col("d") == F.col("start")), 1).otherwise(0)
-    w = Window.partitionBy(*keys).orderBy("d")
-    tagged = tagged.withColumn("seg_id", F.when(kept, F.sum(starts).over(w))).withColumn("seg_day", F.when(kept, F.datediff("d", "start") + 1))
-    return tagged.withColumn("in_eval", F.coalesce(F.col("seg_day") > warmup_days, F.lit(False))).drop("valid", "block", "days", "start")
+#: Days of a range in which runs are found on their own before the ranges are put together.
+RANGE_DAYS = 1024
+
+
+def islands_by_range(df: DataFrame, valid: Column, keys: tuple[str, ...] = ("site",), range_days: int = RANGE_DAYS) -> DataFrame:
+    """``islands`` in two levels: runs within ranges of days, each a group of its own, then a carry over the ranges' edges.
+
+    A series is spread over as many tasks as it has ranges; one group for each key has only a row for each range."""
+    span = F.floor(F.unix_date("d") / range_days).alias("span")
+    local = Window.partitionBy(*keys, "span").orderBy("d")
+    rows = df.withColumn("valid", valid).select("*", span)
+    rows = rows.withColumn("turn", F.when(F.lag("valid").over(local) != F.col("valid"), 1).otherwise(0)).withColumn("turns", F.sum("turn").over(local))
+    edges = rows.groupBy(*keys, "span").agg(F.min_by("valid", "d").alias("first"), F.max_by("valid", "d").alias("last"), F.sum("turn").alias("inside"))
+    over = Window.partitionBy(*keys).orderBy("span")
+    before = F.lag("last").over(over)
+    edges = edges.withColumn("joint", F.when(before.isNull() | (before != F.col("first")), 1).otherwise(0))
+    edges = edges.select(*keys, "span", (F.sum(F.col("joint") + F.col("inside")).over(over) - F.col("inside")).alias("carry"))
+    out = rows.join(edges, [*keys, "span"])
+    return out.select(*df.columns, "valid", (F.col("carry") + F.col("turns")).alias("block"))
+
+
+def with_segments(df: DataFrame, version: int = 8, min_days: int = 30, warmup_days: int = 15, keys: tuple[str, ...] = ("site",), range_days: int | None = None) -> DataFrame:
+    """df with ``seg_id`` (1 .. in date order; null outside of long enough runs), ``seg_day`` (1 ..) and ``in_eval``.
+
+    With ``range_days`` no series is sorted in one task: runs are found by ranges of so many days, and segments are numbered
+    in a table of the runs, which joins the days again."""
+    if range_days is None:
+        tagged = islands(df, forcing_valid(version), keys)
+        block = Window.partitionBy(*keys, "block")
+        tagged = tagged.withColumn("days", F.count(F.lit(1)).over(block)).withColumn("start", F.min("d").over(block))
+        kept = F.col("valid") & (F.col("days") >= min_days)
+        starts = F.when(kept & (F.col("d") == F.col("start")), 1).otherwise(0)
+        w = Window.partitionBy(*keys).orderBy("d")
+        tagged = tagged.withColumn("seg_id", F.when(kept, F.sum(starts).over(w))).withColumn("seg_day", F.when(kept, F.datediff("d", "start") + 1))
+        return tagged.withColumn("in_eval", F.coalesce(F.col("seg_day") > warmup_days, F.lit(False))).drop("valid", "block", "days", "start")
+    tagged = islands_by_range(df, forcing_valid(version), keys, range_days)
+    runs = tagged.filter("valid").groupBy(*keys, "block").agg(F.min("d").alias("start"), F.count(F.lit(1)).alias("days")).filter(F.col("days") >= min_days)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("block")).cast("long")
+    out = tagged.join(runs.select(*keys, "block", "start", number.alias("seg_id")), [*keys, "block"], "left")
+    out = out.select(*df.columns, "seg_id", (F.datediff("d", "start") + 1).alias("seg_day"))
+    return out.withColumn("in_eval", F.coalesce(F.col("seg_day") > warmup_days, F.lit(False)))
+
+
+#: Days of a bin of the interval join, and rows of a bin that one task joins.
+BIN_DAYS, BIN_ROWS = 64, 100_000
+
+
+def join_intervals(df: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("site",), start: str = "start_d", end: str = "end_d", day: str = "d", bin_days: int = BIN_DAYS, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """df beside each row of intervals (keys, start, end, ..) that its day lies in, both ends included.
+
+    Intervals are cut into bins of days and joined by equal bins, then refined, so it's no nested loop. A bin of more than
+    ``bin_rows`` rows is dealt by hash to several tasks, to each of which its intervals go. Intervals may overlap; one that
+    ends before it starts, or without an end, has no day; rows without a day have no interval."""
+    number = lambda c: F.floor(F.unix_date(c) / bin_days)
+    left = df.withColumn("bin", number(F.col(day))).filter("bin IS NOT NULL")
+    cut = intervals.filter(F.col(start) <= F.col(end)).withColumn("bin", F.explode(F.sequence(number(F.col(start)), number(F.col(end)))))
+    hot = left.groupBy(*keys, "bin").agg(F.ceil(F.count(F.lit(1)) / bin_rows).cast("int").alias("shares")).filter("shares > 1")
+    dealt = F.coalesce("shares", F.lit(1))
+    salt = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    left = left.join(hot, [*keys, "bin"], "left").withColumn("share", F.pmod(salt, dealt).cast("int")).drop("shares")
+    cut = cut.join(hot, [*keys, "bin"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("shares")
+    return left.join(cut, [*keys, "bin", "share"]).filter(F.col(day).between(F.col(start), F.col(end))).drop("bin", "share")
+
+
+def within(df: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("site",), value: str = "t_water") -> DataFrame:
+    """intervals (keys, start_d, end_d) with the number of df's days in each, that of a value and its sum; 0 and null of none."""
+    found = join_intervals(df.select(*keys, "d", value), intervals.select(*keys, "start_d", "end_d").distinct(), keys)
+    counts = found.groupBy(*keys, "start_d", "end_d").agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_seen"), F.sum(value).alias("total"))
+    out = intervals.join(counts, [*keys, "start_d", "end_d"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "n_seen")})
 
 
 def held_out(df: DataFrame, folds: DataFrame, fold: int, first_month: int = 1, keys: tuple[str, ...] = ("site",)) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.stats import correlation, normal_quantile
 from fluvia.operators import prep
+from fluvia.sources.scratch import written
 
 LIMITS = {"NSE": 0.5, "KGE": 0.5}
 RMS_TOLERANCE = 2.0
@@ -30,11 +36,9 @@ def rolling_mean(value: str, days: int = 7, keys: tuple[str, ...] = ("site",)) -
 
 
 def observed_span(df: DataFrame, value: str = "t_water", keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Rows from the first to the last observed value."""
-    w = Window.partitionBy(*keys)
-    seen = F.when(F.col(value).isNotNull(), F.col("d"))
-    out = df.withColumn("a", F.min(seen).over(w)).withColumn("b", F.max(seen).over(w))
-    return out.filter(F.col("d").between(F.col("a"), F.col("b"))).drop("a", "b")
+    """Rows from the first to the last observed value; the two days of a key come from an aggregation, not a sort."""
+    span = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min("d").alias("first_seen"), F.max("d").alias("last_seen"))
+    return df.join(span, list(keys)).filter(F.col("d").between(F.col("first_seen"), F.col("last_seen"))).select(*df.columns)
 
 
 def posterior_summary(chain: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -93,22 +97,67 @@ def histogram(df: DataFrame, value: str, bins: int = 30, keys: tuple[str, ...] =
     return df.filter(F.col(value).isNotNull()).join(span, list(keys)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def autocorrelation(df: DataFrame, value: str, lags: int = 50, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Autocorrelation of a series at lags 0 .. lags: rows meet by position, each with a bounded number of others."""
-    w = Window.partitionBy(*keys)
-    x = df.filter(F.col(value).isNotNull()).withColumn("x", F.col(value) - F.avg(value).over(w)).withColumn("rn", F.row_number().over(w.orderBy("d")))
-    shifted = x.select(*keys, F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "rn").withColumn("rn", F.col("rn") - F.col("lag"))
-    total = x.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("total"))
-    return x.join(shifted, [*keys, "rn"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(total, list(keys)).select(*keys, "lag", F.try_divide("s", "total").alias("acf"))
+def ranked(df: DataFrame, order: tuple[str, ...], keys: tuple[str, ...] = ("site",), name: str = "rn") -> DataFrame:
+    """df with row numbers 1 .. of each key in an order of columns, without a task for each key.
+
+    Rows are dealt by ranges of the order, sorted and written with their places; a table of the counts of each key in each
+    range gives the offset that is added to the places within it. Rows equal in the order have any of their numbers."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("place", F.monotonically_increasing_id())
+    dealt = written(dealt, "ranges").withColumn("range", F.shiftright("place", 33))
+    first = dealt.groupBy(*keys, "range").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("n")
+    offset = first.select(*keys, "range", (before - F.col("first") + 1).alias("offset"))
+    out = dealt.join(offset, [*keys, "range"]) if keys else dealt.join(offset, "range")
+    return out.withColumn(name, F.col("place") + F.col("offset")).drop("place", "range", "offset")
+
+
+#: Values of a block of a series that are multiplied with those of another block at once.
+BLOCK_ROWS = 4096
+
+
+def _products(batches: Iterator[pd.DataFrame], keys: tuple[str, ...], size: int) -> Iterator[pd.DataFrame]:
+    """Sums of products of the values of two blocks, by the distance of their places."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            x, y = np.asarray(r.x, float), np.asarray(r.y, float)
+            s = np.correlate(y, x, "full")  # at place m: lag of m - (len(x) - 1) between the blocks' first values
+            lag = np.arange(len(s)) - (len(x) - 1) + (r.later - r.block) * size
+            use = lag >= 0
+            yield pd.DataFrame({k: getattr(r, k) for k in keys} | {"lag": lag[use], "s": s[use]})
+
+
+def autocorrelation(df: DataFrame, value: str, lags: int | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """(keys, lag, acf): the autocorrelation of each series at all lags 0 .. n - 1, or up to ``lags``; null values are
+    passed over, and a constant series has none.
+
+    Values are packed in blocks by their places; each block meets the later ones within reach, a task a pair, which
+    returns one sum for each lag between them."""
+    seen = df.filter(F.col(value).isNotNull()).select(*keys, "d", F.col(value).cast("double").alias("x"))
+    rows = ranked(seen, ("d",), keys)
+    mean = rows.groupBy(*keys).agg(F.avg("x").alias("mean"))
+    total = rows.join(mean, list(keys)).groupBy(*keys).agg(F.first("mean").alias("mean"), F.sum(F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("total"), F.count(F.lit(1)).alias("n"))
+    total = written(total, "moments")
+    block = F.floor((F.col("rn") - 1) / BLOCK_ROWS)
+    packed = rows.join(total.select(*keys, "mean"), list(keys)).groupBy(*keys, block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("rn", (F.col("x") - F.col("mean")).alias("x")))).alias("v"))
+    packed = written(packed.select(*keys, "block", F.col("v.x").alias("x")), "blocks")
+    last = F.floor((F.col("n") - 1) / BLOCK_ROWS)
+    reach = last if lags is None else F.least(last, F.col("block") + (lags + BLOCK_ROWS - 1) // BLOCK_ROWS)
+    first = packed.join(total.select(*keys, "n"), list(keys)).withColumn("later", F.explode(F.sequence("block", reach))).drop("n")
+    pairs = first.join(packed.select(*keys, F.col("block").alias("later"), F.col("x").alias("y")), [*keys, "later"])
+    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+    sums = pairs.select(*keys, "block", "later", "x", "y").mapInPandas(partial(_products, keys=keys, size=BLOCK_ROWS), f"{kinds}, lag long, s double")
+    sums = sums if lags is None else sums.filter(F.col("lag") <= lags)
+    return sums.groupBy(*keys, "lag").agg(F.sum("s").alias("s")).join(total, list(keys)).select(*keys, "lag", F.try_divide("s", "total").alias("acf"))
 
 
 def normal_quantiles(df: DataFrame, value: str, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Ordered values against normal quantiles of Filliben's order medians."""
-    w = Window.partitionBy(*keys)
-    out = df.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
+    """Ordered values against normal quantiles of Filliben's order medians; places come from ``ranked``."""
+    out = ranked(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("ordered")), ("ordered",), keys, "i")
+    out = out.join(out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), list(keys))
     tail = F.pow(F.lit(0.5), 1 / F.col("n"))
     m = F.when(F.col("n") == 1, 0.5).when(F.col("i") == F.col("n"), tail).when(F.col("i") == 1, 1 - tail).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return out.select(*keys, "i", F.col(value).alias("ordered"), normal_quantile(m).alias("theoretical"))
+    return out.select(*keys, "i", "ordered", normal_quantile(m).alias("theoretical"))
 
 
 def combined(first: Column | str, second: Column | str) -> Column:

@@ -226,6 +226,17 @@ _query("prj15_unit_conversion", "site:s d:s c:d", lambda s, p: forcing(s, p).wit
 for _g, (_k, _len) in prep.GAPS.items():
     _query(f"prj17_gaps_{_g}", "site:s d:s t_air:d", lambda s, p, g=_g: prep.with_gaps(forcing(s, p), "t_air", g), f"SELECT site, d, CASE WHEN NOT (n // every BETWEEN 1 AND {_k} AND n % every < {_len}) THEN t_air END AS t_air FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n, count(*) OVER (PARTITION BY site) // {_k + 1} AS every FROM forcing)")
 _query("joi3_segment_tagging", "site:s d:s seg_id:i seg_day:i", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day FROM days", _segments())
+_query("win1_joi3_segments_by_range", "site:s d:s seg_id:i seg_day:i in_eval:s", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS, range_days=prep.RANGE_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day, in_eval FROM days", _segments())
+_query("win2_islands_by_range", "site:s d:s valid:s block:i", lambda s, p: prep.islands_by_range(forcing(s, p), prep.analysis_valid(), range_days=100), "SELECT site, d, valid, block FROM isl", _islands(WITH_FLOW))
+
+
+def _intervals(s: SparkSession, p: str) -> DataFrame:
+    """An interval for each order, of up to 34 days from its date; some end before they start."""
+    o = s.read.parquet(f"{p}/orders.parquet").select("o_orderkey", F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("site"), _day("o_orderdate").alias("start_d"))
+    return prep.within(settled(s, p), o.withColumn("end_d", F.date_add("start_d", (F.col("o_orderkey") % 40 - 5).cast("int"))))
+
+
+_query("joi3_interval_join", "o_orderkey:i site:s start_d:s end_d:s n_rows:i n_seen:i total:d", _intervals, "SELECT o_orderkey, o.site, start_d, end_d, count(f.d) AS n_rows, count(f.t_water) AS n_seen, sum(f.t_water) AS total FROM (SELECT o_orderkey, 'S' || (o_custkey % 2) AS site, CAST(o_orderdate AS DATE) AS start_d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 5 AS INT) AS end_d FROM orders) o LEFT JOIN forcing f ON f.site = o.site AND f.d BETWEEN start_d AND end_d GROUP BY ALL")
 _query("joi6_start_values", "site:s seg_id:i tw0:d", lambda s, p: prep.start_values(prep.with_segments(f := settled(s, p), 8, MIN_DAYS), prep.climatology(f)), "SELECT * FROM st", f"{_segments()},{CLIMATOLOGY},{STARTS}")
 _FOLDS = """
 yrs AS (SELECT DISTINCT site, year(d) AS year FROM forcing),
@@ -308,7 +319,7 @@ def _horner(table: tuple, r: str) -> str:
 
 _PROBIT = f"CASE WHEN abs(m - 0.5) <= 0.425 THEN (m - 0.5) * {_horner(stats.MIDDLE, '(0.180625 - (m - 0.5) * (m - 0.5))')} ELSE sign(m - 0.5) * CASE WHEN r <= 5 THEN {_horner(stats.TAIL, '(r - 1.6)')} ELSE {_horner(stats.FAR, '(r - 5)')} END END"
 _query("agg28_normal_quantiles", "site:s i:i ordered:d theoretical:d", lambda s, p: reports.normal_quantiles(residuals(s, p), "residual"), f"SELECT site, i, ordered, {_PROBIT} AS theoretical FROM (SELECT *, sqrt(-ln(least(m, 1 - m))) AS r FROM (SELECT *, CASE WHEN n = 1 THEN 0.5 WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS m FROM (SELECT site, tw - t_water AS ordered, row_number() OVER (PARTITION BY site ORDER BY tw - t_water) AS i, count(*) OVER (PARTITION BY site) AS n FROM ser WHERE tw - t_water IS NOT NULL)))", SIMULATED)
-_query("agg29_autocorrelation", "site:s lag:i acf:d", lambda s, p: reports.autocorrelation(residuals(s, p), "residual"), "SELECT x.site, l.lag, sum(x.x * y.x) / any_value(t.t) AS acf FROM x CROSS JOIN (SELECT unnest(range(51)) AS lag) l JOIN x y ON y.site = x.site AND y.rn = x.rn + l.lag JOIN (SELECT site, sum(x * x) AS t FROM x GROUP BY site) t ON t.site = x.site GROUP BY 1, 2", SIMULATED + ",\nx AS (SELECT site, r - avg(r) OVER (PARTITION BY site) AS x, row_number() OVER (PARTITION BY site ORDER BY d) AS rn FROM (SELECT site, d, tw - t_water AS r FROM ser WHERE tw - t_water IS NOT NULL))")
+_query("agg29_autocorrelation", "site:s lag:i acf:d", lambda s, p: reports.autocorrelation(residuals(s, p), "residual"), "SELECT x.site, y.rn - x.rn AS lag, sum(x.x * y.x) / any_value(t.t) AS acf FROM x JOIN x y ON y.site = x.site AND y.rn >= x.rn JOIN (SELECT site, sum(x * x) AS t FROM x GROUP BY site) t ON t.site = x.site GROUP BY 1, 2", SIMULATED + ",\nx AS (SELECT site, r - avg(r) OVER (PARTITION BY site) AS x, row_number() OVER (PARTITION BY site ORDER BY d) AS rn FROM (SELECT site, d, tw - t_water AS r FROM ser WHERE tw - t_water IS NOT NULL))")
 
 
 def _output(s: SparkSession, p: str, since: str | None = None, resolution: str = "1d", prc: float = 1.0) -> DataFrame:
