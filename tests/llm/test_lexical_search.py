@@ -64,10 +64,16 @@ def test_equals_a_brute_force_ranking(spark, made, monkeypatch):
     assert rows_of(ls.search(d, q, 3)) == brute(docs, items, 3)
     monkeypatch.setattr(ls, "BROADCAST_TERMS", 5)
     monkeypatch.setattr(ls, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ls, "PART_BYTES", 100)
     assert rows_of(ls.search(d, q)) == expected
 
 
+def test_texts_are_read_in_parts(made, monkeypatch):
+    monkeypatch.setattr(ls, "PART_BYTES", 20)
+    for _, text in made[0]:
+        parts = list(ls.parts_of(text or ""))
+        assert [w.decode() for p in parts for w in p] == terms(text) and all(len(b" ".join(p)) < 60 or len(p) == 1 for p in parts)
+
+
 def test_empty_tables(spark, made):
     docs, items = made
     d, q = spark.createDataFrame(docs[:20], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
