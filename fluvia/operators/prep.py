@@ -229,7 +229,11 @@ def qmedia(df: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
 
 def climatology(df: DataFrame, keys: tuple[str, ...] = ("site",), value: str = "t_water") -> DataFrame:
     """Mean by 0-based day of the year, all 366; empty days are interpolated linearly around the year."""
-    means = df.groupBy(*keys, doy0(F.col("d")).alias("doy0")).agg(F.avg(value).alias("t"))
+    return filled_year(df.groupBy(*keys, doy0(F.col("d")).alias("doy0")).agg(F.avg(value).alias("t")), keys)
+
+
+def filled_year(means: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """All 366 days of means (keys, doy0, t); days without a mean are interpolated linearly around the year."""
     grid = means.select(*keys).distinct().withColumn("doy0", F.explode(F.sequence(F.lit(0), F.lit(365))))
     year = grid.join(means, [*keys, "doy0"], "left").withColumn("turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("x", F.col("doy0") + 366 * F.col("turn"))
     w = Window.partitionBy(*keys).orderBy("x")

@@ -30,22 +30,30 @@ def with_moments(df: DataFrame, obs: Column, flow: Column, qmedia: float | None
     return df.withColumns({"qmedia": mean, "n_dat": F.count(obs).over(w), "mean_obs": F.avg(obs).over(w), "tss_obs": F.var_pop(obs).over(w) * F.count(obs).over(w)})
 
 
-def prepared(forcing: DataFrame, version: int = 8, min_days: int = 30, warmup_days: int = 15, qmedia: float | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+def _moments_joined(df: DataFrame, moments: DataFrame, qmedia: float | None, keys: tuple[str, ...]) -> DataFrame:
+    flow = F.col("qmedia") if qmedia is None else F.lit(float(qmedia))
+    return df.join(moments.select(*keys, flow.alias("qmedia"), "n_dat", "mean_obs", "tss_obs"), list(keys))
+
+
+def prepared(forcing: DataFrame, version: int = 8, min_days: int = 30, warmup_days: int = 15, qmedia: float | None = None, keys: tuple[str, ...] = ("site",), moments: DataFrame | None = None, clim: DataFrame | None = None) -> DataFrame:
     """Days of long enough segments with flow ratio, year fraction, the segment's start value, and the moments of all
     observations, in segments or not. Segments, flow mean and moments come from windows over one exchange; give a
-    written table, as climatology reads it once more."""
-    seg = prep.with_segments(with_moments(forcing, F.col("t_water"), F.col("q"), qmedia, keys), version, min_days, warmup_days, keys).filter("seg_id IS NOT NULL")
-    starts = prep.start_values(seg, prep.climatology(forcing, keys), keys)
+    written table, as climatology reads it once more. Given moments (keys, qmedia, n_dat, mean_obs, tss_obs) and a given
+    climatology (keys, doy0, t) are joined instead."""
+    given = with_moments(forcing, F.col("t_water"), F.col("q"), qmedia, keys) if moments is None else forcing
+    seg = prep.with_segments(given, version, min_days, warmup_days, keys).filter("seg_id IS NOT NULL")
+    seg = seg if moments is None else _moments_joined(seg, moments, qmedia, keys)
+    starts = prep.start_values(seg, prep.climatology(forcing, keys) if clim is None else clim, keys)
     theta = F.col("q") / F.col("qmedia") if version in kernels.NEEDS_FLOW else F.lit(1.0)
     return seg.join(starts, [*keys, "seg_id"]).withColumn("theta", theta).withColumn("tt", year_fraction(F.col("d")))
 
 
-def whole(forcing: DataFrame, version: int = 8, qmedia: float | None = None, keys: tuple[str, ...] = ("site",), flow: str = "q") -> DataFrame:
+def whole(forcing: DataFrame, version: int = 8, qmedia: float | None = None, keys: tuple[str, ...] = ("site",), flow: str = "q", moments: DataFrame | None = None) -> DataFrame:
     """The series with its warm-up year as one segment, from the first observation or 4; evaluation starts after it.
-    The mean flow is that of the column ``flow``."""
+    The mean flow is that of the column ``flow``; given moments are joined instead."""
     warm = prep.with_warmup(forcing, keys)
     real = lambda c: F.when(~F.col("is_warmup"), F.col(c))
-    out = with_moments(warm, real("t_water"), real(flow), qmedia, keys)
+    out = with_moments(warm, real("t_water"), real(flow), qmedia, keys) if moments is None else _moments_joined(warm, moments, qmedia, keys)
     first = F.coalesce(F.max(F.when(F.col("idx") == 0, F.col("t_water"))).over(Window.partitionBy(*keys)), F.lit(4.0))
     theta = F.col("q") / F.col("qmedia") if version in kernels.NEEDS_FLOW else F.lit(1.0)
     return out.withColumns({"tw0": first, "theta": theta, "seg_id": F.lit(1).cast("long"), "seg_day": F.col("idx") + 1, "in_eval": ~F.col("is_warmup")})
@@ -168,16 +176,22 @@ def best(scored: DataFrame, score: str = "nse", keys: tuple[str, ...] = ("site",
     return scored.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys).agg(top.alias("param_id"), F.max(score).alias(score))
 
 
-def rates(df: DataFrame, p: list[float], version: int = 8, tw: str = "tw", name: str = "rate") -> DataFrame:
-    """df (t_air, theta, tt, tw) with the model's rate of change at each row."""
-    vector = kernels.active_only(np.asarray(p, float)[None], version)[0]
+def rate(version: int, p: list[float], ta: Column, theta: Column, t: Column, tw: Column) -> Column:
+    """The model's rate of change as an expression; parameters that the version hasn't are zero."""
+    q = [float(x) if k in kernels.ACTIVE[version] else 0.0 for k, x in enumerate(p)]
+    season = q[5] * F.cos(2 * F.pi() * (t - q[6]))
+    out = q[0] + q[1] * ta - q[2] * tw
+    if version == 5:
+        out = out + season
+    if version in (7, 8):
+        out = out + theta * (q[4] + season - q[7] * tw)
+    return out / F.pow(theta, F.lit(q[3])) if version in (4, 8) else out
 
-    @F.pandas_udf("double")
-    def rate(ta: pd.Series, theta: pd.Series, t: pd.Series, w: pd.Series) -> pd.Series:
-        with np.errstate(all="ignore"):
-            return pd.Series(kernels.rate(version, vector, *(x.to_numpy(float) for x in (ta, theta, t, w))))
 
-    return df.withColumn(name, F.nullif(rate("t_air", "theta", "tt", tw), F.lit(float("nan"))))
+def rates(df: DataFrame, p: list[float], version: int = 8, tw: str = "tw", name: str = "rate") -> DataFrame:
+    """df (t_air, theta, tt, tw) with the model's rate of change at each row."""
+    out = rate(version, p, *(F.col(c).cast("double") for c in ("t_air", "theta", "tt", tw)))
+    return df.withColumn(name, F.nullif(out, F.lit(float("nan"))))
 
 
 def series(forcing: DataFrame, simulated: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:

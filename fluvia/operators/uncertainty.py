@@ -137,32 +137,56 @@ def fold_forcing(forcing: DataFrame, folds: DataFrame, first_month: int = 1, gap
     return out.withColumns({c: F.when(~F.col("held"), F.col(c)) for c in masked}).drop("year")
 
 
+def fold_statistics(forcing: DataFrame, folds: DataFrame, first_month: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Moments (site, fold, qmedia, n_dat, mean_obs, tss_obs) and climatology (site, fold, doy0, t) of each fold's training
+    days: those of all days less those of the held-out ones, so each day is aggregated twice, however many folds there are.
+
+    Of two disjoint parts of a whole, the sums of squares about their means add up to the whole's but for the distance
+    between the two means."""
+    q = F.when(F.col("q") > 0, F.col("q"))
+    sums = (F.count(q).alias("n_q"), F.coalesce(F.sum(q), F.lit(0.0)).alias("sum_q"), F.count("t_water").alias("n"), F.avg("t_water").alias("mean"), (F.var_pop("t_water") * F.count("t_water")).alias("tss"))
+    held_days = forcing.withColumn("year", water_year(F.col("d"), first_month)).join(folds.select("site", "fold", "year"), ["site", "year"])
+    held = held_days.groupBy("site", "fold").agg(*sums)
+    both = folds.select("site", "fold").distinct().join(forcing.groupBy("site").agg(*sums), "site")
+    held = held.select("site", "fold", *[F.col(c).alias(f"held_{c}") for c in ("n_q", "sum_q", "n", "mean", "tss")])
+    both = both.join(held, ["site", "fold"], "left").fillna(0, ["held_n_q", "held_sum_q", "held_n", "held_mean", "held_tss"])
+    n, c = F.col("n") - F.col("held_n"), F.col
+    mean = F.try_divide(c("n") * c("mean") - c("held_n") * c("held_mean"), n)
+    apart = F.try_divide(c("held_n") * n, c("n")) * F.pow(c("held_mean") - mean, F.lit(2))
+    tss = F.when(n > 0, F.greatest(F.lit(0.0), c("tss") - c("held_tss") - F.coalesce(apart, F.lit(0.0))))
+    qmean = F.try_divide(c("sum_q") - c("held_sum_q"), c("n_q") - c("held_n_q"))
+    moments = both.select("site", "fold", qmean.alias("qmedia"), n.alias("n_dat"), mean.alias("mean_obs"), tss.alias("tss_obs"))
+    day = prep.doy0(F.col("d")).alias("doy0")
+    by_day = lambda df, *k: df.groupBy(*k, day).agg(F.count("t_water").alias("k"), F.sum("t_water").alias("s"))
+    year = folds.select("site", "fold").distinct().join(by_day(forcing, "site"), "site")
+    less = by_day(held_days, "site", "fold").select("site", "fold", "doy0", F.col("k").alias("held_k"), F.col("s").alias("held_s"))
+    left = c("k") - F.coalesce("held_k", F.lit(0))
+    means = year.join(less, ["site", "fold", "doy0"], "left").select("site", "fold", "doy0", F.try_divide(c("s") - F.coalesce("held_s", F.lit(0.0)), left).alias("t"))
+    return moments, prep.filled_year(means, ("site", "fold"))
+
+
 def cross_validate(forcing: DataFrame, folds: DataFrame, low: list[float], high: list[float], method: str = "DE", version: int = 8, integrator: str = "RK4", first_month: int = 1, min_days: int = 30, fixed: list[float] | None = None, resolution: str = "1d", prc: float = 1.0, score: str = "NSE", warmup_days: int = 15, ice: float = 0.0, qmedia: float | None = None, gap_tolerant: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(site, fold, label, n_obs, nse, kge, rmse, p) of each fold, and the held-out days (site, fold, d, obs, sim).
 
-    A fold's flow mean, climatology and moments come from its training days; then all forcing is there again and the
-    held-out days are scored. All folds of all sites are independent tasks. The folds' forcing and the best vectors are
-    written, so that no search runs twice."""
+    A fold's flow mean, climatology and moments come from its training days, by subtraction; then all forcing is there
+    again and the held-out days are scored. The forcing is copied for each fold only where its days are simulated. All
+    folds of all sites are independent tasks; moments and best vectors are written, so that no search runs twice."""
     keys = ("site", "fold")
-    masked = written(fold_forcing(forcing, folds, first_month, gap_tolerant).withColumn("q_train", F.when(~F.col("held"), F.col("q"))), "fold-forcing")
-    whole = None if gap_tolerant else sim.whole(masked, version, qmedia, keys, "q_train")
+    moments, clim = (written(x, n) for x, n in zip(fold_statistics(forcing, folds, first_month), ("fold-moments", "fold-climatology")))
+    masked = fold_forcing(forcing, folds, first_month, gap_tolerant)
+    whole = None if gap_tolerant else sim.whole(masked, version, qmedia, keys, moments=moments)
     if fixed is None:
-        days = sim.prepared(masked, version, min_days, warmup_days, qmedia, keys) if gap_tolerant else whole
+        days = sim.prepared(masked, version, min_days, warmup_days, qmedia, keys, moments, clim) if gap_tolerant else whole
         days = metrics.with_periods(days, masked, resolution, prc, keys)
         best = written(search.calibrate(days, method, low, high, version, integrator, score, ice, keys=keys, **options).select(*keys, "p"), "fold-best")
     else:
-        best = masked.select(*keys).distinct().withColumn("p", F.array(*[F.lit(float(x)) for x in fixed]))
+        best = moments.select(*keys).withColumn("p", F.array(*[F.lit(float(x)) for x in fixed]))
     if not gap_tolerant:  # the model runs through the held-out days
         tw = sim.simulate(sim.packed(whole, keys).join(best, list(keys)), None, version, integrator, ice, keys)
         held = masked.filter("held").select(*keys, "label", "d", F.col("t_water_all").alias("obs")).join(tw.select(*keys, "d", F.col("tw").alias("sim")), [*keys, "d"]).filter("obs IS NOT NULL")
         return metrics.fold_scores(held, ("site", "fold", "label")).join(best, list(keys)), held
-    mean = prep.qmedia(masked, keys).select(*keys, "qmedia") if qmedia is None else masked.select(*keys).distinct().withColumn("qmedia", F.lit(float(qmedia)))
-    clim = prep.climatology(masked, keys)
     full = masked.select(*keys, "label", "d", "held", F.col("t_air_all").alias("t_air"), F.col("q_all").alias("q"), F.col("t_water").alias("t_water"), "t_water_all")
-    seg = prep.with_segments(full, version, min_days, 0, keys).filter("seg_id IS NOT NULL")
-    starts = prep.start_values(seg, clim, keys)
-    theta = F.col("q") / F.col("qmedia") if version in kernels.NEEDS_FLOW else F.lit(1.0)
-    days = seg.join(mean, list(keys)).join(starts, [*keys, "seg_id"]).withColumns({"theta": theta, "tt": sim.year_fraction(F.col("d"))})
+    days = sim.prepared(full, version, min_days, 0, qmedia, keys, moments, clim)
     rows = sim.packed(days, keys).join(best, list(keys))
     tw = sim.simulate(rows, None, version, integrator, ice, keys)
     held = days.filter("held").select(*keys, "label", "d", F.col("t_water_all").alias("obs")).join(tw.select(*keys, "d", F.col("tw").alias("sim")), [*keys, "d"]).filter("obs IS NOT NULL")

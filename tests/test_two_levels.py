@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluvia.operators import prep, reports
+from fluvia.functions import kernels
+from fluvia.operators import prep, reports, uncertainty
+from fluvia.operators import simulate as sim
 
 DAY = dt.date(2001, 1, 1)
 
@@ -101,3 +103,36 @@ def test_observed_span(daily):
     seen = daily.withColumn("t_water", F.when(F.col("t_water").between(10, 20), F.col("t_water")))
     got = reports.observed_span(seen).groupBy("site").agg(F.count("*").alias("n")).collect()
     assert {r.site: r.n for r in got} == {"a": 11, "b": 11, "d": 11}
+
+
+@pytest.mark.parametrize("n_years", (1, 2))
+def test_fold_statistics_are_those_of_the_training_days(spark, n_years):
+    rng = random.Random(6)
+    rows = [(s, DAY + dt.timedelta(i), rng.choice((None, rng.gauss(1e4 if s == "a" else 0, 2))), rng.choice((None, 0.0, rng.random()))) for s in "ab" for i in range(1500)]
+    rows += [("c", DAY + dt.timedelta(i), 1.0 if 365 <= i < 730 else None, None) for i in range(1500)]
+    f = spark.createDataFrame(rows, "site string, d date, t_water double, q double").withColumn("t_air", F.lit(1.0))
+    folds = prep.folds(f, n_years, 10, 1)
+    masked = uncertainty.fold_forcing(f, folds, 10)
+    moments, clim = uncertainty.fold_statistics(f, folds, 10)
+    keys = ("site", "fold")
+    expected = sim.with_moments(masked, F.col("t_water"), F.col("q"), None, keys).select(*keys, "qmedia", "n_dat", "mean_obs", "tss_obs").distinct()
+    got, expected = ({(r.site, r.fold): tuple(r)[2:] for r in x.collect()} for x in (moments, expected))
+    assert set(got) == set(expected) and len(got) >= 3 * 2
+    for k, (qmedia, n, mean, tss) in expected.items():
+        near = lambda x, y, **tolerance: x is None if y is None else x == pytest.approx(y, **tolerance)
+        assert got[k][1] == n and near(got[k][0], qmedia) and near(got[k][2], mean, rel=1e-12)
+        assert near(got[k][3], tss if n else None, rel=1e-6, abs=1e-6)
+    got, expected = ({(r.site, r.fold, r.doy0): r.t for r in x.collect()} for x in (clim, prep.climatology(masked, keys)))
+    assert set(got) == set(expected)
+    assert all(got[k] == (None if v is None else pytest.approx(v, rel=1e-9)) for k, v in expected.items())
+
+
+@pytest.mark.parametrize("version", sorted(kernels.ACTIVE))
+def test_the_rate_as_an_expression_is_the_kernels(spark, version):
+    rng = np.random.default_rng(version)
+    x = rng.random((50, 4)) * [20, 3, 1, 15] + [0, 0.1, 0, 0]
+    p = [0.6, 0.3, 0.45, 0.2, 0.4, 1.5, 0.6, 0.1]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(50, None, 1.0, 0.5, 4.0)], "i int, t_air double, theta double, tt double, tw double")
+    got = {r.i: r.rate for r in sim.rates(df, p, version).collect()}
+    expected = kernels.rate(version, kernels.active_only(np.array([p]), version)[0], *x.T)
+    assert np.allclose([got[i] for i in range(50)], expected) and got[50] is None
