@@ -98,15 +98,15 @@ def impact(n_docs: int, n_terms: int) -> Column:
 
 
 def counted(docs: DataFrame, words: DataFrame, n_words: int) -> tuple[DataFrame, DataFrame]:
-    """The written documents (row, doc_id, n, terms, counts) and their postings (row, doc_id, n, term, tf), of the words
-    (word, term) alone."""
+    """The written documents (row, doc_id, n, terms, counts) and their postings (row, n, term, tf), of the words (word,
+    term) alone."""
     small_batches(docs.sparkSession)
     fits = n_words <= BROADCAST_TERMS
     numbers = {r.word.encode(): r.term for r in words.collect()} if fits else None
     kind = "array<int>" if fits else "array<string>"
     found = docs.select("doc_id", "text").mapInArrow(partial(_count, numbers=numbers), f"doc_id long, n long, terms {kind}, counts array<long>")
     found = written(found.filter("n > 0").withColumn("row", F.monotonically_increasing_id()), "term-counts")
-    flat = found.select("row", "doc_id", "n", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("row", "doc_id", "n", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    flat = found.select("row", "n", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("row", "n", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
     return found, flat if fits else flat.withColumnRenamed("term", "word").join(words, "word").drop("word")
 
 
@@ -123,7 +123,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     found, postings = counted(docs, words, n_words)
     total = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
     weights = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", weight(total.n).alias("w")).filter("w > 0"), "weights")
-    postings = postings.join(_small(weights, n_words), "term").select("term", "row", "doc_id", impact(total.n, total.terms).alias("impact")).filter("impact > 0")
+    postings = postings.join(_small(weights, n_words), "term").select("term", "row", impact(total.n, total.terms).alias("impact")).filter("impact > 0")
     # the highest impacts of each term, and from them the thresholds: of the documents in an item's lists, the kth score
     at = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))
     seeds = written(postings.withColumn("at", at).filter(F.col("at") <= k), "seeds")
@@ -141,17 +141,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     rest = plan.groupBy("item_id").agg(F.coalesce(F.max(F.when(~F.col("essential"), F.col("suffix"))), F.lit(0)).alias("rest"), F.max("threshold").alias("threshold"))
     # documents with essential terms that can reach the threshold
     some = postings.join(_small(plan.filter("essential").select("item_id", "term"), n_wanted), "term")
-    some = some.groupBy("item_id", "row").agg(F.sum("impact").alias("part"), F.min("doc_id").alias("doc_id"))
+    some = some.groupBy("item_id", "row").agg(F.sum("impact").alias("part"))
     some = written(some.join(_small(rest, n_wanted), "item_id").filter(F.col("part") + F.col("rest") >= F.col("threshold")), "candidates")
     raised = _kth(some, "item_id", "part", k)
     some = some.join(_small(raised, n_wanted), "item_id", "left").filter(F.col("part") + F.col("rest") >= F.coalesce("kth", F.lit(0)))
-    some = written(some.select("item_id", "row", "doc_id", "part"), "raised-candidates")
+    some = written(some.select("item_id", "row", "part"), "raised-candidates")
     # what the other terms add
     n_some = some.count()
     others = some.join(_small(plan.filter("NOT essential").select("item_id", "term"), n_wanted), "item_id").select("item_id", "row", "term")
     # a document's postings of all candidates' rows only, then by row and term
     more = postings.join(_small(some.select("row").distinct(), n_some), "row", "left_semi").join(others, ["row", "term"]).groupBy("item_id", "row").agg(F.sum("impact").alias("more"))
-    scored = some.join(more, ["item_id", "row"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).filter("score > 0")
+    ids = found.select("row", "doc_id").join(_small(some.select("row").distinct(), n_some), "row", "left_semi")
+    scored = some.join(ids, "row").join(more, ["item_id", "row"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
