@@ -181,7 +181,8 @@ def with_gaps(df: DataFrame, value: str, scenario: str, share: float = 0.05, see
     """df with values missing by one of GAPS, or, for "random", on a share of the days that a hash with the seed picks."""
     w = Window.partitionBy(*keys)
     if scenario == "random":
-        gone = F.pmod(F.xxhash64(*keys, "d", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+        name = F.concat_ws("|", *[F.col(k).cast("string") for k in (*keys, "d")], F.lit(str(seed)))
+        gone = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 1_000_000 < int(share * 1_000_000)
         return df.withColumn(value, F.when(~gone, F.col(value)))
     number, length = GAPS[scenario]
     every = F.floor(F.count(F.lit(1)).over(w) / (number + 1))
@@ -209,7 +210,11 @@ def block_table(df: DataFrame, min_days: int = 30, keys: tuple[str, ...] = ("sit
 
 def analysis_summary(df: DataFrame, min_days: int = 30, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Blocks of each kind, valid days, observations in valid blocks, and these per parameter of each version."""
-    b = block_table(df, min_days, keys)
+    return summary_of(block_table(df, min_days, keys), keys)
+
+
+def summary_of(b: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The summary of a table of blocks."""
     of = lambda kind, c=F.lit(1): F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
     out = b.groupBy(*keys).agg(of("valid").alias("n_valid"), of("short").alias("n_short"), of("gap").alias("n_gap"), of("valid", F.col("n_days")).alias("valid_days"), of("valid", F.col("n_obs")).alias("valid_obs"))
     return out.withColumns({f"obs_per_parameter_v{v}": F.col("valid_obs") / n for v, n in ((3, 3), (4, 4), (5, 5), (7, 7), (8, 8))})

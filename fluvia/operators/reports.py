@@ -203,6 +203,20 @@ def analysis_text(summary: dict, gaps: dict, segments: list[dict]) -> str:
     return "\n".join([*lines, *(f"segment {s['seg_id']}: {s['start_d']} to {s['end_d']}, {s['n_days']} days, {s['n_obs']} observed" for s in segments)]) + "\n"
 
 
+def analysis_lines(min_days: int) -> Column:
+    """The lines of a site's report, from a row of its summary, missing values, span and valid segments (an array)."""
+    date = lambda c: F.date_format(c, "yyyy-MM-dd")
+    lines = [F.format_string("range: %s to %s, %d days", date(F.col("first_d")), date(F.col("last_d")), F.col("n"))]
+    lines += [F.format_string(f"{c}: %d missing (%.1f %%)", F.col(f"{c}_missing"), F.col(f"{c}_percent")) for c in ("t_air", "t_water", "q")]
+    lines += [
+        F.format_string(f"blocks: %d valid, %d shorter than {min_days} days, %d gaps", "n_valid", "n_short", "n_gap"),
+        F.format_string("valid days: %d, observed: %d", "valid_days", "valid_obs"),
+        *[F.format_string(f"observations per parameter, version {v}: %.1f", f"obs_per_parameter_v{v}") for v in (3, 4, 5, 7, 8)],
+    ]
+    each = F.transform("segments", lambda x, i: F.format_string("segment %d: %s to %s, %d days, %d observed", i + 1, date(x["start_d"]), date(x["end_d"]), x["n_days"], x["n_obs"]))
+    return F.concat(F.array(*lines), F.coalesce(each, F.array(F.lit("no valid segment: the model can't run on this series"))))
+
+
 def cv_summary(results: DataFrame, pooled: DataFrame, n_parameters: int = 8, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Rows of the folds, their mean and deviation (0 of one fold), and the scores of all held-out days together."""
     numbers = ["nse", "kge", "rmse", *[f"p{i}" for i in range(1, n_parameters + 1)]]

@@ -278,7 +278,7 @@ def _searched(group: pd.DataFrame, method: str, low, high, version: int, integra
         METHODS[method](objective, low, high, **options)
     x, y = (np.vstack(v) if v else np.zeros((0, 8)) for v in (vectors, found))
     once = {k: group[k].iloc[0] for k in keys}
-    return pd.DataFrame(once | {"eval": np.arange(len(x)), "p": list(x), "eff_index": y[:, column]} | {m: y[:, i] for i, m in enumerate(METRICS)}, index=range(len(x)))
+    return pd.DataFrame(once | {"eval": np.arange(len(x)), "p": pd.Series(list(x), dtype=object), "eff_index": y[:, column]} | {m: y[:, i] for i, m in enumerate(METRICS)}, index=range(len(x)))
 
 
 def history(days: DataFrame, method: str, low, high, version: int = 8, integrator: str = "RK4", score: str = "NSE", ice: float = 0.0, keys: tuple[str, ...] = ("site",), **options) -> DataFrame:

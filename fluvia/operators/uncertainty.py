@@ -26,17 +26,10 @@ def ar1_rho(residuals: DataFrame, keys: tuple[str, ...] = ("site",), value: str
     return out.select(*keys, F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"), r.alias("rho"))
 
 
-def resolved_rho(override: float | None, own: float | None, sidecar: float | None) -> float:
-    """The first that is given: an override, the site's own residuals, the chain's sidecar, else 0."""
-    rho = next((x for x in (override, own, sidecar) if x is not None), 0.0)
-    if not -1 < rho < 1:
-        raise ValueError("rho lies between -1 and 1, both excluded")
-    return rho
-
-
 def normal_draws(seed: int, *columns: str) -> Column:
     """Standard normal draws from hashes of a row's columns with the seed: the same however rows are dealt to tasks."""
-    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *columns), 11) + 0.5) * 2.0**-53
+    name = lambda k: F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), *[F.col(c).cast("string") for c in columns])
+    uniform = lambda k: (F.conv(F.substring(F.md5(name(k)), 1, 13), 16, 10).cast("long") + 0.5) * 2.0**-52
     return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * F.pi() * uniform(1))
 
 

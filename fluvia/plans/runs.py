@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.functions.kernels import ACTIVE
+from fluvia.functions.kernels import ACTIVE, NEEDS_FLOW
 from fluvia.operators import metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
-from fluvia.sources import files
+from fluvia.sources import files, stations
 from fluvia.sources.config import Config
 from fluvia.sources.scratch import written
 
@@ -131,7 +131,36 @@ def read_period(spark: SparkSession, path: str | None, required: bool) -> DataFr
         if required:
             raise FileNotFoundError(f"no calibration data at {path}")
         return None
-    return written(files.read_series(spark, path), "forcing")
+    return written(stations.read_stations(spark, path)[0] if files.is_folder(spark, path) and not files.has_parts(spark, path) else files.read_series(spark, path), "forcing")
+
+
+def site_problems(forcing: DataFrame, c: Config) -> DataFrame:
+    """(site, problem): why the model can't run on a site, or a search can't fit it; one row for each reason."""
+    flow = F.avg(F.when(F.col("q") > 0, F.col("q"))) if c.qmedia is None else F.max(F.lit(float(c.qmedia)))
+    counts = forcing.groupBy("site").agg(F.count("t_water").alias("n_obs"), F.coalesce(flow, F.lit(0.0)).alias("flow"))
+    found = [F.when((F.col("n_obs") == 0) & F.lit(c.mode != "FORWARD"), "no observations"), F.when((F.col("flow") <= 0) & F.lit(c.version in NEEDS_FLOW), "no positive flow")]
+    if c.gap_tolerant:
+        segments = prep.with_segments(forcing, c.version, c.min_days).filter("seg_id IS NOT NULL").select("site").distinct().withColumn("some", F.lit(True))
+        counts = counts.join(segments, "site", "left")
+        found.append(F.when(F.col("some").isNull(), "no valid segment of the least length"))
+    return counts.select("site", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("problem"))
+
+
+def problems_of(forcing: DataFrame, c: Config) -> DataFrame:
+    """The problems of sites, written; an error if no site is left without one."""
+    found = written(site_problems(forcing, c), "problems")
+    left = forcing.select("site").distinct().join(found, "site", "left_anti")
+    if (first := found.limit(1).collect()) and not left.limit(1).collect():
+        raise ValueError(f"{first[0].problem}: {first[0].site}")
+    return found
+
+
+def _residuals(series: DataFrame, out: files.Outputs) -> None:
+    """Histogram, normal quantiles and autocorrelation at all lags of the residuals of each site."""
+    e = written(reports.residuals(series, "t_water_sim").filter("residual IS NOT NULL").select("site", "d", "residual"), "residuals")
+    out.csv("residual_histogram", reports.histogram(e, "residual"))
+    out.csv("residual_quantiles", reports.normal_quantiles(e, "residual"))
+    out.csv("residual_autocorrelation", reports.autocorrelation(e, "residual"))
 
 
 def _outputs(forcing: DataFrame, best: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
@@ -150,11 +179,12 @@ def run(spark: SparkSession, c: Config, calibration: DataFrame | None = None, va
     sidecar and envelopes, reports, sensitivity. The score of the written series must be the one that the search found.
     """
     forcing = read_period(spark, c.calibration, True) if calibration is None else written(calibration, "forcing")
-    out = files.Outputs(c)
+    out = files.Outputs(spark, c, [r.site for r in forcing.select("site").distinct().collect()])
     if c.folds.enabled and c.mode in search.METHODS:
         out.csv("cv_results", cross_validation(forcing, c))
         return out.places
     out.text("parameters", files.parameters_text(c))
+    out.csv("problems", problems_of(forcing, c))
     if c.mode == "FORWARD":
         best = written(best_of(forcing, c), "best")
     else:
@@ -175,6 +205,9 @@ def run(spark: SparkSession, c: Config, calibration: DataFrame | None = None, va
         segments = written(prep.segment_table(prep.with_segments(forcing, c.version, c.min_days)), "segments")
         out.csv("segments", segments)
         out.csv("segment_warnings", prep.segment_warnings(segments))
+    _residuals(series, out)
+    if c.version in NEEDS_FLOW:
+        out.csv("flow_warnings", reports.flow_warnings(forcing, c.qmedia))
     out.csv("goodness_of_fit", metrics.goodness_of_fit(series.select("site", F.col("t_water").alias("obs"), F.col("t_water_sim").alias("sim")), len(ACTIVE[c.version])))
     if c.mode in ("DE-MCMC", "DE-CV-MCMC"):
         _chains(forcing, best, series, c, out)
@@ -194,6 +227,7 @@ def run(spark: SparkSession, c: Config, calibration: DataFrame | None = None, va
     out.csv("best", files.best_columns(best))
     if c.sensitivity:
         _sensitivity(forcing, best, c, out)
+    out.manifest()
     return out.places
 
 

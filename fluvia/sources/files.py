@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +94,27 @@ def _store(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def has_parts(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is one table's parts, not files or folders of sites."""
+    store, place = _store(spark, path)
+    return any(x.getPath().getName().startswith("part-") for x in store.listStatus(place))
+
+
+def partitions(spark: SparkSession, path: str, column: str) -> dict:
+    """The folders of a written table by their value of a partition column; no table has none."""
+    store, place = _store(spark, path)
+    found = [x.getPath() for x in store.listStatus(place)] if store.exists(place) else []
+    return {unquote(p.getName().partition("=")[2]): p for p in found if p.getName().startswith(f"{column}=")}
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, values: set[str]) -> None:
+    """Removes the partitions of a written table whose column has one of the values."""
+    store, _ = _store(spark, path)
+    for value, place in partitions(spark, path, column).items():
+        if value in values:
+            store.delete(place, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, place = _store(spark, path)
     return store.exists(place)
@@ -140,27 +164,66 @@ def parameters_text(c: Config) -> str:
 _NAMED = {"history": "0_{run}", "best": "1_{run}", "calibration": "2_{run_c}", "validation": "3_{run_v}", "chain": "MCMC_chain_{series}", "chain_meta": "MCMC_chain_{series}_meta", "envelopes": "MCMC_envelopes_{series}", "forward_envelopes": "Forward_Prediction_Envelopes_{series}"}
 
 
-class Outputs:
-    """Folders of a run's tables under its output folder; each is written whole, in parts, by Spark."""
+class Folder:
+    """A folder of outputs. Tables with a site are partitioned by it: of the sites at hand all partitions are replaced,
+    those of other sites stay, so a rerun of one site replaces its part alone, and may be repeated."""
 
-    def __init__(self, c: Config):
-        self.root, self.places = c.output_dir, {}
-        run = lambda tail="": f"{c.mode}_{c.objective}_{c.label}_{c.series}{tail}_{c.resolution}"
-        self.names = {"run": run(), "run_c": run("c"), "run_v": run("v"), "series": f"{c.label}_{c.series}_{c.resolution}"}
+    def __init__(self, spark: SparkSession, root: str, sites: list[str]):
+        self.spark, self.root, self.sites, self.places, self.names = spark, root, sites, {}, {}
+        self.by_site: list[str] = []
 
     def _place(self, name: str, tail: str) -> str:
         self.places[name] = f"{self.root}/{_NAMED.get(name, name).format(**self.names)}{tail}"
         return self.places[name]
 
+    def _replaced(self, name: str, df: DataFrame, tail: str, kind: str) -> None:
+        place = self._place(name, tail)
+        drop_partitions(self.spark, place, "site", set(self.sites))
+        w = df.write.mode("append").partitionBy("site")
+        w.option("header", True).csv(place) if kind == "csv" else w.text(place)
+        self.by_site.append(name)
+
     def csv(self, name: str, df: DataFrame) -> None:
-        write_csv(df, self._place(name, ".csv"))
+        if "site" in df.columns:
+            self._replaced(name, df, ".csv", "csv")
+        else:
+            write_csv(df, self._place(name, ".csv"))
+
+    def lines(self, name: str, df: DataFrame) -> None:
+        """Lines of text (site, value), in their order."""
+        self._replaced(name, df, ".txt", "text")
 
     def chain(self, name: str, chain: DataFrame, sampled: list[int]) -> None:
         write_chain(chain, self._place(name, ".csv"), sampled)
+        self.by_site.append(name)
 
     def json(self, name: str, df: DataFrame) -> None:
-        write_json(df, self._place(name, ".json"))
+        """A row for each site; rows of other sites that are there stay."""
+        place = self._place(name, ".json")
+        if "site" in df.columns and exists(self.spark, place):
+            old = self.spark.read.schema(df.schema).json(place).filter(~F.col("site").isin(self.sites))
+            df = written(old.unionByName(df), "rows")
+        write_json(df, place)
 
     def text(self, name: str, text: str) -> None:
-        spark = SparkSession.active()
-        spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(self._place(name, ".txt"))
+        self.spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(self._place(name, ".txt"))
+
+    def _counted(self, name: str) -> DataFrame:
+        site, heads = F.col("site").cast("string"), 0 if self.places[name].endswith(".txt") else 1
+        lines = self.spark.read.text(self.places[name]).filter(site.isin(self.sites))
+        files = lines.groupBy(site.alias("site"), F.col("_metadata.file_path").alias("file")).agg((F.count(F.lit(1)) - heads).alias("n"))
+        return files.groupBy("site").agg(F.lit(name).alias("output"), F.sum("n").alias("n_rows"))
+
+    def manifest(self) -> None:
+        """The number of rows of each output and site, counted from what was written; outputs without rows aren't listed."""
+        if counts := [self._counted(name) for name in self.by_site if partitions(self.spark, self.places[name], "site")]:
+            self.csv("manifest", written(reduce(DataFrame.unionByName, counts), "counts"))
+
+
+class Outputs(Folder):
+    """The outputs of a run, under its output folder."""
+
+    def __init__(self, spark: SparkSession, c: Config, sites: list[str]):
+        super().__init__(spark, c.output_dir, sites)
+        run = lambda tail="": f"{c.mode}_{c.objective}_{c.label}_{c.series}{tail}_{c.resolution}"
+        self.names = {"run": run(), "run_c": run("c"), "run_v": run("v"), "series": f"{c.label}_{c.series}_{c.resolution}"}

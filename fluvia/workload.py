@@ -17,8 +17,8 @@ from fluvia.functions import kernels, stats
 from fluvia.functions.dates import doy0, water_year, year_fraction
 from fluvia.operators import ensembles, metrics, prep, reports, search, uncertainty
 from fluvia.operators import simulate as sim
-from fluvia.plans import runs
-from fluvia.sources import files
+from fluvia.plans import preparation, runs
+from fluvia.sources import files, stations
 from fluvia.sources.config import Config
 from fluvia.sources.scratch import scratch, written
 
@@ -201,6 +201,36 @@ def _query(name: str, columns: str, run: Callable[[SparkSession, str], DataFrame
 
 # sources, projections, joins, sets
 _query("src2_resample_daily", "site:s d:s t_air:d", air, "SELECT * FROM air")
+
+
+def _stations(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
+    """The forcing as a folder of station files and read again; some lines have no date, others a word for a number."""
+    f = forcing(s, p)
+    day = F.dayofmonth("d")
+    raw = f.select("site", F.col("q").alias("Discharge"), F.when(day == 14, "no day").otherwise(F.date_format("d", "yyyy-MM-dd")).alias("Date"), F.when(day == 13, "warm").otherwise(F.col("t_air").cast("string")).alias("T_air"), F.coalesce("t_water", F.lit(prep.SENTINEL)).alias("T_water"))
+    files.write_csv(raw, path := scratch(s, "stations"), ("site",))
+    return stations.read_stations(s, path)
+
+
+_query("src1_src2_station_folder", "site:s d:s t_air:d t_water:d q:d", lambda s, p: _stations(s, p)[0], "SELECT * FROM forcing WHERE day(d) NOT IN (13, 14)")
+_query("src1_rejected_lines", "site:s reason:s n:i", lambda s, p: _stations(s, p)[1].groupBy("site", "reason").agg(F.count(F.lit(1)).alias("n")), "SELECT site, CASE WHEN day(d) = 13 THEN 'no number: T_air' ELSE 'no date' END AS reason, count(*) AS n FROM forcing WHERE day(d) IN (13, 14) GROUP BY ALL")
+
+
+def _prepared(s: SparkSession, p: str) -> dict[str, str]:
+    """Three folders of raw files, air at its own frequency, through the preparation plan."""
+    orders = s.read.parquet(f"{p}/orders.parquet")
+    air_ = orders.select(F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("site"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("time"), (F.col("o_totalprice") / 19997).alias("v"))
+    places = {name: scratch(s, name) for name in ("air", "water", "flow")}
+    files.write_csv(air_, places["air"], ("site",))
+    daily = written(water(s, p), "water")
+    files.write_csv(daily.select("site", F.col("d").alias("Date"), F.col("t_water").alias("v")), places["water"], ("site",))
+    files.write_csv(daily.select("site", F.col("d").alias("Date"), F.col("q").alias("v")), places["flow"], ("site",))
+    sources = [preparation.Source(places["air"], "t_air", "v", "time", "yyyy-MM-dd HH:mm:ss"), preparation.Source(places["water"], "t_water", "v", fmt="yyyy-MM-dd"), preparation.Source(places["flow"], "q", "v", fmt="yyyy-MM-dd")]
+    return preparation.prepare(s, sources, scratch(s, "prepared"), MIN_DAYS)
+
+
+_query("pre1_snk10_prepared", "site:s d:s t_air:d t_water:d q:d", lambda s, p: stations.read_stations(s, _prepared(s, p)["merged"])[0], "SELECT * FROM forcing")
+_query("pre1_snk10_manifest", "site:s output:s n_rows:i", lambda s, p: s.read.option("header", True).csv(_prepared(s, p)["manifest"]).filter("output IN ('merged', 'blocks', 'summary')"), "SELECT site, 'merged' AS output, count(*) AS n_rows FROM forcing GROUP BY site UNION ALL SELECT site, 'blocks', count(*) FROM blk GROUP BY site UNION ALL SELECT DISTINCT site, 'summary', 1 FROM blk", _islands(WITH_FLOW))
 _query("joi1_full_outer_merge", "site:s d:s t_air:d t_water:d q:d", merged, "SELECT * FROM merged")
 _query("joi2_dense_calendar", "site:s d:s t_air:d t_water:d q:d", forcing, "SELECT * FROM forcing")
 _query(
@@ -225,6 +255,7 @@ _query("prj12_residual", "site:s d:s residual:d", residuals, "SELECT site, d, tw
 _query("prj15_unit_conversion", "site:s d:s c:d", lambda s, p: forcing(s, p).withColumn("c", prep.celsius(F.col("t_air") * 30 + 173.0, 0.1)), "SELECT site, d, CASE WHEN t_air * 30 + 173.0 - 273.15 >= 0.1 THEN t_air * 30 + 173.0 - 273.15 END AS c FROM forcing")
 for _g, (_k, _len) in prep.GAPS.items():
     _query(f"prj17_gaps_{_g}", "site:s d:s t_air:d", lambda s, p, g=_g: prep.with_gaps(forcing(s, p), "t_air", g), f"SELECT site, d, CASE WHEN NOT (n // every BETWEEN 1 AND {_k} AND n % every < {_len}) THEN t_air END AS t_air FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d) - 1 AS n, count(*) OVER (PARTITION BY site) // {_k + 1} AS every FROM forcing)")
+_query("prj17_gaps_random", "site:s d:s t_air:d", lambda s, p: prep.with_gaps(forcing(s, p), "t_air", "random", 0.05, 3), "SELECT site, d, CASE WHEN CAST('0x' || substr(md5(site || '|' || d || '|3'), 1, 8) AS BIGINT) % 1000000 >= 50000 THEN t_air END AS t_air FROM forcing")
 _query("joi3_segment_tagging", "site:s d:s seg_id:i seg_day:i", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day FROM days", _segments())
 _query("win1_joi3_segments_by_range", "site:s d:s seg_id:i seg_day:i in_eval:s", lambda s, p: prep.with_segments(forcing(s, p), 8, MIN_DAYS, WARMUP_DAYS, range_days=prep.RANGE_DAYS), "SELECT site, d, seg_id, CASE WHEN seg_id IS NOT NULL THEN seg_day END AS seg_day, in_eval FROM days", _segments())
 _query("win2_islands_by_range", "site:s d:s valid:s block:i", lambda s, p: prep.islands_by_range(forcing(s, p), prep.analysis_valid(), range_days=100), "SELECT site, d, valid, block FROM isl", _islands(WITH_FLOW))
@@ -405,6 +436,7 @@ _SENS_BODY = "SELECT x.site, r.parameter, avg(a - b) / any_value(r.relative) AS
 _query("sen1_agg25_sensitivity", "site:s parameter:i sensitivity:d status:s", lambda s, p: uncertainty.sensitivity(written(days(s, p), "days"), list(P), list(LOW), list(HIGH)), _SENS_BODY, _SENS_MANY)
 _query("joi9_sensitivity_columns", "site:s parameter:i sensitivity_1:d", lambda s, p: reports.sensitivity_columns(uncertainty.sensitivity(written(days(s, p), "days"), list(P), list(LOW), list(HIGH)), (1.0,)), f"SELECT site, parameter, sensitivity AS sensitivity_1 FROM ({_SENS_BODY})", _SENS_MANY)
 _query("noi2_ar1_noise", "site:s seg_id:i seg_day:i noise:d", lambda s, p: uncertainty.ar1_noise(prep.with_segments(forcing(s, p), 8, MIN_DAYS).filter("seg_id IS NOT NULL"), 0.8, 0.6, z=(F.col("seg_day") * 7919 + F.col("seg_id") * 104729) % 10007 / 10007.0 - 0.5), "SELECT site, seg_id, i AS seg_day, y AS noise FROM n", _segments() + ",\nz AS (SELECT site, seg_id, seg_day AS i, (seg_day * 7919 + seg_id * 104729) % 10007 / 10007.0::DOUBLE - 0.5 AS z FROM days WHERE seg_id IS NOT NULL),\nn(site, seg_id, i, y) AS (SELECT site, seg_id, i, 0.8 * z FROM z WHERE i = 1 UNION ALL SELECT n.site, n.seg_id, z.i, 0.6 * n.y + 0.8 * sqrt(1 - 0.36::DOUBLE) * z.z FROM n JOIN z ON z.site = n.site AND z.seg_id = n.seg_id AND z.i = n.i + 1)")
+_query("noi1_iid_noise", "site:s d:s noise:d", lambda s, p: uncertainty.iid_noise(forcing(s, p), 0.8, 5), "SELECT site, d, 0.8 * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) AS noise FROM (SELECT site, d, (CAST('0x' || substr(md5('5|0|' || site || '|' || d), 1, 13) AS BIGINT) + 0.5::DOUBLE) * pow(2::DOUBLE, -52) AS u0, (CAST('0x' || substr(md5('5|1|' || site || '|' || d), 1, 13) AS BIGINT) + 0.5::DOUBLE) * pow(2::DOUBLE, -52) AS u1 FROM forcing)")
 _query("set3_burn_in", "sample_id:i step:i", lambda s, p: reports.burned(chain(s, p), 7), "SELECT l_orderkey * 10 + l_linenumber AS sample_id, l_linenumber AS step FROM lineitem WHERE l_linenumber >= 2", base=False)
 
 

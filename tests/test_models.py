@@ -138,7 +138,6 @@ def test_ar1(spark):
     assert rho(range(30)).rho == 0 and rho(range(31)).rho == 0.99 and rho([1.0] * 50).rho == 0
     x = k.ar1(np.random.default_rng(1).standard_normal(100_000), 2, 0.5)
     assert x.var() == pytest.approx(4, rel=0.05) and np.corrcoef(x[1:], x[:-1])[0, 1] == pytest.approx(0.5, abs=0.05)
-    assert (uncertainty.resolved_rho(0.3, 0.5, 0.7), uncertainty.resolved_rho(None, None, 0.7), uncertainty.resolved_rho(None, None, None)) == (0.3, 0.7, 0.0)
 
 
 def test_intervals_and_sensitivity(spark):

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from fluvia import workload
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["src2_resample_daily", "joi2_dense_calendar", "joi6_start_values", "agg4_pre1_summary", "agg6_win8_climatology", "win10_folds", "int_eul_v3", "int_crn_v7", "int_rk4_v8", "agg11_15_scores_daily", "agg10_15_scores_1m", "agg22_ar1_rho", "joi7_score_design", "opt1_lathyp_search", "snk5_validation_series", "smp1_k_rows", "agg28_normal_quantiles", "agg19_posterior_summary", "prj17_gaps_few_short", "ode8_rate", "sen1_agg25_sensitivity", "noi2_ar1_noise", "fwd2_fwd3_site_chains", "win7_rolling_envelope", "agg21_fwd2_envelope", "win1_joi3_segments_by_range", "joi3_interval_join", "agg29_autocorrelation"]
+CHOSEN = ["src2_resample_daily", "joi2_dense_calendar", "joi6_start_values", "agg4_pre1_summary", "agg6_win8_climatology", "win10_folds", "int_eul_v3", "int_crn_v7", "int_rk4_v8", "agg11_15_scores_daily", "agg10_15_scores_1m", "agg22_ar1_rho", "joi7_score_design", "opt1_lathyp_search", "snk5_validation_series", "smp1_k_rows", "agg28_normal_quantiles", "agg19_posterior_summary", "prj17_gaps_few_short", "ode8_rate", "sen1_agg25_sensitivity", "noi2_ar1_noise", "fwd2_fwd3_site_chains", "win7_rolling_envelope", "agg21_fwd2_envelope", "win1_joi3_segments_by_range", "joi3_interval_join", "agg29_autocorrelation", "src1_src2_station_folder", "pre1_snk10_prepared", "noi1_iid_noise", "prj17_gaps_random"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
