@@ -103,25 +103,49 @@ def _filter(up: int, taps: int) -> np.ndarray:
     return np.sinc(n / up) * np.hamming(len(n))
 
 
-def resampled(samples: np.ndarray, rate: int, target: int, taps: int = 8) -> np.ndarray:
-    """Linear 16-bit samples at another rate: a polyphase filter with a windowed sinc, each phase one convolution."""
+#: Samples that are resampled, or measured, at once.
+WINDOW = 1 << 18
+
+
+def resampled(samples: np.ndarray, rate: int, target: int, taps: int = 8, window: int = WINDOW) -> np.ndarray:
+    """Linear 16-bit samples at another rate: a polyphase filter with a windowed sinc, each phase one convolution.
+
+    Windows of the output are made one after another, each from the samples within the filter's reach, so that no more than
+    a window is ever held as floats."""
     g = np.gcd(rate, target)
-    up, down = target // g, rate // g
+    up, down = int(target // g), int(rate // g)
     if up == down:
         return samples
     h = _filter(max(up, down), taps) * (up / max(up, down))
     half = len(h) // 2
     n_out = -(-len(samples) * up // down)
-    out = np.empty(n_out, np.float64)
-    x = samples.astype(np.float64)
-    for first in range(min(up, n_out)):
-        at = np.arange(first, n_out, up) * down  # positions on the fine grid; their phase is the same
-        phase = (at[0] + half) % up
-        part = h[phase::up]
-        y = np.convolve(x, part)
-        index = (at + half - phase) // up
-        out[first::up] = np.where(index < len(y), y[np.minimum(index, len(y) - 1)], 0)
-    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
+    out = np.empty(n_out, np.int16)
+    window = max(up, window // up * up)
+    for a in range(0, n_out, window):
+        b = min(n_out, a + window)
+        low, high = max(0, (a * down - half) // up - 1), min(len(samples), ((b - 1) * down + half) // up + 2)
+        x, some = samples[low:high].astype(np.float64), np.empty(b - a, np.float64)
+        for first in range(min(up, b - a)):
+            at = np.arange(a + first, b, up) * down - low * up  # positions on the fine grid; their phase is the same
+            phase = (at[0] + half) % up
+            y = np.convolve(x, h[phase::up])
+            index = (at + half - phase) // up
+            some[first::up] = np.where(index < len(y), y[np.minimum(index, len(y) - 1)], 0)
+        out[a:b] = np.clip(np.rint(some), -32768, 32767)
+    return out
+
+
+def measured(y: np.ndarray) -> str:
+    """Length, root mean square, peak and zero crossings of 16-bit samples, window by window."""
+    squares = peak = crossings = 0
+    for a in range(0, len(y), WINDOW):
+        x = y[a : a + WINDOW + 1].astype(np.int64)  # the next window's first sample counts for the crossing to it
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[:WINDOW]
+        squares += int((x * x).sum())
+        peak = max(peak, int(np.abs(x).max()))
+    rms = int(np.sqrt(squares / len(y)) * 1000) / 1000
+    return f"samples={len(y)};rms={rms:.3f};peak={peak};crossings={crossings}"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +204,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for media, payload, pcm in zip(*(batch.column(c).to_pylist() for c in ("media", "payload", "pcm"))):
             data = unwrap(pcm)[2]
-            y = np.frombuffer(data, "<i2").astype(np.int64)
-            rms = int(np.sqrt((y * y).mean()) * 1000) / 1000
-            crossings = int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0)))
-            feature = f"samples={len(y)};rms={rms:.3f};peak={int(np.abs(y).max())};crossings={crossings};pcm_crc32={zlib.crc32(data)}"
+            feature = f"{measured(np.frombuffer(data, '<i2'))};pcm_crc32={zlib.crc32(data)}"
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         columns = [*zip(*rows)] or [()] * 6
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -44,6 +45,32 @@ def test_resampling_keeps_a_tone_and_the_length():
         assert np.abs(y[60:-60] - want[60:-60]).max() < 200
 
 
+def test_windows_make_the_same_samples():
+    x = np.random.default_rng(4).integers(-32768, 32768, 5000).astype(np.int16)
+    for rate in (16000, 12000, 6000, 11025):
+        whole = m.resampled(x, 8000, rate, window=1 << 30)
+        for window in (1, 7, 640, 4096):
+            assert (m.resampled(x, 8000, rate, window=window) == whole).all()
+    y = x.astype(np.int64)
+    expected = f"samples=5000;rms={int(np.sqrt((y * y).sum() / 5000) * 1000) / 1000:.3f};peak={np.abs(y).max()};crossings={((y[1:] < 0) != (y[:-1] < 0)).sum()}"
+    before, m.WINDOW = m.WINDOW, 333
+    try:
+        assert m.measured(x) == expected
+    finally:
+        m.WINDOW = before
+    assert m.measured(x) == expected
+
+
+def test_a_very_long_text_needs_little_more_than_its_samples():
+    x = np.zeros(20_000_000, np.int16)
+    tracemalloc.start()
+    y = m.resampled(x, 8000, 16000)
+    m.measured(y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < y.nbytes + (40 << 20)
+
+
 def test_query_on_odd_texts(spark, tmp_path):
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "long " * 50_000, "x" * 64]
     spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, media string").write.parquet(str(tmp_path / "documents.parquet"))
