@@ -88,7 +88,9 @@ def differential_evolution(objective: Objective, low, high, members: int = 10, g
     history = [(x.copy(), y.copy())]
     for _ in range(generations):
         f = rng.uniform(0.5, 1)
-        a, b = rng.integers(0, n, n), rng.integers(0, n, n)
+        one, two = rng.integers(1, n, n), rng.integers(1, n - 1, n)
+        two += two >= one  # members, as steps from each one, that differ from it and from each other
+        a, b = (np.arange(n) + one) % n, (np.arange(n) + two) % n
         trial = x[np.argmax(y)] + f * (x[a] - x[b])
         cross = rng.random((n, dims)) < crossover
         cross[np.arange(n), rng.integers(0, dims, n)] = True

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,16 +42,24 @@ def iid_noise(df: DataFrame, sigma: float, seed: int, name: str = "noise", by: t
     return df.withColumn(name, normal_draws(seed, *by) * sigma)
 
 
+def _noise(batches: Iterator[pd.DataFrame], sigma: float, rho: float, keys: tuple[str, ...], order: str) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        z = [np.asarray(x, float) for x in batch["z"]]
+        size = np.array([len(x) for x in z])
+        rows = np.zeros((size.max(initial=0), len(z)))  # the segments of a batch step together
+        for k, x in enumerate(z):
+            rows[: len(x), k] = x
+        noise = kernels.ar1(rows, sigma, rho)
+        once = {k: np.repeat(batch[k].to_numpy(), size) for k in keys}
+        yield pd.DataFrame(once | {order: np.concatenate([np.asarray(x) for x in batch["at"]]), "noise": np.concatenate([noise[:n, k] for k, n in enumerate(size)])})
+
+
 def ar1_noise(df: DataFrame, sigma: float, rho: float, seed: int = 0, z: Column | None = None, keys: tuple[str, ...] = ("site", "seg_id"), order: str = "seg_day") -> DataFrame:
     """(keys, order, noise): correlated noise of each segment from standard normal draws, or from a given column."""
     draws = df.select(*keys, order, (z if z is not None else normal_draws(seed, *keys, order)).alias("z"))
     kinds = ", ".join(f"{k} {dict(draws.dtypes)[k]}" for k in (*keys, order))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        return group.assign(noise=kernels.ar1(group["z"].to_numpy(), sigma, rho)).drop(columns="z")
-
-    return draws.groupBy(*keys).applyInPandas(run, f"{kinds}, noise double")
+    packed = draws.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "z"))).alias("x")).select(*keys, F.col("x.at").alias("at"), F.col("x.z").alias("z"))
+    return packed.mapInPandas(partial(_noise, sigma=sigma, rho=rho, keys=keys, order=order), f"{kinds}, noise double")
 
 
 def sampled(chain: DataFrame, n: int, seed: int = 0) -> DataFrame:

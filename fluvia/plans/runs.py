@@ -270,7 +270,7 @@ def _forward_intervals(spark: SparkSession, forcing: DataFrame, best: DataFrame,
     rho = forward_rho(best, residual_rho(series), files.read_sidecar(spark, c.chain), c.rho)
     env = written(intervals(forcing, chain, c, best.select("site", F.lit(float(c.sigma)).alias("sigma")), rho), "envelopes")
     out.csv("forward_envelopes", files.envelope_columns(reports.masked_envelope(env, series)))
-    out.csv("sites_without_chain", best.select("site").join(chain.select("site").distinct(), "site", "left_anti"))
+    out.csv("sites_without_chain", best.select("site", F.lit("no samples").alias("problem")).join(chain.select("site").distinct(), "site", "left_anti"))
 
 
 def _sensitivity(forcing: DataFrame, best: DataFrame, c: Config, out: files.Outputs) -> None:
