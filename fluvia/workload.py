@@ -453,10 +453,34 @@ st AS (SELECT site, 1::BIGINT AS seg_id, coalesce(t_water, 4.0) AS tw0 FROM warm
 fx0 AS (SELECT warm.site, 1::BIGINT AS seg_id, idx + 1 AS i, t_air AS ta, q / qmedia AS th, tt FROM warm JOIN qm ON qm.site = warm.site)"""
 _query("sim1_whole_series", "site:s i:i tw:d", _sim1, "SELECT site, i, tw FROM sim", f"{_fixed(P, 8)},{_simulation(8, 'RK4', _WHOLE)}")
 
+
+def _troubled(s: SparkSession, p: str) -> DataFrame:
+    """Each site four times: as it is, without observations, without every other day of air, without flow."""
+    f = forcing(s, p).withColumn("x", F.explode(F.array(*map(F.lit, "abcd"))))
+    some = lambda c, kept: F.when(kept, F.col(c)).alias(c)
+    x = F.col("x")
+    return f.select(F.concat("site", "x").alias("site"), "d", some("t_air", (x != "c") | (F.dayofmonth("d") % 2 == 0)), some("t_water", x != "b"), some("q", x != "d"))
+
+
 # searches with the operators' defaults
 _LATHYP = search.latin_hypercube(np.array(LOW), np.array(HIGH), 500, np.random.default_rng(1)).tolist()
 _LATHYP_PAR = "\npar AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"{x!r}::DOUBLE" for x in v) + ")" for i, v in enumerate(_LATHYP)) + ") v(pid, " + ", ".join(f"p{k}" for k in range(1, 9)) + "))"
 _query("opt1_lathyp_search", "site:s score:d n_evaluated:i", lambda s, p: search.calibrate(days(s, p), "LATHYP", LOW, HIGH, seed=1), f"SELECT site, max(nse) AS score, count(*) AS n_evaluated FROM ({_MANY_SCORES}) GROUP BY site", f"{_LATHYP_PAR},{_MANY.removeprefix(DESIGN + ',')}")
+
+
+def _history(s: SparkSession, p: str) -> DataFrame:
+    """A search's evaluations with a score of at least -2, written as a run writes them and read again."""
+    found = search.history(days(s, p), "LATHYP", LOW, HIGH, seed=1)
+    files.write_history(found, path := scratch(s, "history"), -2.0)
+    return s.read.option("header", True).csv(path)
+
+
+_PARS = " ".join(f"par_{k}:d" for k in range(1, 9))
+_PAR_COLUMNS = ", ".join(f"p{k} AS par_{k}" for k in range(1, 9))
+_LATHYP_MANY = f"{_LATHYP_PAR},{_MANY.removeprefix(DESIGN + ',')}"
+_query("snk1_snk2_history", f"site:s eval:i {_PARS} eff_index:d nse:d r2:d mae:d", _history, f"SELECT site, param_id AS eval, {_PAR_COLUMNS}, nse AS eff_index, nse, r2, mae FROM ({_MANY_SCORES}) JOIN par ON par.pid = param_id WHERE nse >= -2", _LATHYP_MANY)
+_query("snk3_best_vectors", f"site:s {_PARS} calibration_score:d", lambda s, p: files.best_columns(search.calibrate(days(s, p), "LATHYP", LOW, HIGH, seed=1).withColumnRenamed("score", "calibration_score")), f"SELECT site, {_PAR_COLUMNS}, nse AS calibration_score FROM (SELECT site, param_id, nse FROM ({_MANY_SCORES}) QUALIFY row_number() OVER (PARTITION BY site ORDER BY nse DESC, param_id) = 1) JOIN par ON par.pid = param_id", _LATHYP_MANY)
+_query("val9_site_problems", "site:s problem:s", lambda s, p: runs.site_problems(_troubled(s, p), Config(gap_tolerant=True, min_days=MIN_DAYS)), "SELECT site, 'no observations' AS problem FROM forcing GROUP BY site HAVING count(t_water) = 0 UNION ALL SELECT site, 'no positive flow' FROM forcing GROUP BY site HAVING coalesce(max(q), 0) <= 0 UNION ALL SELECT site, 'no valid segment of the least length' FROM (SELECT DISTINCT site FROM forcing) ANTI JOIN seg USING (site)", "\n" + ",\n".join(x for x in (FORCING.replace("forcing AS (", "daily AS ("), "forcing AS (SELECT site || x AS site, d, CASE WHEN x <> 'c' OR day(d) % 2 = 0 THEN t_air END AS t_air, CASE WHEN x <> 'b' THEN t_water END AS t_water, CASE WHEN x <> 'd' THEN q END AS q FROM daily CROSS JOIN (SELECT unnest(['a', 'b', 'c', 'd']) AS x))", _segments().strip())), base=False)
 for _n, _m in (("opt2_pso", "PSO"), ("opt3_opt4_de", "DE")):
     _query(f"{_n}_search", "site:s score:d n_evaluated:i", lambda s, p, m=_m: search.calibrate(days(s, p), m, LOW, HIGH, seed=1), None)
 
@@ -488,15 +512,19 @@ deep AS (SELECT daily.site || '#' || fold.year AS site, d, year(d) = fold.year A
     flow = "\nqm AS (SELECT site, avg(q) FILTER (WHERE q > 0 AND NOT held) AS qmedia FROM deep GROUP BY site)"
     full = f"{every},\nforcing AS (SELECT site, d, t_air, CASE WHEN NOT held THEN t_water END AS t_water, q FROM deep),{par},{_MANY.removeprefix(DESIGN + ',').replace(QMEDIA, flow)}"
     scored = "count(*) AS n_obs, 1 - sum((sim - obs) * (sim - obs)) / (var_pop(obs) * count(*)) AS nse, 1 - sqrt(pow(corr(sim, obs) - 1, 2) + pow(stddev_pop(sim) / stddev_pop(obs) - 1, 2) + pow(avg(sim) / avg(obs) - 1, 2)) AS kge, sqrt(avg((sim - obs) * (sim - obs))) AS rmse"
-    return f"""SELECT * FROM (WITH best AS (SELECT * FROM (WITH RECURSIVE {train} SELECT site, arg_max(param_id, nse) AS pid FROM ({_MANY_SCORES}) GROUP BY site)),
+    p8 = [f"p{k}" for k in range(1, 9)]
+    each = lambda f: ", ".join(f.format(c) for c in p8)
+    return f"""SELECT * FROM (WITH {par.strip()},
+best AS (SELECT * FROM (WITH RECURSIVE {train} SELECT site, arg_max(param_id, nse) AS pid FROM ({_MANY_SCORES}) GROUP BY site)),
 held AS (SELECT split_part(site, '#', 1) AS site, split_part(site, '#', 2) AS fold, obs, sim FROM (WITH RECURSIVE {full} SELECT e.site, e.pid, deep.t_water AS obs, e.tw AS sim FROM ens e JOIN deep ON deep.site = e.site AND deep.d = e.d WHERE held AND deep.t_water IS NOT NULL) SEMI JOIN best USING (site, pid)),
-scored AS (SELECT site, fold, {scored} FROM held GROUP BY 1, 2)
-SELECT * FROM scored UNION ALL SELECT site, 'mean', sum(n_obs), avg(nse), avg(kge), avg(rmse) FROM scored GROUP BY 1
-UNION ALL SELECT site, 'std', sum(n_obs), coalesce(stddev_samp(nse), 0), coalesce(stddev_samp(kge), 0), coalesce(stddev_samp(rmse), 0) FROM scored GROUP BY 1
-UNION ALL SELECT site, 'pooled', {scored} FROM held GROUP BY 1)"""
+chosen AS (SELECT split_part(site, '#', 1) AS site, split_part(site, '#', 2) AS fold, {each("{}")} FROM best JOIN par USING (pid)),
+scored AS (SELECT * FROM (SELECT site, fold, {scored} FROM held GROUP BY 1, 2) JOIN chosen USING (site, fold))
+SELECT * FROM scored UNION ALL SELECT site, 'mean', sum(n_obs), avg(nse), avg(kge), avg(rmse), {each("avg({})")} FROM scored GROUP BY 1
+UNION ALL SELECT site, 'std', sum(n_obs), coalesce(stddev_samp(nse), 0), coalesce(stddev_samp(kge), 0), coalesce(stddev_samp(rmse), 0), {each("coalesce(stddev_samp({}), 0)")} FROM scored GROUP BY 1
+UNION ALL SELECT site, 'pooled', {scored}, {each("NULL")} FROM held GROUP BY 1)"""
 
 
-_CV_COLUMNS = "site:s fold:s n_obs:i nse:d kge:d rmse:d"
+_CV_COLUMNS = "site:s fold:s n_obs:i nse:d kge:d rmse:d " + " ".join(f"p{k}:d" for k in range(1, 9))
 _query("cv1_agg17_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "DE"), None)
 _query("cv1_agg17_lathyp_cross_validation", _CV_COLUMNS, lambda s, p: _cv(s, p, "LATHYP"), _cv_sql(500), base=False)
 
