@@ -139,7 +139,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "chain.csv").write_text("par_1,par_3\n0.5,0.7\n0.6,0.8\n")
     (tmp_path / "chain_meta.json").write_text('{"rho": 0.5}')
     assert sorted(r.p[:3] for r in files.read_chain(spark, str(tmp_path / "chain.csv"), [9.0] * 8).collect()) == [[0.5, 9.0, 0.7], [0.6, 9.0, 0.8]]
-    assert files.read_sidecar(spark, str(tmp_path / "chain.csv")) == {"rho": 0.5} and files.read_sidecar(spark, str(tmp_path / "none.csv")) == {}
+    assert [(r.site, r.rho) for r in files.read_sidecar(spark, str(tmp_path / "chain.csv")).collect()] == [(None, 0.5)] and files.read_sidecar(spark, str(tmp_path / "none.csv")).collect() == []
     history = spark.createDataFrame([("s", k, [float(k)] * 8, x, x, x, x) for k, x in enumerate((0.9, -0.5))], "site string, eval long, p array<double>, eff_index double, nse double, r2 double, mae double")
     files.write_history(history, str(tmp_path / "h"))
     assert spark.read.option("header", True).csv(str(tmp_path / "h")).count() == 1
