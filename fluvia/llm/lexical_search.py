@@ -10,7 +10,8 @@ document's score. Then, all as joins and windows:
    stay below the threshold can't bring a document to it: a result has one of the other terms, the essential ones.
 3. Candidates: documents with essential terms and the sum of these impacts. The kth highest sum raises the threshold, and
    a document stays if its sum and the bound of the suffix reach it.
-4. Rescoring: the impacts of the suffix terms are joined to the candidates, which makes the scores exact.
+4. Rescoring: the impacts of the suffix terms are joined to the candidates, the strongest first, until scores are exact;
+   after each step the threshold is raised again and candidates that can't reach it go.
 
 Everything is kept that reaches a threshold, so ties at the kth place are settled by doc_id alone. Nothing is
 approximate: k, the stored lists and the thresholds change the work, not the result.
@@ -110,6 +111,31 @@ def counted(docs: DataFrame, words: DataFrame, n_words: int) -> tuple[DataFrame,
     return found, flat if fits else flat.withColumnRenamed("term", "word").join(words, "word").drop("word")
 
 
+def _rescored(some: DataFrame, weak: DataFrame, n_weak: int, postings: DataFrame, k: int) -> DataFrame:
+    """Candidates (item_id, row, part) with the impacts of the items' other terms weak (item_id, term, most, suffix) added.
+
+    The strongest of these come first, 2, 4, 8, .. at once; after each step a candidate stays if its sum and the bound of
+    the terms still to come reach the kth highest sum of its item. So few candidates meet the many weakest terms."""
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("most"), F.desc("term")))
+    weak = written(weak.select("item_id", "term", "suffix", order.alias("place")), "weak-terms")
+    last = weak.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    low, step = 0, 2
+    while True:
+        kth = _kth(some, "item_id", "part", k)
+        rest = weak.filter(F.col("place") > low).groupBy("item_id").agg(F.max("suffix").alias("rest"))
+        kept = some.join(_small(kth, n_weak), "item_id", "left").join(_small(rest, n_weak), "item_id", "left")
+        some = written(kept.filter(F.col("part") + F.coalesce("rest", F.lit(0)) >= F.coalesce("kth", F.lit(0))).select("item_id", "row", "part"), "kept-candidates")
+        if low >= last:
+            return some
+        now = weak.filter((F.col("place") > low) & (F.col("place") <= low + step)).select("item_id", "term")
+        asked = some.join(_small(now, n_weak), "item_id")
+        there = postings.join(_small(now.select("term").distinct(), n_weak), "term", "left_semi")
+        there = there.join(_small(some.select("row").distinct(), some.count()), "row", "left_semi")
+        more = there.join(asked.select("item_id", "row", "term"), ["row", "term"]).select("item_id", "row", F.col("impact").alias("part"))
+        some = written(some.unionByName(more).groupBy("item_id", "row").agg(F.sum("part").alias("part")), "candidates")
+        low, step = low + step, 2 * step
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """item_id, rank, doc_id and score of the k best documents (doc_id, text) of each item (item_id, text)."""
     spark = docs.sparkSession
@@ -143,16 +169,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     some = postings.join(_small(plan.filter("essential").select("item_id", "term"), n_wanted), "term")
     some = some.groupBy("item_id", "row").agg(F.sum("impact").alias("part"))
     some = written(some.join(_small(rest, n_wanted), "item_id").filter(F.col("part") + F.col("rest") >= F.col("threshold")), "candidates")
-    raised = _kth(some, "item_id", "part", k)
-    some = some.join(_small(raised, n_wanted), "item_id", "left").filter(F.col("part") + F.col("rest") >= F.coalesce("kth", F.lit(0)))
-    some = written(some.select("item_id", "row", "part"), "raised-candidates")
-    # what the other terms add
-    n_some = some.count()
-    others = some.join(_small(plan.filter("NOT essential").select("item_id", "term"), n_wanted), "item_id").select("item_id", "row", "term")
-    # a document's postings of all candidates' rows only, then by row and term
-    more = postings.join(_small(some.select("row").distinct(), n_some), "row", "left_semi").join(others, ["row", "term"]).groupBy("item_id", "row").agg(F.sum("impact").alias("more"))
-    ids = found.select("row", "doc_id").join(_small(some.select("row").distinct(), n_some), "row", "left_semi")
-    scored = some.join(ids, "row").join(more, ["item_id", "row"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).filter("score > 0")
+    scored = _rescored(some.select("item_id", "row", "part"), plan.filter("NOT essential"), n_wanted, postings, k).filter("part > 0")
+    ids = found.select("row", "doc_id").join(_small(scored.select("row").distinct(), scored.count()), "row", "left_semi")
+    scored = scored.join(ids, "row").withColumnRenamed("part", "score")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
