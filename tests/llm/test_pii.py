@@ -82,5 +82,51 @@ def test_training_from_a_table(spark):
     assert p.weights_of(spark.createDataFrame([], p.LABELLED)) is p.default_weights()
 
 
+#: Texts that no generator made, with each span in brackets and its kind.
+WRITTEN = [
+    "Reach [email:jane.doe@mail.example.org] or [email:sales-2@shop.example.co.uk], office hours 9-17.",
+    "Card [card:4111.1111.1111.1111], order 20240117-8831, total $1,299.00",
+    "paid with [card:4012888888881881] on 2024-03-09T10:11:12Z",
+    "call [phone:+44 20 7946 0958] or [phone:+1 (212) 555-0199].",
+    "front desk [phone:(415) 555-0132], room 1204",
+    "host [ip:192.168.10.24] answered, kernel 5.15.0-91, mask 255.255",
+    "export [secret:API_KEY=9f8e7d6c5b4a39281706] now",
+    "set [secret:password=0123abcd4567ef89]\"### then restart",
+    "commit 3f2b8c9d1e4a5b6c7d8e9f0a1b2c3d4e5f607182 fixes #4412",
+    "id 550e8400-e29b-41d4-a716-446655440000 and digest d41d8cd98f00b204e9800998ecf8427e",
+    "serial 1234567812345678 isn't a card, nor is 12345678901234567890123456",
+    "x=12, y=345 in section 3.2.1 (page 77), see https://pages.example.org/a?id=1234567",
+    "twice [card:4111111111111111]  [card:4012888888881881] 7",
+]
+
+
+def parsed(text):
+    spans, plain, at = [], "", 0
+    for m in re.finditer(r"\[(email|ip|card|phone|secret):([^\]]*)\]", text):
+        plain += text[at : m.start()]
+        spans.append((len(plain), p.KINDS.index(m[1]), len(plain) + len(m[2])))
+        plain, at = plain + m[2], m.end()
+    return plain + text[at:], spans
+
+
+def test_quality_by_kind():
+    field = p.Field(p.default_weights())
+    for table in ([parsed(t) for t in WRITTEN], p.made_table(400, seed=77)):
+        for kind, (precision, recall, n) in p.quality(field, table).items():
+            assert n and precision >= 0.75 and recall >= 0.75, (kind, precision, recall, n)
+
+
+def test_hashes_and_unchecked_numbers_are_no_cards():
+    texts = ["3f2b8c9d1e4a5b6c7d8e9f0a1b2c3d4e5f607182", "1234567812345678", "4" * 40, "5500 0000 0000 0004", "1234.5678.1234.5678"]
+    spans = [all_ for _, all_ in p.find(pa.array([f"number {t} here" for t in texts]), p.Field(p.default_weights()))]
+    assert spans == [[], [], [], [(7, 2, 26)], []]
+
+
+def test_many_spans_in_a_long_text():
+    text = "é " + "4111.1111.1111.1111 and password=0123abcd4567ef89, " * 20_000
+    (base, spans), = p.find(pa.array([text]), p.Field(p.default_weights()))
+    assert base == [] and len(spans) == 40_000 and {text[a:b] for a, _, b in spans} == {"4111.1111.1111.1111", "password=0123abcd4567ef89"}
+
+
 def test_empty_batch():
     assert p.find(pa.array([], pa.string()), p.Field(p.default_weights())) == []
