@@ -42,13 +42,25 @@ DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, file string, offset long, length long"
 
 
-def marked(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, url, html, digest, and first: the smallest page_id with this payload, null where it is one of a kind."""
+def marked(pages: DataFrame, html: str = "html", broadcast_groups: int | None = None) -> DataFrame:
+    """page_id, url, html, digest, and first: the smallest page_id with this payload, null where it is one of a kind.
+    Beyond ``broadcast_groups`` (BROADCAST_GROUPS) groups of equal payloads, the largest ones are still broadcast and the
+    others joined."""
+    broadcast_groups = BROADCAST_GROUPS if broadcast_groups is None else broadcast_groups
     payload = F.coalesce(F.col(html), F.lit(""))
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     groups = pages.filter(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.filter(F.col("n") > 1).select("digest", "first"), "payload-groups")
-    return pages.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "digest", "left").select("page_id", "url", "html", "digest", "first")
+    groups = written(groups.filter("n > 1"), "payload-groups")
+    n_groups, copies = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # groups above this size are fewer than the bound, whatever the table; so no key that is shuffled is larger than it
+    least = 0 if n_groups <= broadcast_groups else copies // max(1, broadcast_groups)
+    large, small = (groups.filter(f"n {op} {least}").select("digest", "first") for op in (">", "<="))
+    out = pages.join(F.broadcast(large), "digest", "left")
+    if n_groups > broadcast_groups:  # short payloads and those of large groups stay where they are
+        done = out.filter(F.col("first").isNotNull() | (F.octet_length("html") < MIN_REVISIT_BYTES))
+        rest = out.filter(F.col("first").isNull() & (F.octet_length("html") >= MIN_REVISIT_BYTES)).drop("first")
+        out = done.unionByName(rest.join(small, "digest", "left"))
+    return out.select("page_id", "url", "html", "digest", "first")
 
 
 def _uri(path: str) -> str:

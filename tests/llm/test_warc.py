@@ -29,6 +29,15 @@ def test_round_trip_and_revisits(spark, tmp_path):
             assert (r["record_type"], r["refers_to"]) == (("revisit", min(same)) if revisit else ("response", None))
 
 
+def test_large_groups_are_broadcast_beyond_the_bound(spark):
+    texts = ["a" * 200] * 30 + ["b" * 150] * 2 + ["c" * 150] * 2 + ["d" * 150, "short", "short", None]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    marked = w.marked(pages, broadcast_groups=2)
+    assert {r.page_id: r["first"] for r in marked.collect()} == {i: 0 if i < 30 else 30 if i < 32 else 32 if i < 34 else None for i in range(len(texts))}
+    joined = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in joined and joined.count("Join LeftOuter") >= 2
+
+
 def test_selected_records_and_their_payloads(spark, tmp_path):
     make(spark, tmp_path, [(i, f"http://x.org/{i}", f"page {i} " * 30, "") for i in range(200)])
     index, folder = w.write_archives(w.marked(spark.read.parquet(str(tmp_path / "pages.parquet"))))
