@@ -29,13 +29,20 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One document of each group of near-duplicates: the one with the least doc_id. Texts are only shuffled where the
+    ids that go, or those that repeat, are too many for a broadcast table."""
     named = docs.filter("doc_id IS NOT NULL")
-    kept = near_dedup.near_duplicates(named, width=5).filter("kept").select("doc_id")
+    marked = near_dedup.near_duplicates(named, width=5).groupBy("doc_id")
+    marked = written(marked.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT kept"), "near-duplicate-ids")
+    gone, again = marked.filter("NOT kept").select("doc_id"), marked.filter("kept").select("doc_id")
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= near_dedup.BROADCAST_IDS else ids
+    rest = named.join(bounded(gone), "doc_id", "left_anti")
     order = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and c not in ("doc_id", "text")]
     one = F.min_by(F.struct(*docs.columns), F.struct("text", *order)).alias("row")
-    out = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    again = bounded(again)
+    single = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
+    settled = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return single.unionByName(settled).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
