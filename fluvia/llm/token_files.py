@@ -2,8 +2,12 @@
 
 Each block starts with an empty model. For every id, two tables predict it from the last two ids (order 2) and from the
 last one (order 1), each with a confidence; three odds say which prediction holds, mixed from the counts under the
-order-2 and the order-1 confidence. The third, that neither holds, is shared out among all ids by the block's own
-order-0 counts of id classes. So an id takes one step of the range coder, whose range has 60 bits; digits have 20.
+order-2 and the order-1 confidence. The third, that neither holds, is shared out among all ids by order 0. So an id
+takes one step of the range coder, whose range has 60 bits; digits have 20.
+
+Order 0 knows ids by their rank: a group of blocks begins with its ids in the order of their counts. The most frequent
+ranks are classes of their own, the others share classes that widen with the rank. Each block counts its classes anew,
+beginning from the shares that the group's head states, so a block needs the head of its group and no other block.
 
 All blocks of a group advance together, one id at a time, so that a step is some numpy calls over thousands of blocks.
 Divisions are made in double precision, rounded so that both sides get the same integers on every machine.
@@ -35,14 +39,17 @@ from pyspark.sql import functions as F
 from fluvia.llm.common import documents, scratch, slices, small_batches, written
 from fluvia.llm.word_tokens import word_file, word_tokenizer
 
-MAGIC = b"CMX2"
+MAGIC = b"CMX3"
 BLOCK_IDS = 2048
 GROUP_BLOCKS = 4096
 #: Bytes of text that a file holds, about; there are as many files as shuffle partitions at least.
 FILE_BYTES = 256 << 20
-FIRST_BITS, SECOND_BITS, CLASS_BITS = 10, 11, 8
-#: Steps between two looks at the class counts, what a count grows by, and the bits of the classes' common total.
-REBUILD, CLASS_STEP, TOTAL_BITS = 64, 4, 12
+FIRST_BITS, SECOND_BITS = 10, 11
+#: Ranks that are classes of their own, classes of each further width, bits of the widest.
+OWN, EACH, CLASS_BITS = 128, 16, 10
+#: Steps between two looks at the class counts, what a count grows by, what the stated shares weigh at first, and the
+#: bits of the classes' common total.
+REBUILD, CLASS_STEP, STATED, TOTAL_BITS = 128, 4, 2048, 12
 DIGIT_BITS, RANGE_BITS = 20, 60
 _DIGIT, _LEAST = (1 << DIGIT_BITS) - 1, 1 << (RANGE_BITS - DIGIT_BITS)
 #: Three counts in one number: order 2 holds, order 1 holds, all.
@@ -54,17 +61,65 @@ _SHARE = TOTAL_BITS + CLASS_BITS
 _DOWN, _UP = 2.0**-_SHARE * (1 - 2.0**-44), 1 + 2.0**-44
 
 
+class Ranks:
+    """The ids of a group by rank, the classes of ranks, and the counts that the classes begin with."""
+
+    def __init__(self, ids: np.ndarray, stated: np.ndarray):
+        self.ids, self.stated = ids, stated
+        n, bits, at = max(1, len(ids)), [], 0
+        while at < n:
+            bits.append(0 if len(bits) < OWN else min(CLASS_BITS, 1 + (len(bits) - OWN) // EACH))
+            at += 1 << bits[-1]
+        width = 1 << np.array(bits)
+        self.first, self.share = np.cumsum(width) - width, (1 << CLASS_BITS) // width
+        self.class_of = np.repeat(np.arange(len(bits)), width)
+        self.share_of = self.share[self.class_of]
+        self.before = (np.arange(at) - self.first[self.class_of]) * self.share_of
+        if len(bits) >= 1 << TOTAL_BITS:
+            raise ValueError("more ids than the classes of a group can hold")
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Ranks:
+        """Those of a group's ids; equal counts go by id."""
+        counts = np.bincount(ids)
+        there = np.flatnonzero(counts)
+        there = there[np.lexsort((there, -counts[there]))]
+        out = cls(there, np.zeros(0, np.int32))
+        sums = np.add.reduceat(counts[there], out.first) if len(there) else np.zeros(1, np.int64)
+        out.stated = 1 + STATED * sums // max(1, len(ids))
+        return out
+
+    def ranked(self, ids: np.ndarray) -> np.ndarray:
+        rank = np.zeros(int(self.ids.max(initial=0)) + 1, np.int32)
+        rank[self.ids] = np.arange(len(self.ids))
+        return rank[ids]
+
+    def to_bytes(self) -> bytes:
+        data = zlib.compress(self.ids.astype("<u4").tobytes() + self.stated.astype("<u2").tobytes(), 6)
+        return GROUP.pack(len(self.ids), len(data), zlib.crc32(data)) + data
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> tuple[Ranks, int]:
+        """The ranks at the front of a group, and where its blocks begin."""
+        n, size, crc = GROUP.unpack_from(data)
+        raw = data[GROUP.size : GROUP.size + size]
+        if zlib.crc32(raw) != crc:
+            raise ValueError("a damaged group")
+        raw = zlib.decompress(raw)
+        return cls(np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<u2", offset=4 * n).astype(np.int64)), GROUP.size + size
+
+
 class Model:
     """The adaptive state of many blocks, the same for coder and decoder. A table's entry is the id and two bits of
     confidence."""
 
-    def __init__(self, n: int, n_classes: int):
+    def __init__(self, n: int, ranks: Ranks):
         lane = np.arange(n, dtype=np.int64)
-        self.n_classes = n_classes
+        self.n_classes = n_classes = len(ranks.first)
         self.lane_one, self.lane_two, self.lane_odds, self.lane_class, self.lane_slot = lane << FIRST_BITS, lane << SECOND_BITS, lane << 2, lane * n_classes, lane << TOTAL_BITS
         self.one, self.two = np.full(n << FIRST_BITS, 0, np.int32), np.full(n << SECOND_BITS, 0, np.int32)
         self.odds_one, self.odds_two = (np.full(4 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD) for _ in range(2))
-        self.counts = np.ones((n, n_classes), np.int32)
+        self.counts = np.tile(ranks.stated.astype(np.int32), (n, 1))
 
     def rebuild(self, n: int, slots: bool) -> None:
         """Class frequencies of the common total, each at least one, from the counts; ``slots``: and their inverse."""
@@ -113,15 +168,15 @@ def _live(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
 
 
-def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
-    """The bytes of blocks of ids, each below n_classes * 256."""
+def encode_blocks(blocks: list[np.ndarray], ranks: Ranks) -> list[bytes]:
+    """The bytes of blocks of ids that have ranks."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     n, steps = len(blocks), int(sizes[0])
     ids = np.zeros((steps, n), np.int32)
     for k, i in enumerate(order):
-        ids[: len(blocks[i]), k] = blocks[i]
-    model, live = Model(n, n_classes), _live(sizes)
+        ids[: len(blocks[i]), k] = ranks.ranked(blocks[i])
+    model, live = Model(n, ranks), _live(sizes)
     counts = model.counts.reshape(-1)
     width = 2 * steps + 4
     out, rows = np.zeros((n, width), np.uint32), np.arange(n)
@@ -135,9 +190,10 @@ def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
         history = np.vstack((before[None, :n], last[None, :n], now))
         before, last = history[-2:]
         ones, twos = model.contexts(n, history[1:-1], history[:-2])
-        classes = (now >> CLASS_BITS) + model.lane_class[:n]
+        classes = ranks.class_of.take(now) + model.lane_class[:n]
         sizes_0 = model.size.take(classes)
-        begins_0 = model.begin.take(classes) + (now & ((1 << CLASS_BITS) - 1)) * sizes_0
+        begins_0 = model.begin.take(classes) + ranks.before.take(now) * sizes_0
+        sizes_0 *= ranks.share_of.take(now)
         for t in range(len(now)):
             n = int(live[first + t])
             x = ids[first + t, :n]
@@ -174,7 +230,7 @@ def encode_blocks(blocks: list[np.ndarray], n_classes: int) -> list[bytes]:
     return result
 
 
-def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[np.ndarray]:
+def decode_blocks(data: list[bytes], sizes: list[int], ranks: Ranks) -> list[np.ndarray]:
     order = sorted(range(len(data)), key=lambda i: -sizes[i])
     size = np.array([sizes[i] for i in order])
     n, steps = len(data), int(size[0])
@@ -187,7 +243,7 @@ def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[n
     at = np.arange(n) * 2 * width
     off = digits[at] << 2 * DIGIT_BITS | digits[at + 1] << DIGIT_BITS | digits[at + 2]  # how far the code lies above low
     at += 3
-    model, live, reach = Model(n, n_classes), _live(size), np.full(n, (1 << RANGE_BITS) - 1)
+    model, live, reach = Model(n, ranks), _live(size), np.full(n, (1 << RANGE_BITS) - 1)
     counts = model.counts.reshape(-1)
     ids = np.zeros((steps, n), np.int32)
     last = before = np.zeros(n, np.int64)
@@ -207,9 +263,9 @@ def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[n
         x[hits] = 0
         c = model.slot.take(model.lane_slot[:n] + (x >> CLASS_BITS))
         k = model.lane_class[:n] + c
-        begin, wide = model.begin.take(k), model.size.take(k)
+        begin, wide = model.begin.take(k), model.size.take(k) * ranks.share.take(c)
         in_class = ((x - begin) / wide).astype(np.int32)
-        now = c.astype(np.int32) << CLASS_BITS | in_class
+        now = ranks.first.take(c).astype(np.int32) + in_class
         l, r = place - share * (begin + in_class * wide), share * wide
         if len(hits):
             second, a, b = by_two[hits], end_two[hits], end_one[hits]
@@ -227,29 +283,32 @@ def decode_blocks(data: list[bytes], sizes: list[int], n_classes: int) -> list[n
         last, before = now.astype(np.int64), last
     result: list[np.ndarray] = [None] * len(data)
     for k, i in enumerate(order):
-        result[i] = ids[: sizes[i], k].astype("<u4")
+        result[i] = ranks.ids.take(ids[: sizes[i], k]).astype("<u4")
     return result
 
 
 HEAD = struct.Struct("<IIII")  # ids, bytes, crc32 of the bytes, crc32 of the ids
-TAIL = struct.Struct("<IQQQQ4s")  # classes, documents, groups, where their tables begin and their crc32, MAGIC
+GROUP = struct.Struct("<III")  # ids by rank, bytes and crc32 of what states them and their classes
+TAIL = struct.Struct("<QQQQ4s")  # documents, groups, where their tables begin and their crc32, MAGIC
 
 
-def group_bytes(ids: np.ndarray, n_classes: int) -> bytes:
+def group_bytes(ids: np.ndarray) -> bytes:
+    ranks = Ranks.of(ids)
     blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
-    return b"".join(HEAD.pack(len(block), len(data), zlib.crc32(data), zlib.crc32(block.astype("<u4").tobytes())) + data for block, data in zip(blocks, encode_blocks(blocks, n_classes)))
+    return ranks.to_bytes() + b"".join(HEAD.pack(len(block), len(data), zlib.crc32(data), zlib.crc32(block.astype("<u4").tobytes())) + data for block, data in zip(blocks, encode_blocks(blocks, ranks)))
 
 
-def group_ids(data: bytes, n_classes: int) -> Iterator[np.ndarray]:
+def group_ids(data: bytes) -> Iterator[np.ndarray]:
     """The blocks of a group, checked."""
-    heads, parts, at = [], [], 0
+    ranks, at = Ranks.from_bytes(data)
+    heads, parts = [], []
     while at < len(data):
         heads.append(HEAD.unpack_from(data, at))
         parts.append(data[at + HEAD.size : at + HEAD.size + heads[-1][1]])
         at += HEAD.size + heads[-1][1]
     if any(zlib.crc32(p) != h[2] for h, p in zip(heads, parts)):
         raise ValueError("a damaged block")
-    for h, ids in zip(heads, decode_blocks(parts, [h[0] for h in heads], n_classes)):
+    for h, ids in zip(heads, decode_blocks(parts, [h[0] for h in heads], ranks)):
         if zlib.crc32(ids.tobytes()) != h[3]:
             raise ValueError("a block that decodes to other ids")
         yield ids
@@ -258,8 +317,8 @@ def group_ids(data: bytes, n_classes: int) -> Iterator[np.ndarray]:
 class Writer:
     """A token file that grows by whole groups of blocks."""
 
-    def __init__(self, f, n_classes: int):
-        self.f, self.n_classes, self.docs, self.groups = f, n_classes, [], []
+    def __init__(self, f):
+        self.f, self.docs, self.groups = f, [], []
         self.held, self.n_held, self.whole = [], 0, BLOCK_IDS * GROUP_BLOCKS
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, at: np.ndarray) -> None:
@@ -273,7 +332,7 @@ class Writer:
     def _flush(self, n: int) -> None:
         every = np.concatenate(self.held)
         for at in range(0, n, self.whole):
-            data = group_bytes(every[at : min(at + self.whole, n)], self.n_classes)
+            data = group_bytes(every[at : min(at + self.whole, n)])
             self.f.write(data)
             self.groups.append(len(data))
         self.held, self.n_held = [every[n:].copy()], len(every) - n
@@ -284,7 +343,7 @@ class Writer:
             self._flush(self.n_held)
         at = sum(self.groups)
         tables = zlib.compress(np.array(self.docs, "<i8").T.tobytes() + np.array(self.groups, "<i8").tobytes(), 1)
-        tail = tables + TAIL.pack(self.n_classes, len(self.docs), len(self.groups), at, zlib.crc32(tables), MAGIC)
+        tail = tables + TAIL.pack(len(self.docs), len(self.groups), at, zlib.crc32(tables), MAGIC)
         self.f.write(tail)
         return at + len(tail)
 
@@ -294,18 +353,18 @@ class Reader:
 
     def __init__(self, f, size: int):
         self.f = f
-        n_classes, n_docs, n_groups, at, crc, magic = TAIL.unpack(f.read_at(TAIL.size, size - TAIL.size))
+        n_docs, n_groups, at, crc, magic = TAIL.unpack(f.read_at(TAIL.size, size - TAIL.size))
         tables = f.read_at(size - TAIL.size - at, at)
         if magic != MAGIC or zlib.crc32(tables) != crc:
             raise ValueError("not a token file")
         raw = np.frombuffer(zlib.decompress(tables), "<i8")
         named, self.doc_ids, self.sizes = raw[: 3 * n_docs].reshape(3, n_docs)
-        self.nameless, self.groups, self.n_classes = named == 0, raw[3 * n_docs :], n_classes
+        self.nameless, self.groups = named == 0, raw[3 * n_docs :]
 
     def blocks(self) -> Iterator[np.ndarray]:
         at = 0
         for size in self.groups.tolist():
-            yield from group_ids(self.f.read_at(size, at), self.n_classes)
+            yield from group_ids(self.f.read_at(size, at))
             at += size
 
 
@@ -315,13 +374,12 @@ MANIFEST = "file string, named boolean, first_doc long, first_hash long, n_docs
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(folder)
     tokenizer = word_tokenizer(path)
-    n_classes = (len(tokenizer.ends_word) - 1 >> CLASS_BITS) + 1
     name, first, out = f"{uuid.uuid4().hex}.cmx", None, None
     for batch in chain.from_iterable(slices(b, 1) for b in batches):
         ids = batch.column(0).to_pylist()
         if out is None:
             first = (ids[0] is not None, ids[0] or 0, batch.column(2)[0].as_py())
-            out = Writer(store.open_output_stream(f"{root}/{name}", compression=None), n_classes)
+            out = Writer(store.open_output_stream(f"{root}/{name}", compression=None))
         out.add(ids, *tokenizer.encoded(batch.column(1)))
     if out is not None:
         size = out.end()

@@ -15,15 +15,34 @@ from fluvia.llm.word_tokens import END_ID, WordTokenizer, word_file  # noqa: E40
 @given(st.lists(st.lists(st.one_of(st.integers(0, 7), st.integers(0, 49407)), min_size=1, max_size=300), min_size=1, max_size=6))
 def test_blocks_come_back(blocks):
     blocks = [np.array(b, np.int64) for b in blocks]
-    data = t.encode_blocks(blocks, 193)
-    assert [x.tolist() for x in t.decode_blocks(data, [len(b) for b in blocks], 193)] == [b.tolist() for b in blocks]
+    ranks = t.Ranks.of(np.concatenate(blocks))
+    data = t.encode_blocks(blocks, ranks)
+    again, _ = t.Ranks.from_bytes(ranks.to_bytes())
+    assert [x.tolist() for x in t.decode_blocks(data, [len(b) for b in blocks], again)] == [b.tolist() for b in blocks]
+
+
+def test_order_0_reaches_the_entropy_of_skewed_ids():
+    rng = np.random.default_rng(4)
+    p = 1 / np.arange(1, 5001)
+    p /= p.sum()
+    ids = rng.permutation(49408)[rng.choice(5000, 60 * t.BLOCK_IDS, p=p)]
+    data = t.group_bytes(ids)
+    assert np.concatenate([*t.group_ids(data)]).tolist() == ids.tolist()
+    c = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * len(data) / len(ids) < -(c * np.log2(c)).sum() + 1.5
+
+
+def test_a_whole_vocabulary_fits():
+    ids = np.concatenate([np.arange(200_000), np.zeros(50, np.int64)])
+    assert np.concatenate([*t.group_ids(t.group_bytes(ids))]).tolist() == ids.tolist()
 
 
 def test_blocks_are_independent_and_small_where_ids_repeat():
     rng = np.random.default_rng(2)
     same, noise = np.tile(rng.integers(0, 49408, 30), 60), rng.integers(0, 49408, t.BLOCK_IDS)
-    data = t.encode_blocks([same, noise], 193)
-    assert t.decode_blocks([data[0]], [len(same)], 193)[0].tolist() == same.tolist()
+    ranks = t.Ranks.of(np.concatenate([same, noise]))
+    data = t.encode_blocks([same, noise], ranks)
+    assert t.decode_blocks([data[0]], [len(same)], ranks)[0].tolist() == same.tolist()
     assert len(data[0]) < 0.12 * 2 * len(same) and len(data[1]) < 1.15 * 2 * len(noise)
 
 
@@ -43,7 +62,7 @@ def test_files_of_many_groups(tmp_path, monkeypatch):
     docs = [(None if k == 2 else k, np.arange(k * 13 % 140, dtype="<u4")) for k in range(1, 40)]
     path = str(tmp_path / "x.cmx")
     with pa.OSFile(path, "wb") as f:
-        out = t.Writer(f, 193)
+        out = t.Writer(f)
         for doc_id, ids in docs:
             out.add([doc_id], np.append(ids, 2).astype("<u4"), np.array([0, len(ids) + 1]))
         size = out.end()
