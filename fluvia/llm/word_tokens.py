@@ -19,7 +19,7 @@ SEPARATOR = "<|startoftext|>"
 #: A line of lower-case Latin letters with a stop or comma behind them, or any line.
 _PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
 #: How byte-level vocabularies write the two UTF-8 bytes of the Latin letters above.
-_LETTERS = {c: "".join(map(byte_letters().__getitem__, chr(c).encode())) for c in range(0xC0, 0x100)}
+_LETTERS = {chr(c): "".join(map(byte_letters().__getitem__, chr(c).encode())) for c in range(0xDF, 0x100)}
 
 
 def word_file() -> str:
@@ -51,7 +51,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.most_words, self.kept_words = most_words, kept_words
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """The words' ids; they go through the library as one text, parted by a special token."""
@@ -69,7 +69,10 @@ class WordTokenizer:
 
     def _encoded_letters(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words of lower-case Latin letters; each ends with an id that ends a word."""
-        ids = np.array(self.bare.encode_batch_fast([" ".join(words).translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
+        line = " ".join(words)
+        for c in set(line) & _LETTERS.keys():  # no lower-case letter is written with another
+            line = line.replace(c, _LETTERS[c])
+        ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
         data = ids.tobytes()
         return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
@@ -101,10 +104,11 @@ class WordTokenizer:
             self.known = dict(islice(self.known.items(), self.kept_words))
         split = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
         numbered = split.flatten().dictionary_encode()
-        code, names, known = numbered.indices.to_numpy(), numbered.dictionary.to_pylist(), self.known
-        if new := [w for w in names if w not in known and w]:
+        code, names = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        data = [*map(self.known.get, names)]
+        if new := [w for w, x in zip(names, data) if x is None]:
             self._learn(new)
-        data = [known[w] if w else b"" for w in names]
+            data = [*map(self.known.__getitem__, names)]
         size, pool = np.fromiter(map(len, data), np.int64, len(data)) // 4, np.frombuffer(b"".join(data), "<u4")
         begin = np.cumsum(size) - size
         n = size[code]
