@@ -37,6 +37,12 @@ def merge(series: list[DataFrame], keys: tuple[str, ...] = ("d",)) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), series)
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """a with the columns of b, where null keys are equal."""
+    other = {k: f"other_{k}" for k in keys}
+    return a.join(b.withColumnsRenamed(other), reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(other[k])), keys, F.lit(True)), how).drop(*other.values())
+
+
 def merge_long(long: DataFrame, names: list[str], keys: tuple[str, ...] = ("d",)) -> DataFrame:
     """The same from one long table (keys, name, value): one shuffle however many sources there are."""
     return long.groupBy(*keys).pivot("name", names).agg(F.avg("value"))

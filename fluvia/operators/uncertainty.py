@@ -86,11 +86,26 @@ def prediction_intervals(days: DataFrame, chain: DataFrame, sigma: float = 0.0,
     return intervals_of(days, some, n, version, integrator, 0.0, interval, noise, seed, keys, rolling)
 
 
+#: Hexadecimal digits of a sample's hash by which samples are counted before any are sorted.
+PREFIX = 4
+
+
+def first_by_hash(chain: DataFrame, n: int, order: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of each key up to the first prefix of their hashes ``order`` within which n are found: the n first, and the
+    rest of that prefix, one in 16 ** PREFIX of the key's rows. Only counts are shuffled, and a row a key is broadcast."""
+    prefix = F.coalesce(F.substring(order, 1, PREFIX), F.lit(""))  # null hashes are the first
+    counts = chain.groupBy(*keys, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("prefix"))
+    last = counts.withColumn("upto", upto).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("prefix"))), F.max("prefix")).alias("last"))
+    return prep.null_safe_join(chain, F.broadcast(last), keys).filter(prefix <= F.col("last")).drop("last")
+
+
 def sampled_by_key(chain: DataFrame, n: int, seed: int = 0, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """``sampled`` for each key of a chain (keys, sample_id, p): the samples as params (keys, param_id, p)."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string")))
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "sample_id"))
-    return chain.withColumn("param_id", at.cast("long") - 1).filter(F.col("param_id") < n).select(*keys, "param_id", "p")
+    some = first_by_hash(chain, n, order, keys).withColumn("at", at).filter(F.col("at") <= n)
+    return some.select(*keys, (F.col("at").cast("long") - 1).alias("param_id"), "p")
 
 
 def site_intervals(days: DataFrame, chain: DataFrame, sigma: DataFrame | None = None, rho: DataFrame | None = None, version: int = 8, integrator: str = "RK4", interval: float = 90.0, n: int = 1000, seed: int = 0, ice: float = 0.0, keys: tuple[str, ...] = ("site",), rolling: int = 1) -> DataFrame:

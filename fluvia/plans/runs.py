@@ -247,7 +247,7 @@ def stored_chain(spark: SparkSession, path: str, best: DataFrame, c: Config) ->
     """(site, sample_id, p) of the sites of best: each its own samples of a chain by site, all the same of another one."""
     chain, sites = files.read_chain(spark, path, list(c.parameters)), best.select("site").distinct()
     if "site" in chain.columns:
-        return chain.join(sites, "site")  # the chain's partitions are pruned to these sites
+        return chain.join(F.broadcast(sites), "site")  # a row a site; the chain's partitions are pruned to these sites
     return sites.crossJoin(F.broadcast(uncertainty.sampled(chain, c.n_samples, c.seed or 0)))  # n_samples rows at most
 
 

@@ -1,5 +1,6 @@
 """Chains of several sites: written by site, read by site, and what forward runs make of them."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -109,3 +110,48 @@ def test_percentiles_are_interpolated():
     assert ensembles.percentiles(x, (0.0, 0.25, 0.5)).tolist() == [[1.0, 1.75, 2.5], [5.0, 5.0, 5.0]]
     with pytest.raises(ValueError):
         ensembles.daily_percentiles(None, None, interval=100)
+
+
+def shuffled(df):
+    """Rows that each exchange of a collected frame's plan wrote."""
+
+    def below(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return below(node.executedPlan())
+        if "QueryStage" in name:
+            return below(node.plan())
+        found = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+        return found + [x for i in range(node.children().size()) for x in below(node.children().apply(i))]
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("n", [50, 1500])
+def test_samples_are_found_without_shuffling_the_chain(spark, tmp_path, n):
+    """A site's samples don't all go to one task; without a name, id or enough samples they are those of a sort."""
+    ids = F.when(F.col("id") % 4999 != 7, F.col("id"))
+    site = F.when(F.col("id") % 500 == 3, F.lit(None)).when(F.col("id") % 500 == 4, F.lit("c")).otherwise(F.concat(F.lit("S"), F.col("id") % 2))
+    path = str(tmp_path / "chain")
+    spark.range(40_000).select(site.alias("site"), ids.alias("sample_id"), F.array(F.col("id").cast("double")).alias("p")).write.parquet(path)
+    chain = spark.read.parquet(path)
+    some = uncertainty.sampled_by_key(chain, n, 3)
+    got = sorted((r.site or "", r.param_id, r.p[0]) for r in some.collect())
+    written = shuffled(some)
+    expected, by_site = [], {}
+    for r in chain.collect():
+        by_site.setdefault(r.site or "", []).append((hashlib.md5(f"3:{r.sample_id}".encode()).hexdigest() if r.sample_id is not None else "", r.p[0]))
+    for name, found in by_site.items():
+        expected += [(name, k, p) for k, (_, p) in enumerate(sorted(found)[:n])]
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(expected)]
+    assert {x[::2] for x in got} == {x[::2] for x in expected}
+    joined = runs.stored_chain(spark, stored(spark, chain, tmp_path), spark.createDataFrame([("S0",), ("S1",)], "site string"), Config(parameters=(9.0,) * 8))
+    joined.collect()
+    assert max(shuffled(joined), default=0) < 100
+    assert min(written) < 4 * n + 1000  # the other exchange has counts
+
+
+def stored(spark, chain, folder):
+    path = str(folder / "stored.csv")
+    files.write_chain(chain.filter("sample_id IS NOT NULL AND site IS NOT NULL"), path, [0])
+    return path
