@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,38 @@ def observed_span(df: DataFrame, value: str = "t_water", keys: tuple[str, ...] =
     return df.join(span, list(keys)).filter(F.col("d").between(F.col("first_seen"), F.col("last_seen"))).select(*df.columns)
 
 
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, q): exact percentiles of each key, linearly interpolated, in an array; null values don't count, and values
+    that aren't numbers are the largest.
+
+    Equal values are counted, and the counts dealt by ranges and written. Sums of the ranges tell which of them hold a wanted
+    place; only those are sorted, so no task gets all values of a key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = written(counts.repartitionByRange(n, *keys, "value").withColumn("range", F.spark_partition_id()), "counts")
+    sums, key = dealt.groupBy(*keys, "range").agg(F.sum("n").alias("in_range")), Window.partitionBy(*keys)
+    sums = sums.select(*keys, "range", "in_range", F.sum("in_range").over(key).alias("total"), (F.sum("in_range").over(key.orderBy("range")) - F.col("in_range")).alias("before"))
+    places = [F.lit(float(q)) * (F.col("total") - 1) for q in at]
+    ends = [(F.floor(x), F.ceil(x)) for x in places]
+    holds = lambda first, size, x: (x >= F.col(first)) & (x < F.col(first) + F.col(size))
+    wanted = sums.filter(reduce(or_, [holds("before", "in_range", x) for pair in ends for x in pair]))
+    rows = prep.null_safe_join(dealt, wanted, (*keys, "range"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("value"))
+    rows = rows.withColumn("first", F.col("before") + upto - F.col("n"))
+    found = [F.max(F.when(holds("first", "n", x), F.col("value"))).alias(f"{name}_{k}") for k, pair in enumerate(ends) for name, x in zip(("low", "high"), pair)]
+    out = rows.groupBy(*keys).agg(F.max("total").alias("total"), *found)
+    between = [F.when(F.col(f"low_{k}") == F.col(f"high_{k}"), F.col(f"low_{k}")).otherwise((b - x) * F.col(f"low_{k}") + (x - a) * F.col(f"high_{k}")) for k, (x, (a, b)) in enumerate(zip(places, ends))]
+    return out.select(*keys, F.array(*between).alias("q"))
+
+
 def posterior_summary(chain: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean, deviation, 95 % interval of each parameter of (sample_id, p), and whether zero lies outside."""
-    long = chain.select(*keys, F.posexplode("p").alias("parameter", "value"))
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    out = long.groupBy(*keys, (F.col("parameter") + 1).alias("parameter")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q.alias("q"))
+    long, each = chain.select(*keys, F.posexplode("p").alias("at", "value")), (*keys, "parameter")
+    long = long.select(*keys, (F.col("at") + 1).alias("parameter"), "value")
+    out = long.groupBy(*each).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    out = prep.null_safe_join(out, quantiles(long, "value", (0.025, 0.975), each), each, "left")
     low, high = F.col("q")[0], F.col("q")[1]
-    return out.select(*keys, "parameter", "mean", "std", low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("significant"))
+    return out.select(*each, "mean", "std", low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("significant"))
 
 
 def burned(chain: DataFrame, steps: int, burn: float = 0.3, step: str = "step") -> DataFrame:

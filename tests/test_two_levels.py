@@ -136,3 +136,22 @@ def test_the_rate_as_an_expression_is_the_kernels(spark, version):
     got = {r.i: r.rate for r in sim.rates(df, p, version).collect()}
     expected = kernels.rate(version, kernels.active_only(np.array([p]), version)[0], *x.T)
     assert np.allclose([got[i] for i in range(50)], expected) and got[50] is None
+
+
+def test_posterior_quantiles_without_a_task_a_parameter(spark):
+    """Ties, nulls, values that aren't numbers, keys that are null: the intervals are those of Spark's percentile."""
+    x = F.col("id")
+    odd = F.when(x % 7 == 0, F.lit(None)).when(x % 11 == 0, F.lit(float("nan"))).otherwise((x * 7919 % 1009) - 500.5)
+    few = F.when(x % 2000 == 5, F.lit(3.0))
+    site = F.when(x % 3 == 0, F.lit("a")).when(x % 3 == 1, F.lit("b"))
+    rows = spark.range(6001).select(site.alias("site"), F.array(odd, (x % 5).cast("double"), (x * x).cast("double"), few, F.lit(None).cast("double")).alias("p"))
+    rows = rows.unionByName(spark.createDataFrame([("one", [float("inf"), -1.0])], "site string, p array<double>"))
+    found = reports.posterior_summary(rows, ("site",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "ObjectHashAggregate" not in plan  # their state is all values of a group
+    long = rows.select("site", F.posexplode("p").alias("k", "value"))
+    exact = long.groupBy("site", "k").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("value").alias("mean"))
+    text = lambda v: "" if v is None else f"{v:.9g}"
+    expected = sorted((str(r.site), r.k + 1, text(r.mean), *map(text, r.q or (None, None))) for r in exact.collect())
+    assert sorted((str(r.site), r.parameter, text(r.mean), text(r.low), text(r.high)) for r in found.collect()) == expected
+    assert len(expected) == 17
