@@ -27,7 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 from itertools import chain
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import documents, scratch, slices, small_batches, written
+from fluvia.llm.common import BATCH_BYTES, documents, scratch, slices, small_batches, written
 from fluvia.llm.word_tokens import word_file, word_tokenizer
 
 MAGIC = b"CMX3"
@@ -51,6 +51,9 @@ OWN, EACH, CLASS_BITS = 128, 16, 10
 #: bits of the classes' common total.
 REBUILD, CLASS_STEP, STATED, TOTAL_BITS = 128, 4, 2048, 12
 DIGIT_BITS, RANGE_BITS = 20, 60
+#: The decoder looks up every so many-th slot (a power of two) and goes on from there.
+SKIP_BITS = 2
+_SIZE = (2 << TOTAL_BITS) - 1
 _DIGIT, _LEAST = (1 << DIGIT_BITS) - 1, 1 << (RANGE_BITS - DIGIT_BITS)
 #: Three counts in one number: order 2 holds, order 1 holds, all.
 _FIELD = 20
@@ -78,6 +81,12 @@ class Ranks:
         if len(bits) >= 1 << TOTAL_BITS:
             raise ValueError("more ids than the classes of a group can hold")
 
+    @cached_property
+    def _rank(self) -> np.ndarray:
+        rank = np.zeros(int(self.ids.max(initial=0)) + 1, np.int32)
+        rank[self.ids] = np.arange(len(self.ids))
+        return rank
+
     @classmethod
     def of(cls, ids: np.ndarray) -> Ranks:
         """Those of a group's ids; equal counts go by id."""
@@ -90,9 +99,7 @@ class Ranks:
         return out
 
     def ranked(self, ids: np.ndarray) -> np.ndarray:
-        rank = np.zeros(int(self.ids.max(initial=0)) + 1, np.int32)
-        rank[self.ids] = np.arange(len(self.ids))
-        return rank[ids]
+        return self._rank[ids]
 
     def to_bytes(self) -> bytes:
         data = zlib.compress(self.ids.astype("<u4").tobytes() + self.stated.astype("<u2").tobytes(), 6)
@@ -111,56 +118,83 @@ class Ranks:
 
 class Model:
     """The adaptive state of many blocks, the same for coder and decoder. A table's entry is the id and two bits of
-    confidence."""
+    confidence; arrays of two rows hold what belongs to order 1 and to order 2."""
 
     def __init__(self, n: int, ranks: Ranks):
         lane = np.arange(n, dtype=np.int64)
         self.n_classes = n_classes = len(ranks.first)
-        self.lane_one, self.lane_two, self.lane_odds, self.lane_class, self.lane_slot = lane << FIRST_BITS, lane << SECOND_BITS, lane << 2, lane * n_classes, lane << TOTAL_BITS
-        self.one, self.two = np.full(n << FIRST_BITS, 0, np.int32), np.full(n << SECOND_BITS, 0, np.int32)
-        self.odds_one, self.odds_two = (np.full(4 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD) for _ in range(2))
+        self.lane_context = np.stack((lane << FIRST_BITS, (n << FIRST_BITS) + (lane << SECOND_BITS)))
+        self.lane_odds, self.lane_class, self.lane_slot = np.stack((lane << 2, n + lane << 2)), lane * n_classes, lane << TOTAL_BITS - SKIP_BITS
+        self.table = np.zeros((n << FIRST_BITS) + (n << SECOND_BITS), np.int32)
+        self.all_odds = np.full(8 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD)
         self.counts = np.tile(ranks.stated.astype(np.int32), (n, 1))
 
     def rebuild(self, n: int, slots: bool) -> None:
-        """Class frequencies of the common total, each at least one, from the counts; ``slots``: and their inverse."""
-        c = self.counts[:n]
-        total = 1 << TOTAL_BITS
-        f = 1 + c * (total - self.n_classes) // c.sum(1, keepdims=True, dtype=np.int32)
-        f[np.arange(n), c.argmax(1)] += total - f.sum(1, dtype=np.int32)
-        self.size = f.ravel().astype(np.int64)
-        self.begin = ((np.cumsum(f, axis=1) - f) << CLASS_BITS).ravel()
+        """Class frequencies of the common total, each at least one, from the counts; ``slots``: and their inverse,
+        the class of every slot that SKIP_BITS divide."""
+        total, few = 1 << TOTAL_BITS, 256  # lanes at a time, whose arrays stay in the processor's cache
+        self.placed = np.empty((n, self.n_classes), np.int32)
+        slot, found = np.arange(self.n_classes, dtype=np.uint16), []
+        for lane in range(0, n, few):
+            c = self.counts[lane : min(lane + few, n)]
+            # quotients of integers this small never round up to the next one
+            f = 1 + (c * float(total - self.n_classes) / c.sum(1, keepdims=True)).astype(np.int32)
+            f[np.arange(len(f)), c.argmax(1)] += total - f.sum(1, dtype=np.int32)
+            end = np.cumsum(f, axis=1, dtype=np.int32)
+            self.placed[lane : lane + few] = end - f << TOTAL_BITS + 1 | f
+            if slots:
+                end += (1 << SKIP_BITS) - 1
+                end >>= SKIP_BITS
+                end[:, 1:] -= end[:, :-1].copy()
+                found.append(np.repeat(np.tile(slot, len(f)), end.ravel()))
+        self.placed = self.placed.ravel()
         if slots:
-            self.slot = np.repeat(np.tile(np.arange(self.n_classes, dtype=np.uint16), n), f.ravel())
-
-    def contexts(self, n: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one = (last * 0x9E37 >> 3) & ((1 << FIRST_BITS) - 1)
-        two = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9) & ((1 << SECOND_BITS) - 1)
-        return one + self.lane_one[:n], two + self.lane_two[:n]
-
-    def odds(self, n: int, at_one: np.ndarray, at_two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            self.slot = np.concatenate(found)
+
+    def place(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where classes of lanes begin among the shares, and how many slots they have."""
+        both = self.placed[classes].astype(np.int64)
+        return both >> TOTAL_BITS + 1 << CLASS_BITS, both & _SIZE
+
+    def find(self, n: int, slot: np.ndarray) -> np.ndarray:
+        """The classes of lanes that hold a slot."""
+        k = self.lane_class[:n] + self.slot[self.lane_slot[:n] + (slot >> SKIP_BITS)]
+        v = self.placed[k]
+        later = np.flatnonzero((v >> TOTAL_BITS + 1) + (v & _SIZE) <= slot)
+        while len(later):
+            k[later] = more = k[later] + 1
+            v = self.placed[more]
+            later = later[(v >> TOTAL_BITS + 1) + (v & _SIZE) <= slot[later]]
+        return k
+
+    def count(self, classes: np.ndarray) -> None:
+        """Classes of lanes that ids had; those behind the last lane's are dropped."""
+        n = self.counts.size
+        self.counts += CLASS_STEP * np.bincount(classes.ravel(), minlength=n + 1)[:n].astype(np.int32).reshape(self.counts.shape)
+
+    def contexts(self, n: int, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        at = np.empty((*last.shape[:-1], 2, n), np.int64)
+        at[..., 0, :] = (last * 0x9E37 >> 3) & ((1 << FIRST_BITS) - 1)
+        at[..., 1, :] = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9) & ((1 << SECOND_BITS) - 1)
+        at += self.lane_context[:, :n]
+        return at
+
+    def odds(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mixed counts: order 2 holds, either holds, all."""
-        self.at_one, self.at_two = at_one, at_two
-        self.seen_one, self.seen_two = self.one.take(at_one), self.two.take(at_two)
-        self.sure_one, self.sure_two = self.seen_one & 3, self.seen_two & 3
-        self.by_one, self.by_two = self.lane_odds[:n] + self.sure_one, self.lane_odds[:n] + self.sure_two
-        self.had_one, self.had_two = self.odds_one.take(self.by_one), self.odds_two.take(self.by_two)
-        mixed = self.had_one + self.had_two
+        self.at, self.seen = at, self.table[at]
+        self.sure = self.seen & 3
+        self.by = self.lane_odds[:, :n] + self.sure
+        self.had = self.all_odds[self.by]
+        mixed = self.had[0] + self.had[1]
         two = mixed & _MASK
         return two, two + (mixed >> _FIELD & _MASK), mixed >> 2 * _FIELD
 
-    def learn(self, ids: np.ndarray, hits: np.ndarray, hit_one: np.ndarray, hit_two: np.ndarray) -> None:
-        """hits: where a prediction holds. Misses are the rule and are written first, the other lanes over them."""
-        self.odds_two[self.by_two] = self.had_two + _MISS
-        self.odds_one[self.by_one] = self.had_one + _MISS
-        if len(hits):
-            more = np.where(hit_two[hits], _HIT_TWO, _HIT_ONE) - _MISS
-            self.odds_two[self.by_two[hits]] += more
-            self.odds_one[self.by_one[hits]] += more
-        new = ids << 2
-        for table, at, seen, sure, hit in ((self.two, self.at_two, self.seen_two, self.sure_two, hit_two), (self.one, self.at_one, self.seen_one, self.sure_one, hit_one)):
-            table[at] = new
-            if len(stay := np.flatnonzero(hit | (sure > 1))):  # a sure prediction survives one miss
-                table[at[stay]] = seen[stay] + np.where(hit[stay], sure[stay] < 3, -1)
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """hit: whose entry has the id."""
+        two, one = hit[1].astype(np.int64), (hit[0] > hit[1]).astype(np.int64)
+        self.all_odds[self.by] = self.had + ((one << _FIELD) + two + _MISS)
+        step = (hit & (self.sure < 3)).view(np.int8) - (~hit).view(np.int8)
+        self.table[self.at] = np.where(hit | (self.sure > 1), self.seen + step, ids << 2)  # a sure prediction survives one miss
 
 
 def _live(sizes: np.ndarray) -> np.ndarray:
@@ -173,15 +207,14 @@ def encode_blocks(blocks: list[np.ndarray], ranks: Ranks) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     n, steps = len(blocks), int(sizes[0])
-    ids = np.zeros((steps, n), np.int32)
-    for k, i in enumerate(order):
-        ids[: len(blocks[i]), k] = ranks.ranked(blocks[i])
+    ids = np.zeros((n, steps), np.int32)
+    ids[np.arange(steps) < sizes[:, None]] = ranks.ranked(np.concatenate([blocks[i] for i in order]))
+    ids = np.ascontiguousarray(ids.T)
     model, live = Model(n, ranks), _live(sizes)
-    counts = model.counts.reshape(-1)
-    width = 2 * steps + 4
-    out, rows = np.zeros((n, width), np.uint32), np.arange(n)
-    digits, at = out.reshape(-1), rows * width
     low, reach = np.zeros(n, np.int64), np.full(n, (1 << RANGE_BITS) - 1)
+    lanes: list[np.ndarray] = []  # of the digits in the order in which they come
+    digits: list[np.ndarray] = []
+    lane = np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32)
     last = before = np.zeros(n, np.int64)
     for first in range(0, steps, REBUILD):
         n = int(live[first])
@@ -189,41 +222,51 @@ def encode_blocks(blocks: list[np.ndarray], ranks: Ranks) -> list[bytes]:
         now = ids[first : first + REBUILD, :n].astype(np.int64)
         history = np.vstack((before[None, :n], last[None, :n], now))
         before, last = history[-2:]
-        ones, twos = model.contexts(n, history[1:-1], history[:-2])
-        classes = ranks.class_of.take(now) + model.lane_class[:n]
-        sizes_0 = model.size.take(classes)
-        begins_0 = model.begin.take(classes) + ranks.before.take(now) * sizes_0
-        sizes_0 *= ranks.share_of.take(now)
+        at = model.contexts(n, history[1:-1], history[:-2])
+        classes = ranks.class_of[now] + model.lane_class[:n]
+        begins_0, sizes_0 = model.place(classes)
+        begins_0 += ranks.before[now] * sizes_0
+        sizes_0 *= ranks.share_of[now]
         for t in range(len(now)):
             n = int(live[first + t])
             x = ids[first + t, :n]
-            two, either, every = model.odds(n, ones[t, :n], twos[t, :n])
-            hit_one, hit_two = model.seen_one >> 2 == x, model.seen_two >> 2 == x
+            two, either, every = model.odds(n, at[t, :, :n])
+            hit = model.seen >> 2 == x
             unit = (reach[:n] / every * _DOWN).astype(np.int64)
-            rest, hits = every - either, np.flatnonzero(hit_one | hit_two)
+            rest, hits = every - either, np.flatnonzero(hit[0] | hit[1])
             begin, size = (either << _SHARE) + rest * begins_0[t, :n], rest * sizes_0[t, :n]
             if len(hits):
-                second, a, b = hit_two[hits], two[hits] << _SHARE, either[hits] << _SHARE
+                second, a, b = hit[1][hits], two[hits] << _SHARE, either[hits] << _SHARE
                 begin[hits], size[hits] = np.where(second, 0, a), np.where(second, a, b - a)
-            l, r = low[:n] + begin * unit, size * unit
-            while (small := r < _LEAST).any():
-                digits[at[:n]] = l >> RANGE_BITS - DIGIT_BITS  # a carry is the digit's 21st bit
-                at[:n] += small
-                l = np.where(small, (l & _LEAST - 1) << DIGIT_BITS, l)
-                r = np.where(small, r << DIGIT_BITS, r)
-            low[:n], reach[:n] = l, r
-            counts[classes[t, :n]] += CLASS_STEP
-            counts[classes[t, hits]] -= CLASS_STEP
-            model.learn(x, hits, hit_one, hit_two)
-    at -= rows * width
-    for digit in (low >> 2 * DIGIT_BITS, low >> DIGIT_BITS & _DIGIT, low & _DIGIT):
-        out[rows, at] = digit
-        at += 1
-    out = out[:, : int(at.max()) + 1 & ~1]
+            begin *= unit
+            size *= unit
+            l, r = low[:n], reach[:n]
+            l += begin
+            r[:] = size
+            small = np.flatnonzero(size < _LEAST)
+            while len(small):
+                out = l[small]
+                lanes.append(lane[small])
+                digits.append((out >> RANGE_BITS - DIGIT_BITS).astype(np.uint32))  # a carry is the digit's 21st bit
+                l[small] = (out & _LEAST - 1) << DIGIT_BITS
+                wide = r[small] << DIGIT_BITS
+                r[small] = wide
+                small = small[wide < _LEAST]
+            classes[t, n:] = model.counts.size
+            classes[t, hits] = model.counts.size
+            model.learn(x, hit)
+        model.count(classes)
+    lanes += 3 * [lane]
+    digits += [(low >> shift & (_DIGIT << 1 | 1 if shift == 2 * DIGIT_BITS else _DIGIT)).astype(np.uint32) for shift in (2 * DIGIT_BITS, DIGIT_BITS, 0)]
+    of = np.concatenate(lanes)
+    order_of = np.argsort(of, kind="stable")
+    at = np.bincount(of, minlength=len(lane))
+    out = np.zeros((len(lane), int(at.max()) + 1 & ~1), np.uint32)
+    out[np.arange(out.shape[1]) < at[:, None]] = np.concatenate(digits)[order_of]
     while (over := out >> DIGIT_BITS).any():
         out &= _DIGIT
         out[:, :-1] += over[:, 1:]
-    pairs = (out[:, 0::2].astype("<u8") | out[:, 1::2].astype("<u8") << np.uint64(DIGIT_BITS)).view(np.uint8).reshape(len(rows), -1, 8)
+    pairs = (out[:, 0::2].astype("<u8") | out[:, 1::2].astype("<u8") << np.uint64(DIGIT_BITS)).view(np.uint8).reshape(len(lane), -1, 8)
     result = [b""] * len(blocks)
     for k, i in enumerate(order):
         result[i] = pairs[k, : (at[k] + 1) // 2, :5].tobytes()
@@ -239,51 +282,63 @@ def decode_blocks(data: list[bytes], sizes: list[int], ranks: Ranks) -> list[np.
     for k, i in enumerate(order):
         raw[k, : len(data[i]) // 5, :5] = np.frombuffer(data[i], np.uint8).reshape(-1, 5)
     pairs = raw.view("<i8")[:, :, 0]
-    digits = np.stack((pairs & _DIGIT, pairs >> DIGIT_BITS), -1).reshape(-1)
+    digits = np.stack((pairs & _DIGIT, pairs >> DIGIT_BITS), -1).astype(np.uint32).reshape(-1)
     at = np.arange(n) * 2 * width
-    off = digits[at] << 2 * DIGIT_BITS | digits[at + 1] << DIGIT_BITS | digits[at + 2]  # how far the code lies above low
+    off = np.zeros(n, np.int64)  # how far the code lies above low
+    for k in range(3):
+        off = off << DIGIT_BITS | digits[at + k]
     at += 3
     model, live, reach = Model(n, ranks), _live(size), np.full(n, (1 << RANGE_BITS) - 1)
-    counts = model.counts.reshape(-1)
-    ids = np.zeros((steps, n), np.int32)
+    ids, classes = np.zeros((steps, n), np.int32), np.empty((REBUILD, n), np.int64)
     last = before = np.zeros(n, np.int64)
     for t in range(steps):
         n = int(live[t])
         if t % REBUILD == 0:
+            if t:
+                model.count(classes)
             model.rebuild(n, True)
-        two, either, every = model.odds(n, *model.contexts(n, last[:n], before[:n]))
+            classes.fill(model.counts.size)
+        two, either, every = model.odds(n, model.contexts(n, last[:n], before[:n]))
         unit = (reach[:n] / every * _DOWN).astype(np.int64)
         w = off[:n]
         end_two, end_one = (two << _SHARE) * unit, (either << _SHARE) * unit
-        by_two, hits = w < end_two, np.flatnonzero(w < end_one)
+        hits = np.flatnonzero(w < end_one)
         share = (every - either) * unit
         place = w - end_one
         x = (place / share * _UP).astype(np.int64)
         x -= x * share > place
         x[hits] = 0
-        c = model.slot.take(model.lane_slot[:n] + (x >> CLASS_BITS))
-        k = model.lane_class[:n] + c
-        begin, wide = model.begin.take(k), model.size.take(k) * ranks.share.take(c)
+        k = model.find(n, x >> CLASS_BITS)
+        c = k - model.lane_class[:n]
+        begin, wide = model.place(k)
+        wide *= ranks.share[c]
         in_class = ((x - begin) / wide).astype(np.int32)
-        now = ranks.first.take(c).astype(np.int32) + in_class
-        l, r = place - share * (begin + in_class * wide), share * wide
+        now = ranks.first[c].astype(np.int32) + in_class
+        r = share * wide
+        l = place - share * (begin + in_class * wide)
         if len(hits):
-            second, a, b = by_two[hits], end_two[hits], end_one[hits]
-            now[hits] = np.where(second, model.seen_two[hits], model.seen_one[hits]) >> 2
-            l[hits], r[hits] = w[hits] - np.where(second, 0, a), np.where(second, a, b - a)
-        while (small := r < _LEAST).any():
-            l = np.where(small, l << DIGIT_BITS | digits.take(at[:n], mode="clip"), l)
-            at[:n] += small
-            r = np.where(small, r << DIGIT_BITS, r)
+            under, a, b = w[hits], end_two[hits], end_one[hits]
+            second = under < a
+            now[hits] = np.where(second, model.seen[1][hits], model.seen[0][hits]) >> 2
+            l[hits], r[hits] = under - np.where(second, 0, a), np.where(second, a, b - a)
+            k[hits] = model.counts.size
+        small = np.flatnonzero(r < _LEAST)
+        while len(small):
+            next_digit = at[small]
+            l[small] = l[small] << DIGIT_BITS | digits[next_digit]
+            at[small] = next_digit + 1
+            wide = r[small] << DIGIT_BITS
+            r[small] = wide
+            small = small[wide < _LEAST]
         off[:n], reach[:n] = l, r
-        counts[k] += CLASS_STEP
-        counts[k[hits]] -= CLASS_STEP
-        model.learn(now, hits, model.seen_one >> 2 == now, by_two)
+        classes[t % REBUILD, :n] = k
+        model.learn(now, model.seen >> 2 == now)
         ids[t, :n] = now
         last, before = now.astype(np.int64), last
+    ids = ranks.ids.astype("<u4")[np.ascontiguousarray(ids.T)]
     result: list[np.ndarray] = [None] * len(data)
     for k, i in enumerate(order):
-        result[i] = ranks.ids.take(ids[: sizes[i], k]).astype("<u4")
+        result[i] = ids[k, : sizes[i]]
     return result
 
 
@@ -375,7 +430,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterato
     store, root = fs.FileSystem.from_uri(folder)
     tokenizer = word_tokenizer(path)
     name, first, out = f"{uuid.uuid4().hex}.cmx", None, None
-    for batch in chain.from_iterable(slices(b, 1) for b in batches):
+    for batch in chain.from_iterable(slices(b, 1, BATCH_BYTES) for b in batches):
         ids = batch.column(0).to_pylist()
         if out is None:
             first = (ids[0] is not None, ids[0] or 0, batch.column(2)[0].as_py())

@@ -53,6 +53,25 @@ def test_word_by_word_ids_are_the_library_ids():
     assert t.encoded(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_words_share_the_ids_of_their_pieces():
+    t = WordTokenizer(word_file())
+    t.batch(["abc### Abc, abc%%% ABC abc", "ÀBC àbc7 7"])
+    assert sorted(x.decode() for x in t.known) == sorted(["abc", "###", ",", "%%%", "àbc", "7"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aZéÀß×÷ÿ'.,#<|>_7 \n\x1f\x7fªΣ\u0301\u2003"), st.characters(codec="utf-8")), max_size=40), min_size=1, max_size=4), st.integers(0, 5))
+def test_pieces_of_any_words_are_the_library_ids(texts, most):
+    t = _small
+    t.most_pieces, t.kept_pieces = most, most // 2
+    for _ in range(2):  # the second time from the cache
+        for text, ids in zip(texts, t.batch(texts)):
+            assert np.frombuffer(ids, np.uint32).tolist() == [*t.library.encode(text, add_special_tokens=False).ids, END_ID]
+
+
+_small = WordTokenizer(word_file())
+
+
 def test_query_covers_every_id(spark, tmp_path):
     texts = [None, "", "a b c", "word " * 9000, *(f"doc {i} " * (i * 7 % 400) for i in range(120)), "a b c"]
     spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, start string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -32,6 +32,12 @@ def test_order_0_reaches_the_entropy_of_skewed_ids():
     assert 8 * len(data) / len(ids) < -(c * np.log2(c)).sum() + 1.5
 
 
+def test_the_format_stays():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.minimum(rng.zipf(1.3, 70_000), 49_000) + 3, np.tile(np.arange(50), 60), rng.integers(0, 49408, 901)])
+    assert zlib.crc32(t.group_bytes(ids)) == 3070368145
+
+
 def test_a_whole_vocabulary_fits():
     ids = np.concatenate([np.arange(200_000), np.zeros(50, np.int64)])
     assert np.concatenate([*t.group_ids(t.group_bytes(ids))]).tolist() == ids.tolist()
