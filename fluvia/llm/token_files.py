@@ -116,6 +116,12 @@ class Ranks:
         return cls(np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<u2", offset=4 * n).astype(np.int64)), GROUP.size + size
 
 
+def _place(placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where classes begin among the shares, and how many slots they have."""
+    placed = placed.astype(np.int64)
+    return placed >> TOTAL_BITS + 1 << CLASS_BITS, placed & _SIZE
+
+
 class Model:
     """The adaptive state of many blocks, the same for coder and decoder. A table's entry is the id and two bits of
     confidence; arrays of two rows hold what belongs to order 1 and to order 2."""
@@ -125,7 +131,8 @@ class Model:
         self.n_classes = n_classes = len(ranks.first)
         self.lane_context = np.stack((lane << FIRST_BITS, (n << FIRST_BITS) + (lane << SECOND_BITS)))
         self.lane_odds, self.lane_class, self.lane_slot = np.stack((lane << 2, n + lane << 2)), lane * n_classes, lane << TOTAL_BITS - SKIP_BITS
-        self.table = np.zeros((n << FIRST_BITS) + (n << SECOND_BITS), np.int32)
+        # written at once, so that numpy asks for large memory pages, which zeros() does not get
+        self.table = np.full((n << FIRST_BITS) + (n << SECOND_BITS), 0, np.int32)
         self.all_odds = np.full(8 * n, 1 | 1 << _FIELD | 3 << 2 * _FIELD)
         self.counts = np.tile(ranks.stated.astype(np.int32), (n, 1))
 
@@ -134,7 +141,8 @@ class Model:
         the class of every slot that SKIP_BITS divide."""
         total, few = 1 << TOTAL_BITS, 256  # lanes at a time, whose arrays stay in the processor's cache
         self.placed = np.empty((n, self.n_classes), np.int32)
-        slot, found = np.arange(self.n_classes, dtype=np.uint16), []
+        slot, each = np.arange(self.n_classes, dtype=np.uint16), total >> SKIP_BITS
+        self.slot = np.empty(n * each if slots else 0, np.uint16)
         for lane in range(0, n, few):
             c = self.counts[lane : min(lane + few, n)]
             # quotients of integers this small never round up to the next one
@@ -146,26 +154,19 @@ class Model:
                 end += (1 << SKIP_BITS) - 1
                 end >>= SKIP_BITS
                 end[:, 1:] -= end[:, :-1].copy()
-                found.append(np.repeat(np.tile(slot, len(f)), end.ravel()))
+                self.slot[lane * each : (lane + few) * each] = np.repeat(np.tile(slot, len(f)), end.ravel())
         self.placed = self.placed.ravel()
-        if slots:
-            self.slot = np.concatenate(found)
-
-    def place(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where classes of lanes begin among the shares, and how many slots they have."""
-        both = self.placed[classes].astype(np.int64)
-        return both >> TOTAL_BITS + 1 << CLASS_BITS, both & _SIZE
 
-    def find(self, n: int, slot: np.ndarray) -> np.ndarray:
-        """The classes of lanes that hold a slot."""
+    def find(self, n: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The classes of lanes that hold a slot, and their places."""
         k = self.lane_class[:n] + self.slot[self.lane_slot[:n] + (slot >> SKIP_BITS)]
-        v = self.placed[k]
-        later = np.flatnonzero((v >> TOTAL_BITS + 1) + (v & _SIZE) <= slot)
+        found = self.placed[k]
+        later = np.flatnonzero((found >> TOTAL_BITS + 1) + (found & _SIZE) <= slot)
         while len(later):
             k[later] = more = k[later] + 1
-            v = self.placed[more]
+            found[later] = v = self.placed[more]
             later = later[(v >> TOTAL_BITS + 1) + (v & _SIZE) <= slot[later]]
-        return k
+        return k, *_place(found)
 
     def count(self, classes: np.ndarray) -> None:
         """Classes of lanes that ids had; those behind the last lane's are dropped."""
@@ -224,7 +225,7 @@ def encode_blocks(blocks: list[np.ndarray], ranks: Ranks) -> list[bytes]:
         before, last = history[-2:]
         at = model.contexts(n, history[1:-1], history[:-2])
         classes = ranks.class_of[now] + model.lane_class[:n]
-        begins_0, sizes_0 = model.place(classes)
+        begins_0, sizes_0 = _place(model.placed[classes])
         begins_0 += ranks.before[now] * sizes_0
         sizes_0 *= ranks.share_of[now]
         for t in range(len(now)):
@@ -308,9 +309,8 @@ def decode_blocks(data: list[bytes], sizes: list[int], ranks: Ranks) -> list[np.
         x = (place / share * _UP).astype(np.int64)
         x -= x * share > place
         x[hits] = 0
-        k = model.find(n, x >> CLASS_BITS)
+        k, begin, wide = model.find(n, x >> CLASS_BITS)
         c = k - model.lane_class[:n]
-        begin, wide = model.place(k)
         wide *= ranks.share[c]
         in_class = ((x - begin) / wide).astype(np.int32)
         now = ranks.first[c].astype(np.int32) + in_class
